@@ -72,7 +72,7 @@ def silhouette(labelled: DataFrame, metric: str = "cosine", sample: int = 10_000
     needs only cluster sums. Euclidean needs each row's mean distance to every
     cluster: the sample, bounded by its parameter, goes to the tasks as a matrix.
     """
-    chosen = _unit(labelled).orderBy(F.xxhash64("message_id", F.lit(seed)), "message_id").limit(sample)
+    chosen = _unit(labelled).orderBy(F.md5(F.concat("message_id", F.lit(str(seed)))), "message_id").limit(sample)
     spark = labelled.sparkSession
     if metric == "cosine":
         points = chosen.select(array_to_vector("embedding").alias("features"), F.col("cluster_id").alias("prediction"))
@@ -192,7 +192,7 @@ def cluster_samples(labelled: DataFrame, messages: DataFrame, n: int = 5, seed:
     """Up to n members per cluster in a repeatable random order, with the cluster size."""
     rows = labelled.filter(F.col("cluster_id") != -1).select("cluster_id", F.col("message_id").alias("id"))
     sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    picked = first_per(rows, ["cluster_id"], [F.xxhash64("id", F.lit(seed)), F.asc("id")], n)
+    picked = first_per(rows, ["cluster_id"], [F.md5(F.concat("id", F.lit(str(seed)))), F.asc("id")], n)
     return messages.select("id", "content").join(picked, "id").join(sizes, "cluster_id").select(
         "cluster_id", "size", "rank", "id", _preview(200)
     )
@@ -214,3 +214,15 @@ def cluster_members(labelled: DataFrame, messages: DataFrame, chars: int = 200)
     """Every clustered message with its preview, one row each."""
     rows = labelled.filter(F.col("cluster_id") != -1).select("cluster_id", F.col("message_id").alias("id"))
     return messages.select("id", "content").join(rows, "id").select("cluster_id", "id", _preview(chars))
+
+
+def cluster_within_category(v: DataFrame, message_taxonomy: DataFrame, categories: Sequence[str], k: int = 10, seed: int = 42,
+                            n_init: int = 3) -> DataFrame:
+    """Finer topics: the members of each category clustered on their own, as (message_id, category, cluster_id)."""
+    result = None
+    for category in categories:
+        ids = message_taxonomy.filter(F.col("category") == category).select("message_id")
+        labels, _ = cluster_kmeans(v.join(ids, "message_id", "left_semi"), k, seed, n_init)
+        part = labels.select("message_id", F.lit(category).alias("category"), "cluster_id")
+        result = part if result is None else result.unionByName(part)
+    return result

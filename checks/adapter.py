@@ -11,6 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatterlens.functions.fixed_values import TAXONOMY
 from chatterlens.sources.corpus import Corpus
 
 EPOCH_SPARK = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', e.ts)"
@@ -105,11 +106,29 @@ SELECT CAST(1 AS BIGINT) AS id, 'labels' AS method, '{"k": 10}' AS parameters,
        CAST(1706745600 AS BIGINT) AS created_at
 FROM {embeddings} v""",
 }
+# Shared by the checking SQL only.
+_KNOWN = ", ".join(f"'{name}'" for name in TAXONOMY)
+SQL_VIEWS = {
+    "lab": f"SELECT DISTINCT message_id, category FROM {{message_taxonomy}} WHERE category IN ({_KNOWN})",
+    "facts": "SELECT m.*, l.category FROM {messages} m JOIN {lab} l ON m.id = l.message_id",
+    "nodes": "SELECT * FROM {messages} WHERE id IN (SELECT message_id FROM {message_taxonomy})",
+    "reps": "SELECT DISTINCT c.id AS child_id, p.id AS parent_id FROM {nodes} c JOIN {nodes} p ON p.id = c.parent_id",
+    "taxonomy": "SELECT * FROM (VALUES " + ", ".join(
+        "('{}', '{}')".format(n, d.replace("'", "''")) for n, d in TAXONOMY.items()
+    ) + ") t(name, description)",
+    "posted": "SELECT m.id AS message_id, m.author_id AS user_id FROM {nodes} m WHERE m.author_id IN (SELECT id FROM {users})",
+    "ents": "SELECT message_id, entity_type, coalesce(canonical_name, entity_name) AS name, category, confidence, context, id FROM {extracted_entities}",
+    "wants": "SELECT p.user_id, e.name, count(DISTINCT e.message_id) AS n FROM {ents} e JOIN {posted} p ON p.message_id = e.message_id WHERE e.entity_type IN ('integration', 'feature') GROUP BY 1, 2",
+    "author_rows": "SELECT m.id, m.content, m.platform, m.timestamp, m.source, u.username, u.message_count, t.category FROM {messages} m JOIN {message_taxonomy} t ON t.message_id = m.id JOIN {users} u ON u.id = m.author_id",
+}
 BASE_TABLES = ["events", "documents", "conversations", "embeddings"]
 
 
 def _needs(text: str) -> list[str]:
-    return [n for n in [*BASE_TABLES, *VIEWS] if "{" + n + "}" in text]
+    return [n for n in [*BASE_TABLES, *VIEWS, *SQL_VIEWS] if "{" + n + "}" in text]
+
+
+_CORPORA: dict[tuple[str, str], Corpus] = {}
 
 
 def base_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -118,6 +137,9 @@ def base_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def spark_corpus(spark: SparkSession, folder: str) -> Corpus:
     """The corpus over one folder of test tables; everything stays lazy."""
+    cached = _CORPORA.get((spark.sparkContext.applicationId, folder))
+    if cached is not None:
+        return cached
     frames = {name: base_table(spark, folder, name) for name in BASE_TABLES}
     for name, text in VIEWS.items():
         used = _needs(text)
@@ -127,38 +149,36 @@ def spark_corpus(spark: SparkSession, folder: str) -> Corpus:
             frames[table].createOrReplaceTempView(f"cl_{table}")
             body = body.replace("{" + table + "}", f"cl_{table}")
         frames[name] = spark.sql(body)
-    return Corpus(**{name: frames[name] for name in VIEWS})
+    g = Corpus(**{name: frames[name] for name in VIEWS})
+    _CORPORA[(spark.sparkContext.applicationId, folder)] = g
+    return g
 
 
 def duckdb_with(query: str) -> str:
-    """A query over the engine's tables as one statement over the driver's views."""
-    import re
+    """A query over the engine's tables as one statement over the driver's views.
 
+    Names in braces become CTEs; a query may bring its own CTEs with a leading WITH.
+    """
+    bodies = {**VIEWS, **SQL_VIEWS}
     wanted: list[str] = []
 
     def visit(text: str) -> None:
-        for name, body in VIEWS.items():
-            if name not in wanted and re.search(rf"\b{name}\b", text):
-                visit_view(name, body)
+        for used in _needs(text):
+            if used in bodies and used not in wanted:
+                visit(bodies[used])
+                wanted.append(used)
 
-    def visit_view(name: str, body: str) -> None:
-        for used in _needs(body):
-            if used in VIEWS and used not in wanted:
-                visit_view(used, VIEWS[used])
-        wanted.append(name)
+    def plain(text: str) -> str:
+        text = text.replace("{epoch}", EPOCH_DUCKDB)
+        for used in _needs(text):
+            text = text.replace("{" + used + "}", used)
+        return text.strip()
 
     visit(query)
-    parts = []
-    for name in wanted:
-        body = VIEWS[name].replace("{epoch}", EPOCH_DUCKDB)
-        for table in _needs(VIEWS[name]):
-            body = body.replace("{" + table + "}", table)
-        parts.append(f"{name} AS ({body.strip()})")
-    recursive = "RECURSIVE " if re.search(r"\bRECURSIVE_CTE\b", query) else ""
-    query = query.replace("RECURSIVE_CTE", "").strip()
-    if not parts:
-        return f"WITH {recursive}{query[5:]}" if query.upper().startswith("WITH ") else query
-    head = f"WITH {recursive}" + ",\n".join(parts)
+    query = plain(query)
+    parts = [f"{name} AS ({plain(bodies[name])})" for name in wanted]
+    if query.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*parts, query[15:]])
     if query.upper().startswith("WITH "):
-        return head + ",\n" + query[5:]
-    return head + "\n" + query
+        return "WITH " + ",\n".join([*parts, query[5:]])
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + query
