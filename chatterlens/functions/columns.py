@@ -15,9 +15,16 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: str | Column) -> Column:
-    """Remove leading and trailing whitespace of every kind, not only spaces."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing white space of every kind, not only spaces."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def ratio(n: Column, d: Column, digits: int = 1) -> Column:
@@ -46,17 +53,13 @@ def word_array(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def words_in(text: str | Column, words: Sequence[str]) -> Column:
-    """The words of a list that occur in the lower-cased text as substrings, sorted.
+def explode_once(array: Column, name: str) -> tuple[Column, Column]:
+    """An explode, and the filter to apply to its result, that compute the array once.
 
-    One ``contains`` per word over a text lowered once: no join with the word list.
+    A plain explode lets the optimizer infer a size filter, which it pushes below
+    the projection and so evaluates the array twice.
     """
-    lowered = F.lower(col(text))
-    hits = F.transform(
-        F.array(lowered),
-        lambda t: F.array(*[F.when(F.contains(t, F.lit(w)), F.lit(w)) for w in sorted(set(words))]),
-    )
-    return F.array_compact(F.get(hits, 0))
+    return F.explode_outer(array).alias(name), F.col(name).isNotNull()
 
 
 def newest_first(ts: str = "timestamp", key: str = "id") -> list[Column]:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import time
+import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.functions import fixed_values as fv
-from chatterlens.functions.columns import first_per, strip, word_array, words_in
+from chatterlens.functions.columns import explode_once, first_per, strip, word_array
+from chatterlens.functions.matching import words_in
 
 
 def embedding_eligible(messages: DataFrame, min_length: int = 20) -> DataFrame:
@@ -38,19 +43,23 @@ def embedding_cost_estimate(messages: DataFrame, usd_per_million: float = 0.02)
 
 def hashing_provider(dims: int = 256) -> Callable[[list[str]], list[list[float]]]:
     """An offline stand-in for an embedding service: signed feature hashing of words, unit length."""
-    import re
-    import zlib
+    places: dict[str, int] = {}
 
-    import numpy as np
+    def place(word: str) -> int:
+        # Even places add, odd places subtract.
+        if word not in places:
+            if len(places) > 500_000:
+                places.clear()
+            places[word] = zlib.crc32(word.encode("utf-8")) % (2 * dims)
+        return places[word]
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dims), dtype="float32")
         for row, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(word.encode("utf-8"))
-                out[row, (h >> 1) % dims] += 1.0 if h & 1 else -1.0
+            counts = np.bincount([place(w) for w in re.findall(r"\w+", text.lower())], minlength=2 * dims)
+            out[row] = counts[0::2] - counts[1::2]
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norms == 0, 1, norms)).tolist()
+        return list(out / np.where(norms == 0, 1, norms))
 
     return embed
 
@@ -70,8 +79,6 @@ def embed_messages(messages: DataFrame, provider: Callable[[list[str]], list[lis
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-
         for part in _batches(frames, batch_size):
             vectors, status = [None] * len(part), "failed"
             for attempt in range(retries):
@@ -143,19 +150,19 @@ def classify_messages(messages: DataFrame, provider: Callable[[dict[str, str]],
 def classify_by_rules(messages: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = tuple(fv.CLASSIFICATION_RULES),
                       fallback: str = fv.FALLBACK_CATEGORY) -> DataFrame:
     """The first category, in rule order, with a cue in the lower-cased text."""
-    lowered = F.lower("content")
-
-    def hit(cues: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(c)) for c in cues])
-
-    category = F.coalesce(*[F.when(hit(cues), F.lit(name)) for name, cues in rules], F.lit(fallback))
-    return messages.select(F.col("id").alias("message_id"), category.alias("category"))
+    found = messages.select(
+        F.col("id").alias("message_id"), words_in("content", [c for _, cues in rules for c in cues]).alias("found")
+    )
+    category = F.coalesce(
+        *[F.when(F.arrays_overlap("found", word_array(cues)), F.lit(name)) for name, cues in rules], F.lit(fallback)
+    )
+    return found.select("message_id", category.alias("category"))
 
 
 def parse_classifications(responses: DataFrame, categories: Sequence[str] = tuple(fv.TAXONOMY)) -> DataFrame:
     """JSON answers to (message_id, category, valid); a malformed answer gives no rows."""
-    answers = F.explode(F.from_json("response", "map<string,string>")).alias("message_id", "category")
-    return responses.select(answers).withColumn(
+    answers = F.explode_outer(F.from_json("response", "map<string,string>")).alias("message_id", "category")
+    return responses.select(answers).filter(F.col("message_id").isNotNull()).withColumn(
         "valid", F.coalesce(F.col("category").isin(list(categories)), F.lit(False))
     )
 
@@ -192,7 +199,8 @@ def auto_categories(df: DataFrame, keyword_cues: Mapping[str, Sequence[str]] = f
 
 def cross_category_keywords(kw: DataFrame, min_categories: int = 3) -> DataFrame:
     """Keywords of at least ``min_categories`` categories with totals and a count per category."""
-    counts = kw.select("category", F.explode("all").alias("keyword")).groupBy("keyword", "category").agg(F.count("*").alias("n"))
+    word, present = explode_once(F.col("all"), "keyword")
+    counts = kw.select("category", word).filter(present).groupBy("keyword", "category").agg(F.count("*").alias("n"))
     return (
         counts.groupBy("keyword")
         .agg(
@@ -206,7 +214,8 @@ def cross_category_keywords(kw: DataFrame, min_categories: int = 3) -> DataFrame
 def with_themes(kw: DataFrame, themes: Mapping[str, Sequence[str]] = fv.THEMES) -> DataFrame:
     """One row per message row and theme that its words touch."""
     touched = [F.when(F.arrays_overlap("all", word_array(words)), F.lit(name)) for name, words in themes.items()]
-    return kw.withColumn("theme", F.explode(F.array_compact(F.array(*touched))))
+    theme, present = explode_once(F.array_compact(F.array(*touched)), "theme")
+    return kw.select("*", theme).filter(present)
 
 
 def opportunity_themes(kw: DataFrame, themes: Mapping[str, Sequence[str]] = fv.THEMES) -> DataFrame:
@@ -226,9 +235,8 @@ def opportunity_themes(kw: DataFrame, themes: Mapping[str, Sequence[str]] = fv.T
 def theme_top_keywords(kw: DataFrame, themes: Mapping[str, Sequence[str]] = fv.THEMES, n: int = 20) -> DataFrame:
     """The most frequent keywords of each theme's messages; a keyword counts once per message."""
     rows = with_themes(kw.select("all"), themes)
-    counts = rows.select("theme", F.explode(F.array_distinct("all")).alias("keyword")).groupBy("theme", "keyword").agg(
-        F.count("*").alias("n")
-    )
+    word, _ = explode_once(F.array_distinct("all"), "keyword")
+    counts = rows.select("theme", word).groupBy("theme", "keyword").agg(F.count("*").alias("n"))
     return first_per(counts, ["theme"], [F.desc("n"), F.asc("keyword")], n).select("theme", "rank", "keyword", "n")
 
 

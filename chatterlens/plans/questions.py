@@ -17,6 +17,7 @@ from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import (
     first_per, newest_first, ordered_list, pct, ratio, small, top, utc_timestamp,
 )
+from chatterlens.functions.skew import spread_join
 from chatterlens.sources.corpus import Corpus
 
 TEXTS_PER_ROW = 1000
@@ -181,7 +182,7 @@ def _all_texts(rows: DataFrame, keys: Sequence[str], counted: DataFrame, per_row
     """
     parts = F.ceil(F.col("n") / per_row)
     digest = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint")
-    spread = rows.join(counted, list(keys)).withColumn("part", F.pmod(digest, parts))
+    spread = spread_join(rows, counted, keys, "id").withColumn("part", F.pmod(digest, parts))
     others = [c for c in counted.columns if c not in keys]
     entry = F.struct((-F.col("timestamp")).alias("t"), "id", "content")
     return (
@@ -220,38 +221,74 @@ def export_integration_requesters(g: Corpus, k: int = 100, per_row: int = TEXTS_
 def thread_depth_by_topic(g: Corpus, max_depth: int = 5) -> DataFrame:
     """Reply paths of 1..max_depth hops by the category of the message they end in.
 
-    Counts of paths per end message are carried up one hop per join, instead of
-    the paths themselves: a message with very many replies is one row. A message
-    that replies to itself ends paths once more, as its loop may be walked once.
+    Each round adds up, per message, the path counts of its direct replies moved one
+    hop further. Only counts travel: a message with very many replies is one row
+    after the partial sums, and no path is ever listed. A message that replies to
+    itself lets paths take its loop once more.
     """
     edges = g.replies()
-    loops = edges.filter("child_id = parent_id").select(F.col("child_id").alias("id"), F.lit(True).alias("loop"))
+    loops = edges.filter("child_id = parent_id").select(F.col("child_id").alias("id"), F.lit(1).alias("loop"))
     links = edges.filter("child_id <> parent_id")
-    hops = links.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("paths"))
-    counted = hops.select("id", F.lit(1).alias("depth"), "paths")
+    hops = [f"p{d}" for d in range(1, max_depth + 1)]
+    counts = links.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("p1"))
     for depth in range(2, max_depth + 1):
-        hops = (
-            links.join(hops.withColumnRenamed("id", "child_id"), "child_id")
-            .groupBy(F.col("parent_id").alias("id")).agg(F.sum("paths").alias("paths"))
+        below = [F.sum(F.coalesce(f"p{d}", F.lit(0))).alias(f"p{d + 1}") for d in range(1, depth)]
+        counts = (
+            links.join(counts.withColumnRenamed("id", "child_id"), "child_id", "left")
+            .groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("p1"), *below)
         )
-        counted = counted.unionByName(hops.select("id", F.lit(depth).alias("depth"), "paths"))
-    looped = counted.join(loops, "id").select("id", (F.col("depth") + 1).alias("depth"), "paths")
-    once = loops.select("id", F.lit(1).alias("depth"), F.lit(1).cast("bigint").alias("paths"))
-    every = counted.unionByName(looped.filter(F.col("depth") <= max_depth)).unionByName(once)
-    per_end = every.groupBy("id").agg(
-        F.max("depth").alias("longest"), F.sum("paths").alias("paths"), F.sum(F.col("depth") * F.col("paths")).alias("hops")
-    )
+    zero = F.lit(0).cast("bigint")
+    paths = F.array(*[F.coalesce(p, zero) for p in hops])
+    ends = counts.join(loops, "id", "full_outer").select(
+        "id",
+        F.when(F.col("loop").isNull(), paths).otherwise(
+            F.zip_with(paths, F.slice(F.concat(F.array(F.lit(1).cast("bigint")), paths), 1, max_depth), lambda a, b: a + b)
+        ).alias("paths"),
+    )
+    n = F.aggregate("paths", zero, lambda a, x: a + x)
+    steps = F.aggregate(F.transform("paths", lambda x, i: x * (i + 1)), zero, lambda a, x: a + x)
+    deepest = F.array_max(F.transform("paths", lambda x, i: F.when(x > 0, i + 1).otherwise(0)))
+    per_end = ends.select("id", n.alias("n"), steps.alias("steps"), deepest.alias("longest"))
     topics = per_end.join(g.labels().withColumnRenamed("message_id", "id"), "id")
     return (
         topics.groupBy(F.col("category").alias("topic"))
         .agg(
             F.count("*").alias("thread_starters"), F.max("longest").alias("longest"),
-            (F.sum("hops") / F.sum("paths")).alias("avg_depth"),
+            (F.sum("steps") / F.sum("n")).alias("avg_depth"),
         )
         .orderBy(F.desc("thread_starters"), "topic")
     )
 
 
+def escalations_to_pricing(g: Corpus, to: str = "pricing_complaints", samples: int = 3) -> DataFrame:
+    """Replies of one category to parents without it, by the parent's category.
+
+    Replies are counted and cut to the newest few per parent before the parents'
+    categories are joined, so a parent with very many replies is a few rows.
+    """
+    target = g.labels([to]).select("message_id")
+    pairs = (
+        g.messages.filter(F.col("parent_id").isNotNull() & (F.col("parent_id") != ""))
+        .select("id", "parent_id", "timestamp")
+        .join(target.withColumnRenamed("message_id", "id"), "id", "left_semi")
+    )
+    started = (
+        g.labels().join(target, "message_id", "left_anti")
+        .join(g.messages.select(F.col("id").alias("message_id")), "message_id", "left_semi")
+        .select(F.col("message_id").alias("parent_id"), F.col("category").alias("started_as"))
+    )
+    counts = (
+        pairs.groupBy("parent_id").agg(F.count("*").alias("n")).join(started, "parent_id")
+        .groupBy("started_as").agg(F.sum("n").alias("n"))
+    )
+    newest = first_per(pairs, ["parent_id"], newest_first(), samples).drop("rank").join(started, "parent_id")
+    picked = first_per(newest, ["started_as"], newest_first(), samples).select("id", "started_as", "rank")
+    texts = g.fetch(picked, samples * len(g.categories), "content").groupBy("started_as").agg(
+        ordered_list("rank", "content").alias("samples")
+    )
+    return counts.join(texts, "started_as").orderBy(F.desc("n"), "started_as")
+
+
 def escalations_to_pricing(g: Corpus, to: str = "pricing_complaints", samples: int = 3) -> DataFrame:
     """Replies of one category to parents without it, by the parent's category."""
     target = g.labels([to]).select("message_id")
@@ -311,7 +348,8 @@ def questions_then_complaints(g: Corpus, from_category: str = "questions",
                               to_categories: Sequence[str] = fv.ESCALATION_CATEGORIES, k: int = 20) -> DataFrame:
     """Complaints later than the user's first question, by type."""
     first = g.facts([from_category], "timestamp").groupBy("author_id").agg(F.min("timestamp").alias("asked"))
-    later = g.facts(to_categories, "timestamp").join(first, "author_id").filter(F.col("timestamp") > F.col("asked"))
+    complaints = g.facts(to_categories, "timestamp")
+    later = spread_join(complaints, first, "author_id", "id").filter(F.col("timestamp") > F.col("asked"))
     counts = later.groupBy("author_id", F.col("category").alias("complaint_type")).agg(F.count("*").alias("n"))
     rows = counts.join(g.authors("username", "platform", F.col("message_count").alias("total_messages")), "author_id")
     return top(rows, k, F.desc("n"), F.asc("author_id"), F.asc("complaint_type")).select(
@@ -413,7 +451,7 @@ def integration_requester_network(g: Corpus, category: str = "integration_reques
                                   limit: int = 100) -> DataFrame:
     """Newest messages of users with enough requests."""
     users = _counts(g, [category]).filter(F.col("n") >= min_requests).join(g.authors(), "author_id", "left_semi")
-    rows = g.facts([category], "timestamp").join(users.select("author_id"), "author_id", "left_semi")
+    rows = spread_join(g.facts([category], "timestamp"), users.select("author_id"), "author_id", "id", "left_semi")
     return top(rows, limit, *newest_first()).select(
         F.col("author_id").alias("user_id"), F.col("id").alias("message_id"), "category"
     )

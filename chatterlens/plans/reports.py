@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.functions import fixed_values as fv
-from chatterlens.functions.columns import first_per, newest_first, ordered_list, pct, small, top
+from chatterlens.functions.columns import explode_once, first_per, newest_first, ordered_list, pct, small, top
 from chatterlens.operators.enrich import (
     auto_categories, extract_keywords, extract_tools_and_pains, opportunity_themes, theme_top_keywords, with_themes,
 )
@@ -44,18 +44,21 @@ def report_platform_distribution(msgs: DataFrame) -> DataFrame:
 
 
 def report_top_keywords(msgs: DataFrame, k: int = 30) -> DataFrame:
-    counts = msgs.select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+    word, present = explode_once(F.col("keywords"), "keyword")
+    counts = msgs.select(word).filter(present).groupBy("keyword").agg(F.count("*").alias("n"))
     return _share_of_rows(top(counts, k, F.desc("n"), F.asc("keyword")), msgs)
 
 
 def report_auto_category_counts(msgs: DataFrame, k: int = 10) -> DataFrame:
-    counts = msgs.select(F.explode("auto_categories").alias("auto_category")).groupBy("auto_category").agg(F.count("*").alias("n"))
+    label, _ = explode_once(F.col("auto_categories"), "auto_category")
+    counts = msgs.select(label).groupBy("auto_category").agg(F.count("*").alias("n"))
     return _share_of_rows(top(counts, k, F.desc("n"), F.asc("auto_category")), msgs)
 
 
 def report_messages_per_category(msgs: DataFrame, n: int = 50) -> DataFrame:
     """Newest messages of each automatic label, with the label's total and how many are left out."""
-    rows = msgs.select("id", "timestamp", "platform", "username", "content", F.explode("auto_categories").alias("auto_category"))
+    label, _ = explode_once(F.col("auto_categories"), "auto_category")
+    rows = msgs.select("id", "timestamp", "platform", "username", "content", label)
     totals = rows.groupBy("auto_category").agg(F.count("*").alias("total"))
     picked = first_per(rows, ["auto_category"], newest_first(), n)
     return picked.join(totals, "auto_category").select(

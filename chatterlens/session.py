@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="chatterlens-"), "chatterlens")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
 
 def build_session(app: str = "chatterlens", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution on.
@@ -27,7 +42,9 @@ def build_session(app: str = "chatterlens", master: str | None = None, **conf: s
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

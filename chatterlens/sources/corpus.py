@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chatterlens import schemas
 from chatterlens.functions.columns import small
 from chatterlens.functions.fixed_values import TAXONOMY
+from chatterlens.functions.skew import spread_join
 
 
 def taxonomy_dim(spark: SparkSession, taxonomy: dict[str, str] = TAXONOMY) -> DataFrame:
@@ -82,8 +83,9 @@ class Corpus:
             .select(F.col("id").alias("child_id"), "parent_id")
             .join(nodes, "child_id", "left_semi")
         )
+        # One message may have drawn a large part of all replies.
         parents = self.classified_messages().withColumnRenamed("id", "parent_id")
-        return pairs.join(parents, "parent_id", "left_semi").select("child_id", "parent_id")
+        return spread_join(pairs, parents, "parent_id", "child_id", "left_semi").select("child_id", "parent_id")
 
     def authors(self, *columns: str) -> DataFrame:
         """Users keyed for joins with facts."""

@@ -124,7 +124,7 @@ def raw_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 @case("normalize_chat", """
 SELECT 'discord_' || CAST(e.event_id AS STRING) AS id,
-       CASE WHEN e.event_type = 'click' THEN '' ELSE regexp_replace(coalesce(d.text, e.props), '^\\s+|\\s+$', '', 'g') END AS content,
+       CASE WHEN e.event_type = 'click' THEN '' ELSE trim(coalesce(d.text, e.props), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) END AS content,
        'discord_' || CAST(e.user_id AS STRING) AS author_id, 'name_' || CAST(e.user_id AS STRING) AS author_name,
        {epoch} AS timestamp,
        CASE WHEN e.event_type = 'view' THEN 'discord_' || CAST(CAST(floor(e.event_id / 2) AS BIGINT) AS STRING) END AS parent_id,
@@ -133,7 +133,7 @@ SELECT 'discord_' || CAST(e.event_id AS STRING) AS id,
        'discord_' || CAST(e.user_id AS STRING) AS mentions
 FROM {events} e LEFT JOIN {documents} d ON d.doc_id = e.event_id
 WHERE e.event_type <> 'error' AND (e.value > 50 OR e.event_type <> 'click')
-  AND (e.value > 50 OR regexp_replace(coalesce(d.text, e.props), '^\\s+|\\s+$', '', 'g') <> '')""")
+  AND (e.value > 50 OR trim(coalesce(d.text, e.props), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) <> '')""")
 def _(spark, folder, g):
     from chatterlens.schemas import CHAT_METADATA
 
@@ -176,7 +176,7 @@ def raw_posts(spark: SparkSession, folder: str) -> DataFrame:
 @case("normalize_forum_posts", """
 SELECT 'reddit_t3_' || CAST(e.event_id AS STRING) AS id,
        'Title ' || CAST(e.event_id AS STRING) || CASE WHEN e.event_type = 'signup' THEN ''
-         WHEN regexp_replace(coalesce(d.text, e.props), '^\\s+|\\s+$', '', 'g') = '' THEN '' ELSE chr(10) || chr(10) || coalesce(d.text, e.props) END AS content,
+         WHEN trim(coalesce(d.text, e.props), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) = '' THEN '' ELSE chr(10) || chr(10) || coalesce(d.text, e.props) END AS content,
        'reddit_name_' || CAST(e.user_id AS STRING) AS author_id, 1704067200 + e.event_id AS timestamp,
        'https://reddit.com/r/x/' || CAST(e.event_id AS STRING) AS permalink, 'gold' AS awards
 FROM {events} e LEFT JOIN {documents} d ON d.doc_id = e.event_id
@@ -207,11 +207,11 @@ def raw_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 @case("normalize_forum_comments", """
 SELECT 'reddit_t1_' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id,
-       regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content, 'reddit_' || role || '_' || CAST(conv_id AS STRING) AS author_id,
+       trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) AS content, 'reddit_' || role || '_' || CAST(conv_id AS STRING) AS author_id,
        1704067200 + conv_id * 600 + turn * 30 AS timestamp,
        CASE WHEN turn = 0 THEN 'reddit_t3_' || CAST(conv_id AS STRING) ELSE 'reddit_t1_' || CAST(conv_id AS STRING) || '_' || CAST(turn - 1 AS STRING) END AS parent_id,
        turn = 0 AS is_top_level
-FROM {conversations} WHERE role <> 'system' AND turn <> 5 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''""")
+FROM {conversations} WHERE role <> 'system' AND turn <> 5 AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) <> ''""")
 def _(spark, folder, g):
     from chatterlens.schemas import COMMENT_METADATA
 
@@ -550,7 +550,7 @@ def _(spark, folder, g):
 
 
 @case("embedding_eligible", r"""
-SELECT id FROM (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS t, coalesce(json_extract_string(metadata, '$.type'), '0') AS ty,
+SELECT id FROM (SELECT *, trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) AS t, coalesce(json_extract_string(metadata, '$.type'), '0') AS ty,
   lower(coalesce(json_extract_string(metadata, '$.author'), '')) AS au FROM {messages})
 WHERE length(t) >= 20 AND CASE WHEN platform = 'discord' THEN ty = '0'
   ELSE NOT contains(au, 'bot') AND au <> 'automoderator' AND lower(t) NOT IN ('[removed]', '[deleted]') END""")
