@@ -1,0 +1,198 @@
+"""Hierarchical density clustering (HDBSCAN*) of any number of vectors.
+
+Spark reduces the vectors to at most ``max_cells`` weighted cells, the density
+tree is built on the cells, and Spark labels every vector by its cell. With no
+more distinct vectors than cells, each distinct vector is its own cell and the
+tree is the exact one. Beyond that, cells are k-means cells summarised as data
+bubbles (count, centre, extent; Breunig et al., SIGMOD 2001), the published way
+to run this method on data that no single task can hold. Every vector takes
+part in its cell's sums and gets a label.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chatterlens.functions.columns import small
+from chatterlens.operators.clusters import _moments, l2_normalize
+
+SAMPLE_PER_CELL = 50
+TINY = 1e-9
+
+
+def _cells(points: DataFrame, max_cells: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(message_id, cell) of every point, and the cells with their sums; at most max_cells of them."""
+    distinct = points.groupBy("embedding").agg(F.min("message_id").alias("cell"), F.count("*").alias("n"))
+    if distinct.limit(max_cells + 1).count() <= max_cells:
+        cells = distinct.select("cell", "n", F.col("embedding").alias("mean"), F.lit(0.0).alias("extent"))
+        # Copies of one text may be very many; the cells are few, so no key is shuffled.
+        members = points.join(small(distinct.select("embedding", "cell"), max_cells), "embedding").select("message_id", "cell")
+        return members, cells
+    features = points.select("message_id", array_to_vector("embedding").alias("features"), "embedding")
+    share = min(1.0, max_cells * SAMPLE_PER_CELL / points.count())
+    # Only the cell centres come from a sample; all points are assigned and summed below.
+    model = KMeans(k=max_cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cluster_id").fit(
+        features.sample(share, seed) if share < 1 else features
+    )
+    assigned = model.transform(features).select("message_id", "cluster_id", "embedding")
+    sums = _moments(assigned)
+    spread = 2 * (F.col("squares") - F.col("n") * F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
+    extent = F.when(F.col("n") > 1, F.sqrt(F.greatest(spread / (F.col("n") - 1), F.lit(0.0)))).otherwise(0.0)
+    cells = sums.select(F.col("cluster_id").cast("string").alias("cell"), "n", "mean", extent.alias("extent"))
+    return assigned.select("message_id", F.col("cluster_id").cast("string").alias("cell")), cells
+
+
+def _reachability(centres: np.ndarray, n: np.ndarray, extent: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mutual reachability distances between cells, and core distances; for cells of one point the usual ones."""
+    dims = centres.shape[1]
+    squares = (centres**2).sum(axis=1)
+    gap = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * centres @ centres.T, 0))
+    first = (1 / n) ** (1 / dims) * extent
+    reach = gap - extent[:, None] - extent[None, :]
+    between = np.where(reach >= 0, reach + first[:, None] + first[None, :], np.maximum(first[:, None], first[None, :]))
+    np.fill_diagonal(between, 0)
+    core = np.empty(len(n))
+    for i in range(len(n)):
+        order = np.argsort(between[i], kind="stable")
+        held = np.cumsum(n[order])
+        place = min(int(np.searchsorted(held, min_samples + 1)), len(n) - 1)
+        inside = (min(min_samples, n[i]) / n[i]) ** (1 / dims) * extent[i]
+        core[i] = inside if order[place] == i else between[i, order[place]]
+    return np.maximum(between, np.maximum(core[:, None], core[None, :])), core
+
+
+def _merges(distance: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """Single linkage over the cells: (left, right, distance, weight) per merge, closest first."""
+    cells = len(n)
+    near, parent, done = distance[0].copy(), np.zeros(cells, dtype=int), np.zeros(cells, dtype=bool)
+    done[0], tree = True, []
+    for _ in range(cells - 1):
+        nxt = int(np.argmin(np.where(done, np.inf, near)))
+        tree.append((float(near[nxt]), int(parent[nxt]), nxt))
+        done[nxt] = True
+        closer = distance[nxt] < near
+        near, parent = np.where(closer, distance[nxt], near), np.where(closer, nxt, parent)
+    root, weight, out = list(range(2 * cells - 1)), list(map(int, n)), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for d, a, b in sorted(tree):
+        left, right = top(a), top(b)
+        node = cells + len(out)
+        root[left] = root[right] = node
+        weight.append(weight[left] + weight[right])
+        out.append((left, right, d, weight[node]))
+    return out
+
+
+def density_labels(centres: np.ndarray, n: np.ndarray, extent: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarray:
+    """A label per cell: excess-of-mass clusters numbered by size, -1 for noise."""
+    cells = len(n)
+    if cells < 2:
+        return np.full(cells, -1)
+    distance, core = _reachability(centres, n, extent, min_samples)
+    merges = _merges(distance, n)
+
+    def weight(x: int) -> int:
+        return int(n[x]) if x < cells else merges[x - cells][3]
+
+    def leaves(x: int) -> list[int]:
+        stack, found = [x], []
+        while stack:
+            y = stack.pop()
+            if y < cells:
+                found.append(y)
+            else:
+                stack.extend(merges[y - cells][:2])
+        return found
+
+    # Walk the tree from the root; a split counts when both sides are large enough.
+    birth, stability, children, head = [0.0], [0.0], [[]], [2 * cells - 2]
+    stack = [(2 * cells - 2, 0)]
+    while stack:
+        node, cluster = stack.pop()
+        if node < cells:
+            # One cell left: its rows stay together down to the distances inside it.
+            stability[cluster] += weight(node) * max(1 / max(core[node], TINY) - birth[cluster], 0.0)
+            continue
+        left, right, distance, _ = merges[node - cells]
+        level = 1 / max(distance, TINY)
+        big = [x for x in (left, right) if weight(x) >= min_cluster_size]
+        if len(big) == 2:
+            stability[cluster] += weight(node) * (level - birth[cluster])
+            for side in (left, right):
+                birth.append(level)
+                stability.append(0.0)
+                children.append([])
+                head.append(side)
+                children[cluster].append(len(birth) - 1)
+                stack.append((side, len(birth) - 1))
+        else:
+            lost = sum(weight(x) for x in (left, right) if weight(x) < min_cluster_size)
+            stability[cluster] += lost * (level - birth[cluster])
+            if big:
+                stack.append((big[0], cluster))
+    chosen = [False] * len(birth)
+    best = list(stability)
+    for c in range(len(birth) - 1, 0, -1):
+        below = sum(best[x] for x in children[c])
+        if children[c] and below > stability[c]:
+            best[c] = below
+        else:
+            chosen[c] = True
+    labels = np.full(cells, -1)
+    found, stack = [], list(children[0])
+    while stack:
+        c = stack.pop()
+        if chosen[c]:
+            found.append(leaves(head[c]))
+        else:
+            stack.extend(children[c])
+    found.sort(key=lambda members: (-sum(int(n[x]) for x in members), min(members)))
+    for label, members in enumerate(found):
+        labels[members] = label
+    return labels
+
+
+def _cluster(points: DataFrame, min_cluster_size: int, min_samples: int, max_cells: int, seed: int) -> DataFrame:
+    members, cells = _cells(points, max_cells, seed)
+    local = cells.orderBy("cell").collect()  # at most max_cells rows
+    if not local:
+        return members.select("message_id", F.lit(-1).alias("cluster_id"))
+    labels = density_labels(
+        np.asarray([r["mean"] for r in local], dtype="float64"), np.asarray([r["n"] for r in local]),
+        np.asarray([r["extent"] for r in local], dtype="float64"), min_cluster_size, min_samples,
+    )
+    table = points.sparkSession.createDataFrame(
+        [(r["cell"], int(label)) for r, label in zip(local, labels)], "cell string, cluster_id int"
+    )
+    return members.join(small(table, max_cells), "cell").select("message_id", "cluster_id")
+
+
+def cluster_density(v: DataFrame, min_cluster_size: int = 25, min_samples: int = 10, max_cells: int = 2000,
+                    seed: int = 42) -> DataFrame:
+    """Density clusters of unit vectors as (message_id, cluster_id); -1 is noise."""
+    points = l2_normalize(v.select("message_id", "embedding"))
+    return _cluster(points, min_cluster_size, min_samples, max_cells, seed)
+
+
+def reduce_vectors(v: DataFrame, n_components: int = 50) -> DataFrame:
+    """Unit vectors projected on their principal components."""
+    points = l2_normalize(v.select("message_id", "embedding")).select("message_id", array_to_vector("embedding").alias("features"))
+    model = PCA(k=n_components, inputCol="features", outputCol="reduced").fit(points)
+    return model.transform(points).select("message_id", vector_to_array("reduced").alias("embedding"))
+
+
+def reduce_then_cluster(v: DataFrame, n_components: int = 50, min_cluster_size: int = 25, min_samples: int = 10,
+                        max_cells: int = 2000, seed: int = 42) -> DataFrame:
+    """Density clusters in the space of the principal components."""
+    return _cluster(reduce_vectors(v, n_components), min_cluster_size, min_samples, max_cells, seed)

@@ -18,6 +18,7 @@ from chatterlens.functions.columns import (
     first_per, newest_first, ordered_list, pct, ratio, small, top, utc_timestamp,
 )
 from chatterlens.functions.skew import spread_join
+from chatterlens.session import ensure_checkpoint_dir
 from chatterlens.sources.corpus import Corpus
 
 TEXTS_PER_ROW = 1000
@@ -226,7 +227,9 @@ def thread_depth_by_topic(g: Corpus, max_depth: int = 5) -> DataFrame:
     after the partial sums, and no path is ever listed. A message that replies to
     itself lets paths take its loop once more.
     """
-    edges = g.replies()
+    ensure_checkpoint_dir(g.spark)
+    # Every round reads the narrow edges, so they are written out once.
+    edges = g.replies().checkpoint()
     loops = edges.filter("child_id = parent_id").select(F.col("child_id").alias("id"), F.lit(1).alias("loop"))
     links = edges.filter("child_id <> parent_id")
     hops = [f"p{d}" for d in range(1, max_depth + 1)]
@@ -310,7 +313,12 @@ def escalations_to_pricing(g: Corpus, to: str = "pricing_complaints", samples: i
 
 
 def influential_thread_starters(g: Corpus, k: int = 20) -> DataFrame:
-    replies = g.replies().groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("replies"))
+    labelled = g.message_taxonomy.select(F.col("message_id").alias("id"))
+    replies = (
+        g.messages.filter(F.col("parent_id").isNotNull() & (F.col("parent_id") != "")).select("id", "parent_id")
+        .join(labelled, "id", "left_semi")
+        .groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("replies"))
+    )
     rows = g.facts(None, "platform").join(replies, "id").join(
         g.authors(F.col("username").alias("author")), "author_id"
     )

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import utc_timestamp
 from chatterlens.operators import clusters as cl
+from chatterlens.operators import density as de
 from chatterlens.operators import enrich as en
 from chatterlens.operators import graph as gr
 from chatterlens.operators import ingest as ing
@@ -1503,3 +1504,16 @@ def _(spark, folder, g):
 @case("stream_classify", f"SELECT 'm_' || CAST(event_id AS STRING) AS message_id, {RULES} AS category FROM (SELECT event_id, lower('please ' || event_type || ' it costs $' || CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS t FROM {{events}})")
 def _(spark, folder, g):
     return run_stream(spark, st.stream_classify(event_stream(spark, folder)), "append")
+
+
+# --- density clusters (rows only: the method has no SQL form) ------------------------------------
+
+
+@case("cluster_density")
+def _(spark, folder, g):
+    return de.cluster_density(g.vectors, min_cluster_size=15, min_samples=5)
+
+
+@case("reduce_then_cluster")
+def _(spark, folder, g):
+    return de.reduce_then_cluster(g.vectors, n_components=16, min_cluster_size=15, min_samples=5)
