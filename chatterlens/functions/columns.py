@@ -62,6 +62,25 @@ def explode_once(array: Column, name: str) -> tuple[Column, Column]:
     return F.explode_outer(array).alias(name), F.col(name).isNotNull()
 
 
+def name_bit(c: str | Column, names: Sequence[str]) -> Column:
+    """A long with one bit for the place of a name in a short list; ``bit_or`` of it is a set of names.
+
+    Unlike ``collect_set`` this aggregates in a fixed-width hash buffer, without sorting rows.
+    """
+    if len(names) > 62:
+        raise ValueError("at most 62 names fit")
+    bits = F.lit(0).cast("bigint")
+    for place, name in enumerate(names):
+        bits = F.when(col(c) == name, F.lit(1 << place).cast("bigint")).otherwise(bits)
+    return bits
+
+
+def names_in_bits(bits: str | Column, names: Sequence[str]) -> Column:
+    """The sorted names of a bit set built with ``name_bit``."""
+    present = [F.when(col(bits).bitwiseAND(F.lit(1 << names.index(n))) != 0, F.lit(n)) for n in sorted(names)]
+    return F.array_compact(F.array(*present))
+
+
 def newest_first(ts: str = "timestamp", key: str = "id") -> list[Column]:
     """The order used wherever the source order is undefined."""
     return [F.desc(ts), F.asc(key)]

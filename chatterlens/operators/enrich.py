@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.functions import fixed_values as fv
-from chatterlens.functions.columns import explode_once, first_per, strip, word_array
+from chatterlens.functions.columns import explode_once, first_per, name_bit, names_in_bits, strip, word_array
 from chatterlens.functions.matching import words_in
 
 
@@ -218,18 +218,20 @@ def with_themes(kw: DataFrame, themes: Mapping[str, Sequence[str]] = fv.THEMES)
     return kw.select("*", theme).filter(present)
 
 
-def opportunity_themes(kw: DataFrame, themes: Mapping[str, Sequence[str]] = fv.THEMES) -> DataFrame:
+def opportunity_themes(kw: DataFrame, themes: Mapping[str, Sequence[str]] = fv.THEMES,
+                       categories: Sequence[str] | None = None) -> DataFrame:
     """Messages, distinct usernames and categories per theme.
 
     Grouped by (theme, username) first: a theme of a third of all messages is
     spread over its users, and no distinct count expands the rows.
     """
     rows = with_themes(kw.select("username", "category", "all"), themes)
-    per_user = rows.groupBy("theme", "username").agg(F.count("*").alias("n"), F.collect_set("category").alias("found"))
-    return per_user.groupBy("theme").agg(
-        F.sum("n").alias("messages"), F.count("*").alias("users"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("categories"),
+    names = list(fv.TAXONOMY) if categories is None else list(categories)
+    per_user = rows.groupBy("theme", "username").agg(F.count("*").alias("n"), F.bit_or(name_bit("category", names)).alias("bits"))
+    sums = per_user.groupBy("theme").agg(
+        F.sum("n").alias("messages"), F.count("*").alias("users"), F.bit_or("bits").alias("bits")
     )
+    return sums.select("theme", "messages", "users", names_in_bits("bits", names).alias("categories"))
 
 
 def theme_top_keywords(kw: DataFrame, themes: Mapping[str, Sequence[str]] = fv.THEMES, n: int = 20) -> DataFrame:

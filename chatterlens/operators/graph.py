@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatterlens.functions.columns import first_per, pct
+from chatterlens.functions.columns import first_per, name_bit, names_in_bits, pct
+from chatterlens.session import ensure_checkpoint_dir
 from chatterlens.sources.corpus import Corpus
 
 HASH_BUCKETS = 1024
@@ -175,7 +176,9 @@ def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] |
     histogram: a little longer than needed, never shorter, and no task has to
     rank all users of a popular entity.
     """
-    wants = user_wants(g, entity_types).select("user_id", "name")
+    ensure_checkpoint_dir(g.spark)
+    # Read several times below, so the narrow pairs are written out once.
+    wants = user_wants(g, entity_types).select("user_id", "name").checkpoint()
     degree = wants.groupBy("user_id").agg(F.count("*").alias("degree"))
     sizes = wants.groupBy("name").agg(F.count("*").alias("size"))
     bucket = F.pmod(F.xxhash64("user_id"), F.lit(HASH_BUCKETS))
@@ -222,10 +225,15 @@ def similar_users(g: Corpus, min_score: float = 0.5, limit: int = 50) -> DataFra
     first limit + 1 ids can occur among the first pairs by (score, a, b): exact,
     with work that does not grow with the number of users after one grouping.
     """
-    per_user = g.facts(None).groupBy("author_id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
-    members = per_user.join(g.authors(), "author_id").withColumn("key", F.array_join("categories", ","))
-    sets = members.groupBy("key").agg(F.count("*").alias("users"), F.first("categories").alias("categories"))
-    exploded = sets.select("key", "users", F.size("categories").alias("size"), F.explode("categories").alias("category"))
+    names = list(g.categories)
+    per_user = g.facts(None).groupBy("author_id").agg(F.bit_or(name_bit("category", names)).alias("key"))
+    ensure_checkpoint_dir(g.spark)
+    # Read three times below, so the narrow (user, set) rows are written out once.
+    members = per_user.join(g.authors(), "author_id", "left_semi").checkpoint()
+    sets = members.groupBy("key").agg(F.count("*").alias("users"))
+    exploded = sets.select(
+        "key", "users", F.bit_count("key").alias("size"), F.explode(names_in_bits("key", names)).alias("category")
+    )
     x = exploded.select("category", *[F.col(c).alias(f"{c}_x") for c in ("key", "users", "size")])
     y = exploded.select("category", *[F.col(c).alias(f"{c}_y") for c in ("key", "users", "size")])
     shared = x.join(y, "category").filter(F.col("key_x") <= F.col("key_y")).groupBy(

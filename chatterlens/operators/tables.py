@@ -92,32 +92,27 @@ def messages_without_embeddings(messages: DataFrame, refs: DataFrame, min_length
 def corpus_stats(g: Corpus) -> DataFrame:
     """Totals, counts per platform and entity type, and the date range as (metric, key, value)."""
 
-    def total(df: DataFrame, metric: str) -> DataFrame:
-        return df.agg(F.count("*").alias("value")).select(F.lit(metric).alias("metric"), F.lit("").alias("key"), "value")
-
-    def by(df: DataFrame, column: str, metric: str) -> DataFrame:
-        return df.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("value")).select(
-            F.lit(metric).alias("metric"), "key", "value"
+    def counts(df: DataFrame, column: str, total: str, each: str) -> DataFrame:
+        """Rows per value and in all; the total is summed from the counts, so the table is read once."""
+        per = df.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("value"))
+        everything = per.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(
+            F.lit(total).alias("metric"), F.lit("").alias("key"), "value"
         )
-
-    m = g.messages
-    # Totals of messages and the date range come from one scan, then unpivot.
-    one_pass = m.agg(
-        F.count("*").alias("total_messages"), F.min("timestamp").alias("first_message"), F.max("timestamp").alias("last_message")
-    ).select(F.stack(
-        F.lit(3),
-        F.lit("total_messages"), "total_messages",
-        F.lit("first_message"), "first_message",
-        F.lit("last_message"), "last_message",
-    ).alias("metric", "value")).select("metric", F.lit("").alias("key"), "value")
-    parts = [one_pass, by(m, "platform", "messages_by_platform"), total(g.users, "total_users"), by(g.users, "platform", "users_by_platform")]
+        return per.select(F.lit(each).alias("metric"), "key", "value").unionByName(everything)
+
+    span = g.messages.agg(F.min("timestamp").alias("first_message"), F.max("timestamp").alias("last_message")).select(
+        F.stack(F.lit(2), F.lit("first_message"), "first_message", F.lit("last_message"), "last_message").alias("metric", "value")
+    ).select("metric", F.lit("").alias("key"), "value")
+    result = (
+        counts(g.messages, "platform", "total_messages", "messages_by_platform")
+        .unionByName(span)
+        .unionByName(counts(g.users, "platform", "total_users", "users_by_platform"))
+    )
     if g.extracted_entities is not None:
-        parts += [total(g.extracted_entities, "total_entities"), by(g.extracted_entities, "entity_type", "entities_by_type")]
+        result = result.unionByName(counts(g.extracted_entities, "entity_type", "total_entities", "entities_by_type"))
     if g.embeddings_reference is not None:
-        parts.append(total(g.embeddings_reference, "total_embeddings"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+        refs = g.embeddings_reference.agg(F.count("*").alias("value"))
+        result = result.unionByName(refs.select(F.lit("total_embeddings").alias("metric"), F.lit("").alias("key"), "value"))
     return result
 
 
@@ -243,16 +238,14 @@ def posts_and_comments(messages: DataFrame, post_prefix: str = "reddit_t3_", com
     )
 
 
-def messages_with_author_by_category(g: Corpus, categories: list[str]) -> DataFrame:
+def messages_with_author_by_category(g: Corpus, categories: list[str], messages: DataFrame | None = None) -> DataFrame:
     """Messages of the categories with their author, one row per label row.
 
     Unordered: reports aggregate it, and the exports sort it once at the end.
+    ``messages`` may be a prepared frame, for instance one whose texts were already
+    reduced to keywords, so that only those are shuffled.
     """
     labels = g.message_taxonomy.filter(F.col("category").isin(categories)).select(F.col("message_id").alias("id"), "category")
-    m = g.messages.select("id", "content", "platform", "timestamp", "source", "author_id")
+    m = g.messages.select("id", "content", "platform", "timestamp", "source", "author_id") if messages is None else messages
     u = g.users.select(F.col("id").alias("author_id"), "username", "message_count")
-    return (
-        m.join(labels, "id").join(u, "author_id")
-        .select("id", "content", "platform", "timestamp", "source", "username", "message_count", "category")
-    )
-
+    return m.join(labels, "id").join(u, "author_id").drop("author_id")

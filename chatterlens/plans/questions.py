@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import (
-    first_per, newest_first, ordered_list, pct, ratio, small, top, utc_timestamp,
+    first_per, name_bit, names_in_bits, newest_first, ordered_list, pct, ratio, small, top, utc_timestamp,
 )
 from chatterlens.functions.skew import spread_join
 from chatterlens.session import ensure_checkpoint_dir
 from chatterlens.sources.corpus import Corpus
 
 TEXTS_PER_ROW = 1000
+HEAD_CHARS = 64
 
 
 def _counts(g: Corpus, categories: Sequence[str], name: str = "n") -> DataFrame:
@@ -74,8 +75,9 @@ def _multi(g: Corpus, categories: Sequence[str], min_types: int) -> DataFrame:
     """Users with enough distinct categories: their set and their (message, category) pairs."""
     return (
         g.facts(categories).groupBy("author_id")
-        .agg(F.array_sort(F.collect_set("category")).alias("types"), F.count("*").alias("total"))
-        .filter(F.size("types") >= min_types)
+        .agg(F.bit_or(name_bit("category", categories)).alias("bits"), F.count("*").alias("total"))
+        .filter(F.bit_count("bits") >= min_types)
+        .select("author_id", names_in_bits("bits", categories).alias("types"), "total")
     )
 
 
@@ -158,9 +160,17 @@ def bugs_and_performance(g: Corpus, a: str = "bug_reports", b: str = "performanc
     rows = wants_both(g, a, b, k).withColumnRenamed("total_messages", "message_count")
     chosen = small(rows.select(*_PERSON), k)
     people = g.authors(*_PERSON).join(chosen, _PERSON, "left_semi").join(_both(g, a, b).select("author_id"), "author_id", "left_semi")
-    ids = g.facts([a]).join(people, "author_id").select("id", *_PERSON)
-    texts = g.messages.select("id", "content").join(ids, "id").select(*_PERSON, "content").distinct()
-    picked = first_per(texts, _PERSON, [F.asc("content")], samples).groupBy(*_PERSON).agg(
+    # Texts are ranked by their first characters and told apart by digest, so that only these
+    # travel; whole texts are read for the few whose start ranks among the first.
+    heads = g.messages.select(
+        "id", "author_id", F.substring("content", 1, HEAD_CHARS).alias("head"), F.md5("content").alias("digest")
+    ).join(people, "author_id")
+    labelled = heads.join(g.labels([a]).select(F.col("message_id").alias("id")), "id", "left_semi")
+    texts = labelled.groupBy(*_PERSON, "digest").agg(F.min("id").alias("id"), F.min("head").alias("head"))
+    by_head = Window.partitionBy(*_PERSON).orderBy("head")
+    likely = texts.withColumn("place", F.dense_rank().over(by_head)).filter(F.col("place") <= samples).select("id", *_PERSON)
+    found = g.messages.select("id", "content").join(likely, "id")
+    picked = first_per(found, _PERSON, [F.asc("content")], samples).groupBy(*_PERSON).agg(
         ordered_list("rank", "content").alias("samples")
     )
     return rows.join(picked, _PERSON).orderBy(F.desc(F.col("n_a") + F.col("n_b")), *_PERSON).withColumnRenamed(
@@ -499,10 +509,10 @@ def reddit_super_users(g: Corpus, categories: Sequence[str] = fv.WISH_CATEGORIES
     )
     per_user = g.facts(categories).groupBy("author_id", "category").agg(F.count("*").alias("n"))
     rows = per_user.join(people, "author_id").groupBy("username", "total_messages").agg(
-        F.sum("n").alias("n"), F.array_sort(F.collect_set("category")).alias("categories")
+        F.sum("n").alias("n"), F.bit_or(name_bit("category", categories)).alias("bits")
     )
     return top(rows, k, F.desc("n"), F.asc("username"), F.asc("total_messages")).select(
-        "username", "n", "total_messages", "categories"
+        "username", "n", "total_messages", names_in_bits("bits", categories).alias("categories")
     )
 
 

@@ -21,15 +21,21 @@ from chatterlens.sources.corpus import Corpus
 
 
 def integration_messages(g: Corpus, categories: Sequence[str] = ("integration_requests",),
-                         vocab: Sequence[str] = tuple(fv.INTEGRATION_WORDS)) -> DataFrame:
-    """Messages with author, keywords and automatic labels."""
-    rows = messages_with_author_by_category(g, list(categories))
-    return auto_categories(extract_keywords(rows, vocab))
+                         vocab: Sequence[str] = tuple(fv.INTEGRATION_WORDS), content: bool = False) -> DataFrame:
+    """Messages with author, keywords and automatic labels; with their text only on request.
+
+    Words are found before the joins, where the text is read, so texts are not shuffled.
+    """
+    found = auto_categories(extract_keywords(
+        g.messages.select("id", "content", "platform", "timestamp", "source", "author_id"), vocab
+    ))
+    return messages_with_author_by_category(g, list(categories), found if content else found.drop("content"))
 
 
 def keyword_messages(g: Corpus, categories: Sequence[str] = fv.REPORT_CATEGORIES) -> DataFrame:
-    """Messages of the actionable categories with author, tools and pains."""
-    return extract_tools_and_pains(messages_with_author_by_category(g, list(categories)))
+    """Messages of the actionable categories with author, tools and pains, without their text."""
+    found = extract_tools_and_pains(g.messages.select("id", "content", "platform", "timestamp", "source", "author_id"))
+    return messages_with_author_by_category(g, list(categories), found.drop("content"))
 
 
 def _share_of_rows(df: DataFrame, total_of: DataFrame) -> DataFrame:
@@ -55,13 +61,17 @@ def report_auto_category_counts(msgs: DataFrame, k: int = 10) -> DataFrame:
     return _share_of_rows(top(counts, k, F.desc("n"), F.asc("auto_category")), msgs)
 
 
-def report_messages_per_category(msgs: DataFrame, n: int = 50) -> DataFrame:
-    """Newest messages of each automatic label, with the label's total and how many are left out."""
+def report_messages_per_category(msgs: DataFrame, messages: DataFrame, n: int = 50,
+                                 labels: int = len(fv.AUTO_KEYWORD_CUES) + len(fv.AUTO_TEXT_CUES) + 1) -> DataFrame:
+    """Newest messages of each automatic label, with the label's total and how many are left out.
+
+    Rows are picked without texts; the texts of the few picked are joined last.
+    """
     label, _ = explode_once(F.col("auto_categories"), "auto_category")
-    rows = msgs.select("id", "timestamp", "platform", "username", "content", label)
+    rows = msgs.select("id", "timestamp", "platform", "username", label)
     totals = rows.groupBy("auto_category").agg(F.count("*").alias("total"))
-    picked = first_per(rows, ["auto_category"], newest_first(), n)
-    return picked.join(totals, "auto_category").select(
+    picked = first_per(rows, ["auto_category"], newest_first(), n).join(totals, "auto_category").drop("timestamp")
+    return messages.select("id", "content").join(small(picked, n * labels), "id").select(
         "auto_category", "rank", F.col("content").alias("message"), "platform", "username", "total",
         F.greatest(F.col("total") - n, F.lit(0)).alias("more"),
     )
@@ -106,17 +116,14 @@ def report_cross_patterns(cross: DataFrame, k: int | None = 20) -> DataFrame:
     return top(cross, k, F.desc("total_mentions"), F.asc("keyword"))
 
 
-def report_theme_samples(kw: DataFrame, min_messages: int = 10, n: int = 20, chars: int = 500,
+def report_theme_samples(kw: DataFrame, messages: DataFrame, min_messages: int = 10, n: int = 20, chars: int = 500,
                          themes: Mapping[str, Sequence[str]] = fv.THEMES) -> DataFrame:
-    """Newest messages of each theme that is large enough, with how many are left out."""
-    rows = with_themes(kw.select("id", "timestamp", "category", "platform", "username", "tools", "content", "all"), themes)
+    """Newest messages of each theme that is large enough; texts are joined to the few rows picked."""
+    rows = with_themes(kw.select("id", "timestamp", "category", "platform", "username", "tools", "all"), themes).drop("all")
     totals = rows.groupBy("theme").agg(F.count("*").alias("total")).filter(F.col("total") >= min_messages)
-    picked = first_per(
-        rows.withColumn("message", F.substring("content", 1, chars)).drop("content", "all"),
-        ["theme"], [*newest_first(), F.asc("category")], n,
-    )
-    return picked.join(small(totals, len(themes)), "theme").select(
-        "theme", "rank", "category", "platform", "username", "tools", "message", "total"
+    picked = first_per(rows, ["theme"], [*newest_first(), F.asc("category")], n).join(small(totals, len(themes)), "theme")
+    return messages.select("id", "content").join(small(picked, n * len(themes)), "id").select(
+        "theme", "rank", "category", "platform", "username", "tools", F.substring("content", 1, chars).alias("message"), "total"
     )
 
 

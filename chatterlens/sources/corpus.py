@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterlens import schemas
-from chatterlens.functions.columns import small
+from chatterlens.functions.columns import name_bit, names_in_bits, small
 from chatterlens.functions.fixed_values import TAXONOMY
 from chatterlens.functions.skew import spread_join
 
@@ -47,8 +47,8 @@ class Corpus:
     def labels(self, categories: Sequence[str] | None = None) -> DataFrame:
         """Distinct (message_id, category) of known categories, partitioned by message.
 
-        Grouping by message alone lets the join with messages reuse the shuffle;
-        the set is bounded by the number of categories.
+        Grouping by message alone lets the join with messages reuse the shuffle,
+        and the categories of a message travel as one long.
         """
         wanted = list(self.categories) if categories is None else list(categories)
         rows = self.message_taxonomy.filter(F.col("category").isin(wanted))
@@ -56,8 +56,8 @@ class Corpus:
             return rows.select("message_id").distinct().withColumn("category", F.lit(wanted[0]))
         return (
             rows.groupBy("message_id")
-            .agg(F.collect_set("category").alias("found"))
-            .select("message_id", F.explode("found").alias("category"))
+            .agg(F.bit_or(name_bit("category", wanted)).alias("bits"))
+            .select("message_id", F.explode(names_in_bits("bits", wanted)).alias("category"))
         )
 
     def facts(self, categories: Sequence[str] | None = None, *columns: str) -> DataFrame:
@@ -96,6 +96,38 @@ class Corpus:
         return self.messages.select("id", *columns).join(small(keys, max_rows), "id")
 
 
+# The column each table is joined on most.
+JOIN_KEYS = {
+    "messages": "id", "users": "id", "message_taxonomy": "message_id", "extracted_entities": "message_id",
+    "embeddings_reference": "message_id", "message_clusters": "message_id", "vectors": "message_id",
+}
+
+
+def save_bucketed(g: Corpus, prefix: str, buckets: int, folder: str | None = None) -> None:
+    """Write the tables bucketed and sorted by their join key, as catalog tables ``<prefix>_<table>``.
+
+    Joins of messages with labels, entities or vectors then need no shuffle, so
+    texts never leave the task that reads them. Size ``buckets`` so that one
+    bucket of messages fits a task.
+    """
+    for name in schemas.TABLES:
+        df = getattr(g, name)
+        if df is None:
+            continue
+        writer = df.write.mode("errorifexists").format("parquet")
+        if name in JOIN_KEYS:
+            writer = writer.bucketBy(buckets, JOIN_KEYS[name]).sortBy(JOIN_KEYS[name])
+        if folder is not None:
+            writer = writer.option("path", posixpath.join(folder, name))
+        writer.saveAsTable(f"{prefix}_{name}")
+
+
+def read_bucketed(spark: SparkSession, prefix: str) -> Corpus:
+    """Open the tables written by ``save_bucketed``."""
+    names = [n for n in schemas.TABLES if spark.catalog.tableExists(f"{prefix}_{n}")]
+    return Corpus(**{n: spark.table(f"{prefix}_{n}") for n in names})
+
+
 def read_corpus(spark: SparkSession, folder: str, register: bool = False) -> Corpus:
     """Open every table under a folder of Parquet tables with its fixed schema."""
     frames = {}

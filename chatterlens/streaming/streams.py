@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chatterlens.functions.columns import utc_timestamp
 from chatterlens.operators.enrich import classify_by_rules
 from chatterlens.operators.ingest import first_by_key
 
@@ -24,19 +26,32 @@ def stream_ingest_dedup(spark: SparkSession, folder: str, schema: str, normalize
 
 
 def append_new(target: str, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """A batch writer that adds only keys the target lacks; a replayed batch adds nothing."""
+    """A batch writer that adds only keys the target lacks; a replayed batch adds nothing.
+
+    The target is partitioned by UTC day. A message keeps its time, so only the days
+    that a batch covers are searched for its keys.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = first_by_key(batch, key, F.col("timestamp"), F.col("content"))
+        day = F.to_date(utc_timestamp("timestamp"))
+        batch = batch.withColumn("day", day).persist()
         try:
-            existing = spark.read.schema(batch.schema).parquet(target).select(key)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        else:
-            fresh = fresh.join(existing, key, "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(target)
+            first, last = batch.agg(F.min("day"), F.max("day")).first()
+            if first is None:
+                return
+            fresh = first_by_key(batch, key, F.col("timestamp"), F.col("content"))
+            try:
+                existing = spark.read.schema(batch.schema).parquet(target)
+            except AnalysisException as missing:
+                if missing.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            else:
+                known = existing.filter(F.col("day").between(first, last)).select(key)
+                fresh = fresh.join(known, key, "left_anti").select(*batch.columns)
+            fresh.write.mode("append").partitionBy("day").parquet(target)
+        finally:
+            batch.unpersist()
 
     return write
 

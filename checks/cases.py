@@ -364,7 +364,7 @@ WITH {INTEGRATION}
 SELECT id, content, platform, timestamp, {TIME('timestamp')} AS date, source, username, message_count AS total_messages,
        array_to_string(keywords, '{SEP}') AS extracted_keywords, array_to_string(auto_categories, '{SEP}') AS auto_categories FROM im""")
 def _(spark, folder, g):
-    rows = sinks.report_rows(rp.integration_messages(g))
+    rows = sinks.report_rows(rp.integration_messages(g, content=True))
     return rows.select("id", "content", "platform", "timestamp", "date", "source", "user.username", "user.total_messages",
                        "extracted_keywords", "auto_categories")
 
@@ -1386,7 +1386,7 @@ WITH {INTEGRATION}, e AS (SELECT *, unnest(auto_categories) AS auto_category FRO
 r AS (SELECT *, row_number() OVER (PARTITION BY auto_category ORDER BY {NEWEST}) AS rank, count(*) OVER (PARTITION BY auto_category) AS total FROM e)
 SELECT auto_category, rank, content AS message, platform, username, total, greatest(total - 50, 0) AS more FROM r WHERE rank <= 50""")
 def _(spark, folder, g):
-    return rp.report_messages_per_category(rp.integration_messages(g))
+    return rp.report_messages_per_category(rp.integration_messages(g), g.messages)
 
 
 @case("report_top_requesters", f"WITH {INTEGRATION} SELECT username, count(*) AS n FROM im GROUP BY 1 ORDER BY n DESC, username LIMIT 10")
@@ -1423,7 +1423,7 @@ def _(spark, folder, g):
 WITH {THEMES}, r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY {NEWEST}, category) AS rank, count(*) OVER (PARTITION BY theme) AS total FROM tm)
 SELECT theme, rank, category, platform, username, array_to_string(tools, '{SEP}') AS tools, substring(content, 1, 500) AS message, total FROM r WHERE rank <= 20 AND total >= 10""")
 def _(spark, folder, g):
-    return rp.report_theme_samples(rp.keyword_messages(g))
+    return rp.report_theme_samples(rp.keyword_messages(g), g.messages)
 
 
 @case("report_migration_mentions", f"WITH {CROSS} SELECT coalesce(sum(total_mentions), 0)::BIGINT AS n FROM cross_kw WHERE keyword IN ('migrate', 'export')")

@@ -79,7 +79,7 @@ def test_exports(spark, small_corpus, tmp_path):
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()
     assert [r.content for r in back] == ["same here, 20/mo is too much", "Costs $20 a month\nsecond line"]
     assert back[0].date == "1970-01-01 00:05" and back[0].user_msg_count == "2"
-    sinks.write_json(sinks.report_rows(rp.integration_messages(small_corpus)), str(tmp_path / "json"))
+    sinks.write_json(sinks.report_rows(rp.integration_messages(small_corpus, content=True)), str(tmp_path / "json"))
     row = json.loads(next((tmp_path / "json").glob("*.json")).read_text().splitlines()[0])
     assert row["user"] == {"username": "ann", "total_messages": 1}
     assert row["extracted_keywords"] == ["stripe"] and row["auto_categories"] == ["migration_export", "payment"]
