@@ -94,27 +94,32 @@ def category_recount(g: Corpus) -> DataFrame:
 def graph_stats(g: Corpus) -> DataFrame:
     """Nodes by label, edges by type, messages by category with their share, and by platform."""
 
-    def total(df: DataFrame, kind: str, key: str) -> DataFrame:
-        return df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(key).alias("key"), "n")
+    def total(n: DataFrame, kind: str, key: str) -> DataFrame:
+        return n.select(F.lit(kind).alias("kind"), F.lit(key).alias("key"), F.coalesce("n", F.lit(0)).alias("n"))
 
-    nodes = g.classified_messages("platform")
-    by_platform = nodes.groupBy(F.col("platform").alias("key")).agg(F.count("*").alias("n"))
-    counts = category_recount(g)
+    def summed(counts: DataFrame) -> DataFrame:
+        return counts.agg(F.sum("n").alias("n"))
+
+    # Totals are sums of the grouped counts, so each table is read once.
+    by_platform = g.classified_messages("platform").groupBy(F.col("platform").alias("key")).agg(F.count("*").alias("n"))
+    by_category = category_recount(g).select(F.col("name").alias("key"), F.col("message_count").alias("n"))
+    posted = g.classified_messages("author_id").groupBy("author_id").agg(F.count("*").alias("n")).join(
+        g.authors(), "author_id", "left_semi"
+    )
     parts = [
-        g.taxonomy.agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), F.lit("Category").alias("key"), "n"),
-        total(g.users, "node", "User"),
-        total(nodes, "node", "Message"),
-        total(posted_edges(g), "edge", "POSTED"),
-        total(classified_as_edges(g), "edge", "CLASSIFIED_AS"),
-        total(g.replies(), "edge", "REPLIES_TO"),
-        counts.select(F.lit("category").alias("kind"), F.col("name").alias("key"), F.col("message_count").alias("n")),
+        total(g.taxonomy.agg(F.count("*").alias("n")), "node", "Category"),
+        total(g.users.agg(F.count("*").alias("n")), "node", "User"),
+        total(summed(by_platform), "node", "Message"),
+        total(summed(posted), "edge", "POSTED"),
+        total(summed(by_category), "edge", "CLASSIFIED_AS"),
+        total(summed(g.reply_counts()), "edge", "REPLIES_TO"),
+        by_category.select(F.lit("category").alias("kind"), "key", "n"),
         by_platform.select(F.lit("platform").alias("kind"), "key", "n"),
     ]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    total_messages = nodes.agg(F.count("*")).scalar()
-    share = F.when(F.col("kind") == "category", pct(F.col("n"), total_messages))
+    share = F.when(F.col("kind") == "category", pct(F.col("n"), summed(by_platform).scalar()))
     return result.withColumn("pct", share)
 
 

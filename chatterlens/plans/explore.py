@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import first_per, newest_first, pct, small, top, utc_timestamp
 from chatterlens.operators.graph import category_nodes
+from chatterlens.session import ensure_checkpoint_dir
 from chatterlens.sources.corpus import Corpus
 
 
@@ -80,7 +81,8 @@ def deep_threads(g: Corpus, max_depth: int = 3, limit: int = 30) -> DataFrame:
     Every reply starts at least one path, so the first ``limit`` replies hold the
     first ``limit`` paths; only those are followed upwards.
     """
-    edges = g.replies()
+    ensure_checkpoint_dir(g.spark)
+    edges = g.replies().checkpoint()
     paths = top(edges, limit, F.asc("child_id")).select(F.array("child_id", "parent_id").alias("path"))
     found = paths
     for _ in range(max_depth - 1):
@@ -112,9 +114,15 @@ def feature_and_integration_pairs(g: Corpus, a: str = "feature_requests", b: str
     ).filter("n_a > 0 AND n_b > 0")
     users = small(top(both.join(g.authors(), "author_id", "left_semi"), limit, F.asc("author_id")).select("author_id"), limit)
     first = first_per(rows.join(users, "author_id", "left_semi"), ["author_id", "category"], [F.asc("id")], limit)
-    left = first.filter(F.col("category") == a).select("author_id", F.col("id").alias("m1"), F.col("rank").alias("i"))
-    right = first.filter(F.col("category") == b).select("author_id", F.col("id").alias("m2"), F.col("rank").alias("j"))
-    pairs = left.join(right, "author_id").filter(F.col("i") * F.col("j") <= limit)
+    # At most ``limit`` ids per list, for at most ``limit`` users.
+    lists = first.groupBy("author_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("category") == c, F.col("id")))).alias(name) for name, c in (("a", a), ("b", b))
+    ])
+    pairs = (
+        lists.select("author_id", "b", F.posexplode("a").alias("i", "m1"))
+        .select("author_id", "i", "m1", F.posexplode("b").alias("j", "m2"))
+        .filter((F.col("i") + 1) * (F.col("j") + 1) <= limit)
+    )
     return top(pairs, limit, F.asc("author_id"), F.asc("m1"), F.asc("m2")).select(
         F.col("author_id").alias("user_id"), "m1", "m2"
     )

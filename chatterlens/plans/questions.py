@@ -184,21 +184,18 @@ def feature_wishlist_champions(g: Corpus, k: int = 15, samples: int = 5) -> Data
     return _with_samples(g, picked, ["feature_requests"], k, samples).select("username", "platform", "n", "samples")
 
 
-def _all_texts(rows: DataFrame, keys: Sequence[str], counted: DataFrame, per_row: int) -> DataFrame:
-    """All texts of each key as sorted arrays of bounded size.
+def _all_texts(spread: DataFrame, keys: Sequence[str], per_row: int) -> DataFrame:
+    """All texts of each key as sorted arrays of bounded size; ``n`` holds the key's number of texts.
 
     A key with up to ``per_row`` texts gets one row (part 0). A larger one is
     spread over parts by a digest of the message id, so no array and no task ever
     holds a whole hot key.
     """
-    parts = F.ceil(F.col("n") / per_row)
     digest = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint")
-    spread = spread_join(rows, counted, keys, "id").withColumn("part", F.pmod(digest, parts))
-    others = [c for c in counted.columns if c not in keys]
+    part = F.pmod(digest, F.ceil(F.col("n") / per_row)).alias("part")
     entry = F.struct((-F.col("timestamp")).alias("t"), "id", "content")
-    return (
-        spread.groupBy(*keys, *others, "part")
-        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["content"]).alias("all_contents"))
+    return spread.groupBy(*keys, "n", part).agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["content"]).alias("all_contents")
     )
 
 
@@ -212,7 +209,7 @@ def customization_seekers(g: Corpus, per_row: int = TEXTS_PER_ROW) -> DataFrame:
     rows = g.facts(["customization_requests"], "timestamp", "content").join(g.authors(*keys), "author_id").select(
         *keys, "id", "timestamp", "content"
     )
-    return _all_texts(rows, keys, counted, per_row).select(*keys, "n", "part", "all_contents")
+    return _all_texts(spread_join(rows, counted, keys, "id"), keys, per_row).select(*keys, "n", "part", "all_contents")
 
 
 def export_integration_requesters(g: Corpus, k: int = 100, per_row: int = TEXTS_PER_ROW) -> DataFrame:
@@ -221,10 +218,9 @@ def export_integration_requesters(g: Corpus, k: int = 100, per_row: int = TEXTS_
         g.authors("username", "platform", F.col("message_count").alias("total_messages")), "author_id"
     )
     picked = small(top(counted, k, F.desc("n"), F.asc("author_id")), k)
-    chosen = picked.select("author_id")
-    narrow = g.messages.select("id", "author_id", "timestamp", "content").join(chosen, "author_id", "left_semi")
-    rows = narrow.join(g.labels(["integration_requests"]).select(F.col("message_id").alias("id")), "id", "left_semi")
-    return _all_texts(rows, ["author_id"], picked, per_row).select(
+    theirs = g.messages.select("id", "author_id", "timestamp", "content").join(picked, "author_id")
+    rows = theirs.join(g.labels(["integration_requests"]).select(F.col("message_id").alias("id")), "id", "left_semi")
+    return _all_texts(rows, ["author_id", "username", "platform", "total_messages"], per_row).select(
         "username", "platform", "total_messages", "n", "part", "all_contents"
     )
 
@@ -290,32 +286,11 @@ def escalations_to_pricing(g: Corpus, to: str = "pricing_complaints", samples: i
         .join(g.messages.select(F.col("id").alias("message_id")), "message_id", "left_semi")
         .select(F.col("message_id").alias("parent_id"), F.col("category").alias("started_as"))
     )
-    counts = (
-        pairs.groupBy("parent_id").agg(F.count("*").alias("n")).join(started, "parent_id")
-        .groupBy("started_as").agg(F.sum("n").alias("n"))
-    )
-    newest = first_per(pairs, ["parent_id"], newest_first(), samples).drop("rank").join(started, "parent_id")
-    picked = first_per(newest, ["started_as"], newest_first(), samples).select("id", "started_as", "rank")
-    texts = g.fetch(picked, samples * len(g.categories), "content").groupBy("started_as").agg(
-        ordered_list("rank", "content").alias("samples")
-    )
-    return counts.join(texts, "started_as").orderBy(F.desc("n"), "started_as")
-
-
-def escalations_to_pricing(g: Corpus, to: str = "pricing_complaints", samples: int = 3) -> DataFrame:
-    """Replies of one category to parents without it, by the parent's category."""
-    target = g.labels([to]).select("message_id")
-    replies = (
-        g.replies()
-        .join(target.withColumnRenamed("message_id", "child_id"), "child_id", "left_semi")
-        .join(target.withColumnRenamed("message_id", "parent_id"), "parent_id", "left_anti")
-    )
-    by_parent = replies.join(g.labels().withColumnRenamed("message_id", "parent_id"), "parent_id").select(
-        F.col("child_id").alias("id"), F.col("category").alias("started_as")
-    )
-    counts = by_parent.groupBy("started_as").agg(F.count("*").alias("n"))
-    timed = by_parent.join(g.messages.select("id", "timestamp"), "id")
-    picked = first_per(timed, ["started_as"], newest_first(), samples).select("id", "started_as", "rank")
+    counted = pairs.groupBy("parent_id").agg(F.count("*").alias("n"))
+    per_parent = first_per(pairs, ["parent_id"], newest_first(), samples, "place").join(counted, "parent_id")
+    by_topic = per_parent.join(started, "parent_id")
+    counts = by_topic.filter("place = 1").groupBy("started_as").agg(F.sum("n").alias("n"))
+    picked = first_per(by_topic, ["started_as"], newest_first(), samples).select("id", "started_as", "rank")
     texts = g.fetch(picked, samples * len(g.categories), "content").groupBy("started_as").agg(
         ordered_list("rank", "content").alias("samples")
     )
@@ -323,12 +298,7 @@ def escalations_to_pricing(g: Corpus, to: str = "pricing_complaints", samples: i
 
 
 def influential_thread_starters(g: Corpus, k: int = 20) -> DataFrame:
-    labelled = g.message_taxonomy.select(F.col("message_id").alias("id"))
-    replies = (
-        g.messages.filter(F.col("parent_id").isNotNull() & (F.col("parent_id") != "")).select("id", "parent_id")
-        .join(labelled, "id", "left_semi")
-        .groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("replies"))
-    )
+    replies = g.reply_counts().select(F.col("parent_id").alias("id"), F.col("n").alias("replies"))
     rows = g.facts(None, "platform").join(replies, "id").join(
         g.authors(F.col("username").alias("author")), "author_id"
     )

@@ -38,9 +38,16 @@ def keyword_messages(g: Corpus, categories: Sequence[str] = fv.REPORT_CATEGORIES
     return messages_with_author_by_category(g, list(categories), found.drop("content"))
 
 
-def _share_of_rows(df: DataFrame, total_of: DataFrame) -> DataFrame:
-    everything = total_of.agg(F.count("*")).scalar()
-    return df.withColumn("pct", pct(F.col("n"), everything))
+def _top_entries(msgs: DataFrame, column: str, name: str, k: int) -> DataFrame:
+    """The most frequent array entries and their share of all rows.
+
+    Every row also counts one empty entry, so the number of rows comes from the same pass.
+    """
+    entry, _ = explode_once(F.concat(F.col(column), F.array(F.lit(""))), name)
+    counts = msgs.select(entry).groupBy(name).agg(F.count("*").alias("n"))
+    everything = counts.filter(F.col(name) == "").select("n").scalar()
+    ranked = top(counts.filter(F.col(name) != ""), k, F.desc("n"), F.asc(name))
+    return ranked.withColumn("pct", pct(F.col("n"), everything))
 
 
 def report_platform_distribution(msgs: DataFrame) -> DataFrame:
@@ -50,15 +57,11 @@ def report_platform_distribution(msgs: DataFrame) -> DataFrame:
 
 
 def report_top_keywords(msgs: DataFrame, k: int = 30) -> DataFrame:
-    word, present = explode_once(F.col("keywords"), "keyword")
-    counts = msgs.select(word).filter(present).groupBy("keyword").agg(F.count("*").alias("n"))
-    return _share_of_rows(top(counts, k, F.desc("n"), F.asc("keyword")), msgs)
+    return _top_entries(msgs, "keywords", "keyword", k)
 
 
 def report_auto_category_counts(msgs: DataFrame, k: int = 10) -> DataFrame:
-    label, _ = explode_once(F.col("auto_categories"), "auto_category")
-    counts = msgs.select(label).groupBy("auto_category").agg(F.count("*").alias("n"))
-    return _share_of_rows(top(counts, k, F.desc("n"), F.asc("auto_category")), msgs)
+    return _top_entries(msgs, "auto_categories", "auto_category", k)
 
 
 def report_messages_per_category(msgs: DataFrame, messages: DataFrame, n: int = 50,

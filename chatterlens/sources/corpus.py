@@ -75,14 +75,23 @@ class Corpus:
             self.message_taxonomy.select(F.col("message_id").alias("id")), "id", "left_semi"
         )
 
-    def replies(self) -> DataFrame:
-        """Distinct (child_id, parent_id) where both ends carry a label."""
+    def _labelled_replies(self) -> DataFrame:
+        """(child_id, parent_id) of labelled replies, whatever the parent."""
         nodes = self.message_taxonomy.select(F.col("message_id").alias("child_id"))
-        pairs = (
+        return (
             self.messages.filter(F.col("parent_id").isNotNull() & (F.col("parent_id") != ""))
             .select(F.col("id").alias("child_id"), "parent_id")
             .join(nodes, "child_id", "left_semi")
         )
+
+    def reply_counts(self) -> DataFrame:
+        """(parent_id, n) of labelled replies; counted first, so a much answered parent is one row."""
+        counts = self._labelled_replies().groupBy("parent_id").agg(F.count("*").alias("n"))
+        return counts.join(self.classified_messages().withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
+
+    def replies(self) -> DataFrame:
+        """Distinct (child_id, parent_id) where both ends carry a label."""
+        pairs = self._labelled_replies()
         # One message may have drawn a large part of all replies.
         parents = self.classified_messages().withColumnRenamed("id", "parent_id")
         return spread_join(pairs, parents, "parent_id", "child_id", "left_semi").select("child_id", "parent_id")
