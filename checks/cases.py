@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -28,8 +29,9 @@ from chatterlens.operators import vectors as ve
 from chatterlens.plans import explore as ex
 from chatterlens.plans import questions as qu
 from chatterlens.plans import reports as rp
+from chatterlens.schemas import RAW_CHAT
 from chatterlens.sources import raw, sinks
-from chatterlens.sources.corpus import Corpus, taxonomy_dim
+from chatterlens.sources.corpus import Corpus, read_corpus, taxonomy_dim
 from chatterlens.streaming import streams as st
 from checks.adapter import base_table, duckdb_with
 
@@ -71,6 +73,14 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[as_text(f).alias(f.name) for f in df.schema.fields])
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder for a stream's output: beside the cluster's checkpoints, or temporary in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    return tempfile.mkdtemp(prefix="chatterlens-stream-")
+
+
 def pct(n: str, d: str) -> str:
     return f"floor((CAST({n} AS BIGINT) * 2000 + CAST({d} AS BIGINT)) / (2 * CAST({d} AS BIGINT))) / 10"
 
@@ -347,7 +357,11 @@ def _(spark, folder, g):
 SELECT content, platform, strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:%M') AS date, source, username, message_count AS user_msg_count
 FROM {author_rows} WHERE category = 'integration_requests'""")
 def _(spark, folder, g):
-    return sinks.message_export(tb.messages_with_author_by_category(g, ["integration_requests"]))
+    rows = sinks.message_export(tb.messages_with_author_by_category(g, ["integration_requests"]))
+    path = os.path.join(work_folder(spark), "csv")
+    sinks.write_csv(rows, path)
+    reader = spark.read.schema(rows.schema).option("header", True).option("multiLine", True)
+    return reader.option("escape", '"').option("lineSep", "\n").csv(path)
 
 
 KW = words(fv.INTEGRATION_WORDS)
@@ -365,7 +379,9 @@ SELECT id, content, platform, timestamp, {TIME('timestamp')} AS date, source, us
        array_to_string(keywords, '{SEP}') AS extracted_keywords, array_to_string(auto_categories, '{SEP}') AS auto_categories FROM im""")
 def _(spark, folder, g):
     rows = sinks.report_rows(rp.integration_messages(g, content=True))
-    return rows.select("id", "content", "platform", "timestamp", "date", "source", "user.username", "user.total_messages",
+    path = os.path.join(work_folder(spark), "json")
+    sinks.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path).select("id", "content", "platform", "timestamp", "date", "source", "user.username", "user.total_messages",
                        "extracted_keywords", "auto_categories")
 
 
@@ -1434,16 +1450,6 @@ def _(spark, folder, g):
 # --- 2J streams ----------------------------------------------------------------------------------
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's output: beside the cluster's checkpoints, or temporary in local mode."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return os.path.join(shared, f"stream-{uuid.uuid4().hex}")
-    return tempfile.mkdtemp(prefix="chatterlens-stream-")
-
-
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events as a stream of messages."""
     schema = base_table(spark, folder, "events").schema
@@ -1506,6 +1512,47 @@ def _(spark, folder, g):
     return run_stream(spark, st.stream_classify(event_stream(spark, folder)), "append")
 
 
+@case("incremental_ingest", """
+SELECT 'discord_' || CAST(e.event_id AS STRING) AS id, 'discord_' || CAST(e.user_id AS STRING) AS author_id, {epoch} AS timestamp
+FROM {events} e LEFT JOIN {documents} d ON d.doc_id = e.event_id WHERE e.event_type <> 'error' AND (e.value > 50 OR e.event_type <> 'click')
+  AND (e.value > 50 OR trim(coalesce(d.text, e.props), ' ' || chr(9) || chr(10) || chr(13)) <> '')""")
+def _(spark, folder, g):
+    out = work_folder(spark)
+    landing, target, checkpoint = (os.path.join(out, name) for name in ("landing", "target", "checkpoint"))
+    records = raw_chat(spark, folder)
+    for arrival in (records.filter("author.bot OR type = 19"), records):
+        # The second arrival repeats records of the first; only new ids are added.
+        arrival.write.mode("append").json(landing)
+        st.incremental_ingest(
+            spark, landing, target, checkpoint, RAW_CHAT, lambda r: raw.normalize_chat(r, "general"), watermark="60 days"
+        ).awaitTermination()
+    return spark.read.parquet(target).select("id", "author_id", "timestamp")
+
+
+@case("write_cluster_samples", "SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(*) AS size, least(count(*), 5) AS samples FROM {message_clusters} WHERE cluster_id <> -1 GROUP BY 1")
+def _(spark, folder, g):
+    path = os.path.join(work_folder(spark), "samples")
+    sinks.write_cluster_samples(cl.cluster_samples(with_noise(g), g.messages), path)
+    rows = spark.read.schema("cluster_id bigint, size bigint, samples array<struct<id:string,preview:string>>").json(path)
+    return rows.select("cluster_id", "size", F.size("samples").alias("samples"))
+
+
+@case("read_corpus", """
+SELECT 'messages' AS name, count(*) AS n, CAST(sum(timestamp) AS DOUBLE) AS total FROM {messages} UNION ALL SELECT 'users', count(*), CAST(sum(message_count) AS DOUBLE) FROM {users}
+UNION ALL SELECT 'message_taxonomy', count(*), CAST(sum(created_at) AS DOUBLE) FROM {message_taxonomy}""")
+def _(spark, folder, g):
+    out = work_folder(spark)
+    sums = {"messages": "timestamp", "users": "message_count", "message_taxonomy": "created_at"}
+    for name in sums:
+        getattr(g, name).write.parquet(os.path.join(out, name))
+    opened = read_corpus(spark, out)
+    parts = [
+        getattr(opened, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(c).cast("double").alias("total"))
+        for name, c in sums.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- density clusters (rows only: the method has no SQL form) ------------------------------------
 
 
