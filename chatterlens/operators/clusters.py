@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -22,22 +23,19 @@ from chatterlens.functions.columns import first_per, newest_first, pct, small
 from chatterlens.operators.vectors import matrix
 
 
-def _norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+def unit_features(v: DataFrame) -> DataFrame:
+    """The frame with ``features``: its vectors scaled to length one; a zero vector stays as it is."""
+    raw = v.withColumn("__raw", array_to_vector("embedding"))
+    return Normalizer(inputCol="__raw", outputCol="features", p=2.0).transform(raw).drop("__raw")
 
 
 def l2_normalize(v: DataFrame) -> DataFrame:
-    """Vectors of length one; a zero vector stays as it is."""
-    norm = _norm(F.col("embedding"))
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.col("__norm"))
-    return (
-        v.withColumn("__norm", F.when(norm > 0, norm).otherwise(1.0))
-        .withColumn("embedding", unit).drop("__norm")
-    )
+    """Vectors of length one, as arrays; a zero vector stays as it is."""
+    return unit_features(v).withColumn("embedding", vector_to_array("features")).drop("features")
 
 
 def _features(v: DataFrame) -> DataFrame:
-    return l2_normalize(v.select("message_id", "embedding")).select("message_id", array_to_vector("embedding").alias("features"))
+    return unit_features(v.select("message_id", "embedding")).select("message_id", "features")
 
 
 def cluster_kmeans(v: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10, max_iter: int = 20) -> tuple[DataFrame, float]:

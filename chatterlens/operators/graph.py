@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.functions.columns import first_per, name_bit, names_in_bits, pct
-from chatterlens.session import ensure_checkpoint_dir
+from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
 HASH_BUCKETS = 1024
@@ -181,9 +181,7 @@ def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] |
     histogram: a little longer than needed, never shorter, and no task has to
     rank all users of a popular entity.
     """
-    ensure_checkpoint_dir(g.spark)
-    # Read several times below, so the narrow pairs are written out once.
-    wants = user_wants(g, entity_types).select("user_id", "name").checkpoint()
+    wants = written_once(user_wants(g, entity_types).select("user_id", "name"))
     degree = wants.groupBy("user_id").agg(F.count("*").alias("degree"))
     sizes = wants.groupBy("name").agg(F.count("*").alias("size"))
     bucket = F.pmod(F.xxhash64("user_id"), F.lit(HASH_BUCKETS))
@@ -232,9 +230,7 @@ def similar_users(g: Corpus, min_score: float = 0.5, limit: int = 50) -> DataFra
     """
     names = list(g.categories)
     per_user = g.facts(None).groupBy("author_id").agg(F.bit_or(name_bit("category", names)).alias("key"))
-    ensure_checkpoint_dir(g.spark)
-    # Read three times below, so the narrow (user, set) rows are written out once.
-    members = per_user.join(g.authors(), "author_id", "left_semi").checkpoint()
+    members = written_once(per_user.join(g.authors(), "author_id", "left_semi"))
     sets = members.groupBy("key").agg(F.count("*").alias("users"))
     exploded = sets.select(
         "key", "users", F.bit_count("key").alias("size"), F.explode(names_in_bits("key", names)).alias("category")

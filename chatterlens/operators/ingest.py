@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterlens.functions.fixed_values import ENTITY_TYPES, PLATFORMS
-from chatterlens.session import ensure_checkpoint_dir
+from chatterlens.functions.skew import spread_join
+from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
 
@@ -128,28 +129,27 @@ def comment_depth(messages: DataFrame, cap: int = 51, root_prefix: str | None =
     ends at the cap. Rows whose chain has ended leave the join, so no round shuffles
     null keys. Rounds are checkpointed: the frame is read twice per round.
     """
-    ensure_checkpoint_dir(messages.sparkSession)
     known = messages.select(F.col("id").alias("parent_id"))
     if root_prefix:
         known = known.filter(~F.col("parent_id").startswith(root_prefix))
     replies = messages.filter(F.col("parent_id").isNotNull() & (F.col("parent_id") != ""))
-    chains = (
-        replies.select("id", "parent_id")
-        .join(known, "parent_id", "left_semi")
+    # One message may have drawn a large part of all replies.
+    chains = written_once(
+        spread_join(replies.select("id", "parent_id"), known, "parent_id", "id", "left_semi")
         .select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
-    ).checkpoint()
+    )
     span = 1
     while span < cap:
         open_rows = chains.filter(F.col("ancestor").isNotNull())
         if open_rows.isEmpty():
             break
         ahead = chains.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = open_rows.join(ahead, "ancestor", "left").select(
+        longer = spread_join(open_rows, ahead, "ancestor", "id", "left").select(
             "id",
             F.col("next").alias("ancestor"),
             F.least(F.col("depth") + F.coalesce("more", F.lit(0)), F.lit(cap)).alias("depth"),
         )
-        chains = chains.filter(F.col("ancestor").isNull()).unionByName(longer).checkpoint()
+        chains = written_once(chains.filter(F.col("ancestor").isNull()).unionByName(longer))
         span *= 2
     return (
         messages.select("id")

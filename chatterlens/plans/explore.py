@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import first_per, newest_first, pct, small, top, utc_timestamp
 from chatterlens.operators.graph import category_nodes
-from chatterlens.session import ensure_checkpoint_dir
+from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
 
@@ -81,8 +81,7 @@ def deep_threads(g: Corpus, max_depth: int = 3, limit: int = 30) -> DataFrame:
     Every reply starts at least one path, so the first ``limit`` replies hold the
     first ``limit`` paths; only those are followed upwards.
     """
-    ensure_checkpoint_dir(g.spark)
-    edges = g.replies().checkpoint()
+    edges = written_once(g.replies())
     paths = top(edges, limit, F.asc("child_id")).select(F.array("child_id", "parent_id").alias("path"))
     found = paths
     for _ in range(max_depth - 1):

@@ -18,7 +18,7 @@ from chatterlens.functions.columns import (
     first_per, name_bit, names_in_bits, newest_first, ordered_list, pct, ratio, small, top, utc_timestamp,
 )
 from chatterlens.functions.skew import spread_join
-from chatterlens.session import ensure_checkpoint_dir
+from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
 TEXTS_PER_ROW = 1000
@@ -233,9 +233,7 @@ def thread_depth_by_topic(g: Corpus, max_depth: int = 5) -> DataFrame:
     after the partial sums, and no path is ever listed. A message that replies to
     itself lets paths take its loop once more.
     """
-    ensure_checkpoint_dir(g.spark)
-    # Every round reads the narrow edges, so they are written out once.
-    edges = g.replies().checkpoint()
+    edges = written_once(g.replies())
     loops = edges.filter("child_id = parent_id").select(F.col("child_id").alias("id"), F.lit(1).alias("loop"))
     links = edges.filter("child_id <> parent_id")
     hops = [f"p{d}" for d in range(1, max_depth + 1)]

@@ -17,6 +17,7 @@ from chatterlens.operators.enrich import (
     auto_categories, extract_keywords, extract_tools_and_pains, opportunity_themes, theme_top_keywords, with_themes,
 )
 from chatterlens.operators.tables import messages_with_author_by_category
+from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
 
@@ -71,7 +72,7 @@ def report_messages_per_category(msgs: DataFrame, messages: DataFrame, n: int =
     Rows are picked without texts; the texts of the few picked are joined last.
     """
     label, _ = explode_once(F.col("auto_categories"), "auto_category")
-    rows = msgs.select("id", "timestamp", "platform", "username", label)
+    rows = written_once(msgs.select("id", "timestamp", "platform", "username", label))
     totals = rows.groupBy("auto_category").agg(F.count("*").alias("total"))
     picked = first_per(rows, ["auto_category"], newest_first(), n).join(totals, "auto_category").drop("timestamp")
     return messages.select("id", "content").join(small(picked, n * labels), "id").select(
@@ -109,6 +110,7 @@ def report_category_distribution(g: Corpus, categories: Sequence[str] = fv.REPOR
 
 def report_top_themes(kw: DataFrame, k: int = 15, keywords: int = 10, themes: Mapping[str, Sequence[str]] = fv.THEMES) -> DataFrame:
     """The largest themes with their most frequent keywords."""
+    kw = written_once(kw.select("username", "category", "all"))
     sums = opportunity_themes(kw, themes)
     words = theme_top_keywords(kw, themes, keywords).groupBy("theme").agg(ordered_list("rank", "keyword").alias("keywords"))
     return top(sums, k, F.desc("messages"), F.asc("theme")).join(words, "theme").orderBy(F.desc("messages"), "theme")
@@ -122,7 +124,8 @@ def report_cross_patterns(cross: DataFrame, k: int | None = 20) -> DataFrame:
 def report_theme_samples(kw: DataFrame, messages: DataFrame, min_messages: int = 10, n: int = 20, chars: int = 500,
                          themes: Mapping[str, Sequence[str]] = fv.THEMES) -> DataFrame:
     """Newest messages of each theme that is large enough; texts are joined to the few rows picked."""
-    rows = with_themes(kw.select("id", "timestamp", "category", "platform", "username", "tools", "all"), themes).drop("all")
+    rows = with_themes(kw.select("id", "timestamp", "category", "platform", "username", "tools", "all"), themes)
+    rows = written_once(rows.drop("all"))
     totals = rows.groupBy("theme").agg(F.count("*").alias("total")).filter(F.col("total") >= min_messages)
     picked = first_per(rows, ["theme"], [*newest_first(), F.asc("category")], n).join(small(totals, len(themes)), "theme")
     return messages.select("id", "content").join(small(picked, n * len(themes)), "id").select(

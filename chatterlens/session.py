@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -38,6 +38,7 @@ def build_session(app: str = "chatterlens", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -47,14 +48,23 @@ def build_session(app: str = "chatterlens", master: str | None = None, **conf: s
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only in local mode."""
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoint into the shared folder the cluster names; into a temporary one only in local mode."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = os.path.join(tempfile.gettempdir(), "chatterlens-checkpoints")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        named = os.path.join(tempfile.gettempdir(), "chatterlens-checkpoints")
+    context.setCheckpointDir(named)
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The frame checkpointed, for plans that read it several times.
+
+    It survives lost executors, and what made it (a scan of texts, a join) runs once.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

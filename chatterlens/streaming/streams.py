@@ -20,7 +20,11 @@ def event_time(messages: DataFrame) -> DataFrame:
 
 def stream_ingest_dedup(spark: SparkSession, folder: str, schema: str, normalizer: Callable[[DataFrame], DataFrame],
                         watermark: str = "2 days") -> DataFrame:
-    """New raw files as message rows, each id once within the watermark."""
+    """New raw files as message rows, each id once within the watermark.
+
+    For live streams: rows older than the watermark are late and leave the stream.
+    ``incremental_ingest`` keeps rows of any age.
+    """
     rows = normalizer(spark.readStream.schema(schema).json(folder))
     return event_time(rows).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["id"]).drop("event_time")
 
@@ -57,16 +61,17 @@ def append_new(target: str, key: str = "id") -> Callable[[DataFrame, int], None]
 
 
 def incremental_ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, schema: str,
-                       normalizer: Callable[[DataFrame], DataFrame], watermark: str = "2 days",
-                       files_per_batch: int | None = None) -> StreamingQuery:
-    """Collect what has arrived since the last run and stop; the checkpoint folder remembers the position."""
+                       normalizer: Callable[[DataFrame], DataFrame], files_per_batch: int | None = None) -> StreamingQuery:
+    """Collect what has arrived since the last run and stop; the checkpoint folder remembers the position.
+
+    Collectors walk back in time, so old messages may arrive late. No watermark is
+    used here: every row is kept, and the writer alone makes ids unique.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = event_time(normalizer(reader.json(landing))).withWatermark("event_time", watermark)
-    once = rows.dropDuplicatesWithinWatermark(["id"]).drop("event_time")
     return (
-        once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        normalizer(reader.json(landing)).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
         .foreachBatch(append_new(target)).start()
     )
 

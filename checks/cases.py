@@ -1524,7 +1524,7 @@ def _(spark, folder, g):
         # The second arrival repeats records of the first; only new ids are added.
         arrival.write.mode("append").json(landing)
         st.incremental_ingest(
-            spark, landing, target, checkpoint, RAW_CHAT, lambda r: raw.normalize_chat(r, "general"), watermark="60 days"
+            spark, landing, target, checkpoint, RAW_CHAT, lambda r: raw.normalize_chat(r, "general")
         ).awaitTermination()
     return spark.read.parquet(target).select("id", "author_id", "timestamp")
 

@@ -89,8 +89,8 @@ def test_exports(spark, small_corpus, tmp_path):
     assert row["size"] == 5 and [s["id"] for s in row["samples"]] == ["a", "b"]
 
 
-def land(folder, name, ids):
-    lines = [json.dumps({"id": i, "type": 0, "content": f"text {i}", "timestamp": "2024-01-01T00:00:10+00:00", "author": {"id": "9", "username": "ann"}}) for i in ids]
+def land(folder, name, ids, day="2024-06-01"):
+    lines = [json.dumps({"id": i, "type": 0, "content": f"text {i}", "timestamp": f"{day}T00:00:10+00:00", "author": {"id": "9", "username": "ann"}}) for i in ids]
     (folder / name).write_text("\n".join(lines))
 
 
@@ -107,7 +107,10 @@ def test_incremental_ingest_resumes_and_adds_each_id_once(spark, tmp_path):
     assert run() == ["discord_1", "discord_2"]
     land(landing, "two.json", ["2", "3"])
     assert run() == ["discord_1", "discord_2", "discord_3"]
-    assert run(str(tmp_path / "fresh")) == ["discord_1", "discord_2", "discord_3"]
+    # A message much older than all before is kept, and a replay from the start adds nothing.
+    land(landing, "three.json", ["4"], "2023-01-01")
+    assert run() == ["discord_1", "discord_2", "discord_3", "discord_4"]
+    assert run(str(tmp_path / "fresh")) == ["discord_1", "discord_2", "discord_3", "discord_4"]
 
 
 def test_daily_counts_drop_late_rows(spark, tmp_path):
