@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.functions.columns import first_per, name_bit, names_in_bits, pct
+from chatterlens.functions.skew import spread_join
 from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
@@ -185,7 +186,8 @@ def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] |
     degree = wants.groupBy("user_id").agg(F.count("*").alias("degree"))
     sizes = wants.groupBy("name").agg(F.count("*").alias("size"))
     bucket = F.pmod(F.xxhash64("user_id"), F.lit(HASH_BUCKETS))
-    tokens = wants.join(degree, "user_id").join(sizes, "name").withColumn(
+    # One user may ask for very many entities, and one entity may have very many users.
+    tokens = spread_join(spread_join(wants, degree, "user_id", "name"), sizes, "name", "user_id").withColumn(
         "place", F.struct(F.col("degree"), bucket.alias("bucket"))
     )
     needed = F.col("size") - F.ceil(F.col("size") * F.lit(min_strength)) + 1
@@ -196,7 +198,7 @@ def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] |
         .filter(F.col("reached") >= needed)
         .groupBy("name").agg(F.min("place").alias("cut"))
     )
-    prefix = tokens.join(cut, "name").filter(F.col("place") <= F.col("cut")).select("user_id", "name", "size")
+    prefix = spread_join(tokens, cut, "name", "user_id").filter(F.col("place") <= F.col("cut")).select("user_id", "name", "size")
     left = prefix.select("user_id", F.col("name").alias("a"), F.col("size").alias("size_a"))
     right = prefix.select("user_id", F.col("name").alias("b"), F.col("size").alias("size_b"))
     smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")

@@ -57,6 +57,8 @@ def test_posts(spark, tmp_path):
     ], schemas.RAW_POST)
     out = {r.id: r for r in raw.normalize_forum_posts(rows, "x").collect()}
     assert set(out) == {"reddit_t3_a", "reddit_t3_c"}
+    stats = {r.reason: (r.n, r.authors) for r in raw.ingest_stats(rows, raw.drop_reason_forum("selftext"), "author").collect()}
+    assert stats == {"kept": (2, 1), "skipped_deleted": (4, 2), "skipped_bots": (1, 1)}
     assert out["reddit_t3_a"].content == "Title\n\nBody"
     assert out["reddit_t3_c"].content == "Title"
     meta = json.loads(out["reddit_t3_a"].metadata)
