@@ -184,19 +184,19 @@ def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] |
     """
     wants = written_once(user_wants(g, entity_types).select("user_id", "name"))
     degree = wants.groupBy("user_id").agg(F.count("*").alias("degree"))
-    sizes = wants.groupBy("name").agg(F.count("*").alias("size"))
     bucket = F.pmod(F.xxhash64("user_id"), F.lit(HASH_BUCKETS))
     # One user may ask for very many entities, and one entity may have very many users.
-    tokens = spread_join(spread_join(wants, degree, "user_id", "name"), sizes, "name", "user_id").withColumn(
-        "place", F.struct(F.col("degree"), bucket.alias("bucket"))
+    tokens = spread_join(wants, degree, "user_id", "name").select(
+        "user_id", "name", F.struct(F.col("degree"), bucket.alias("bucket")).alias("place")
     )
+    whole = Window.partitionBy("name")
+    upto = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     needed = F.col("size") - F.ceil(F.col("size") * F.lit(min_strength)) + 1
-    upto = Window.partitionBy("name").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
-        tokens.groupBy("name", "size", "place").agg(F.count("*").alias("n"))
-        .withColumn("reached", F.sum("n").over(upto))
+        tokens.groupBy("name", "place").agg(F.count("*").alias("n"))
+        .withColumn("reached", F.sum("n").over(upto)).withColumn("size", F.sum("n").over(whole))
         .filter(F.col("reached") >= needed)
-        .groupBy("name").agg(F.min("place").alias("cut"))
+        .groupBy("name").agg(F.min("place").alias("cut"), F.max("size").alias("size"))
     )
     prefix = spread_join(tokens, cut, "name", "user_id").filter(F.col("place") <= F.col("cut")).select("user_id", "name", "size")
     left = prefix.select("user_id", F.col("name").alias("a"), F.col("size").alias("size_a"))
