@@ -38,10 +38,21 @@ def _features(v: DataFrame) -> DataFrame:
     return unit_features(v.select("message_id", "embedding")).select("message_id", "features")
 
 
+def _usable_k(points: DataFrame, k: int) -> int:
+    """k, or the number of distinct vectors where there are fewer; k-means cannot start with more."""
+    vector = vector_to_array("features")
+    if points.agg(F.approx_count_distinct(F.xxhash64(vector))).first()[0] > 2 * k:
+        return k
+    return min(k, points.select(vector.alias("v")).distinct().limit(k).count())
+
+
 def cluster_kmeans(v: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10, max_iter: int = 20) -> tuple[DataFrame, float]:
     """k-means on unit vectors: the best of n_init starts, as (message_id, cluster_id) and its inertia."""
     points = _features(v).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        k = _usable_k(points, k)
+        if k < 2:
+            return v.select("message_id", F.lit(0).alias("cluster_id")), 0.0
         fits = [
             KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol="features", predictionCol="cluster_id").fit(points)
             for start in range(n_init)
@@ -123,9 +134,9 @@ def calinski_harabasz(labelled: DataFrame) -> DataFrame:
     )
     between = F.col("centres") - F.col("n") * _square(vector_to_array("grand"))
     within = F.col("squares") - F.col("centres")
-    return total.select(
-        ((between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k")))).alias("calinski_harabasz")
-    )
+    # Null for fewer than two clusters, or when no row is off its centre.
+    score = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k")))
+    return total.select(score.alias("calinski_harabasz"))
 
 
 def davies_bouldin(labelled: DataFrame) -> DataFrame:
@@ -220,7 +231,12 @@ def cluster_within_category(v: DataFrame, message_taxonomy: DataFrame, categorie
     result = None
     for category in categories:
         ids = message_taxonomy.filter(F.col("category") == category).select("message_id")
-        labels, _ = cluster_kmeans(v.join(ids, "message_id", "left_semi"), k, seed, n_init)
+        part_of = v.join(ids, "message_id", "left_semi")
+        if part_of.isEmpty():
+            continue
+        labels, _ = cluster_kmeans(part_of, k, seed, n_init)
         part = labels.select("message_id", F.lit(category).alias("category"), "cluster_id")
         result = part if result is None else result.unionByName(part)
+    if result is None:
+        return v.sparkSession.createDataFrame([], "message_id string, category string, cluster_id int")
     return result

@@ -34,10 +34,12 @@ def _cells(points: DataFrame, max_cells: int, seed: int) -> tuple[DataFrame, Dat
         members = points.join(small(distinct.select("embedding", "cell"), max_cells), "embedding").select("message_id", "cell")
         return members, cells
     features = points.select("message_id", array_to_vector("embedding").alias("features"), "embedding")
-    share = min(1.0, max_cells * SAMPLE_PER_CELL / points.count())
-    # Only the cell centres come from a sample; all points are assigned and summed below.
+    # Only the cell centres come from a sample, of distinct vectors so that copies do not crowd
+    # it; all points are assigned and summed below.
+    share = max_cells * SAMPLE_PER_CELL / distinct.count()
+    training = distinct.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=max_cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cluster_id").fit(
-        features.sample(share, seed) if share < 1 else features
+        training.sample(share, seed) if share < 1 else training
     )
     assigned = model.transform(features).select("message_id", "cluster_id", "embedding")
     sums = _moments(assigned)

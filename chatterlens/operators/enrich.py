@@ -247,5 +247,5 @@ def run_throughput(batches: DataFrame) -> DataFrame:
     ok = F.when(F.col("status") == "ok", F.col("n")).otherwise(0)
     return batches.groupBy("run_id").agg(
         F.sum(ok).alias("processed"), F.sum(F.col("n") - ok).alias("failed"),
-        (F.sum(ok) / (F.max("finished_at") - F.min("started_at"))).alias("per_second"),
+        F.try_divide(F.sum(ok), F.max("finished_at") - F.min("started_at")).alias("per_second"),
     )

@@ -29,7 +29,7 @@ from chatterlens.operators import vectors as ve
 from chatterlens.plans import explore as ex
 from chatterlens.plans import questions as qu
 from chatterlens.plans import reports as rp
-from chatterlens.schemas import RAW_CHAT
+from chatterlens.schemas import CHAT_METADATA, COMMENT_FIELDS, COMMENT_METADATA, POST_METADATA, RAW_CHAT
 from chatterlens.sources import raw, sinks
 from chatterlens.sources.corpus import Corpus, read_corpus, taxonomy_dim
 from chatterlens.streaming import streams as st
@@ -146,8 +146,6 @@ FROM {events} e LEFT JOIN {documents} d ON d.doc_id = e.event_id
 WHERE e.event_type <> 'error' AND (e.value > 50 OR e.event_type <> 'click')
   AND (e.value > 50 OR trim(coalesce(d.text, e.props), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) <> '')""")
 def _(spark, folder, g):
-    from chatterlens.schemas import CHAT_METADATA
-
     rows = raw.parse_metadata(raw.normalize_chat(raw_chat(spark, folder), "general"), CHAT_METADATA)
     return rows.select(
         "id", "content", "author_id", "author_name", "timestamp", "parent_id", F.col("parsed.type").alias("type"),
@@ -193,8 +191,6 @@ SELECT 'reddit_t3_' || CAST(e.event_id AS STRING) AS id,
 FROM {events} e LEFT JOIN {documents} d ON d.doc_id = e.event_id
 WHERE e.event_type NOT IN ('click', 'error') AND e.value <= 100 AND coalesce(d.text, e.props) NOT IN ('[removed]', '[deleted]', '')""")
 def _(spark, folder, g):
-    from chatterlens.schemas import POST_METADATA
-
     rows = raw.parse_metadata(raw.normalize_forum_posts(raw_posts(spark, folder), "x"), POST_METADATA)
     return rows.select("id", "content", "author_id", "timestamp", "parsed.permalink", F.array_join("parsed.awards", ",").alias("awards"))
 
@@ -224,33 +220,25 @@ SELECT 'reddit_t1_' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS
        turn = 0 AS is_top_level
 FROM {conversations} WHERE role <> 'system' AND turn <> 5 AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) <> ''""")
 def _(spark, folder, g):
-    from chatterlens.schemas import COMMENT_METADATA
-
     rows = raw.parse_metadata(raw.normalize_forum_comments(raw_comments(spark, folder), "x"), COMMENT_METADATA)
     return rows.select("id", "content", "author_id", "timestamp", "parent_id", "parsed.is_top_level")
 
 
 @case("flatten_comment_tree", """
-SELECT CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, text AS body FROM {conversations} WHERE turn < 3""")
+SELECT CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, text AS body FROM {conversations}""")
 def _(spark, folder, g):
-    from chatterlens.schemas import COMMENT_FIELDS
-
-    c = raw_comments(spark, folder).withColumn("body", F.trim(F.regexp_replace("body", "^ |\n$", "")))
-    c = raw_comments(spark, folder).join(base_table(spark, folder, "conversations").select(
-        F.concat("conv_id", F.lit("_"), "turn").alias("id"), "text", "turn"), "id").withColumn("body", F.col("text"))
+    c = base_table(spark, folder, "conversations").select(
+        F.concat("conv_id", F.lit("_"), "turn").alias("id"), F.col("text"), F.col("turn")
+    )
+    rows = raw_comments(spark, folder).join(c, "id").withColumn("body", F.col("text"))
     fields = list(COMMENT_FIELDS)
-
-    def level(n):
-        return c.filter(F.col("turn") == n).select(*fields)
-
-    def nest(parents, children):
-        replies = children.withColumn("p", F.substring_index(F.col("parent_id"), "t1_", -1))
-        inner = [x for x in children.columns]
-        grouped = replies.groupBy("p").agg(F.collect_list(F.struct(*inner)).alias("replies"))
-        return parents.join(grouped.withColumnRenamed("p", "id"), "id", "left").select(*fields, "replies")
-
-    tree = nest(level(0), nest(level(1), level(2)))
-    return raw.flatten_comment_tree(tree, 3).select("id", "body")
+    levels = c.agg(F.max("turn")).first()[0] + 1
+    tree = rows.filter(F.col("turn") == levels - 1).select(*fields)
+    for turn in reversed(range(levels - 1)):
+        # Each turn has at most one reply, the turn after it.
+        replies = tree.select(F.substring_index("parent_id", "t1_", -1).alias("id"), F.array(F.struct(*tree.columns)).alias("replies"))
+        tree = rows.filter(F.col("turn") == turn).select(*fields).join(replies, "id", "left").select(*fields, "replies")
+    return raw.flatten_comment_tree(tree, levels).select("id", "body")
 
 
 @case("comment_depth", """
@@ -331,18 +319,30 @@ def _(spark, folder, g):
 
 
 @case("validate_corpus", """
-WITH u AS (SELECT * FROM {users} WHERE message_count >= 5),
-     m AS (SELECT * FROM {messages} WHERE source <> 'events')
-SELECT 'messages' AS "table", 'author_exists' AS rule, id AS key FROM m WHERE author_id NOT IN (SELECT id FROM u)
+WITH m AS (SELECT id, CASE WHEN source = 'conversations' THEN 'irc' ELSE platform END AS platform,
+    CASE WHEN source = 'src1' THEN author_id || '_gone' ELSE author_id END AS author_id,
+    CASE WHEN platform = 'reddit' THEN parent_id || '_gone' ELSE parent_id END AS parent_id FROM {messages}),
+e AS (SELECT id, CASE WHEN entity_type = 'workaround' THEN 'rumour' ELSE entity_type END AS entity_type,
+    CASE WHEN entity_type = 'feature' THEN message_id || '_gone' ELSE message_id END AS message_id FROM {extracted_entities})
+SELECT 'messages' AS "table", 'platform' AS rule, id AS key FROM m WHERE platform NOT IN ('discord', 'reddit')
+UNION ALL SELECT 'messages', 'author_exists', id FROM m WHERE author_id NOT IN (SELECT id FROM {users})
 UNION ALL SELECT 'messages', 'parent_exists', id FROM m WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM m)
 UNION ALL SELECT 'embeddings_reference', 'unique_message', message_id FROM {embeddings_reference}
-UNION ALL SELECT 'extracted_entities', 'message_exists', CAST(id AS STRING) FROM {extracted_entities} WHERE message_id NOT IN (SELECT id FROM m)""")
+UNION ALL SELECT 'extracted_entities', 'entity_type', CAST(id AS STRING) FROM e WHERE entity_type = 'rumour'
+UNION ALL SELECT 'extracted_entities', 'message_exists', CAST(id AS STRING) FROM e WHERE message_id NOT IN (SELECT id FROM m)""")
 def _(spark, folder, g):
-    dirty = replace(
-        g, users=g.users.filter("message_count >= 5"), messages=g.messages.filter("source <> 'events'"),
-        embeddings_reference=g.embeddings_reference.unionByName(g.embeddings_reference),
-    )
-    return ing.validate_corpus(dirty)
+    def spoil(df, column, where, value):
+        return df.withColumn(column, F.when(F.expr(where), value).otherwise(F.col(column)))
+
+    def gone(column):
+        return F.concat(column, F.lit("_gone"))
+
+    m = spoil(g.messages, "parent_id", "platform = 'reddit'", gone("parent_id"))
+    m = spoil(spoil(m, "author_id", "source = 'src1'", gone("author_id")), "platform", "source = 'conversations'", F.lit("irc"))
+    e = spoil(g.extracted_entities, "message_id", "entity_type = 'feature'", gone("message_id"))
+    e = spoil(e, "entity_type", "entity_type = 'workaround'", F.lit("rumour"))
+    refs = g.embeddings_reference.unionByName(g.embeddings_reference)
+    return ing.validate_corpus(replace(g, messages=m, extracted_entities=e, embeddings_reference=refs))
 
 
 @case("parse_metadata", """
@@ -444,14 +444,9 @@ def _(spark, folder, g):
 
 @case("embedding_refs", """
 SELECT message_id, chromadb_id, embedding_model FROM {embeddings_reference}
-UNION ALL SELECT id, 'x_' || id, 'new' FROM {messages} WHERE id NOT IN (SELECT message_id FROM {embeddings_reference}) AND source = 'conversations'""")
+UNION ALL SELECT id, 'new_' || id, 'new' FROM {messages} WHERE id NOT IN (SELECT message_id FROM {embeddings_reference})""")
 def _(spark, folder, g):
-    incoming = g.messages.filter("source = 'conversations' OR id LIKE 'm_1%'").select(
-        F.col("id").alias("message_id"), F.concat(F.lit("x_"), "id").alias("chromadb_id")
-    )
-    incoming = incoming.filter("message_id LIKE 'c_%'").unionByName(
-        g.embeddings_reference.select("message_id", F.lit("other").alias("chromadb_id"))
-    )
+    incoming = g.messages.select(F.col("id").alias("message_id"), F.concat(F.lit("new_"), "id").alias("chromadb_id"))
     return tb.embedding_refs(g.embeddings_reference, incoming, "new").select("message_id", "chromadb_id", "embedding_model")
 
 
@@ -627,9 +622,10 @@ def _(spark, folder, g):
     return en.parse_classifications(g.message_taxonomy.select(text.alias("response")))
 
 
-@case("taxonomy_dim", "SELECT name, description FROM {taxonomy}")
+@case("taxonomy_dim", "SELECT t.name, t.description, m.taxonomy_run_id, count(*) AS n FROM {taxonomy} t JOIN {message_taxonomy} m ON m.category = t.name GROUP BY 1, 2, 3")
 def _(spark, folder, g):
-    return taxonomy_dim(spark)
+    labels = g.message_taxonomy.groupBy(F.col("category").alias("name"), "taxonomy_run_id").agg(F.count("*").alias("n"))
+    return taxonomy_dim(spark).join(labels, "name").select("name", "description", "taxonomy_run_id", "n")
 
 
 @case("extract_keywords", f"SELECT id, array_to_string(list_sort(list_filter({KW}, lambda w: contains(t, w))), '{SEP}') AS keywords FROM (SELECT id, lower(content) AS t FROM {{messages}})")
@@ -885,7 +881,7 @@ def _(spark, folder, g):
 
 @case("cluster_within_category")
 def _(spark, folder, g):
-    return cl.cluster_within_category(g.vectors, g.message_taxonomy, fv.OPPORTUNITY_CATEGORIES, k=3, n_init=1)
+    return cl.cluster_within_category(g.vectors, g.message_taxonomy, list(g.categories), k=3, n_init=1)
 
 
 # --- 2F graph ------------------------------------------------------------------------------------

@@ -211,3 +211,13 @@ def test_scores_against_numpy(spark):
             s.append((b - a) / max(a, b))
         assert abs(cl.silhouette(df, metric).first()[0] - np.mean(s)) < 1e-6
     assert tuple(cl.cluster_totals(df).first()) == (3, int((labels == -1).sum()), 90)
+
+
+def test_degenerate_inputs(spark):
+    one = spark.createDataFrame([("a", [1.0, 0.0], 0), ("b", [1.0, 0.0], 0)], "message_id string, embedding array<double>, cluster_id int")
+    assert cl.calinski_harabasz(one).first()[0] is None and cl.davies_bouldin(one).first()[0] is None
+    none = one.filter("message_id = 'z'")
+    assert tuple(en.embedding_cost_estimate(texts(spark, "x").filter("id = 'z'")).first()) == (0, 0, 0.0)
+    assert de.cluster_density(none).count() == 0
+    labels = spark.createDataFrame([(1, "a", "questions", 0)], schemas.MESSAGE_TAXONOMY)
+    assert cl.cluster_within_category(one, labels, ["questions", "bug_reports"], k=2, n_init=1).count() == 1
