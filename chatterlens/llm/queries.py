@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlens.llm import packing, piece_bpe, quality, token_count, url_filter
+from chatterlens.llm import line_dedup, ngram_join, packing, piece_bpe, quality, token_count, topk, toxicity, url_filter, warc
 from chatterlens.llm.base import table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -20,10 +20,28 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What line deduplication leaves of every document, as a digest."""
+    made = line_dedup.without_widespread_lines(table(spark, folder, "documents"))
+    return made.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op2_threshold_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op4_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return piece_bpe.encode_decode(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents")).drop("d2")
 
@@ -36,10 +54,86 @@ def op8_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+OP1_SQL = """
+WITH lines AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), trimmed AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS norm FROM lines
+), common AS (
+  SELECT norm, min(doc_id) AS first FROM trimmed WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT site) >= 8
+), marked AS (
+  SELECT t.doc_id, pos, line, c.norm IS NOT NULL AND t.doc_id <> c.first AS gone FROM trimmed t LEFT JOIN common c USING (norm)
+), left_over AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_lines_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines_removed, 0) AS n_lines_removed, length(l.text) AS n_chars_left, md5(l.text) AS text_md5
+FROM documents d LEFT JOIN left_over l USING (doc_id)
+"""
+
+OP2_SQL = """
+WITH vectors AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM vectors q, vectors c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP3_SQL = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), marked AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM marked
+"""
+
+OP5_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM worded
+), numbered AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shingled
+), hashed AS (
+  SELECT doc_id, n, hash(x) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY hash(x)) AS k FROM numbered
+), prefix AS (
+  SELECT * FROM hashed WHERE k <= n - ceil(0.8 * n) + 1
+), pairs AS (
+  SELECT DISTINCT a.doc_id AS i, b.doc_id AS j FROM prefix a JOIN prefix b ON a.h = b.h AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), shared AS (
+  SELECT i, j, count(*) AS c FROM pairs JOIN hashed a ON a.doc_id = i JOIN hashed b ON b.doc_id = j AND b.h = a.h GROUP BY i, j
+), links AS (
+  SELECT i, j FROM shared JOIN shingled a ON a.doc_id = i JOIN shingled b ON b.doc_id = j
+  WHERE 100 * c >= 80 * (len(a.s) + len(b.s) - c)
+), both_ways AS (
+  SELECT i, j FROM links UNION SELECT j, i FROM links
+), reach(i, j) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.i, b.j FROM reach r JOIN both_ways b ON b.i = r.j
+)
+SELECT doc_id, len(s) AS n_shingles, component_id
+FROM shingled JOIN (SELECT i AS doc_id, min(j) AS component_id FROM reach GROUP BY i) USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH rests AS (
   SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
@@ -59,6 +153,12 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_piece_bpe, op6_quality, op7_packing, op8_token_count, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_threshold_topk, op3_warc, op4_piece_bpe, op5_ngram_join, op6_quality, op7_packing,
+        op8_token_count, op9_toxicity, op10_url_filter,
+    )
+}
+SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL, "op2_threshold_topk": OP2_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op10_url_filter": OP10_SQL,
 }
-SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
