@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterlens.session import ensure_checkpoint_dir, written_once
 
 BATCH_BYTES = 4 << 20  # Arrow batches sent to Python stay about this small, however long the texts are
-__all__ = ["Memory", "map_texts", "shared_folder", "small_batches", "table", "written", "written_once"]
+__all__ = ["Memory", "map_texts", "row_key", "shared_folder", "small_batches", "table", "written", "written_once"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -45,10 +46,10 @@ class Memory:
         self.now: dict = {}
         self.before: dict = {}
 
-    def missing(self, words: set) -> list:
+    def missing(self, words: Iterable) -> list:
         """The words it doesn't know; what it knows of the others is in ``now`` afterwards."""
         new = []
-        for word in words.difference(self.now):
+        for word in set(filterfalse(self.now.__contains__, words)):
             if word in self.before:
                 self.now[word] = self.before[word]
             else:
@@ -64,23 +65,33 @@ class Memory:
             self.before, self.now = self.now, {}
 
 
-def map_texts(docs: DataFrame, id_col: str, text_col: str, work: Callable[[], Callable[[list], dict]], fields: str) -> DataFrame:
+def row_key(*columns: str) -> Column:
+    """A hash of the named columns; with the id beside it, it tells rows apart that share an id but nothing else."""
+    return F.xxhash64(*[F.col(c) for c in columns])
+
+
+def map_texts(
+    docs: DataFrame, id_col: str, text_col: str, work: Callable[[], Callable[[list], dict]], fields: str, key: Column | None = None
+) -> DataFrame:
     """One output row per document: the id, then the columns ``fields`` that the worker's function gives for the texts.
 
+    With ``key`` (a long) each row carries it along, as ``row_key``.
+
     ``work()`` runs once per task and returns ``function(texts) -> {column: values}``; a null text arrives as an
     empty one. Only the two named columns are read, so further columns of any name do no harm.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    pair = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    pair = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([] if key is None else [key.alias("row_key")]))
     id_type = pair.schema["id"].dataType.simpleString()
     names = [f.split()[0] for f in fields.split(", ")]
+    carried = ["row_key"] * (key is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = work()
         for batch in batches:
             if batch.num_rows:
                 made = function(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[n]) for n in names)], names=["id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[n]) for n in names), *batch.columns[2:]], names=["id", *names, *carried])
 
-    return pair.mapInArrow(run, f"id {id_type}, {fields}").withColumnRenamed("id", id_col)
+    return pair.mapInArrow(run, f"id {id_type}, {fields}" + ", row_key long" * len(carried)).withColumnRenamed("id", id_col)

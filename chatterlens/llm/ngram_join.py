@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterlens.llm.base import map_texts, small_batches, written
+from chatterlens.llm.base import map_texts, row_key, small_batches, written
 from chatterlens.llm.components import components
 
 #: Share of a set, in per cent, that is looked at before the join.
@@ -108,7 +108,7 @@ def least_overlap(n, percent: int):
 
 
 def sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sig) of every document: the size of its shingle set and a 128-bit signature of the set."""
+    """(id, n, sig, row_key) of every document: the size of its shingle set, a signature of the set, a hash of the text."""
 
     def work():
         def function(texts: list[str]) -> dict:
@@ -117,7 +117,7 @@ def sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
 
         return function
 
-    return map_texts(docs, id_col, text_col, work, "n long, sig binary").withColumnRenamed(id_col, "id")
+    return map_texts(docs, id_col, text_col, work, "n long, sig binary", key=row_key(text_col)).withColumnRenamed(id_col, "id")
 
 
 def promising(docs: DataFrame, classes: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -299,7 +299,11 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``n_shingles`` and ``component_id`` (the smallest id of the component) of every document."""
+    """``n_shingles`` and ``component_id`` (the smallest id of the component) of every document.
+
+    Two more columns follow: ``component``, a key of the component (null for documents that take part in no link), and
+    ``row_key``, the hash of the text, for rows that share an id.
+    """
     rows = written(sets(docs, size, id_col, text_col), "sets")
     full = rows.filter("n > 0 AND id IS NOT NULL")
     classes = written(full.groupBy("sig", "n").agg(F.min("id").alias("least_id")), "classes")
@@ -309,8 +313,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     named = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least_id", F.coalesce("root", "sig").alias("root"))
     named = written(named, "named")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = written(named.join(least, "root").select(F.col("sig").alias("c_sig"), "component_id"), "by-class")
+    by_class = written(named.join(least, "root").select(F.col("sig").alias("c_sig"), "component_id", F.col("root").alias("component")), "by-class")
     # A class that a third of all documents belong to is split by the skew join, both sides being shuffled.
-    linked = full.join(by_class, F.col("sig") == F.col("c_sig")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0 OR id IS NULL").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    linked = full.join(by_class, F.col("sig") == F.col("c_sig")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "component", "row_key")
+    alone = rows.filter("n = 0 OR id IS NULL").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("component"), "row_key")
     return linked.unionByName(alone)

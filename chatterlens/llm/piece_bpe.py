@@ -18,6 +18,7 @@ import codecs
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from chatterlens.llm.base import Memory, map_texts
 
 MARK = "▁"
-KEPT_WORDS = 150_000  # words per generation whose ids a worker remembers
+KEPT_WORDS = 250_000  # words per generation whose ids a worker remembers
 CODES = 0x110000
 NEVER = np.int32(2**31 - 1)
 
@@ -223,13 +224,17 @@ class PieceModel:
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, as the library's decode gives it."""
         ids = np.asarray(ids, np.int64)
+        silent = self.silent[ids]
+        spoken = ids[~silent]
+        strip = 1 if len(spoken) and self.spaced[spoken[0]] else 0
+        # Control ids are silent, but the bytes on their two sides don't form a character.
+        runs = np.split(spoken, np.unique(np.cumsum(~silent)[silent])) if silent.any() else [spoken]
+        return "".join(self._bytes(run).decode("utf-8", "one_by_one") for run in runs)[strip:]
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
         widths = self.width[ids]
-        total = int(widths.sum())
         ends = np.cumsum(widths)
-        flat = self.surface[np.arange(total) + np.repeat(self.offset[ids] - (ends - widths), widths)]
-        spoken = np.flatnonzero(~self.silent[ids])
-        strip = 1 if len(spoken) and self.spaced[ids[spoken[0]]] else 0
-        return flat.tobytes()[strip:].decode("utf-8", "one_by_one")
+        return self.surface[np.arange(int(widths.sum())) + np.repeat(self.offset[ids] - (ends - widths), widths)].tobytes()
 
 
 class PieceEncoder:
@@ -242,7 +247,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         """Ids of every text, as numbers and as decimals joined by commas."""
         cut = [self.model.words(t) for t in texts]
-        new = self.words.missing({w for ws in cut for w in ws})
+        new = self.words.missing(chain.from_iterable(cut))
         ids, counts = self.model.merge_words([self.model.literal(w) for w in new])
         ends = np.cumsum(counts).tolist()
         decimal = list(map(str, ids.tolist()))

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterlens.llm.base import written
+from chatterlens.llm.base import row_key, written
 
 SPACES = " \t\n\x0b\f\r"
 WORD_BREAK = r"[ \t\n\x0B\f\r]+"
@@ -177,10 +177,16 @@ def quality(
     docs: DataFrame, support: float = 0.75, steps: int = 3, cutoff: float = 60.0, min_group: int = 50,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
-    """Counts, ``base_failed``, the squared distance ``d2`` and ``kept`` for every document."""
-    made = counts(docs.select(id_col, text_col, lang_col, source_col), id_col, text_col, (lang_col, source_col))
+    """Counts, ``base_failed``, the squared distance ``d2`` and ``kept`` for every document.
+
+    ``row_key``, a hash of text, language and source, tells rows apart that share an id.
+    """
+    named = docs.select(
+        F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text"), F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"),
+        row_key(text_col, lang_col, source_col).alias("row_key"))
+    made = counts(named, "q_id", "q_text", ("g_lang", "g_source", "row_key"))
     made = made.withColumns({"base_failed": base_failed(), **dict(zip(STATISTICS, statistics()))})
-    made = written(made.withColumnsRenamed({lang_col: "g_lang", source_col: "g_source"}), "quality")
+    made = written(made, "quality")
     sound = made.filter(~F.col("base_failed"))
     sizes = sound.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"))
     pooled = sizes.groupBy("g_lang").agg(F.sum(F.when(F.col("n") < min_group, F.col("n"))).alias("pool"))
@@ -191,10 +197,10 @@ def quality(
         .otherwise(F.lit(0)).alias("stratum"),
     )
     placed = sound.join(strata, F.col("g_lang").eqNullSafe(F.col("s_lang")) & F.col("g_source").eqNullSafe(F.col("s_source"))).drop("s_lang", "s_source")
-    placed = written(placed.select(id_col, "stratum", *STATISTICS, *[c for c in made.columns if c not in (id_col, *STATISTICS)]), "strata")
+    placed = written(placed.select("stratum", *made.columns), "strata")
     estimates = concentrate(placed.select("stratum", *STATISTICS), support, steps)
     judged = measured(placed, estimates)
-    out = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(*out, "d2", (F.col("d2") <= cutoff).alias("kept")).unionByName(
-        made.filter("base_failed").select(*out, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
+    out = [F.col("q_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select(*out, "d2", (F.col("d2") <= cutoff).alias("kept"), "row_key").unionByName(
+        made.filter("base_failed").select(*out, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"), "row_key")
     )

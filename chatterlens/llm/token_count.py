@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ class ResyncCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         words = [t.encode().split() if len(t) <= self.chunk else None for t in texts]
-        new = self._learn(self.words.missing({w for ws in words if ws for w in ws}))
+        new = self._learn(self.words.missing(chain.from_iterable(filter(None, words))))
         known = self.words.now
         made = [self.spliced(t) if ws is None else sum(map(known.__getitem__, ws)) for t, ws in zip(texts, words)]
         self.words.settle(new)

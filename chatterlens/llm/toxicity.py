@@ -12,8 +12,8 @@ their id; the models hold ``words`` words and ``pairs`` pairs of the ``pair_word
 come from all documents, each document is scored whole, and the models, of bounded size, travel with the tasks.
 
 Defined results: a null text counts as empty and is scored like an empty one; labels that are null or not 0 or 1 are left
-out; of several labels of one id the largest counts; without labelled rows of both classes every score is the share of
-toxic rows (0 without any); rows with equal ids are scored each by their text.
+out; of several labels of one id the largest counts; without labelled documents of both classes every score is the share
+of toxic ones (0 without any); rows with equal ids are scored each by their text.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterlens.llm.base import small_batches, written
+from chatterlens.llm.base import row_key, small_batches, written
 
 LONGEST_WORD = 40
 LEAST_DOCS = 3
@@ -231,16 +231,16 @@ def score_toxicity(
     docs: DataFrame, labels: DataFrame, sample_rows: int = 100_000, words: int = 1 << 18, pair_words: int = 4096, pairs: int = 1 << 18,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> DataFrame:
-    """``held_out``, ``score`` and ``predicted`` of every document."""
+    """``held_out``, ``score`` and ``predicted`` of every document, and ``row_key``, the hash of its text."""
     spark = docs.sparkSession
     small_batches(spark)
-    pair = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    pair = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(text_col).alias("row_key"))
     classes = labelled(labels, sample_rows, id_col, label_col)
     out = [F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out")]
     if len(set(classes.values())) < 2:
         share = float(np.mean(list(classes.values()))) if classes else 0.0
-        return pair.select(*out, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
-    model = spark.sparkContext.broadcast(trained(pair, classes, words, pair_words, pairs))
+        return pair.select(*out, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), "row_key")
+    model = spark.sparkContext.broadcast(trained(pair.select("id", "text"), classes, words, pair_words, pairs))
     given = spark.sparkContext.broadcast(classes)
     names = [f"f{i}" for i in range(FEATURES)]
 
@@ -256,14 +256,17 @@ def score_toxicity(
                 own.append(None if c is None else model.value.features(text, c))
                 label.append(c)
             columns = np.array(plain).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(own, pa.list_(pa.float64())), pa.array(label, pa.int32())], names=["id", *names, "own", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(own, pa.list_(pa.float64())), pa.array(label, pa.int32()), batch.column(2)], names=["id", *names, "own", "label", "row_key"])
 
     kind = pair.schema["id"].dataType.simpleString()
-    rows = written(pair.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", own array<double>, label int"), "toxicity")
+    rows = written(pair.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", own array<double>, label int, row_key long"), "toxicity")
     learnt = rows.filter("label IS NOT NULL").groupBy("id").agg(F.first("own").alias("own"), F.first("label").alias("label")).orderBy("id").collect()
+    if len({r["label"] for r in learnt}) < 2:
+        share = float(np.mean([r["label"] for r in learnt])) if learnt else 0.0
+        return rows.select(*out, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), "row_key")
     weights, intercept = logistic(np.array([r["own"] for r in learnt]), np.array([r["label"] for r in learnt], np.float64))
     logit = F.lit(intercept)
     for n, w in zip(names, weights.tolist()):
         logit = logit + F.col(n) * w
     score = 1 / (1 + F.exp(-logit))
-    return rows.select(*out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return rows.select(*out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "row_key")
