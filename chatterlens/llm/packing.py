@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from chatterlens.llm.base import Memory, map_texts, written
 
-KEPT_WORDS = 150_000  # words per generation whose ids a worker remembers
-UNUSUAL_SPACE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]|\x01")
+KEPT_WORDS = 300_000  # words per generation whose ids a worker remembers
+#: White space that isn't a single space or line end, and the mark that cuts are made with.
+UNUSUAL = ["  ", "\n\n", " \n", "\n ", "\x01", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+ENDINGS = frozenset(".,")
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 LEAST_SALTS = 256
 ROWS_PER_SALT = 20_000
@@ -58,20 +61,28 @@ class ByteEncoder:
     def cut(text: str) -> list[str]:
         if not text:
             return []
-        if UNUSUAL_SPACE.search(text):
+        if text[0].isspace() or text[-1].isspace() or any(u in text for u in UNUSUAL):
             return BEFORE_SPACE.split(text)
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
-        new = self.words.missing({w for ws in cut for w in ws})
+        new = self.words.missing(chain.from_iterable(cut))
         known = self.words.now
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(made.ids, self.kind).tobytes()
-        out = [np.frombuffer(b"".join([known[w] for w in ws]), self.kind) for ws in cut]
-        self.words.settle(new)
+        ended = [w for w in new if w[-1] in ENDINGS and len(w) > 1 and w[-2].isascii() and w[-2].isalpha()]
+        # A full stop or comma behind a letter is a pre-token of its own when the word ends with it.
+        parts = self.words.missing({w[:-1] for w in ended} | {w[-1] for w in ended} | set(new).difference(ended))
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            ids = [made.ids for made in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            raw, at, size = np.array(list(chain.from_iterable(ids)), self.kind).tobytes(), 0, self.kind.itemsize
+            for word, made in zip(some, ids):
+                known[word] = raw[at : at + size * len(made)]
+                at += size * len(made)
+        for word in ended:
+            known[word] = known[word[:-1]] + known[word[-1]]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), self.kind) for ws in cut]
+        self.words.settle(list({*parts, *ended}))
         return out
 
 
