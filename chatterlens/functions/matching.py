@@ -2,43 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+import re
+from collections.abc import Sequence
+from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatterlens.functions.columns import col
 
 
-@lru_cache(maxsize=16)
-def finder(words: tuple[str, ...]) -> Callable[[str], list[str]]:
-    """A function from a text to the sorted words that occur in it as substrings."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: [w for w in words if w in text]
-    automaton = ahocorasick.Automaton()
+def prefix_tree(words: Sequence[str]) -> str:
+    """A regular expression for the longest of the words that begins at a place."""
+    tree: dict = {}
     for word in words:
-        automaton.add_word(word, word)
-    automaton.make_automaton()
-    return lambda text: sorted({word for _, word in automaton.iter(text)})
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        ends = "" in node
+        ways = [re.escape(letter) + branch(below) for letter, below in sorted(node.items()) if letter]
+        if not ways:
+            return ""
+        whole = ways[0] if len(ways) == 1 and not ends else "(?:" + "|".join(ways) + ")"
+        return whole + "?" if ends else whole
+
+    return branch(tree)
 
 
 def words_in(text: str | Column, words: Sequence[str]) -> Column:
     """The words of a list that occur in the lower-cased text as substrings, sorted.
 
-    Arrow batches go through one automaton for the whole list. With built-in
-    functions every word needs a pass of its own: 195 words over 24 MB of text
-    took 10.7 s that way on one core, and 0.8 s this way.
+    One regular expression, built as a prefix tree in a lookahead, gives at every
+    place the longest word that begins there; shorter words that begin it follow
+    from a fixed map. Everything stays in the JVM.
     """
-    wanted = tuple(sorted(set(words)))
-
-    @F.pandas_udf("array<string>")
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = finder(wanted)
-        for texts in batches:
-            yield pd.Series([None if t is None else find(t) for t in texts], dtype="object")
-
-    return hits(F.lower(col(text)))
+    wanted = sorted({w for w in words if w})
+    if not wanted:
+        return F.when(col(text).isNotNull(), F.array().cast("array<string>"))
+    longest = F.regexp_extract_all(F.lower(col(text)), F.lit(f"(?=({prefix_tree(wanted)}))"), F.lit(1))
+    found = F.array_distinct(longest)
+    begun = {w: [p for p in wanted if w.startswith(p)] for w in wanted}
+    several = {w: parts for w, parts in begun.items() if len(parts) > 1}
+    if several:
+        parts = F.create_map(*chain.from_iterable((F.lit(w), F.array(*map(F.lit, p))) for w, p in several.items()))
+        found = F.array_distinct(F.flatten(F.transform(found, lambda w: F.coalesce(F.try_element_at(parts, w), F.array(w)))))
+    return F.array_sort(found)

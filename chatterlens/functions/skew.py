@@ -17,13 +17,13 @@ def spread_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], sp
 
     Keys with more than ``hot_rows`` left rows get one slice per ``hot_rows`` rows:
     their left rows are dealt out by a hash of ``spread_by``, their right rows are
-    repeated per slice. At most (left rows / hot_rows) keys can be hot, which bounds
-    the broadcast list. Adaptive skew handling does the same only where both join
+    repeated per slice. Few keys can be hot; adaptive execution broadcasts their list where
+    its measured size allows it. Adaptive skew handling does the same only where both join
     inputs are plain shuffles; use this where one side is an aggregate or is
     already partitioned by the key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = F.broadcast(
+    hot = (
         left.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
         .select(*keys, F.ceil(F.col("__n") / hot_rows).alias("__slices"))
     )
