@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterlens.functions.fixed_values import ENTITY_TYPES, PLATFORMS
 from chatterlens.functions.skew import spread_join
+from chatterlens.schemas import COMMENT_METADATA
 from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
@@ -25,6 +28,14 @@ def first_by_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     )
 
 
+def last_by_key(df: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row per key, the last by the column ``order``, or in reading order without one; combined before the shuffle."""
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    numbered = df.withColumn("__place", place)
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    return numbered.groupBy(*keys).agg(F.max_by(whole, F.col("__place")).alias("__row")).select("__row.*")
+
+
 def dedup_insert_ignore(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """The rows to insert: the first per key among the new ones, without keys that exist."""
     order = [F.col(c) for c in ("scraped_at", "content") if c in new.columns]
@@ -43,9 +54,12 @@ def insert_users_ignore(users: DataFrame, incoming: DataFrame, now: int) -> Data
     return users.unionByName(fresh.select(*users.columns))
 
 
-def upsert_users(users: DataFrame, incoming: DataFrame, now: int) -> DataFrame:
-    """All users after an upsert: names, metadata and last_seen are replaced, count and first_seen kept."""
-    latest = first_by_key(incoming, "id", F.col("username"))
+def upsert_users(users: DataFrame, incoming: DataFrame, now: int, order: str | None = None) -> DataFrame:
+    """All users after an upsert: names, metadata and last_seen are replaced, count and first_seen kept.
+
+    Of several updates of one user the last wins: by the column ``order``, or in reading order without one.
+    """
+    latest = last_by_key(incoming, ["id"], order)
     o, n = users.alias("o"), latest.alias("n")
     is_new, touched = F.col("o.id").isNull(), F.col("n.id").isNotNull()
     stamp = F.lit(now).cast("bigint")
@@ -87,72 +101,105 @@ def validate_corpus(g: Corpus) -> DataFrame:
         groups = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
         return found(groups.withColumn("k", F.concat_ws("/", *keys)), table, rule, "k")
 
+    def missing(df: DataFrame, table: str, key: str, *columns: str) -> DataFrame:
+        return found(df.filter(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))), table, "required", key)
+
+    def orphans(df: DataFrame, table: str, rule: str, key: str, column: str, known: DataFrame) -> DataFrame:
+        there = known.select(F.col("id").alias("__known"))
+        given = df.filter(F.col(column).isNotNull())
+        return found(given.join(there, F.col(column) == F.col("__known"), "left_anti"), table, rule, key)
+
+    def other_than(df: DataFrame, table: str, column: str, values: Sequence[str]) -> DataFrame:
+        return found(df.filter(F.col(column).isNotNull() & ~F.col(column).isin(list(values))), table, column, "id")
+
     m, u = g.messages, g.users
-    required = ["content", "author_id", "timestamp", "source"]
-    missing = m.filter(F.greatest(*[F.col(c).isNull() for c in required]))
-    parents = m.filter(F.col("parent_id").isNotNull()).join(
-        m.select(F.col("id").alias("parent_id")), "parent_id", "left_anti"
-    )
     parts = [
-        found(m.filter(~F.col("platform").isin(PLATFORMS) | F.col("platform").isNull()), "messages", "platform", "id"),
-        found(missing, "messages", "required", "id"),
-        found(m.join(u.select(F.col("id").alias("author_id")), "author_id", "left_anti"), "messages", "author_exists", "id"),
-        found(parents, "messages", "parent_exists", "id"),
+        missing(m, "messages", "id", "platform", "content", "author_id", "timestamp", "scraped_at"),
+        other_than(m, "messages", "platform", PLATFORMS),
+        orphans(m, "messages", "author_exists", "id", "author_id", u),
+        orphans(m, "messages", "parent_exists", "id", "parent_id", m),
         repeated(m, "messages", "unique_id", "id"),
-        found(u.filter(~F.col("platform").isin(PLATFORMS)), "users", "platform", "id"),
+        missing(u, "users", "id", "platform", "username"),
+        other_than(u, "users", "platform", PLATFORMS),
         repeated(u, "users", "unique_id", "id"),
     ]
-    if g.extracted_entities is not None:
-        e = g.extracted_entities
-        ids = m.select(F.col("id").alias("message_id"))
+    if (e := g.extracted_entities) is not None:
+        parts += [
+            missing(e, "extracted_entities", "id", "message_id", "entity_type", "entity_name"),
+            other_than(e, "extracted_entities", "entity_type", ENTITY_TYPES),
+            orphans(e, "extracted_entities", "message_exists", "id", "message_id", m),
+        ]
+    if (r := g.embeddings_reference) is not None:
+        parts += [
+            missing(r, "embeddings_reference", "message_id", "message_id", "chromadb_id", "created_at"),
+            orphans(r, "embeddings_reference", "message_exists", "message_id", "message_id", m),
+            repeated(r, "embeddings_reference", "unique_message", "message_id"),
+        ]
+    if (runs := g.clustering_runs) is not None:
+        parts.append(missing(runs, "clustering_runs", "id", "method", "parameters", "n_clusters", "n_noise", "n_samples", "created_at"))
+    if (c := g.message_clusters) is not None:
         parts += [
-            found(e.filter(~F.col("entity_type").isin(ENTITY_TYPES)), "extracted_entities", "entity_type", "id"),
-            found(e.join(ids, "message_id", "left_anti"), "extracted_entities", "message_exists", "id"),
+            missing(c, "message_clusters", "message_id", "clustering_run_id", "message_id", "cluster_id", "created_at"),
+            orphans(c, "message_clusters", "message_exists", "message_id", "message_id", m),
+            repeated(c, "message_clusters", "unique_assignment", "clustering_run_id", "message_id"),
         ]
-    if g.embeddings_reference is not None:
-        parts.append(repeated(g.embeddings_reference, "embeddings_reference", "unique_message", "message_id"))
-    if g.message_clusters is not None:
-        parts.append(repeated(g.message_clusters, "message_clusters", "unique_assignment", "clustering_run_id", "message_id"))
+        if g.clustering_runs is not None:
+            parts.append(orphans(c, "message_clusters", "run_exists", "message_id", "clustering_run_id", g.clustering_runs))
+    if (runs := g.taxonomy_runs) is not None:
+        parts.append(missing(runs, "taxonomy_runs", "id", "model", "taxonomy_version", "n_messages", "batch_size", "total_batches", "created_at"))
+    t = g.message_taxonomy
+    parts += [
+        missing(t, "message_taxonomy", "message_id", "taxonomy_run_id", "message_id", "category", "created_at"),
+        orphans(t, "message_taxonomy", "message_exists", "message_id", "message_id", m),
+    ]
+    if g.taxonomy_runs is not None:
+        parts.append(orphans(t, "message_taxonomy", "run_exists", "message_id", "taxonomy_run_id", g.taxonomy_runs))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
-def comment_depth(messages: DataFrame, cap: int = 51, root_prefix: str | None = None) -> DataFrame:
-    """Number of ancestors of each message, at most ``cap``; without a known parent the depth is 0.
+def comment_depth(messages: DataFrame, root_prefix: str | None = None) -> DataFrame:
+    """(id, depth, on_cycle): the number of ancestors of each message; without a known parent the depth is 0.
 
-    Messages whose id starts with ``root_prefix`` (posts) do not count as ancestors.
+    Messages whose id starts with ``root_prefix`` (posts) do not count as ancestors. A message whose chain of parents
+    runs into a cycle has no depth: it is null, and ``on_cycle`` is true.
 
-    Pointer doubling over narrow (id, ancestor, depth) rows: each round doubles the
-    distance covered, so about log2(longest chain) joins are enough, and a cycle
-    ends at the cap. Rows whose chain has ended leave the join, so no round shuffles
-    null keys. Rounds are checkpointed: the frame is read twice per round.
+    Pointer doubling over narrow (id, ancestor, depth) rows: each round doubles the distance covered, so about
+    log2(longest chain) joins are enough. It ends when no chain is open; what is open after as many steps as there are
+    replies hangs on a cycle. Rows whose chain has ended are not joined again.
     """
     known = messages.select(F.col("id").alias("parent_id"))
     if root_prefix:
         known = known.filter(~F.col("parent_id").startswith(root_prefix))
     replies = messages.filter(F.col("parent_id").isNotNull() & (F.col("parent_id") != ""))
     # One message may have drawn a large part of all replies.
-    chains = written_once(
+    start = written_once(
         spread_join(replies.select("id", "parent_id"), known, "parent_id", "id", "left_semi")
-        .select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
+        .select("id", F.col("parent_id").alias("ancestor"), F.lit(1).cast("bigint").alias("depth"))
     )
-    span = 1
-    while span < cap:
-        open_rows = chains.filter(F.col("ancestor").isNotNull())
-        if open_rows.isEmpty():
-            break
-        ahead = chains.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = spread_join(open_rows, ahead, "ancestor", "id", "left").select(
-            "id",
-            F.col("next").alias("ancestor"),
-            F.least(F.col("depth") + F.coalesce("more", F.lit(0)), F.lit(cap)).alias("depth"),
+    total = still = start.count()
+    steps, span = start, 1
+    while still and span <= total:
+        # ``steps`` says for every reply how far its known ancestor is; rows with an open end are looked up in it.
+        ahead = steps.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        steps = written_once(
+            spread_join(steps.filter("ancestor IS NOT NULL"), ahead, "ancestor", "id", "left")
+            .select("id", F.col("next").alias("ancestor"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+            .unionByName(steps.filter("ancestor IS NULL"))
         )
-        chains = written_once(chains.filter(F.col("ancestor").isNull()).unionByName(longer))
+        still = steps.filter("ancestor IS NOT NULL").count()
         span *= 2
-    return (
-        messages.select("id")
-        .join(chains.select("id", "depth"), "id", "left")
-        .select("id", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
+    cyclic = F.col("ancestor").isNotNull()
+    return messages.select("id").join(steps, "id", "left").select(
+        "id", F.when(~cyclic, F.coalesce("depth", F.lit(0))).cast("bigint").alias("depth"), cyclic.alias("on_cycle")
     )
+
+
+def with_comment_depth(comments: DataFrame, root_prefix: str = "reddit_t3_") -> DataFrame:
+    """Forum comments with ``depth`` filled into their metadata; null on a cycle, and other rows as they are."""
+    depths = comment_depth(comments, root_prefix).select("id", "depth")
+    filled = F.to_json(F.from_json("metadata", COMMENT_METADATA).withField("depth", F.col("depth").cast("int")))
+    is_comment = F.get_json_object("metadata", "$.type") == "comment"
+    return comments.join(depths, "id").withColumn("metadata", F.when(is_comment, filled).otherwise(F.col("metadata"))).select(*comments.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatterlens.functions.columns import first_per, newest_first, pct, small
-from chatterlens.operators.ingest import first_by_key
+from chatterlens.operators.ingest import first_by_key, last_by_key
 from chatterlens.sources.corpus import Corpus
 
 
@@ -80,12 +80,11 @@ def embedding_refs(refs: DataFrame, incoming: DataFrame, model: str) -> DataFram
 
 
 def messages_without_embeddings(messages: DataFrame, refs: DataFrame, min_length: int = 20) -> DataFrame:
-    """Messages of enough length without a reference, oldest first."""
+    """Messages of enough length without a reference; sort them where the order matters."""
     return (
         messages.filter(F.length("content") >= min_length)
         .join(refs.select(F.col("message_id").alias("id")), "id", "left_anti")
         .select(*messages.columns)
-        .orderBy("timestamp", "id")
     )
 
 
@@ -134,10 +133,14 @@ def save_clustering_run(runs: DataFrame, method: str, parameters: str, n_cluster
     return runs.unionByName(row)
 
 
-def save_cluster_assignments(existing: DataFrame, run_id: int, labels: DataFrame) -> DataFrame:
-    """Assignments after writing a run's labels; a label replaces the one of the same run and message."""
-    incoming = labels.select(F.lit(run_id).cast("bigint").alias("clustering_run_id"), "message_id", "cluster_id")
-    latest = first_by_key(incoming, "message_id", -F.col("cluster_id"))
+def save_cluster_assignments(existing: DataFrame, run_id: int, labels: DataFrame, order: str | None = None) -> DataFrame:
+    """Assignments after writing a run's labels; a label replaces the one of the same run and message.
+
+    Of several labels of one message the last wins: by the column ``order``, or in reading order without one.
+    """
+    columns = [F.lit(run_id).cast("bigint").alias("clustering_run_id"), "message_id", "cluster_id"]
+    latest = last_by_key(labels.select(*columns, *([order] if order else [])), ["message_id"], order)
+    latest = latest.select("clustering_run_id", "message_id", "cluster_id")
     kept = existing.select("clustering_run_id", "message_id", "cluster_id").join(
         latest.select("clustering_run_id", "message_id"), ["clustering_run_id", "message_id"], "left_anti"
     )
@@ -160,14 +163,13 @@ def clustering_run_by_id(runs: DataFrame, id: int) -> DataFrame:
 
 def unclassified_messages(messages: DataFrame, message_taxonomy: DataFrame, min_length: int = 10,
                           limit: int | None = None) -> DataFrame:
-    """Messages of enough length without any label, newest first."""
+    """Messages of enough length without any label; under a limit the newest, in order."""
     rows = (
         messages.filter(F.length("content") >= min_length)
         .join(message_taxonomy.select(F.col("message_id").alias("id")), "id", "left_anti")
         .select("id", "content", "platform", "timestamp")
-        .orderBy(*newest_first())
     )
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy(*newest_first()).limit(limit)
 
 
 def save_classifications(message_taxonomy: DataFrame, run_id: int, labels: DataFrame, now: int) -> DataFrame:
@@ -215,11 +217,10 @@ def taxonomy_samples(messages: DataFrame, message_taxonomy: DataFrame, run_id: i
         run.groupBy("category").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "category").limit(categories)
     )
     wanted = run.join(small(largest.select("category"), categories), "category", "left_semi")
-    rows = messages.select("id", "platform", "content", "timestamp").join(
-        wanted.select(F.col("message_id").alias("id"), "category"), "id"
-    )
+    # The texts are cut where they are read: no shuffle carries them whole.
     preview = F.regexp_replace(F.substring("content", 1, 100), "\n", " ").alias("preview")
-    return first_per(rows, ["category"], newest_first(), n).select("category", "rank", "platform", preview)
+    rows = messages.select("id", "platform", preview, "timestamp").join(wanted.select(F.col("message_id").alias("id"), "category"), "id")
+    return first_per(rows, ["category"], newest_first(), n).select("category", "rank", "platform", "preview")
 
 
 def cluster_counts(assignments: DataFrame, run_id: int) -> DataFrame:

@@ -32,8 +32,8 @@ def stream_ingest_dedup(spark: SparkSession, folder: str, schema: str, normalize
 def append_new(target: str, key: str = "id") -> Callable[[DataFrame, int], None]:
     """A batch writer that adds only keys the target lacks; a replayed batch adds nothing.
 
-    The target is partitioned by UTC day. A message keeps its time, so only the days
-    that a batch covers are searched for its keys.
+    Any known key counts, whatever its time: the keys of the whole target are read, nothing else of it. The target is
+    partitioned by UTC day for its readers.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -41,8 +41,7 @@ def append_new(target: str, key: str = "id") -> Callable[[DataFrame, int], None]
         day = F.to_date(utc_timestamp("timestamp"))
         batch = batch.withColumn("day", day).persist()
         try:
-            first, last = batch.agg(F.min("day"), F.max("day")).first()
-            if first is None:
+            if batch.isEmpty():
                 return
             fresh = first_by_key(batch, key, F.col("timestamp"), F.col("content"))
             try:
@@ -51,8 +50,7 @@ def append_new(target: str, key: str = "id") -> Callable[[DataFrame, int], None]
                 if missing.getCondition() != "PATH_NOT_FOUND":
                     raise
             else:
-                known = existing.filter(F.col("day").between(first, last)).select(key)
-                fresh = fresh.join(known, key, "left_anti").select(*batch.columns)
+                fresh = fresh.join(existing.select(key), key, "left_anti").select(*batch.columns)
             fresh.write.mode("append").partitionBy("day").parquet(target)
         finally:
             batch.unpersist()
@@ -76,6 +74,23 @@ def incremental_ingest(spark: SparkSession, landing: str, target: str, checkpoin
     )
 
 
+def merge_updates(target: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer for update mode: each batch adds the changed rows under its number; see ``latest_updates``."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # A replayed batch replaces its own folder only.
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    return write
+
+
+def latest_updates(spark: SparkSession, target: str, schema: str, key: str) -> DataFrame:
+    """The newest row per key of a table written by ``merge_updates``."""
+    rows = spark.read.schema(f"{schema}, epoch long").parquet(target)
+    whole = F.struct(*[F.col(c) for c in rows.columns if c != "epoch"])
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, "epoch").alias("__row")).select("__row.*")
+
+
 def stream_user_activity(messages: DataFrame) -> DataFrame:
     """Running message count, first and last time per author; for update mode."""
     return messages.groupBy("author_id").agg(
