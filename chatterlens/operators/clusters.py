@@ -6,10 +6,8 @@ Input frames hold (message_id, embedding); labelled ones add cluster_id, with
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -20,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterlens.functions.columns import first_per, newest_first, pct, small
-from chatterlens.operators.vectors import matrix
+from chatterlens.session import written_once
 
 
 def unit_features(v: DataFrame) -> DataFrame:
@@ -38,21 +36,28 @@ def _features(v: DataFrame) -> DataFrame:
     return unit_features(v.select("message_id", "embedding")).select("message_id", "features")
 
 
-def _usable_k(points: DataFrame, k: int) -> int:
-    """k, or the number of distinct vectors where there are fewer; k-means cannot start with more."""
-    vector = vector_to_array("features")
-    if points.agg(F.approx_count_distinct(F.xxhash64(vector))).first()[0] > 2 * k:
-        return k
-    return min(k, points.select(vector.alias("v")).distinct().limit(k).count())
+def cluster_kmeans(v: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10, max_iter: int = 20) -> tuple[DataFrame, float]:
+    """k-means on unit vectors: the best of n_init starts, as (message_id, cluster_id) and its inertia.
+
+    Raises when there are fewer distinct vectors than clusters.
+    """
+    fitted, inertia = _labelled_kmeans(v, k, seed, n_init, max_iter)
+    return fitted.select("message_id", "cluster_id"), inertia
 
 
-def cluster_kmeans(v: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10, max_iter: int = 20) -> tuple[DataFrame, float]:
-    """k-means on unit vectors: the best of n_init starts, as (message_id, cluster_id) and its inertia."""
+def distinct_vectors(v: DataFrame, most: int) -> int:
+    """Distinct unit vectors, counted up to ``most``."""
+    return _features(v).select(F.xxhash64(vector_to_array("features")).alias("h")).distinct().limit(most).count()
+
+
+def _labelled_kmeans(v: DataFrame, k: int, seed: int, n_init: int, max_iter: int = 20) -> tuple[DataFrame, float]:
+    """The best fit's (message_id, features, cluster_id) and its inertia."""
+    if k < 2:
+        raise ValueError("k-means needs at least two clusters")
     points = _features(v).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        k = _usable_k(points, k)
-        if k < 2:
-            return v.select("message_id", F.lit(0).alias("cluster_id")), 0.0
+        if (there := distinct_vectors(v, k)) < k:
+            raise ValueError(f"{k} clusters need as many distinct vectors; there are {there}")
         fits = [
             KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol="features", predictionCol="cluster_id").fit(points)
             for start in range(n_init)
@@ -62,7 +67,7 @@ def cluster_kmeans(v: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10,
     finally:
         points.unpersist()
     # The returned frame does not hold the cache: it reads the vectors once more when used.
-    return best.transform(_features(v)).select("message_id", "cluster_id"), inertia
+    return best.transform(_features(v)), inertia
 
 
 def with_vectors(labels: DataFrame, v: DataFrame) -> DataFrame:
@@ -74,40 +79,14 @@ def _unit(labelled: DataFrame) -> DataFrame:
     return l2_normalize(labelled.filter(F.col("cluster_id") != -1).select("message_id", "embedding", "cluster_id"))
 
 
-def silhouette(labelled: DataFrame, metric: str = "cosine", sample: int = 10_000, seed: int = 42) -> DataFrame:
-    """Mean silhouette of a sample, as one row.
+def silhouette(labelled: DataFrame, metric: str = "cosine") -> DataFrame:
+    """Mean silhouette of all rows, as one row: cosine or squared Euclidean distance of unit vectors.
 
-    The sample is the first rows by a seeded hash. Cosine uses the evaluator, which
-    needs only cluster sums. Euclidean needs each row's mean distance to every
-    cluster: the sample, bounded by its parameter, goes to the tasks as a matrix.
+    The evaluator needs only sums per cluster for both, so no pair of rows is compared.
     """
-    chosen = _unit(labelled).orderBy(F.md5(F.concat("message_id", F.lit(str(seed)))), "message_id").limit(sample)
-    spark = labelled.sparkSession
-    if metric == "cosine":
-        points = chosen.select(array_to_vector("embedding").alias("features"), F.col("cluster_id").alias("prediction"))
-        evaluator = ClusteringEvaluator(metricName="silhouette", distanceMeasure="cosine")
-        return spark.createDataFrame([(float(evaluator.evaluate(points)),)], "silhouette double")
-    local = chosen.select("embedding", "cluster_id").toArrow().combine_chunks()
-    labels, codes = np.unique(local.column("cluster_id").to_numpy(), return_inverse=True)
-    vectors = np.asarray(local.column("embedding").to_pylist(), dtype="float64")
-    sizes = np.bincount(codes, minlength=len(labels))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = matrix(batch.column(0), vectors.shape[1])
-            own = np.searchsorted(labels, batch.column(1).to_numpy(zero_copy_only=False))
-            out = np.zeros(len(rows))
-            for i, row in enumerate(rows):
-                distance = np.sqrt(((vectors - row) ** 2).sum(axis=1))
-                sums = np.bincount(codes, weights=distance, minlength=len(labels))
-                if sizes[own[i]] == 1 or len(labels) < 2:
-                    continue
-                inside = sums[own[i]] / (sizes[own[i]] - 1)
-                outside = np.delete(sums / sizes, own[i]).min()
-                out[i] = (outside - inside) / max(outside, inside) if max(outside, inside) > 0 else 0.0
-            yield pa.RecordBatch.from_pydict({"s": pa.array(out)})
-
-    return chosen.select("embedding", "cluster_id").mapInArrow(score, "s double").agg(F.avg("s").alias("silhouette"))
+    points = _unit(labelled).select(array_to_vector("embedding").alias("features"), F.col("cluster_id").alias("prediction"))
+    evaluator = ClusteringEvaluator(metricName="silhouette", distanceMeasure=metric)
+    return labelled.sparkSession.createDataFrame([(float(evaluator.evaluate(points)),)], "silhouette double")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -142,36 +121,32 @@ def calinski_harabasz(labelled: DataFrame) -> DataFrame:
 def davies_bouldin(labelled: DataFrame) -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / centre distance.
 
-    Two passes over the vectors with per-cluster partial aggregates; the table of
-    centres (one row per cluster) is read back to compare centres with each other.
+    Two passes over the vectors with per-cluster partial aggregates. The centres, one
+    row per cluster, are counted and written before they are joined, so that a large
+    cluster is no hot key; then they travel as one array to each other.
     """
     rows = _unit(labelled)
-    centres = _moments(rows).select("cluster_id", "mean")
+    centres = written_once(_moments(rows).select("cluster_id", "mean"))
+    near = small(centres, centres.count())
     gap = F.sqrt(_square(F.zip_with("embedding", "mean", lambda a, b: a - b)))
-    spread = rows.join(centres, "cluster_id").groupBy("cluster_id").agg(F.avg(gap).alias("spread"), F.first("mean").alias("mean"))
-    local = spread.orderBy("cluster_id").collect()
-    points = np.asarray([r["mean"] for r in local], dtype="float64")
-    spreads = np.asarray([r["spread"] for r in local])
-    worst = []
-    for i in range(len(points)):
-        distance = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
-        distance[i] = np.inf
-        with np.errstate(divide="ignore"):
-            worst.append(((spreads + spreads[i]) / distance).max())
-    score = float(np.mean(worst)) if len(worst) > 1 else None
-    return labelled.sparkSession.createDataFrame([(score,)], "davies_bouldin double")
-
-
-def compare_k_values(v: DataFrame, ks: Sequence[int] = (20, 30, 40, 50, 75), seed: int = 42, n_init: int = 10,
-                     sample: int = 10_000) -> DataFrame:
-    """Four scores of k-means for each k."""
+    spread = rows.join(near, "cluster_id").groupBy("cluster_id").agg(F.avg(gap).alias("spread"))
+    both = F.collect_list(F.struct("cluster_id", "spread", "mean")).alias("all")
+    table = spread.join(centres, "cluster_id").agg(both)
+    distance = lambda x, y: F.sqrt(_square(F.zip_with(x["mean"], y["mean"], lambda a, b: a - b)))
+    apart = lambda x: F.transform(F.filter("all", lambda y: y["cluster_id"] != x["cluster_id"]),
+                                  lambda y: F.coalesce(F.try_divide(x["spread"] + y["spread"], distance(x, y)), F.lit(float("inf"))))
+    worst = table.select(F.explode("all").alias("x"), "all").select(F.array_max(apart(F.col("x"))).alias("worst"))
+    return worst.agg(F.avg("worst").alias("davies_bouldin"))
+
+
+def compare_k_values(v: DataFrame, ks: Sequence[int] = (20, 30, 40, 50, 75), seed: int = 42, n_init: int = 10) -> DataFrame:
+    """Four scores of k-means for each k, over all rows."""
     rows = []
     for k in ks:
-        labels, inertia = cluster_kmeans(v, k, seed, n_init)
-        labelled = with_vectors(labels, v).persist(StorageLevel.MEMORY_AND_DISK)
+        fitted, inertia = _labelled_kmeans(v, k, seed, n_init)
+        labelled = fitted.select("message_id", vector_to_array("features").alias("embedding"), "cluster_id").persist(StorageLevel.MEMORY_AND_DISK)
         rows.append((
-            k, silhouette(labelled, "cosine", sample, seed).first()[0], calinski_harabasz(labelled).first()[0],
-            davies_bouldin(labelled).first()[0], inertia,
+            k, silhouette(labelled).first()[0], calinski_harabasz(labelled).first()[0], davies_bouldin(labelled).first()[0], inertia,
         ))
         labelled.unpersist()
     return v.sparkSession.createDataFrame(
@@ -202,8 +177,8 @@ def cluster_samples(labelled: DataFrame, messages: DataFrame, n: int = 5, seed:
     rows = labelled.filter(F.col("cluster_id") != -1).select("cluster_id", F.col("message_id").alias("id"))
     sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("size"))
     picked = first_per(rows, ["cluster_id"], [F.md5(F.concat("id", F.lit(str(seed)))), F.asc("id")], n)
-    return messages.select("id", "content").join(picked, "id").join(sizes, "cluster_id").select(
-        "cluster_id", "size", "rank", "id", _preview(200)
+    return messages.select("id", _preview(200)).join(picked, "id").join(sizes, "cluster_id").select(
+        "cluster_id", "size", "rank", "id", "preview"
     )
 
 
@@ -215,28 +190,34 @@ def noise_report(labelled: DataFrame, messages: DataFrame, n: int = 10) -> DataF
     everything = labelled.agg(F.count("*")).scalar()
     timed = messages.select("id", "timestamp").join(rows, "id")
     picked = small(first_per(timed, ["side"], newest_first(), n).select("id", "side", "rank"), 2 * n)
-    samples = messages.select("id", "content").join(picked, "id").select("side", "rank", "id", _preview(200))
+    samples = messages.select("id", _preview(200)).join(picked, "id").select("side", "rank", "id", "preview")
     return counts.join(samples, "side").select("side", "n", pct(F.col("n"), everything).alias("pct"), "rank", "id", "preview")
 
 
 def cluster_members(labelled: DataFrame, messages: DataFrame, chars: int = 200) -> DataFrame:
     """Every clustered message with its preview, one row each."""
     rows = labelled.filter(F.col("cluster_id") != -1).select("cluster_id", F.col("message_id").alias("id"))
-    return messages.select("id", "content").join(rows, "id").select("cluster_id", "id", _preview(chars))
+    return messages.select("id", _preview(chars)).join(rows, "id").select("cluster_id", "id", "preview")
 
 
 def cluster_within_category(v: DataFrame, message_taxonomy: DataFrame, categories: Sequence[str], k: int = 10, seed: int = 42,
                             n_init: int = 3) -> DataFrame:
-    """Finer topics: the members of each category clustered on their own, as (message_id, category, cluster_id)."""
+    """Finer topics: the members of each category clustered on their own, as (message_id, category, k, cluster_id).
+
+    ``k`` is the number of clusters used: a category with fewer distinct vectors gets as many, one with a single
+    vector a single cluster. The vectors are joined with their categories once.
+    """
+    wanted = message_taxonomy.filter(F.col("category").isin(list(categories))).select("message_id", "category").distinct()
+    members = v.select("message_id", "embedding").join(wanted, "message_id").persist(StorageLevel.MEMORY_AND_DISK)
     result = None
     for category in categories:
-        ids = message_taxonomy.filter(F.col("category") == category).select("message_id")
-        part_of = v.join(ids, "message_id", "left_semi")
-        if part_of.isEmpty():
+        part_of = members.filter(F.col("category") == category).select("message_id", "embedding")
+        used = distinct_vectors(part_of, k)
+        if used == 0:
             continue
-        labels, _ = cluster_kmeans(part_of, k, seed, n_init)
-        part = labels.select("message_id", F.lit(category).alias("category"), "cluster_id")
+        labels = cluster_kmeans(part_of, used, seed, n_init)[0] if used > 1 else part_of.select("message_id", F.lit(0).alias("cluster_id"))
+        part = labels.select("message_id", F.lit(category).alias("category"), F.lit(used).alias("k"), "cluster_id")
         result = part if result is None else result.unionByName(part)
     if result is None:
-        return v.sparkSession.createDataFrame([], "message_id string, category string, cluster_id int")
+        return v.sparkSession.createDataFrame([], "message_id string, category string, k int, cluster_id int")
     return result

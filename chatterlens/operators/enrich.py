@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import re
 import time
-import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import explode_once, first_per, name_bit, names_in_bits, strip, word_array
 from chatterlens.functions.matching import words_in
+from chatterlens.operators.tables import embedding_refs
+from chatterlens.operators.vectors import add_vectors
+from chatterlens.session import written_once
 
 
 def embedding_eligible(messages: DataFrame, min_length: int = 20) -> DataFrame:
@@ -41,27 +43,26 @@ def embedding_cost_estimate(messages: DataFrame, usd_per_million: float = 0.02)
     )
 
 
-def hashing_provider(dims: int = 256) -> Callable[[list[str]], list[list[float]]]:
-    """An offline stand-in for an embedding service: signed feature hashing of words, unit length."""
-    places: dict[str, int] = {}
+def _hashed(texts: DataFrame, dims: int) -> DataFrame:
+    """``content`` as a unit vector of hashed word counts in ``embedding``; a text without words has a zero vector."""
+    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\s+", toLowercase=True)
+    counts = HashingTF(inputCol="__words", outputCol="__counts", numFeatures=dims)
+    unit = Normalizer(inputCol="__counts", outputCol="__unit", p=2.0)
+    frame = texts.withColumn("__text", F.coalesce("content", F.lit("")))
+    for step in (words, counts, unit):
+        frame = step.transform(frame)
+    return frame.withColumn("embedding", vector_to_array("__unit", "float32")).drop("__text", "__words", "__counts", "__unit")
 
-    def place(word: str) -> int:
-        # Even places add, odd places subtract.
-        if word not in places:
-            if len(places) > 500_000:
-                places.clear()
-            places[word] = zlib.crc32(word.encode("utf-8")) % (2 * dims)
-        return places[word]
 
-    def embed(texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dims), dtype="float32")
-        for row, text in enumerate(texts):
-            counts = np.bincount([place(w) for w in re.findall(r"\w+", text.lower())], minlength=2 * dims)
-            out[row] = counts[0::2] - counts[1::2]
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return list(out / np.where(norms == 0, 1, norms))
+def embed_hashed(messages: DataFrame, dims: int = 256) -> DataFrame:
+    """The built-in embedding, an offline stand-in for a service: hashed word counts of unit length, made in the JVM."""
+    return _hashed(messages.select(F.col("id").alias("message_id"), "content"), dims).select("message_id", "embedding")
 
-    return embed
+
+def embed_texts(spark: SparkSession, texts: Sequence[str], dims: int = 256) -> list[list[float]]:
+    """The built-in embedding of a few texts, such as search queries."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "place int, content string")
+    return [list(r["embedding"]) for r in _hashed(frame, dims).orderBy("place").collect()]
 
 
 def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -92,6 +93,21 @@ def embed_messages(messages: DataFrame, provider: Callable[[list[str]], list[lis
     return messages.select("id", "content").mapInPandas(run, "message_id string, embedding array<float>, status string")
 
 
+def embed_and_store(messages: DataFrame, vectors: DataFrame, refs: DataFrame, provider: Callable[[list[str]], list[list[float]]],
+                    dims: int, model: str, now: int, batch_size: int = 100, retries: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Embed what has no reference yet: (all vectors, all references, (message_id) of the messages that failed).
+
+    The provider's answers are checkpointed, so that no message is sent twice.
+    """
+    waiting = messages.join(refs.select(F.col("message_id").alias("id")), "id", "left_anti")
+    made = written_once(embed_messages(waiting, provider, batch_size, retries))
+    good = made.filter("status = 'ok'").select("message_id", "embedding")
+    meta = vector_metadata(waiting)
+    stored = add_vectors(vectors, good.join(meta, "message_id"), dims)
+    added = good.select("message_id", F.concat(F.lit("vec_"), "message_id").alias("chromadb_id"), F.lit(now).cast("bigint").alias("created_at"))
+    return stored, embedding_refs(refs, added, model), made.filter("status <> 'ok'").select("message_id")
+
+
 def vector_metadata(messages: DataFrame) -> DataFrame:
     """The flat columns stored beside a vector, with a preview of 100 characters."""
     return messages.select(

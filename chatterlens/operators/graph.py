@@ -171,9 +171,12 @@ def user_wants(g: Corpus, entity_types: list[str] | None = None) -> DataFrame:
     return _mentions(g, entity_types or ["integration", "feature"]).groupBy("user_id", "name").agg(F.count("*").alias("n"))
 
 
-def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] | None = None) -> DataFrame:
+def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] | None = None, min_shared: int = 2) -> DataFrame:
     """Entity pairs by shared users: n shared, strength = Jaccard of the user sets, above a threshold.
 
+    Pairs need at least ``min_shared`` shared users. Entities that fewer users asked for can have no pair and leave
+    before anything is paired: else one user who asks for everything would pair all entities nobody else wants.
+
     A set-similarity join with exact prefix filtering. Two entities above the
     threshold share a user among the rarest users of each, and their sizes differ
     by less than the threshold allows. So users who ask for many entities, who
@@ -183,6 +186,8 @@ def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] |
     rank all users of a popular entity.
     """
     wants = written_once(user_wants(g, entity_types).select("user_id", "name"))
+    enough = wants.groupBy("name").agg(F.count("*").alias("users")).filter(F.col("users") >= min_shared).select("name")
+    wants = written_once(wants.join(enough, "name", "left_semi"))
     degree = wants.groupBy("user_id").agg(F.count("*").alias("degree"))
     bucket = F.pmod(F.xxhash64("user_id"), F.lit(HASH_BUCKETS))
     # One user may ask for very many entities, and one entity may have very many users.
@@ -218,7 +223,7 @@ def co_requested(g: Corpus, min_strength: float = 0.3, entity_types: list[str] |
         .groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
     )
     strength = F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n"))
-    return shared.select("a", "b", "n", strength.alias("strength")).filter(F.col("strength") > min_strength)
+    return shared.select("a", "b", "n", strength.alias("strength")).filter((F.col("strength") > min_strength) & (F.col("n") >= min_shared))
 
 
 def similar_users(g: Corpus, min_score: float = 0.5, limit: int = 50) -> DataFrame:
@@ -256,7 +261,7 @@ def similar_users(g: Corpus, min_score: float = 0.5, limit: int = 50) -> DataFra
         .filter(F.col("before") < limit)
         .select("score")
     )
-    opened = scored.join(F.broadcast(levels), "score", "left_semi")
+    opened = scored.join(levels, "score", "left_semi")
     first_ids = first_per(members.select("key", "author_id"), ["key"], [F.asc("author_id")], limit + 1)
     left = first_ids.select(F.col("key").alias("key_x"), F.col("author_id").alias("id_x"), F.col("rank").alias("rank_x"))
     right = first_ids.select(F.col("key").alias("key_y"), F.col("author_id").alias("id_y"), F.col("rank").alias("rank_y"))

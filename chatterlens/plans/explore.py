@@ -81,13 +81,17 @@ def deep_threads(g: Corpus, max_depth: int = 3, limit: int = 30) -> DataFrame:
     Every reply starts at least one path, so the first ``limit`` replies hold the
     first ``limit`` paths; only those are followed upwards.
     """
-    edges = written_once(g.replies())
+    edges = g.replies()
     paths = top(edges, limit, F.asc("child_id")).select(F.array("child_id", "parent_id").alias("path"))
     found = paths
     for _ in range(max_depth - 1):
+        # A reply has one parent, so a step looks up at most ``limit`` ids among the messages, without their texts.
         last, walked = F.element_at("path", -1), F.slice("path", 1, F.size("path") - 1)
         heads = small(paths.filter(~F.array_contains(walked, last)).withColumn("child_id", last), limit)
-        paths = edges.join(heads, "child_id").select(F.concat("path", F.array("parent_id")).alias("path"))
+        steps = g.messages.select(F.col("id").alias("child_id"), "parent_id").join(heads, "child_id")
+        nodes = g.message_taxonomy.select(F.col("message_id").alias("parent_id"))
+        known = g.messages.select(F.col("id").alias("parent_id"))
+        paths = steps.join(nodes, "parent_id", "left_semi").join(known, "parent_id", "left_semi").select(F.concat("path", F.array("parent_id")).alias("path"))
         found = found.unionByName(paths)
     return top(found, limit, F.asc("path"))
 

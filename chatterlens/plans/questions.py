@@ -21,8 +21,6 @@ from chatterlens.functions.skew import spread_join
 from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
-TEXTS_PER_ROW = 1000
-HEAD_CHARS = 64
 
 
 def _counts(g: Corpus, categories: Sequence[str], name: str = "n") -> DataFrame:
@@ -156,23 +154,21 @@ def wants_integration_and_auth(g: Corpus, a: str = "integration_requests", b: st
 
 def bugs_and_performance(g: Corpus, a: str = "bug_reports", b: str = "performance_issues", k: int = 20,
                          samples: int = 2) -> DataFrame:
-    """As wants_both, with the first distinct texts of category a in text order."""
+    """As wants_both, with the first distinct texts of category a in text order.
+
+    One partial aggregate per sample: the least text, then the least one above it, and so on.
+    """
     rows = wants_both(g, a, b, k).withColumnRenamed("total_messages", "message_count")
     chosen = small(rows.select(*_PERSON), k)
     people = g.authors(*_PERSON).join(chosen, _PERSON, "left_semi").join(_both(g, a, b).select("author_id"), "author_id", "left_semi")
-    # Texts are ranked by their first characters and told apart by digest, so that only these
-    # travel; whole texts are read for the few whose start ranks among the first.
-    heads = g.messages.select(
-        "id", "author_id", F.substring("content", 1, HEAD_CHARS).alias("head"), F.md5("content").alias("digest")
-    ).join(people, "author_id")
-    labelled = heads.join(g.labels([a]).select(F.col("message_id").alias("id")), "id", "left_semi")
-    texts = labelled.groupBy(*_PERSON, "digest").agg(F.min("id").alias("id"), F.min("head").alias("head"))
-    by_head = Window.partitionBy(*_PERSON).orderBy("head")
-    likely = texts.withColumn("place", F.dense_rank().over(by_head)).filter(F.col("place") <= samples).select("id", *_PERSON)
-    found = g.messages.select("id", "content").join(likely, "id")
-    picked = first_per(found, _PERSON, [F.asc("content")], samples).groupBy(*_PERSON).agg(
-        ordered_list("rank", "content").alias("samples")
-    )
+    ids = g.messages.select("id", "author_id").join(people, "author_id").join(
+        g.labels([a]).select(F.col("message_id").alias("id")), "id", "left_semi")
+    texts = g.messages.select("id", "content").join(ids, "id").select(*_PERSON, "content")
+    found = texts.groupBy(*_PERSON).agg(F.min("content").alias("s0"))
+    for i in range(1, samples):
+        above = texts.join(found.select(*_PERSON, F.col(f"s{i - 1}").alias("below")), _PERSON).filter(F.col("content") > F.col("below"))
+        found = found.join(above.groupBy(*_PERSON).agg(F.min("content").alias(f"s{i}")), _PERSON, "left")
+    picked = found.select(*_PERSON, F.array_compact(F.array(*[f"s{i}" for i in range(samples)])).alias("samples"))
     return rows.join(picked, _PERSON).orderBy(F.desc(F.col("n_a") + F.col("n_b")), *_PERSON).withColumnRenamed(
         "message_count", "total_messages"
     )
@@ -184,23 +180,8 @@ def feature_wishlist_champions(g: Corpus, k: int = 15, samples: int = 5) -> Data
     return _with_samples(g, picked, ["feature_requests"], k, samples).select("username", "platform", "n", "samples")
 
 
-def _all_texts(spread: DataFrame, keys: Sequence[str], per_row: int) -> DataFrame:
-    """All texts of each key as sorted arrays of bounded size; ``n`` holds the key's number of texts.
-
-    A key with up to ``per_row`` texts gets one row (part 0). A larger one is
-    spread over parts by a digest of the message id, so no array and no task ever
-    holds a whole hot key.
-    """
-    digest = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint")
-    part = F.pmod(digest, F.ceil(F.col("n") / per_row)).alias("part")
-    entry = F.struct((-F.col("timestamp")).alias("t"), "id", "content")
-    return spread.groupBy(*keys, "n", part).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["content"]).alias("all_contents")
-    )
-
-
-def customization_seekers(g: Corpus, per_row: int = TEXTS_PER_ROW) -> DataFrame:
-    """All texts and their number by (username, platform); hot names span several parts."""
+def customization_seekers(g: Corpus) -> DataFrame:
+    """One row per text, with the number of texts by (username, platform)."""
     keys = ["username", "platform"]
     counted = (
         _counts(g, ["customization_requests"]).join(g.authors(*keys), "author_id")
@@ -209,20 +190,18 @@ def customization_seekers(g: Corpus, per_row: int = TEXTS_PER_ROW) -> DataFrame:
     rows = g.facts(["customization_requests"], "timestamp", "content").join(g.authors(*keys), "author_id").select(
         *keys, "id", "timestamp", "content"
     )
-    return _all_texts(spread_join(rows, counted, keys, "id"), keys, per_row).select(*keys, "n", "part", "all_contents")
+    return spread_join(rows, counted, keys, "id").select(*keys, "n", "timestamp", "id", "content")
 
 
-def export_integration_requesters(g: Corpus, k: int = 100, per_row: int = TEXTS_PER_ROW) -> DataFrame:
-    """The top requesters with all their texts; hot users span several parts."""
+def export_integration_requesters(g: Corpus, k: int = 100) -> DataFrame:
+    """One row per text of the top requesters, with their number of texts."""
     counted = _counts(g, ["integration_requests"]).join(
         g.authors("username", "platform", F.col("message_count").alias("total_messages")), "author_id"
     )
     picked = small(top(counted, k, F.desc("n"), F.asc("author_id")), k)
     theirs = g.messages.select("id", "author_id", "timestamp", "content").join(picked, "author_id")
     rows = theirs.join(g.labels(["integration_requests"]).select(F.col("message_id").alias("id")), "id", "left_semi")
-    return _all_texts(rows, ["author_id", "username", "platform", "total_messages"], per_row).select(
-        "username", "platform", "total_messages", "n", "part", "all_contents"
-    )
+    return rows.select("username", "platform", "total_messages", "n", "timestamp", "id", "content")
 
 
 def thread_depth_by_topic(g: Corpus, max_depth: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatterlens.functions.columns import col, strip
 from chatterlens.functions.fixed_values import BOT_PATTERNS, REMOVED_TEXTS
@@ -142,7 +143,7 @@ def normalize_forum_posts(raw: DataFrame, source: str) -> DataFrame:
 def normalize_forum_comments(raw: DataFrame, source: str) -> DataFrame:
     """Forum comments to message rows; the parent keeps its type prefix.
 
-    Depth needs the whole thread: join ``comment_depth`` to fill it in.
+    Depth needs the whole thread: ``with_comment_depth`` fills it in.
     """
     metadata = F.to_json(
         F.struct(
@@ -170,20 +171,32 @@ def normalize_forum_comments(raw: DataFrame, source: str) -> DataFrame:
 
 
 def flatten_comment_tree(raw: DataFrame, max_levels: int) -> DataFrame:
-    """Nested replies to one flat list of comments, level by level.
+    """Nested replies to one flat list of comments, in one select over one scan.
 
     Raises when the schema nests deeper than ``max_levels``: no reply is dropped silently.
     """
     fields = list(COMMENT_FIELDS)
-    level, flat = raw, raw.select(*fields)
-    for _ in range(max_levels - 1):
-        if "replies" not in level.columns:
-            return flat
-        level = level.select(F.explode("replies").alias("reply")).select("reply.*")
-        flat = flat.unionByName(level.select(*fields))
-    if "replies" in level.columns:
+
+    def levels(kind: T.StructType) -> int:
+        return 1 + levels(kind["replies"].dataType.elementType) if "replies" in kind.names else 1
+
+    if levels(raw.schema) > max_levels:
         raise ValueError(f"replies are nested deeper than {max_levels} levels")
-    return flat
+
+    def comment(pick) -> Column:
+        return F.struct(*[pick(f).alias(f) for f in fields])
+
+    def flat(pick, kind: T.StructType) -> Column:
+        """The comment itself and all comments below it, as one array."""
+        own = F.array(comment(pick))
+        if "replies" not in kind.names:
+            return own
+        inner = kind["replies"].dataType.elementType
+        below = F.flatten(F.transform(pick("replies"), lambda r: flat(lambda f: r[f], inner)))
+        return F.concat(own, F.coalesce(below, F.array().cast(T.ArrayType(own_type))))
+
+    own_type = raw.select(comment(F.col).alias("c")).schema["c"].dataType
+    return raw.select(F.explode(flat(F.col, raw.schema)).alias("c")).select("c.*")
 
 
 def ingest_stats(raw: DataFrame, reason: Column, author: str | Column) -> DataFrame:

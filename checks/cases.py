@@ -8,19 +8,17 @@ Arrays, maps and times are turned into text, so that both engines compare.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import utc_timestamp
 from chatterlens.operators import clusters as cl
-from chatterlens.operators import density as de
 from chatterlens.operators import enrich as en
 from chatterlens.operators import graph as gr
 from chatterlens.operators import ingest as ing
@@ -30,6 +28,7 @@ from chatterlens.plans import explore as ex
 from chatterlens.plans import questions as qu
 from chatterlens.plans import reports as rp
 from chatterlens.schemas import CHAT_METADATA, COMMENT_FIELDS, COMMENT_METADATA, POST_METADATA, RAW_CHAT
+from chatterlens.session import ensure_checkpoint_dir
 from chatterlens.sources import raw, sinks
 from chatterlens.sources.corpus import Corpus, read_corpus, taxonomy_dim
 from chatterlens.streaming import streams as st
@@ -74,11 +73,9 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's output: beside the cluster's checkpoints, or temporary in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return os.path.join(shared, f"stream-{uuid.uuid4().hex}")
-    return tempfile.mkdtemp(prefix="chatterlens-stream-")
+    """A fresh folder for a stream's output: beside the checkpoints, which a cluster must name."""
+    ensure_checkpoint_dir(spark)
+    return os.path.join(spark.sparkContext.getCheckpointDir(), f"stream-{uuid.uuid4().hex}")
 
 
 def pct(n: str, d: str) -> str:
@@ -227,30 +224,46 @@ def _(spark, folder, g):
 @case("flatten_comment_tree", """
 SELECT CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, text AS body FROM {conversations}""")
 def _(spark, folder, g):
+    # Three levels: turns 3n, 3n + 1 and 3n + 2 of a conversation nest; each has at most one reply in its tree.
     c = base_table(spark, folder, "conversations").select(
-        F.concat("conv_id", F.lit("_"), "turn").alias("id"), F.col("text"), F.col("turn")
+        F.concat("conv_id", F.lit("_"), "turn").alias("id"), F.col("text").alias("__text"), "turn", F.struct("conv_id", F.floor(F.col("turn") / 3)).alias("tree"),
     )
-    rows = raw_comments(spark, folder).join(c, "id").withColumn("body", F.col("text"))
+    rows = raw_comments(spark, folder).join(c, "id").withColumn("body", F.col("__text"))
     fields = list(COMMENT_FIELDS)
-    levels = c.agg(F.max("turn")).first()[0] + 1
-    tree = rows.filter(F.col("turn") == levels - 1).select(*fields)
-    for turn in reversed(range(levels - 1)):
-        # Each turn has at most one reply, the turn after it.
-        replies = tree.select(F.substring_index("parent_id", "t1_", -1).alias("id"), F.array(F.struct(*tree.columns)).alias("replies"))
-        tree = rows.filter(F.col("turn") == turn).select(*fields).join(replies, "id", "left").select(*fields, "replies")
-    return raw.flatten_comment_tree(tree, levels).select("id", "body")
-
-
-@case("comment_depth", """
-WITH RECURSIVE up(id, anc, depth) AS (
-  SELECT m.id, p.id, CAST(1 AS BIGINT) FROM {messages} m JOIN {messages} p ON p.id = m.parent_id
-  UNION ALL
-  SELECT u.id, p.id, u.depth + 1 FROM up u JOIN {messages} a ON a.id = u.anc JOIN {messages} p ON p.id = a.parent_id WHERE u.depth < 51)
-SELECT m.id, coalesce(max(u.depth), 0) AS depth FROM {messages} m LEFT JOIN up u ON u.id = m.id GROUP BY m.id""")
+    level = [rows.filter(F.col("turn") % 3 == k).select("tree", *fields) for k in range(3)]
+
+    def replies(df, *more):
+        return df.groupBy("tree").agg(F.collect_list(F.struct(*fields, *more)).alias("replies"))
+
+    middle = level[1].join(replies(level[2]), "tree", "left")
+    top = level[0].join(replies(middle, "replies"), "tree", "left").drop("tree")
+    return raw.flatten_comment_tree(top, 3).select("id", "body")
+
+
+DEPTHS = """WITH RECURSIVE up(id, anc) AS (
+  SELECT m.id, p.id FROM {messages} m JOIN {messages} p ON p.id = m.parent_id
+  UNION SELECT u.id, p.id FROM up u JOIN {messages} a ON a.id = u.anc JOIN {messages} p ON p.id = a.parent_id),
+loops AS (SELECT DISTINCT id FROM up WHERE id = anc),
+depths AS (SELECT m.id, bool_or(coalesce(u.anc IN (SELECT id FROM loops), false)) AS on_cycle, count(u.anc) AS depth FROM {messages} m LEFT JOIN up u ON u.id = m.id GROUP BY m.id)
+"""
+
+
+@case("comment_depth", DEPTHS + "SELECT id, CASE WHEN NOT on_cycle THEN depth END AS depth, on_cycle FROM depths")
 def _(spark, folder, g):
     return ing.comment_depth(g.messages)
 
 
+@case("with_comment_depth", """
+WITH RECURSIVE kept AS (SELECT * FROM {conversations} WHERE role <> 'system' AND turn <> 5 AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) <> ''),
+d(conv_id, turn, depth) AS (
+  SELECT conv_id, turn, 0 FROM kept k WHERE turn = 0 OR NOT EXISTS (SELECT 1 FROM kept p WHERE p.conv_id = k.conv_id AND p.turn = k.turn - 1)
+  UNION ALL SELECT k.conv_id, k.turn, d.depth + 1 FROM d JOIN kept k ON k.conv_id = d.conv_id AND k.turn = d.turn + 1)
+SELECT 'reddit_t1_' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, CAST(depth AS BIGINT) AS depth FROM d""")
+def _(spark, folder, g):
+    filled = ing.with_comment_depth(raw.normalize_forum_comments(raw_comments(spark, folder), "x"))
+    return raw.parse_metadata(filled, COMMENT_METADATA).select("id", "parsed.depth")
+
+
 @case("filter_bot_authors", """
 SELECT id, username FROM {users} WHERE NOT (lower(username) LIKE '%bot%' OR lower(username) LIKE '%automod%' OR lower(username) LIKE '%moderator%')""")
 def _(spark, folder, g):
@@ -294,7 +307,10 @@ SELECT 'x_' || id, platform, username || '_new', 0, {NOW}, {NOW} FROM {{users}}
 def _(spark, folder, g):
     renamed = g.users.filter("platform = 'discord'").withColumn("username", F.concat("username", F.lit("_new")))
     fresh = renamed.withColumn("id", F.concat(F.lit("x_"), "id"))
-    return ing.upsert_users(g.users, renamed.unionByName(fresh), NOW).select(
+    last = renamed.unionByName(fresh).withColumn("place", F.lit(2))
+    # Earlier updates of the same users, with names that sort before and after the last ones.
+    earlier = [last.withColumn("username", F.lit(name)).withColumn("place", F.lit(k)) for k, name in enumerate(("zzz", "aaa"))]
+    return ing.upsert_users(g.users, earlier[0].unionByName(last).unionByName(earlier[1]), NOW, "place").select(
         "id", "platform", "username", "message_count", "first_seen", "last_seen"
     )
 
@@ -319,15 +335,29 @@ def _(spark, folder, g):
 
 
 @case("validate_corpus", """
-WITH m AS (SELECT id, CASE WHEN source = 'conversations' THEN 'irc' ELSE platform END AS platform,
+WITH m AS (SELECT id, CASE WHEN source = 'conversations' THEN 'irc' WHEN source = 'src2' THEN NULL ELSE platform END AS platform,
     CASE WHEN source = 'src1' THEN author_id || '_gone' ELSE author_id END AS author_id,
-    CASE WHEN platform = 'reddit' THEN parent_id || '_gone' ELSE parent_id END AS parent_id FROM {messages}),
+    CASE WHEN platform = 'reddit' THEN parent_id || '_gone' ELSE parent_id END AS parent_id,
+    CASE WHEN source = 'src3' THEN NULL ELSE scraped_at END AS scraped_at, content, timestamp FROM {messages}),
+u AS (SELECT id, CASE WHEN message_count = 1 THEN NULL ELSE username END AS username, CASE WHEN message_count = 2 THEN NULL ELSE platform END AS platform FROM {users}),
 e AS (SELECT id, CASE WHEN entity_type = 'workaround' THEN 'rumour' ELSE entity_type END AS entity_type,
-    CASE WHEN entity_type = 'feature' THEN message_id || '_gone' ELSE message_id END AS message_id FROM {extracted_entities})
+    CASE WHEN entity_type = 'feature' THEN message_id || '_gone' ELSE message_id END AS message_id FROM {extracted_entities}),
+r AS (SELECT message_id, id FROM {embeddings_reference} UNION ALL SELECT message_id || CASE WHEN id % 2 = 0 THEN '' ELSE '_gone' END, id FROM {embeddings_reference}),
+c AS (SELECT CASE WHEN cluster_id = 1 THEN 99 ELSE clustering_run_id END AS clustering_run_id, CASE WHEN cluster_id = 2 THEN message_id || '_gone' ELSE message_id END AS message_id,
+    CASE WHEN cluster_id = 3 THEN NULL ELSE cluster_id END AS cluster_id FROM {message_clusters}),
+t AS (SELECT CASE WHEN category = 'questions' THEN 77 ELSE taxonomy_run_id END AS taxonomy_run_id, CASE WHEN category = 'bug_reports' THEN message_id || '_gone' ELSE message_id END AS message_id FROM {message_taxonomy})
 SELECT 'messages' AS "table", 'platform' AS rule, id AS key FROM m WHERE platform NOT IN ('discord', 'reddit')
-UNION ALL SELECT 'messages', 'author_exists', id FROM m WHERE author_id NOT IN (SELECT id FROM {users})
+UNION ALL SELECT 'messages', 'required', id FROM m WHERE platform IS NULL OR content IS NULL OR author_id IS NULL OR timestamp IS NULL OR scraped_at IS NULL
+UNION ALL SELECT 'messages', 'author_exists', id FROM m WHERE author_id NOT IN (SELECT id FROM u)
 UNION ALL SELECT 'messages', 'parent_exists', id FROM m WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM m)
-UNION ALL SELECT 'embeddings_reference', 'unique_message', message_id FROM {embeddings_reference}
+UNION ALL SELECT 'users', 'required', id FROM u WHERE username IS NULL OR platform IS NULL
+UNION ALL SELECT 'embeddings_reference', 'unique_message', message_id FROM r GROUP BY message_id HAVING count(*) > 1
+UNION ALL SELECT 'embeddings_reference', 'message_exists', message_id FROM r WHERE message_id NOT IN (SELECT id FROM m)
+UNION ALL SELECT 'message_clusters', 'run_exists', message_id FROM c WHERE clustering_run_id NOT IN (SELECT id FROM {clustering_runs})
+UNION ALL SELECT 'message_clusters', 'message_exists', message_id FROM c WHERE message_id NOT IN (SELECT id FROM m)
+UNION ALL SELECT 'message_clusters', 'required', message_id FROM c WHERE cluster_id IS NULL
+UNION ALL SELECT 'message_taxonomy', 'run_exists', message_id FROM t WHERE taxonomy_run_id NOT IN (SELECT id FROM {taxonomy_runs})
+UNION ALL SELECT 'message_taxonomy', 'message_exists', message_id FROM t WHERE message_id NOT IN (SELECT id FROM m)
 UNION ALL SELECT 'extracted_entities', 'entity_type', CAST(id AS STRING) FROM e WHERE entity_type = 'rumour'
 UNION ALL SELECT 'extracted_entities', 'message_exists', CAST(id AS STRING) FROM e WHERE message_id NOT IN (SELECT id FROM m)""")
 def _(spark, folder, g):
@@ -337,12 +367,20 @@ def _(spark, folder, g):
     def gone(column):
         return F.concat(column, F.lit("_gone"))
 
+    null = F.lit(None)
     m = spoil(g.messages, "parent_id", "platform = 'reddit'", gone("parent_id"))
     m = spoil(spoil(m, "author_id", "source = 'src1'", gone("author_id")), "platform", "source = 'conversations'", F.lit("irc"))
+    # A missing source is allowed; a missing platform or time of collection is not.
+    m = spoil(spoil(spoil(m, "platform", "source = 'src2'", null), "scraped_at", "source = 'src3'", null), "source", "source = 'src4'", null)
+    u = spoil(spoil(g.users, "username", "message_count = 1", null), "platform", "message_count = 2", null)
     e = spoil(g.extracted_entities, "message_id", "entity_type = 'feature'", gone("message_id"))
     e = spoil(e, "entity_type", "entity_type = 'workaround'", F.lit("rumour"))
-    refs = g.embeddings_reference.unionByName(g.embeddings_reference)
-    return ing.validate_corpus(replace(g, messages=m, extracted_entities=e, embeddings_reference=refs))
+    refs = g.embeddings_reference.unionByName(spoil(g.embeddings_reference, "message_id", "id % 2 <> 0", gone("message_id")))
+    c = spoil(spoil(g.message_clusters, "clustering_run_id", "cluster_id = 1", F.lit(99)), "message_id", "cluster_id = 2", gone("message_id"))
+    c = spoil(c, "cluster_id", "cluster_id = 3", null)
+    t = spoil(spoil(g.message_taxonomy, "taxonomy_run_id", "category = 'questions'", F.lit(77)), "message_id", "category = 'bug_reports'", gone("message_id"))
+    # The parameters of the derived run are complete but for its scores.
+    return ing.validate_corpus(replace(g, messages=m, users=u, extracted_entities=e, embeddings_reference=refs, message_clusters=c, message_taxonomy=t))
 
 
 @case("parse_metadata", """
@@ -577,9 +615,41 @@ def _(spark, folder, g):
     return en.embedding_cost_estimate(g.messages)
 
 
-@case("embed_messages", "SELECT id AS message_id, CAST(64 AS BIGINT) AS dims, 'ok' AS status FROM {messages}")
+@case("embed_messages", """
+WITH c AS (SELECT content, count(*) AS n, len(list_distinct(regexp_extract_all(lower(content), '[^\\s]+'))) AS words FROM {messages} GROUP BY content)
+SELECT md5(content) AS text, n, CAST(1 AS BIGINT) AS vectors, CAST(CASE WHEN words > 0 THEN 1 ELSE 0 END AS BIGINT) AS norm, true AS narrow FROM c""")
 def _(spark, folder, g):
-    return en.embed_messages(g.messages, en.hashing_provider(64)).select("message_id", F.size("embedding").alias("dims"), "status")
+    """Unit length, equal texts with equal vectors, and no more non-zero places than distinct words."""
+    rows = en.embed_hashed(g.messages, 64).join(g.messages.select(F.col("id").alias("message_id"), "content"), "message_id")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    words = F.size(F.array_distinct(F.filter(F.split(F.lower("content"), "\\s+"), lambda w: w != "")))
+    used = F.size(F.filter("embedding", lambda x: x != 0))
+    return rows.groupBy(F.md5("content").alias("text")).agg(
+        F.count("*").alias("n"), F.count_distinct(F.col("embedding").cast("string")).alias("vectors"),
+        F.round(F.max(norm)).cast("bigint").alias("norm"), F.bool_and(used <= words).alias("narrow"))
+
+
+@case("embed_with_provider", "SELECT id AS message_id, CAST(2 AS BIGINT) AS dims, CAST(length(content) AS DOUBLE) AS first, CASE WHEN platform = 'irc' THEN 'failed' ELSE 'ok' END AS status FROM {messages}")
+def _(spark, folder, g):
+    made = en.embed_messages(g.messages, lambda texts: [[float(len(t)), 1.0] for t in texts])
+    return made.select("message_id", F.size("embedding").alias("dims"), F.col("embedding")[0].cast("double").alias("first"), "status")
+
+
+@case("embed_and_store", """
+WITH e AS (SELECT id, content FROM {messages} WHERE length(content) >= 20 AND id NOT IN (SELECT message_id FROM {embeddings_reference}))
+SELECT 'vectors' AS part, (SELECT count(*) FROM {vectors}) + (SELECT count(*) FROM e WHERE content NOT LIKE '%Stripe%') AS n
+UNION ALL SELECT 'references', (SELECT count(*) FROM {embeddings_reference}) + (SELECT count(*) FROM e WHERE content NOT LIKE '%Stripe%')
+UNION ALL SELECT 'failed', (SELECT count(*) FROM e WHERE content LIKE '%Stripe%')""")
+def _(spark, folder, g):
+    def provider(texts):
+        if any("Stripe" in t for t in texts):
+            raise RuntimeError("no service")
+        return [[1.0] * 64 for _ in texts]
+
+    eligible = g.messages.filter(F.length("content") >= 20)
+    stored = en.embed_and_store(eligible, g.vectors, g.embeddings_reference, provider, 64, "model", NOW, batch_size=1, retries=1)
+    counts = [df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in zip(("vectors", "references", "failed"), stored)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @case("vector_metadata", "SELECT id AS message_id, platform, source, timestamp, author_id, substring(content, 1, 100) AS content_preview FROM {messages}")
@@ -745,9 +815,26 @@ def _(spark, folder, g):
     return found(ve.search_filtered(g.vectors, query_of(g, "m_0"), F.col("platform") == "discord", "the", 5))
 
 
-@case("vector_search_approx")
+@case("vector_search_approx", "SELECT CAST(10 AS BIGINT) AS n, true AS distances_exact, true AS enough_found")
+def _(spark, folder, g):
+    """k rows, exact distances, and a recall of at least 0.9 against the exact search."""
+    query = ve.stored_vector(g.vectors, "m_0")
+    index = ve.lsh_index(g.vectors, work_folder(spark))
+    near = ve.vector_search_approx(index, query, 10).select("message_id", F.col("distance").alias("near"))
+    exact = ve.vector_search(g.vectors, {"q": query}, 10_000).select("message_id", "distance", "rank")
+    return near.join(exact, "message_id").agg(
+        F.count("*").alias("n"), F.bool_and(F.abs(F.col("near") - F.col("distance")) < 1e-6).alias("distances_exact"),
+        (F.count_if(F.col("rank") <= 10) >= 9).alias("enough_found"))
+
+
+@case("search_text", """
+SELECT 'q' AS query_id, id AS message_id, rank FROM (
+  SELECT id, row_number() OVER (ORDER BY id) AS rank FROM {messages} WHERE content = (SELECT content FROM {messages} WHERE id = 'm_0')) WHERE rank <= 1""")
 def _(spark, folder, g):
-    return ve.vector_search_approx(g.vectors, ve.stored_vector(g.vectors, "m_0"), 10)
+    """The text of a message finds the first message with that text."""
+    vectors = en.embed_hashed(g.messages, 64)
+    text = g.messages.filter("id = 'm_0'").select("content").first()[0]
+    return ve.search_text(vectors, {"q": text}, lambda texts: en.embed_texts(spark, texts, 64), 1).select("query_id", "message_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @case("add_vectors", """
@@ -802,14 +889,37 @@ def _(spark, folder, g):
     )
 
 
-@case("cluster_kmeans")
-def _(spark, folder, g):
-    return cl.cluster_kmeans(g.vectors, k=10, n_init=3)[0]
-
-
-@case("compare_k_values")
-def _(spark, folder, g):
-    return cl.compare_k_values(g.vectors, ks=(5, 10), n_init=2)
+@case("cluster_kmeans", "SELECT count(*) AS n, count(DISTINCT message_id) AS ids, CAST(10 AS BIGINT) AS clusters, true AS in_range, true AS settled, true AS inertia_sound FROM {vectors}")
+def _(spark, folder, g):
+    """What must hold for any fit: every id once, labels in range, hardly a vector nearer to another cluster's centre, and a sound inertia."""
+    labels, inertia = cl.cluster_kmeans(g.vectors, k=10, n_init=3, max_iter=100)
+    unit = cl.l2_normalize(g.vectors.select("message_id", "embedding")).join(labels, "message_id")
+    x = unit.select("message_id", "cluster_id", F.posexplode("embedding").alias("dim", "x")).cache()
+    centres = x.groupBy("cluster_id", "dim").agg(F.avg("x").alias("mu"))
+    gaps = x.join(centres.withColumnRenamed("cluster_id", "other"), "dim").groupBy("message_id", "cluster_id", "other").agg(
+        F.sum((F.col("x") - F.col("mu")) ** 2).alias("d"))
+    per = gaps.groupBy("message_id", "cluster_id").agg(
+        F.min("d").alias("best"), F.max(F.when(F.col("other") == F.col("cluster_id"), F.col("d"))).alias("own"))
+    grand = x.groupBy("dim").agg(F.avg("x").alias("mu"))
+    total = x.join(grand, "dim").agg(F.sum((F.col("x") - F.col("mu")) ** 2).alias("total"))
+    # Inertia is taken to the centres the fit assigned to; those of the final members can only be nearer.
+    return per.agg(
+        F.count("*").alias("n"), F.count_distinct("message_id").alias("ids"), F.count_distinct("cluster_id").alias("clusters"),
+        F.bool_and(F.col("cluster_id").between(0, 9)).alias("in_range"),
+        (F.avg((F.col("own") <= F.col("best") + 1e-6).cast("double")) > 0.99).alias("settled"), F.sum("own").alias("within"),
+    ).join(total).select(
+        "n", "ids", "clusters", "in_range", "settled",
+        ((F.col("within") <= F.lit(inertia) + 1e-4) & (F.lit(inertia) < F.col("total") * 1.01)).alias("inertia_sound"))
+
+
+@case("compare_k_values", "SELECT * FROM (VALUES (5, true, true, true, true), (10, true, true, true, true)) t(k, silhouette_sound, ch_sound, db_sound, falls)")
+def _(spark, folder, g):
+    """One row per k, scores in their ranges, and an inertia that falls as k grows."""
+    rows = cl.compare_k_values(g.vectors, ks=(5, 10), n_init=2)
+    before = F.lag("inertia", 1, float("inf")).over(Window.orderBy("k"))
+    return rows.select(
+        F.col("k").cast("bigint").alias("k"), F.col("silhouette").between(-1, 1).alias("silhouette_sound"), (F.col("calinski_harabasz") > 0).alias("ch_sound"),
+        (F.col("davies_bouldin") > 0).alias("db_sound"), (F.col("inertia") < before).alias("falls"))
 
 
 PAIRWISE = f"""WITH {UNIT},
@@ -824,9 +934,9 @@ def _(spark, folder, g):
     return cl.silhouette(labelled(g)).select(F.round("silhouette", 6).alias("silhouette"))
 
 
-@case("silhouette_euclidean", PAIRWISE.replace("{gap}", "sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) ** 2)))"))
+@case("silhouette_euclidean", PAIRWISE.replace("{gap}", "list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) ** 2))"))
 def _(spark, folder, g):
-    return cl.silhouette(labelled(g), "euclidean").select(F.round("silhouette", 6).alias("silhouette"))
+    return cl.silhouette(labelled(g), "squaredEuclidean").select(F.round("silhouette", 6).alias("silhouette"))
 
 
 CENTRES = UNIT + """, c AS (SELECT label, dim, avg(val) AS mu, count(*) AS n FROM x GROUP BY 1, 2), t AS (SELECT dim, avg(val) AS mu FROM x GROUP BY 1)"""
@@ -879,9 +989,14 @@ def _(spark, folder, g):
     return cl.cluster_members(with_noise(g), g.messages)
 
 
-@case("cluster_within_category")
+@case("cluster_within_category", """
+WITH p AS (SELECT DISTINCT v.message_id, t.category, v.embedding FROM {vectors} v JOIN {lab} t ON t.message_id = v.message_id)
+SELECT category, count(*) AS n, least(count(DISTINCT embedding), 3) AS k, true AS in_range FROM p GROUP BY 1""")
 def _(spark, folder, g):
-    return cl.cluster_within_category(g.vectors, g.message_taxonomy, list(g.categories), k=3, n_init=1)
+    """Per category: every member once, and labels within the number of clusters used."""
+    rows = cl.cluster_within_category(g.vectors, g.message_taxonomy, list(g.categories), k=3, n_init=1)
+    return rows.groupBy("category", "k").agg(
+        F.count_distinct("message_id").alias("n"), (F.bool_and(F.col("cluster_id") < F.col("k")) & (F.count("*") == F.count_distinct("message_id"))).alias("in_range"))
 
 
 # --- 2F graph ------------------------------------------------------------------------------------
@@ -978,7 +1093,7 @@ def _(spark, folder, g):
 @case("co_requested", """
 WITH s AS (SELECT name, count(*) AS size FROM {wants} GROUP BY name),
 p AS (SELECT x.name AS a, y.name AS b, count(*) AS n FROM {wants} x JOIN {wants} y ON x.user_id = y.user_id AND x.name < y.name GROUP BY 1, 2)
-SELECT a, b, n, round(n / (sa.size + sb.size - n), 9) AS strength FROM p JOIN s sa ON sa.name = a JOIN s sb ON sb.name = b WHERE n / (sa.size + sb.size - n) > 0.3""")
+SELECT a, b, n, round(n / (sa.size + sb.size - n), 9) AS strength FROM p JOIN s sa ON sa.name = a JOIN s sb ON sb.name = b WHERE n / (sa.size + sb.size - n) > 0.3 AND n >= 2""")
 def _(spark, folder, g):
     return gr.co_requested(g).withColumn("strength", F.round("strength", 9))
 
@@ -1086,24 +1201,19 @@ def _(spark, folder, g):
     return qu.feature_wishlist_champions(g)
 
 
-def chunked(keys: str, rows: str, per_row: int) -> str:
-    return f"""SELECT {keys}, n, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % CAST(ceil(n / {per_row}.0) AS BIGINT) AS part,
-  string_agg(content, '{SEP}' ORDER BY {NEWEST}) AS all_contents FROM ({rows}) GROUP BY ALL"""
-
-
-@case("customization_seekers", chunked("username, platform", """
-SELECT u.username, u.platform, f.id, f.timestamp, f.content, count(*) OVER (PARTITION BY u.username, u.platform) AS n
-FROM {facts} f JOIN {users} u ON u.id = f.author_id WHERE f.category = 'customization_requests'""", 4))
+@case("customization_seekers", """
+SELECT u.username, u.platform, count(*) OVER (PARTITION BY u.username, u.platform) AS n, f.timestamp, f.id, f.content
+FROM {facts} f JOIN {users} u ON u.id = f.author_id WHERE f.category = 'customization_requests'""")
 def _(spark, folder, g):
-    return qu.customization_seekers(g, per_row=4)
+    return qu.customization_seekers(g)
 
 
-@case("export_integration_requesters", "SELECT username, platform, total_messages, n, part, all_contents FROM (" + chunked("author_id, username, platform, total_messages", """
+@case("export_integration_requesters", """
 WITH t AS (SELECT author_id, count(*) AS n FROM {facts} WHERE category = 'integration_requests' AND author_id IN (SELECT id FROM {users}) GROUP BY 1 ORDER BY n DESC, author_id LIMIT 100)
-SELECT t.author_id, t.n, u.username, u.platform, u.message_count AS total_messages, f.id, f.timestamp, f.content FROM {facts} f JOIN t ON t.author_id = f.author_id JOIN {users} u ON u.id = f.author_id
-WHERE f.category = 'integration_requests'""", 4) + ")")
+SELECT u.username, u.platform, u.message_count AS total_messages, t.n, f.timestamp, f.id, f.content FROM {facts} f JOIN t ON t.author_id = f.author_id JOIN {users} u ON u.id = f.author_id
+WHERE f.category = 'integration_requests'""")
 def _(spark, folder, g):
-    return qu.export_integration_requesters(g, per_row=4)
+    return qu.export_integration_requesters(g)
 
 
 @case("thread_depth_by_topic", """
@@ -1464,7 +1574,7 @@ def run_stream(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     target = os.path.join(out, "rows")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(target)
+        batch.write.mode("append").parquet(target)
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(out, "checkpoint"))
@@ -1476,11 +1586,17 @@ def run_stream(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 @case("stream_ingest_dedup", "SELECT 'm_' || CAST(event_id AS STRING) AS id, 'u_' || CAST(user_id AS STRING) AS author_id FROM {events}")
 def _(spark, folder, g):
-    rows = event_stream(spark, folder)
-    twice = rows.withColumn("id", F.explode(F.array("id", "id")))
-    once = st.event_time(twice).withWatermark("event_time", "2 days").dropDuplicatesWithinWatermark(["id"]).drop("event_time")
     out = work_folder(spark)
-    target = os.path.join(out, "messages")
+    landing, target = os.path.join(out, "landing"), os.path.join(out, "messages")
+    base_table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("string").alias("ts")).write.json(landing)
+
+    def normal(rows: DataFrame) -> DataFrame:
+        made = rows.select(
+            F.concat(F.lit("m_"), "event_id").alias("id"), F.concat(F.lit("u_"), "user_id").alias("author_id"), F.lit("x").alias("content"),
+            F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("timestamp"))
+        return made.withColumn("id", F.explode(F.array("id", "id")))
+
+    once = st.stream_ingest_dedup(spark, landing, "event_id long, user_id long, ts string", normal)
     for attempt in ("first", "replay"):
         # The second run has a fresh checkpoint: it replays every row and must add none.
         (once.writeStream.option("checkpointLocation", os.path.join(out, attempt)).trigger(availableNow=True)
@@ -1491,7 +1607,11 @@ def _(spark, folder, g):
 @case("stream_user_activity", """
 SELECT 'u_' || CAST(user_id AS STRING) AS author_id, count(*) AS message_count, min({epoch}) AS first_seen, max({epoch}) AS last_seen FROM {events} e GROUP BY 1""")
 def _(spark, folder, g):
-    return run_stream(spark, st.stream_user_activity(event_stream(spark, folder)), "complete")
+    out = work_folder(spark)
+    stream, target = st.stream_user_activity(event_stream(spark, folder)), os.path.join(out, "updates")
+    (stream.writeStream.outputMode("update").option("checkpointLocation", os.path.join(out, "checkpoint")).trigger(availableNow=True)
+     .foreachBatch(st.merge_updates(target)).start().awaitTermination())
+    return st.latest_updates(spark, target, "author_id string, message_count long, first_seen long, last_seen long", "author_id")
 
 
 @case("stream_daily_category_counts", """
@@ -1547,16 +1667,3 @@ def _(spark, folder, g):
         for name, c in sums.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-# --- density clusters (rows only: the method has no SQL form) ------------------------------------
-
-
-@case("cluster_density")
-def _(spark, folder, g):
-    return de.cluster_density(g.vectors, min_cluster_size=15, min_samples=5)
-
-
-@case("reduce_then_cluster")
-def _(spark, folder, g):
-    return de.reduce_then_cluster(g.vectors, n_components=16, min_cluster_size=15, min_samples=5)

@@ -105,13 +105,13 @@ def test_co_requested_against_all_pairs(spark):
         if cats:
             for e in ents:
                 users.setdefault(e, set()).add(author)
-    for threshold in (0.3, 0.6):
+    for threshold, shared in ((0.3, 1), (0.6, 1), (0.3, 2)):
         expected = {
             (a, b): (len(users[a] & users[b]), round(len(users[a] & users[b]) / len(users[a] | users[b]), 9))
             for a, b in itertools.combinations(sorted(users), 2)
-            if len(users[a] & users[b]) / len(users[a] | users[b]) > threshold
+            if len(users[a] & users[b]) / len(users[a] | users[b]) > threshold and len(users[a] & users[b]) >= shared
         }
-        out = {(r.a, r.b): (r.n, round(r.strength, 9)) for r in gr.co_requested(g, threshold).collect()}
+        out = {(r.a, r.b): (r.n, round(r.strength, 9)) for r in gr.co_requested(g, threshold, min_shared=shared).collect()}
         assert expected and out == expected
 
 
@@ -153,13 +153,17 @@ def test_spread_join_equals_join(spark):
 
 def test_texts_of_hot_names_are_whole(spark):
     posts = [(f"m{i}", "u0" if i % 3 else "u1", i, None, ["customization_requests"], []) for i in range(300)]
-    rows = qu.customization_seekers(corpus(spark, posts), per_row=20).collect()
+    rows = qu.customization_seekers(corpus(spark, posts)).collect()
     for name, n in (("name u0", 200), ("name u1", 100)):
-        texts = [t for r in rows if r.username == name for t in r.all_contents]
+        texts = [r.content for r in rows if r.username == name]
         assert len(texts) == len(set(texts)) == n and {r.n for r in rows if r.username == name} == {n}
-    assert max(len(r.all_contents) for r in rows) < 60
-    whole = qu.customization_seekers(corpus(spark, posts)).collect()
-    assert len(whole) == 2 and whole[0].all_contents[0] in ("text m299", "text m297")
+
+
+def test_one_heavy_user_pairs_nothing(spark):
+    """Entities that one user alone asks for would all be alike; they need two shared users."""
+    posts = [(f"m{i}", "u0", i, None, ["feature_requests"], [f"e{i}"]) for i in range(80)]
+    posts += [(f"n{i}", f"u{i}", 500 + i, None, ["feature_requests"], ["x", "y"]) for i in range(1, 4)]
+    assert [tuple(r)[:3] for r in gr.co_requested(corpus(spark, posts)).collect()] == [("x", "y", 3)]
 
 
 def test_integer_rounding(spark):

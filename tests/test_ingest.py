@@ -32,11 +32,13 @@ def test_user_writes(spark, small_corpus):
     assert ignored["reddit_u2"].username == "bob" and ignored["new"].first_seen == 900
 
 
-def test_depth_caps_cycles_and_unknown_parents(spark):
-    rows = [("p", None), ("a", "p"), ("b", "a"), ("c", "b"), ("lost", "gone"), ("x", "y"), ("y", "x"), ("self", "self")]
+def test_depth_of_cycles_and_unknown_parents(spark):
+    rows = [("p", None), ("a", "p"), ("b", "a"), ("c", "b"), ("lost", "gone"), ("x", "y"), ("y", "x"), ("self", "self"), ("tail", "x"), ("tail2", "tail")]
     df = spark.createDataFrame(rows, "id string, parent_id string")
-    depth = {r.id: r.depth for r in ing.comment_depth(df, cap=7).collect()}
-    assert depth == {"p": 0, "a": 1, "b": 2, "c": 3, "lost": 0, "x": 7, "y": 7, "self": 7}
+    rows = ing.comment_depth(df).collect()
+    cyclic = {"x", "y", "self", "tail", "tail2"}
+    assert {r.id: r.depth for r in rows} == {"p": 0, "a": 1, "b": 2, "c": 3, "lost": 0, **dict.fromkeys(cyclic)}
+    assert {r.id for r in rows if r.on_cycle} == cyclic
     rooted = {r.id: r.depth for r in ing.comment_depth(df.filter("id in ('p','a','b','c')"), root_prefix="p").collect()}
     assert rooted == {"p": 0, "a": 0, "b": 1, "c": 2}
 
@@ -46,7 +48,7 @@ def test_long_chain(spark):
         F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("parent_id")
     )
     depth = {r.id: r.depth for r in ing.comment_depth(df).collect()}
-    assert all(depth[f"n{i}"] == min(i, 51) for i in range(200))
+    assert all(depth[f"n{i}"] == i for i in range(200))
 
 
 def test_violations(spark, small_corpus):
@@ -63,6 +65,82 @@ def test_violations(spark, small_corpus):
     }
 
 
+def test_violations_of_every_table(spark, small_corpus):
+    from dataclasses import replace
+
+    def rules(**tables):
+        return {(r.table, r.rule) for r in ing.validate_corpus(replace(small_corpus, **tables)).collect()}
+
+    frame = spark.createDataFrame
+    # The source may be missing; the time of collection and the platform may not.
+    loose = frame([("z", "reddit", "t", "reddit_u2", 1, 1, None, None, None)], schemas.MESSAGES)
+    assert rules(messages=small_corpus.messages.unionByName(loose)) == set()
+    late = frame([("z", "reddit", "t", "reddit_u2", 1, None, "s", None, None), ("y", None, "t", "reddit_u2", 1, 1, "s", None, None)], schemas.MESSAGES)
+    assert rules(messages=small_corpus.messages.unionByName(late)) == {("messages", "required")}
+    users = frame([("n", None, "x", None, 0, 0, 0, None), ("o", "reddit", None, None, 0, 0, 0, None)], schemas.USERS)
+    assert rules(users=small_corpus.users.unionByName(users)) == {("users", "required")}
+    runs = frame([(1, "kmeans", "{}", 1, 0, 1, None, None, 5)], schemas.CLUSTERING_RUNS)
+    clusters = frame([(1, "discord_1", 0, 5), (9, "discord_1", 0, 5), (1, "absent", 0, 5)], schemas.MESSAGE_CLUSTERS)
+    assert rules(clustering_runs=runs, message_clusters=clusters) == {("message_clusters", "run_exists"), ("message_clusters", "message_exists")}
+    labels = frame([(1, "absent", "questions", 5), (9, "discord_1", "questions", 5)], schemas.MESSAGE_TAXONOMY)
+    taxonomy = frame([(1, "m", "v", 1, 1, 1, None, 5)], schemas.TAXONOMY_RUNS)
+    assert rules(message_taxonomy=labels, taxonomy_runs=taxonomy) == {("message_taxonomy", "run_exists"), ("message_taxonomy", "message_exists")}
+    refs = frame([(1, "absent", "c", "m", 0)], schemas.EMBEDDING_REFS)
+    assert rules(embeddings_reference=refs) == {("embeddings_reference", "message_exists")}
+
+
+def test_last_update_wins(spark, small_corpus):
+    updates = [("reddit_u2", "reddit", name, None, 0, 0, 0, None, place) for place, name in enumerate(("alice", "zed", "mia"))]
+    incoming = spark.createDataFrame(updates, schemas.USERS + ", place int")
+    first = {r.id: r.username for r in ing.upsert_users(small_corpus.users, incoming, 9, "place").collect()}
+    assert first["reddit_u2"] == "mia"
+    read = {r.id: r.username for r in ing.upsert_users(small_corpus.users, incoming.coalesce(1).drop("place").limit(2), 9).collect()}
+    assert read["reddit_u2"] == "zed"
+    labels = spark.createDataFrame([("a", 7, 1), ("a", 2, 2)], "message_id string, cluster_id int, place int")
+    none = spark.createDataFrame([], schemas.MESSAGE_CLUSTERS)
+    assert [tuple(r) for r in tb.save_cluster_assignments(none, 1, labels, "place").collect()] == [(1, "a", 2)]
+
+
+def test_append_knows_ids_of_any_day(spark, tmp_path):
+    from chatterlens.streaming.streams import append_new
+
+    target = str(tmp_path / "t")
+    write = append_new(target)
+    rows = lambda *r: spark.createDataFrame(r, "id string, content string, timestamp long")
+    write(rows(("a", "x", 1_700_000_000), ("n", "x", None)), 0)
+    write(rows(("a", "x", 1_700_000_000 + 5 * 86400), ("n", "x", None), ("b", "x", 5)), 1)
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == ["a", "b", "n"]
+
+
+def test_depth_is_filled_into_metadata(spark):
+    import json
+
+    meta = '{"type":"comment","upvotes":3,"awards":["gold"]}'
+    rows = [("reddit_t1_a", "reddit_t3_p", meta), ("reddit_t1_b", "reddit_t1_a", meta), ("reddit_t3_p", None, '{"type":"post"}')]
+    out = {r.id: json.loads(r.metadata) for r in ing.with_comment_depth(spark.createDataFrame(rows, "id string, parent_id string, metadata string")).collect()}
+    assert out["reddit_t1_a"]["depth"] == 0 and out["reddit_t1_b"]["depth"] == 1 and out["reddit_t1_b"]["awards"] == ["gold"] and out["reddit_t3_p"] == {"type": "post"}
+
+
+def test_cluster_without_checkpoint_folder_is_refused():
+    from checks.cases import work_folder
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_folder(Session())
+
+
 def test_corpus_round_trip(spark, small_corpus, tmp_path):
     for name in ("messages", "users", "message_taxonomy", "extracted_entities"):
         getattr(small_corpus, name).write.parquet(str(tmp_path / name))
