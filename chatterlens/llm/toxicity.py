@@ -4,7 +4,8 @@ Two interpolated models, one of toxic and one of ordinary labelled documents, co
 word occurs; absolute discounts free the mass that backs off from pairs to words and from words to shared counts, the
 number of all documents that hold the word. Rare expressions therefore have the same backoff probability in both
 models and say nothing. A document's events are its distinct pairs of neighbouring words; their log-likelihood ratios,
-normalised by length, and its strongest single ratios are the features of a logistic calibration. Labelled documents
+normalised by length, and the strongest ratios of single words under the backed-off models are the features of a
+logistic calibration. Labelled documents
 are calibrated with their own counts taken out of the models.
 
 Bounds (parameters): the classifier is fitted on at most ``sample_rows`` labelled rows, those with the smallest hash of
@@ -34,7 +35,7 @@ LEAST_DOCS = 3
 DISCOUNT = 2.0
 HELD_KEYS = 400_000  # keys that a task gathers before it hands on their counts
 APART = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-FEATURES = 7
+FEATURES = 9
 
 
 def held_out(id_col: str) -> Column:
@@ -70,8 +71,18 @@ class Model:
         find = self.index.get
         return np.array([find(w, -1) for w in words_of(text)], np.int64)
 
-    def ratios(self, numbers: np.ndarray, own: int | None) -> np.ndarray:
-        """Log-likelihood ratio of every distinct pair event; ``own`` is the class whose models hold this document."""
+    def word_chance(self, word: np.ndarray, c: int, own: int | None) -> np.ndarray:
+        """The chance of words in a class: discounted counts, and the shared counts in what the discounts freed."""
+        mine = 1.0 if own == c else 0.0
+        return np.maximum(self.by_class[c][word] - mine - DISCOUNT, 0) / self.total[c] + self.freed[c] * self.base[word]
+
+    def word_ratios(self, numbers: np.ndarray, own: int | None) -> np.ndarray:
+        """Log-likelihood ratio of every distinct word, above that of a word that neither model has kept."""
+        words = np.unique(numbers[numbers >= 0])
+        return np.log(self.word_chance(words, 1, own) / self.word_chance(words, 0, own)) - self.offset
+
+    def pair_ratios(self, numbers: np.ndarray, own: int | None) -> np.ndarray:
+        """Log-likelihood ratio of every distinct pair of neighbouring words; ``own`` is the class whose models hold this document."""
         if not len(numbers):
             return np.empty(0)
         size = len(self.shared) + 1
@@ -87,7 +98,7 @@ class Model:
         logs = []
         for c in (0, 1):
             mine = 1.0 if own == c else 0.0
-            chance = np.maximum(self.by_class[c][word] - mine - DISCOUNT, 0) / self.total[c] + self.freed[c] * self.base[word]
+            chance = self.word_chance(word, c, own)
             if len(p):
                 room = np.maximum(self.context[c][v] - mine, 1.0)
                 kept = np.maximum(self.pairs[c][p] - mine - DISCOUNT, 0) / room
@@ -99,13 +110,12 @@ class Model:
         return made
 
     def features(self, text: str, own: int | None) -> list[float]:
+        """The length-normalised ratio of the pair model, the length, and the strongest ratios of the word model."""
         numbers = self.numbers(text)
-        ratios = self.ratios(numbers, own)
-        n = max(1, len(numbers))
-        top = np.sort(ratios)[::-1][:5]
-        top = np.pad(top, (0, 5 - len(top)))
-        total = float(ratios.sum())
-        return [total / n, total / n**0.5, n**0.5, float(np.log(n)), float(top[0]), float(top[:3].sum()), float(top.sum())]
+        total, n = float(self.pair_ratios(numbers, own).sum()), max(1, len(numbers))
+        top = np.sort(self.word_ratios(numbers, own))[::-1][:8]
+        top = np.pad(top, (0, 8 - len(top)))
+        return [total / n, total / n**0.5, n**0.5, float(np.log(n)), *map(float, top[:4]), float(top[4:].sum())]
 
 
 def flushed(counter: dict, kind: pa.DataType, columns: int) -> pa.RecordBatch:
