@@ -95,33 +95,39 @@ def category_recount(g: Corpus) -> DataFrame:
 def graph_stats(g: Corpus) -> DataFrame:
     """Nodes by label, edges by type, messages by category with their share, and by platform."""
 
-    def total(n: DataFrame, kind: str, key: str) -> DataFrame:
-        return n.select(F.lit(kind).alias("kind"), F.lit(key).alias("key"), F.coalesce("n", F.lit(0)).alias("n"))
-
-    def summed(counts: DataFrame) -> DataFrame:
-        return counts.agg(F.sum("n").alias("n"))
-
-    # Totals are sums of the grouped counts, so each table is read once.
-    by_platform = g.classified_messages("platform").groupBy(F.col("platform").alias("key")).agg(F.count("*").alias("n"))
-    by_category = category_recount(g).select(F.col("name").alias("key"), F.col("message_count").alias("n"))
-    posted = g.classified_messages("author_id").groupBy("author_id").agg(F.count("*").alias("n")).join(
-        g.authors(), "author_id", "left_semi"
+    names = list(g.categories)
+    # One row per message with its categories as bits, then per (platform, bits, author): all message figures come from it.
+    labels = g.message_taxonomy.groupBy(F.col("message_id").alias("id")).agg(F.bit_or(name_bit("category", names)).alias("bits"))
+    grouped = g.messages.select("id", "author_id", "platform").join(labels, "id").groupBy("author_id", "platform", "bits").agg(F.count("*").alias("n"))
+    known = g.authors().withColumn("known", F.lit(True))
+    per = grouped.join(known, "author_id", "left").groupBy("platform", "bits", "known").agg(F.sum("n").alias("n"))
+
+    def figure(kind: str, key: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), n.cast("bigint").alias("n"))
+
+    n, zero = F.col("n"), F.lit(0)
+    figures = F.concat(
+        F.array(
+            figure("node", F.lit("Message"), n), figure("edge", F.lit("POSTED"), F.when(F.col("known"), n).otherwise(zero)),
+            figure("edge", F.lit("CLASSIFIED_AS"), n * F.bit_count("bits")), figure("platform", F.col("platform"), n),
+        ),
+        F.transform(names_in_bits("bits", names), lambda c: figure("category", c, F.col("n"))),
     )
-    parts = [
-        total(g.taxonomy.agg(F.count("*").alias("n")), "node", "Category"),
-        total(g.users.agg(F.count("*").alias("n")), "node", "User"),
-        total(summed(by_platform), "node", "Message"),
-        total(summed(posted), "edge", "POSTED"),
-        total(summed(by_category), "edge", "CLASSIFIED_AS"),
-        total(summed(g.reply_counts()), "edge", "REPLIES_TO"),
-        by_category.select(F.lit("category").alias("kind"), "key", "n"),
-        by_platform.select(F.lit("platform").alias("kind"), "key", "n"),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    share = F.when(F.col("kind") == "category", pct(F.col("n"), summed(by_platform).scalar()))
-    return result.withColumn("pct", share)
+
+    def fixed(df: DataFrame, kind: str, key: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.lit(key).alias("key"), F.coalesce("n", zero).cast("bigint").alias("n"))
+
+    # Kinds that have no message still get their row.
+    empty = g.spark.createDataFrame(
+        [("node", "Message", 0), ("edge", "POSTED", 0), ("edge", "CLASSIFIED_AS", 0), *(("category", c, 0) for c in names)], "kind string, key string, n bigint")
+    rows = per.select(F.explode(figures).alias("f")).select("f.*").unionByName(empty)
+    rows = rows.unionByName(fixed(g.taxonomy.agg(F.count("*").alias("n")), "node", "Category"))
+    rows = rows.unionByName(fixed(g.users.agg(F.count("*").alias("n")), "node", "User"))
+    rows = rows.unionByName(fixed(g.reply_counts().agg(F.sum("n").alias("n")), "edge", "REPLIES_TO"))
+    sums = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # A few dozen rows: the share needs the number of messages beside each.
+    messages = F.max(F.when((F.col("kind") == "node") & (F.col("key") == "Message"), F.col("n"))).over(Window.partitionBy())
+    return sums.withColumn("messages", messages).select("kind", "key", "n", F.when(F.col("kind") == "category", pct(F.col("n"), F.col("messages"))).alias("pct"))
 
 
 def user_message_counts(g: Corpus) -> DataFrame:

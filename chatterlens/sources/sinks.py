@@ -46,3 +46,16 @@ def write_cluster_samples(samples: DataFrame, path: str) -> None:
         ),
         path,
     )
+
+
+def write_themes(themes: DataFrame, top_keywords: DataFrame, path: str) -> None:
+    """One JSON row per theme: messages, users, categories and its most frequent keywords."""
+    words = top_keywords.groupBy("theme").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword", "n"))), lambda w: F.struct(w["keyword"].alias("keyword"), w["n"].alias("n"))).alias("top_keywords")
+    )
+    write_json(themes.join(words, "theme", "left"), path)
+
+
+def write_cross_patterns(cross: DataFrame, path: str) -> None:
+    """One JSON row per keyword that spans several categories, with its counts per category."""
+    write_json(cross, path)

@@ -11,6 +11,7 @@ import os
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -457,17 +458,19 @@ def _(spark, folder, g):
 
 
 @case("append_entity", """
-SELECT count(*) AS n, count(DISTINCT id) AS ids, sum(CASE WHEN fresh AND id <= last THEN 1 ELSE 0 END)::BIGINT AS reused FROM (
-  SELECT id, false AS fresh, 0 AS last FROM {extracted_entities}
-  UNION ALL SELECT 1000000000 + id, true, 0 FROM {extracted_entities} WHERE entity_type = 'feature')""")
+WITH grown AS (SELECT message_id, entity_type, entity_name, context, false AS fresh FROM {extracted_entities}
+  UNION ALL SELECT message_id, entity_type, entity_name, 'new', true FROM {extracted_entities} WHERE entity_type = 'feature')
+SELECT message_id, entity_type, entity_name, context, fresh, true AS id_sound FROM grown""")
 def _(spark, folder, g):
+    """All old rows with their ids, and the new ones with unique ids above the last."""
     e = g.extracted_entities
     last = e.agg(F.max("id")).scalar()
     grown = tb.append_entity(e, e.filter("entity_type = 'feature'").drop("id").withColumn("context", F.lit("new")))
-    return grown.agg(
-        F.count("*").alias("n"), F.count_distinct("id").alias("ids"),
-        F.count_if((F.col("context") == "new") & (F.col("id") <= last)).alias("reused"),
-    )
+    grown = grown.withColumn("fresh", F.col("context") == "new")
+    ids = grown.groupBy("id").agg(F.count("*").alias("uses"))
+    return grown.join(ids, "id").select(
+        "message_id", "entity_type", "entity_name", "context", "fresh",
+        ((F.col("uses") == 1) & ((F.col("id") > last) == F.col("fresh")) & (F.col("fresh") | (F.col("message_id") == F.concat(F.lit("m_"), "id")))).alias("id_sound"))
 
 
 @case("entities_by_type", "SELECT id, entity_name, confidence FROM {extracted_entities} WHERE entity_type = 'pain_point' AND (confidence IS NULL OR confidence >= 0.4)")
@@ -541,15 +544,13 @@ def _(spark, folder, g):
 
 
 @case("save_classifications", f"""
-SELECT taxonomy_run_id, category, count(*) AS n, max(created_at) AS created_at FROM (
-  SELECT taxonomy_run_id, category, created_at FROM {{message_taxonomy}}
-  UNION ALL SELECT 3, 'questions', {NOW} FROM {{messages}} WHERE id NOT IN (SELECT message_id FROM {{message_taxonomy}})) GROUP BY 1, 2""")
+SELECT taxonomy_run_id, message_id, category, created_at FROM {{message_taxonomy}}
+UNION ALL SELECT 3, id, 'questions', {NOW} FROM {{messages}} WHERE id NOT IN (SELECT message_id FROM {{message_taxonomy}})""")
 def _(spark, folder, g):
     fresh = tb.unclassified_messages(g.messages, g.message_taxonomy, 0).select(
         F.col("id").alias("message_id"), F.lit("questions").alias("category")
     )
-    rows = tb.save_classifications(g.message_taxonomy, 3, fresh, NOW)
-    return rows.groupBy("taxonomy_run_id", "category").agg(F.count("*").alias("n"), F.max("created_at").alias("created_at"))
+    return tb.save_classifications(g.message_taxonomy, 3, fresh, NOW).select("taxonomy_run_id", "message_id", "category", "created_at")
 
 
 @case("latest_taxonomy_run", "SELECT id, model, n_messages, total_batches, processing_time_seconds, created_at FROM {taxonomy_runs} ORDER BY created_at DESC, id DESC LIMIT 1")
@@ -838,12 +839,16 @@ def _(spark, folder, g):
 
 
 @case("add_vectors", """
-SELECT 'm_' || CAST(vec_id AS STRING) AS message_id, CAST(len(embedding) AS BIGINT) AS dims FROM {embeddings}
-UNION ALL SELECT 'n_' || CAST(vec_id AS STRING), CAST(len(embedding) AS BIGINT) FROM {embeddings}""")
+WITH v AS (SELECT 'm_' || CAST(vec_id AS STRING) AS message_id, embedding AS e FROM {embeddings} UNION ALL SELECT 'n_' || CAST(vec_id AS STRING), embedding FROM {embeddings})
+SELECT message_id, CAST(len(e) AS BIGINT) AS dims, CAST(e[1] AS DOUBLE) AS first, CAST(e[64] AS DOUBLE) AS last FROM v""")
 def _(spark, folder, g):
     v = g.vectors.select("message_id", "embedding")
     fresh = v.withColumn("message_id", F.replace("message_id", F.lit("m_"), F.lit("n_")))
-    return ve.add_vectors(v, v.unionByName(fresh).unionByName(fresh), 64).select("message_id", F.size("embedding").alias("dims"))
+    # The ids that are known come with other vectors, which must not replace the stored ones.
+    changed = v.withColumn("embedding", F.transform("embedding", lambda x: x + 1))
+    rows = ve.add_vectors(v, changed.unionByName(fresh).unionByName(fresh), 64)
+    value = lambda i: F.element_at("embedding", i).cast("double")
+    return rows.select("message_id", F.size("embedding").alias("dims"), value(1).alias("first"), value(64).alias("last"))
 
 
 @case("vector_exists", "SELECT count(*) > 0 AS exists FROM {vectors} WHERE message_id = 'm_3'")
@@ -1645,25 +1650,51 @@ def _(spark, folder, g):
     return spark.read.parquet(target).select("id", "author_id", "timestamp")
 
 
-@case("write_cluster_samples", "SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(*) AS size, least(count(*), 5) AS samples FROM {message_clusters} WHERE cluster_id <> -1 GROUP BY 1")
+@case("write_cluster_samples", """
+WITH r AS (SELECT c.cluster_id, c.message_id, count(*) OVER (PARTITION BY c.cluster_id) AS size,
+  row_number() OVER (PARTITION BY c.cluster_id ORDER BY md5(c.message_id || '42'), c.message_id) AS rank FROM {message_clusters} c WHERE c.cluster_id <> -1)
+SELECT CAST(cluster_id AS BIGINT) AS cluster_id, size, string_agg(r.message_id || '/' || md5(substring(m.content, 1, 200)), ' | ' ORDER BY r.message_id) AS samples
+FROM r JOIN {messages} m ON m.id = r.message_id WHERE rank <= 5 GROUP BY 1, 2""")
 def _(spark, folder, g):
     path = os.path.join(work_folder(spark), "samples")
     sinks.write_cluster_samples(cl.cluster_samples(with_noise(g), g.messages), path)
     rows = spark.read.schema("cluster_id bigint, size bigint, samples array<struct<id:string,preview:string>>").json(path)
-    return rows.select("cluster_id", "size", F.size("samples").alias("samples"))
+    return rows.select("cluster_id", "size", F.transform("samples", lambda s: F.concat(s["id"], F.lit("/"), F.md5(s["preview"]))).alias("samples"))
 
 
-@case("read_corpus", """
-SELECT 'messages' AS name, count(*) AS n, CAST(sum(timestamp) AS DOUBLE) AS total FROM {messages} UNION ALL SELECT 'users', count(*), CAST(sum(message_count) AS DOUBLE) FROM {users}
-UNION ALL SELECT 'message_taxonomy', count(*), CAST(sum(created_at) AS DOUBLE) FROM {message_taxonomy}""")
+CORPUS_SUMS = {
+    "messages": "timestamp", "users": "message_count", "message_taxonomy": "created_at", "extracted_entities": "confidence", "embeddings_reference": "id",
+    "clustering_runs": "n_samples", "message_clusters": "cluster_id", "taxonomy_runs": "n_messages", "vectors": "timestamp",
+}
+
+
+@case("read_corpus", " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS n, round(CAST(sum({c}) AS DOUBLE), 6) AS total FROM {{{name}}}" for name, c in CORPUS_SUMS.items()))
 def _(spark, folder, g):
+    """All nine tables, written and opened again."""
     out = work_folder(spark)
-    sums = {"messages": "timestamp", "users": "message_count", "message_taxonomy": "created_at"}
-    for name in sums:
+    for name in CORPUS_SUMS:
         getattr(g, name).write.parquet(os.path.join(out, name))
     opened = read_corpus(spark, out)
     parts = [
-        getattr(opened, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(c).cast("double").alias("total"))
-        for name, c in sums.items()
+        getattr(opened, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.sum(c).cast("double"), 6).alias("total"))
+        for name, c in CORPUS_SUMS.items()
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
+
+
+@case("write_themes", f"""
+WITH {TOP_WORDS}, ts AS (SELECT theme, count(*) AS messages, count(DISTINCT username) AS users, array_to_string(list_sort(list(DISTINCT category)), '{SEP}') AS categories FROM tm GROUP BY theme)
+SELECT ts.*, (SELECT string_agg(tr.keyword || '/' || CAST(tr.n AS STRING), '{SEP}' ORDER BY tr.rank) FROM tr WHERE tr.theme = ts.theme AND tr.rank <= 20) AS top_keywords FROM ts""")
+def _(spark, folder, g):
+    kw = rp.keyword_messages(g)
+    path = os.path.join(work_folder(spark), "themes")
+    sinks.write_themes(en.opportunity_themes(kw), en.theme_top_keywords(kw), path)
+    return spark.read.schema("theme string, messages long, users long, categories array<string>, top_keywords array<struct<keyword:string,n:long>>").json(path)
+
+
+@case("write_cross_patterns", f"WITH {CROSS} SELECT * FROM cross_kw")
+def _(spark, folder, g):
+    path = os.path.join(work_folder(spark), "cross")
+    sinks.write_cross_patterns(en.cross_category_keywords(rp.keyword_messages(g)), path)
+    return spark.read.schema("keyword string, total_mentions long, category_count long, breakdown map<string,long>").json(path)
