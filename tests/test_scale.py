@@ -56,3 +56,47 @@ def test_reads_only_needed_columns(spark, small_corpus, tmp_path):
 def test_no_products(spark, name, no_broadcast):
     text = plan(contract.queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text and "BatchEvalPython" not in text
+
+
+def formatted(spark, df) -> str:
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["taxonomy_samples", "cluster_samples", "cluster_members", "noise_report"])
+def test_whole_texts_stay_where_they_are_read(spark, name, no_broadcast):
+    # The tables of the registered queries build ``content`` from a join; a written table shows what the operator adds.
+    from checks.adapter import spark_corpus
+    from chatterlens.operators import clusters as cl
+    from chatterlens.operators import tables as tb
+
+    g = spark_corpus(spark, FOLDER)
+    messages = spark.read.schema(g.messages.schema).parquet(written(spark, g.messages))
+    labels = g.message_clusters.select("message_id", "cluster_id")
+    df = {
+        "taxonomy_samples": lambda: tb.taxonomy_samples(messages, g.message_taxonomy, 1),
+        "cluster_samples": lambda: cl.cluster_samples(labels, messages),
+        "cluster_members": lambda: cl.cluster_members(labels, messages),
+        "noise_report": lambda: cl.noise_report(labels, messages),
+    }[name]()
+    exchanges = [block for block in formatted(spark, df).split("\n\n") if "Exchange" in block.split("\n")[0]]
+    assert exchanges and not any("content#" in block for block in exchanges)
+
+
+def written(spark, df) -> str:
+    from checks.cases import work_folder
+
+    path = f"{work_folder(spark)}/messages"
+    df.write.parquet(path)
+    return path
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
+@pytest.mark.parametrize("name", [
+    "extract_keywords", "extract_tools_and_pains", "classify_by_rules", "auto_categories", "cross_category_keywords", "opportunity_themes",
+    "theme_top_keywords", "report_top_keywords", "report_insights", "embed_messages",
+])
+def test_words_are_found_without_python(spark, name):
+    text = plan(contract.queries()[name](spark, FOLDER))
+    assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
