@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlens.session import ensure_checkpoint_dir, written_once
+from chatterlens.session import ensure_checkpoint_dir, ship_package
 
 BATCH_BYTES = 4 << 20  # Arrow batches sent to Python stay about this small, however long the texts are
-__all__ = ["Memory", "map_texts", "row_key", "shared_folder", "small_batches", "table", "written", "written_once"]
+__all__ = ["Memory", "map_texts", "row_key", "shared_folder", "small_batches", "table", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, so that a Python worker's memory does not follow the text lengths."""
+    """Send the package to the workers, and bound the Arrow batches by bytes, so that memory does not follow the text lengths."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

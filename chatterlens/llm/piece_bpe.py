@@ -21,6 +21,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chatterlens.llm.base import Memory, map_texts
@@ -288,7 +289,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 "ids_sha256": [hashlib.sha256(decimal).hexdigest() for _, decimal in made],
                 "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
             }
-            return out | ({"ids": [ids.tolist() for ids, _ in made], "decoded": decoded} if with_ids else {})
+            return out | ({"ids": pa.array([ids for ids, _ in made], pa.list_(pa.int32())), "decoded": decoded} if with_ids else {})
 
         return function
 
