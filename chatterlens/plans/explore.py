@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import first_per, newest_first, pct, small, top, utc_timestamp
 from chatterlens.operators.graph import category_nodes
-from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
 
 

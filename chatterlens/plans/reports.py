@@ -12,10 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.functions import fixed_values as fv
-from chatterlens.functions.columns import explode_once, first_per, newest_first, ordered_list, pct, small, top
-from chatterlens.operators.enrich import (
-    auto_categories, extract_keywords, extract_tools_and_pains, opportunity_themes, theme_top_keywords, with_themes,
-)
+from chatterlens.functions.columns import explode_once, first_per, name_bit, names_in_bits, newest_first, ordered_list, pct, small, top
+from chatterlens.operators.enrich import auto_categories, extract_keywords, extract_tools_and_pains, with_themes
 from chatterlens.operators.tables import messages_with_author_by_category
 from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
@@ -109,10 +107,23 @@ def report_category_distribution(g: Corpus, categories: Sequence[str] = fv.REPOR
 
 
 def report_top_themes(kw: DataFrame, k: int = 15, keywords: int = 10, themes: Mapping[str, Sequence[str]] = fv.THEMES) -> DataFrame:
-    """The largest themes with their most frequent keywords."""
-    kw = written_once(kw.select("username", "category", "all"))
-    sums = opportunity_themes(kw, themes)
-    words = theme_top_keywords(kw, themes, keywords).groupBy("theme").agg(ordered_list("rank", "keyword").alias("keywords"))
+    """The largest themes with their most frequent keywords, both from one aggregate of (theme, user or keyword)."""
+    rows = with_themes(kw.select("username", "category", "all"), themes)
+    names = list(fv.TAXONOMY)
+    entries = F.concat(
+        F.array(F.struct(F.lit("user").alias("kind"), F.col("username").alias("value"))),
+        F.transform(F.array_distinct("all"), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("value"))),
+    )
+    entry, _ = explode_once(entries, "entry")
+    counts = written_once(
+        rows.select("theme", name_bit("category", names).alias("bit"), entry).groupBy("theme", "entry.kind", "entry.value")
+        .agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+    )
+    sums = counts.filter("kind = 'user'").groupBy("theme").agg(
+        F.sum("n").alias("messages"), F.count("*").alias("users"), F.bit_or("bits").alias("bits")
+    ).select("theme", "messages", "users", names_in_bits("bits", names).alias("categories"))
+    ranked = first_per(counts.filter("kind = 'word'").withColumnRenamed("value", "keyword"), ["theme"], [F.desc("n"), F.asc("keyword")], keywords)
+    words = ranked.groupBy("theme").agg(ordered_list("rank", "keyword").alias("keywords"))
     return top(sums, k, F.desc("messages"), F.asc("theme")).join(words, "theme").orderBy(F.desc("messages"), "theme")
 
 
