@@ -106,7 +106,10 @@ def resync_counter(path: str, chunk_chars: int, overlap_chars: int) -> ResyncCou
     return ResyncCounter(library(path), chunk_chars, overlap_chars)
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = 16_384, overlap_chars: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(
+    docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = 16_384, overlap_chars: int = 256,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """Bytes, tokens and whether the tokens exceed ``limit``, one row per document; no shuffle.
 
     ``tokenizer_path`` names a vocabulary file on every executor whose pre-tokenizer drops white space.

@@ -109,7 +109,9 @@ class Automaton:
         return found
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: dict[str, str], default: str = "allow", id_col: str = "page_id", url_col: str = "url"
+) -> DataFrame:
     """Host, path, deciding rule and verdict of every URL; ``rules`` maps ``host/path`` rules to verdicts.
 
     No shuffle: the automaton, whose size is that of the rules, travels with the tasks.
@@ -127,7 +129,8 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow",
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             found = automaton.matches([f".{h}{p}".encode() for h, p in zip(hosts, paths)])
             first = np.where(found.any(axis=1), found.argmax(axis=1), len(ranked)) if ranked else np.zeros(len(hosts), int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, labels.take(pa.array(first)), verdicts.take(pa.array(first))], names=["id", "host", "path", "rule", "verdict"])
+            decided = [labels.take(pa.array(first)), verdicts.take(pa.array(first))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *decided], names=["id", "host", "path", "rule", "verdict"])
 
     kind = named.schema["id"].dataType.simpleString()
     return named.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)

@@ -33,8 +33,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from chatterlens.llm.base import BATCH_BYTES, shared_folder, small_batches
 
 READ = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, http_length long, payload binary"
-WRITE = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, http_length long, payload binary"
-HEADER = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
+HEADER = {
+    "record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri",
+    "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to",
+}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 16
