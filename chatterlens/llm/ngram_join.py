@@ -9,7 +9,7 @@
    of groups are filtered by size and position, then expanded to members and verified on the whole sets.
 4. A group of near copies is not compared all with all. First every member is verified against one leader per prefix
    shingle, the class with the fewest rare shingles; then, until nothing is left, members outside the largest component
-   of a shingle's list against all members of other components. Pairs that are already connected need no comparison,
+   of a shingle's list against all members of other components that pass a bound from parity bitmaps. Pairs that are already connected need no comparison,
    so the links found span every component, and no link between two components is missed.
 
 Two classes link when 100 * intersection >= 80 * union (parameters). The frequencies that order the shingles are hashed
@@ -38,6 +38,7 @@ SAMPLE = 30
 FREQUENCIES = 1 << 20
 CODES_PER_BUCKET = 400_000
 LEAST_BUCKETS = 256
+WORDS = 8  # 64-bit words of a parity bitmap
 SHARED = np.iinfo(np.int64).min  # stands for several classes of one batch
 
 _SPACE = np.zeros(256, bool)
@@ -221,11 +222,20 @@ def frequencies(chosen: DataFrame) -> np.ndarray:
     return table
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap whose bits tell whether an odd number of shingles hash to them.
+
+    Two bitmaps differ in at most as many bits as there are shingles in one of the sets only.
+    """
+    bits = np.bincount((shingles >> np.uint64(20) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(chosen: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
-    """(sig, n, rare, grp, prefix, places) of the classes that can have a partner.
+    """(sig, n, rare, grp, prefix, places, w0 ..) of the classes that can have a partner.
 
     ``prefix`` holds the prefix shingles that stand in another set as well, ``places`` their positions in the order of
-    rising frequency; ``grp`` names the whole prefix and the size.
+    rising frequency; ``grp`` names the whole prefix and the size; ``w0`` and so on are the words of the parity bitmap.
     """
     given = chosen.sparkSession.sparkContext.broadcast(table)
 
@@ -242,12 +252,13 @@ def prefixes(chosen: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
                 order = np.lexsort((s, often))[: n - least_overlap(n, percent) + 1]
                 first, shared = s[order], np.flatnonzero(often[order] > 1)
                 name = xxhash.xxh3_128_digest(first.tobytes() + n.to_bytes(8, "little"))
-                rows.append((sig, n, rare, name, first[shared].view(np.int64), shared))
+                rows.append((sig, n, rare, name, first[shared].view(np.int64), shared, *parity(s).tolist()))
             if rows:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["sig", "n", "rare", "grp", "prefix", "places"])
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * WORDS]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["sig", "n", "rare", "grp", "prefix", "places", *words])
 
-    return chosen.select("sig", "n", "shingles").mapInArrow(run, "sig binary, n long, rare long, grp binary, prefix array<long>, places array<long>")
+    words = [f"w{i}" for i in range(WORDS)]
+    return chosen.select("sig", "n", "shingles").mapInArrow(run, "sig binary, n long, rare long, grp binary, prefix array<long>, places array<long>, " + ", ".join(f"{w} long" for w in words))
 
 
 def may_link(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -286,15 +297,24 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
 
     # Then what these links leave apart: members outside the largest component of a list against the other components.
     roots = written(components(found), "roots")
-    placed = members.select("sig", "grp", "n").join(roots, F.col("sig") == F.col("node"), "left").select("grp", "n", "sig", F.coalesce("root", "sig").alias("root"))
-    full = written(postings.select("grp", "n", "shingle", "place").join(placed, ["grp", "n"]), "listed")
-    parts = written(full.groupBy("shingle", "root").agg(F.count("*").alias("c")), "parts")
+    words = [f"w{i}" for i in range(WORDS)]
+    placed = members.select("sig", "grp", "n", *words).join(roots, F.col("sig") == F.col("node"), "left").select(
+        "grp", "n", "sig", F.coalesce("root", "sig").alias("root"), *words)
+    placed = written(placed, "placed")
+    narrow = postings.select("grp", "n", "shingle", "place")
+    parts = narrow.join(placed.select("grp", "n", "root"), ["grp", "n"]).groupBy("shingle", "root").agg(F.count("*").alias("c"))
     largest = written(parts.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("shingle", "main"), "largest")
-    several = written(full.join(largest, "shingle"), "several")
-    loose = several.filter("root <> main").select("shingle", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
-    other = several.select("shingle", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("main").alias("mb"))
+    several = written(written(narrow.join(largest, "shingle"), "lists").join(placed, ["grp", "n"]), "several")
+    loose = several.filter("root <> main").select(
+        "shingle", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), *[F.col(w).alias(f"a{w}") for w in words])
+    other = several.select(
+        "shingle", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("main").alias("mb"),
+        *[F.col(w).alias(f"b{w}") for w in words])
+    # The bitmaps bound how many shingles only one of the two sets has.
+    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0"))))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
     once = (F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b"))
-    rest = loose.join(other, "shingle").filter((F.col("ra") != F.col("rb")) & once & may_link(percent, "na", "pa", "nb", "pb")).select("a", "b").distinct()
+    rest = loose.join(other, "shingle").filter((F.col("ra") != F.col("rb")) & once & may_link(percent, "na", "pa", "nb", "pb") & near).select("a", "b").distinct()
     return found.unionByName(written(verified(rest, chosen, percent), "rest"))
 
 
