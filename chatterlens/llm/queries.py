@@ -39,11 +39,11 @@ def op4_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, folder, "documents"))
+    return ngram_join.jaccard_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.quality(table(spark, folder, "documents")).drop("d2")
+    return quality.quality(table(spark, folder, "documents")).drop("d2", "row_key")
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_token_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row_key")
 
 
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
