@@ -12,8 +12,7 @@
    of a shingle's list against all members of other components that pass a bound from parity bitmaps. Pairs that are already connected need no comparison,
    so the links found span every component, and no link between two components is missed.
 
-Two classes link when 100 * intersection >= 80 * union (parameters). The frequencies that order the shingles are hashed
-into a table of fixed size; collisions change the order, alike for all documents, never a result.
+Two classes link when 100 * intersection >= 80 * union (parameters).
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; one with fewer words than
 the shingle length has the whole sequence as its only shingle; rows with a null id get a null component and take part in
@@ -35,7 +34,8 @@ from chatterlens.llm.components import components
 
 #: Share of a set, in per cent, that is looked at before the join.
 SAMPLE = 30
-FREQUENCIES = 1 << 20
+SHINGLES_PER_GROUP = 500_000
+LEAST_GROUPS = 64
 CODES_PER_BUCKET = 400_000
 LEAST_BUCKETS = 256
 WORDS = 8  # 64-bit words of a parity bitmap
@@ -204,24 +204,6 @@ def shingles_of(docs: DataFrame, chosen: DataFrame, size: int, id_col: str, text
     return pair.mapInArrow(run, "sig binary, n long, shingles array<long>").dropDuplicates(["sig"])
 
 
-def frequencies(chosen: DataFrame) -> np.ndarray:
-    """How often each hashed shingle occurs in the chosen sets; a table of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(FREQUENCIES, np.int64)
-        for batch in batches:
-            flat = batch.column(0).flatten().to_numpy().view(np.uint64)
-            counts += np.bincount((flat % np.uint64(FREQUENCIES)).astype(np.int64), minlength=FREQUENCIES)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["place", "n"])
-
-    summed = chosen.select("shingles").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    table = np.zeros(FREQUENCIES, np.int64)
-    for batch in summed.toArrow().to_batches(max_chunksize=1 << 16):  # at most FREQUENCIES rows
-        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return table
-
-
 def parity(shingles: np.ndarray) -> np.ndarray:
     """A bitmap whose bits tell whether an odd number of shingles hash to them.
 
@@ -231,34 +213,79 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def prefixes(chosen: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
-    """(sig, n, rare, grp, prefix, places, w0 ..) of the classes that can have a partner.
+def shingle_counts(keyed: DataFrame, buckets: int) -> DataFrame:
+    """(key, shingles, counts): in how many sets the shingles of a group of sets occur in all, for those in two or more.
 
-    ``prefix`` holds the prefix shingles that stand in another set as well, ``places`` their positions in the order of
-    rising frequency; ``grp`` names the whole prefix and the size; ``w0`` and so on are the words of the parity bitmap.
+    Each group hands on every shingle once, with its own count, to the shingle's bucket, and gets the sum back.
     """
-    given = chosen.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = given.value
-        for batch in batches:
-            rows = []
-            for sig, s in zip(batch.column("sig").to_pylist(), batch.column("shingles")):
-                s = s.values.to_numpy().view(np.uint64)
-                often = counts[(s % np.uint64(FREQUENCIES)).astype(np.int64)]
-                n, rare = len(s), int(np.count_nonzero(often == 1))
-                if n - rare < least_overlap(n, percent):
-                    continue
-                order = np.lexsort((s, often))[: n - least_overlap(n, percent) + 1]
-                first, shared = s[order], np.flatnonzero(often[order] > 1)
-                name = xxhash.xxh3_128_digest(first.tobytes() + n.to_bytes(8, "little"))
-                rows.append((sig, n, rare, name, first[shared].view(np.int64), shared, *parity(s).tolist()))
-            if rows:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * WORDS]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["sig", "n", "rare", "grp", "prefix", "places", *words])
+    def deal(group: pa.Table) -> pa.Table:
+        key = group.column("key")[0].as_py()
+        flat = np.concatenate([c.flatten().to_numpy() for c in group.column("shingles").chunks]).view(np.uint64)
+        shingles, counts = np.unique(flat, return_counts=True)
+        bucket = (shingles >> np.uint64(13)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        some = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+        parts = [order[bounds[b] : bounds[b + 1]] for b in some]
+        return pa.table({
+            "bucket": pa.array(some, pa.int64()), "key": pa.array([key] * len(some), pa.int64()),
+            "shingles": pa.array([shingles[p].tobytes() for p in parts], pa.binary()),
+            "counts": pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
+        })
+
+    def add(group: pa.Table) -> pa.Table:
+        shingles = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
+        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group.column("counts").to_pylist()])
+        names, at = np.unique(np.concatenate(shingles), return_inverse=True)
+        total = np.bincount(at, counts, minlength=len(names)).astype(np.int64)[at]
+        rows, begin = [], 0
+        for s in shingles:
+            sums = total[begin : begin + len(s)]
+            rows.append((s[sums > 1].tobytes(), sums[sums > 1].astype(np.uint32).tobytes()))
+            begin += len(s)
+        return pa.table({"key": group.column("key"), "shingles": pa.array([r[0] for r in rows], pa.binary()), "counts": pa.array([r[1] for r in rows], pa.binary())})
+
+    dealt = keyed.groupBy("key").applyInArrow(deal, "bucket long, key long, shingles binary, counts binary")
+    return dealt.groupBy("bucket").applyInArrow(add, "key long, shingles binary, counts binary")
+
+
+def prefixes(chosen: DataFrame, percent: int) -> DataFrame:
+    """(sig, n, rare, grp, prefix, places, w0 ..) of the classes that can have a partner.
 
+    ``prefix`` holds the prefix shingles that stand in another set as well, ``places`` their positions in the order of
+    rising frequency; ``rare`` is how many shingles stand in no other set; ``grp`` names the whole prefix and the size;
+    ``w0`` and so on are the words of the parity bitmap.
+    """
+    total = chosen.agg(F.sum("n")).first()[0] or 0
+    groups = max(LEAST_GROUPS, total // SHINGLES_PER_GROUP)
+    keyed = chosen.select(F.pmod(F.xxhash64("sig"), F.lit(groups)).cast("long").alias("key"), "sig", "shingles")
     words = [f"w{i}" for i in range(WORDS)]
-    return chosen.select("sig", "n", "shingles").mapInArrow(run, "sig binary, n long, rare long, grp binary, prefix array<long>, places array<long>, " + ", ".join(f"{w} long" for w in words))
+    names = ["sig", "n", "rare", "grp", "prefix", "places", *words]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * WORDS]
+
+    def cut(sets_of: pa.Table, counts: pa.Table) -> pa.Table:
+        known = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in counts.column("shingles").to_pylist())])
+        often = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in counts.column("counts").to_pylist())])
+        order = np.argsort(known)
+        known, often = np.append(known[order], np.uint64(2**64 - 1)), np.append(often[order], np.uint32(1))
+        rows = []
+        for sig, s in zip(sets_of.column("sig").to_pylist(), sets_of.column("shingles").to_pylist()):
+            s = np.array(s, np.int64).view(np.uint64)
+            at = np.searchsorted(known, s)
+            count = np.where(known[at] == s, often[at], 1)
+            n, rare = len(s), int(np.count_nonzero(count == 1))
+            if n - rare < least_overlap(n, percent):
+                continue
+            first = np.lexsort((s, count))[: n - least_overlap(n, percent) + 1]
+            shared = np.flatnonzero(count[first] > 1)
+            prefix = s[first]
+            name = xxhash.xxh3_128_digest(prefix.tobytes() + n.to_bytes(8, "little"))
+            rows.append((sig, n, rare, name, prefix[shared].view(np.int64), shared, *parity(s).tolist()))
+        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
+
+    made = "sig binary, n long, rare long, grp binary, prefix array<long>, places array<long>, " + ", ".join(f"{w} long" for w in words)
+    return keyed.groupBy("key").cogroup(shingle_counts(keyed, groups).groupBy("key")).applyInArrow(cut, made)
 
 
 def may_link(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -278,7 +305,7 @@ def verified(pairs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
 
 def links(chosen: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that span every component of the similarity graph."""
-    members = written(prefixes(chosen, frequencies(chosen), percent), "prefixes")
+    members = written(prefixes(chosen, percent), "prefixes")
     # Members of one group have the same prefix and size; the group's head speaks for it.
     groups = written(members.groupBy("grp", "n").agg(F.min(F.struct("rare", "sig", "prefix", "places")).alias("h")).select(
         "grp", "n", "h.rare", F.col("h.sig").alias("head"), "h.prefix", "h.places"), "groups")
@@ -332,7 +359,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     roots = components(links(chosen, percent))
     named = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least_id", F.coalesce("root", "sig").alias("root"))
     named = written(named, "named")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least-ids")
     by_class = written(named.join(least, "root").select(F.col("sig").alias("c_sig"), "component_id", F.col("root").alias("component")), "by-class")
     # A class that a third of all documents belong to is split by the skew join, both sides being shuffled.
     linked = full.join(by_class, F.col("sig") == F.col("c_sig")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "component", "row_key")
