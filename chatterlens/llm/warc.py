@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from chatterlens.llm.base import BATCH_BYTES, shared_folder, small_batches
+from chatterlens.llm.base import BATCH_BYTES, shared_folder, small_batches, written
 
 READ = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, http_length long, payload binary"
 HEADER = {
@@ -344,7 +344,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def page_records(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One record per page: of equal payloads of at least ``least_bytes`` that with the largest id is the response.
 
-    Only payload digests are grouped; the join on them may be split where one payload fills a third of the table.
+    Only payload digests are grouped, and the groups of several pages written, so that the join on them can be split
+    where one payload fills a third of the table.
     """
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("target_uri"), body.alias("payload"))
@@ -353,6 +354,7 @@ def page_records(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_
         rows.filter(F.col("http_length") >= least_bytes).groupBy(F.col("payload_digest").alias("same"), F.col("http_length").alias("same_length"))
         .agg(F.max("page").alias("best"), F.count("*").alias("n")).filter("n > 1")
     )
+    best = written(best, "repeated-payloads")
     joined = rows.join(best, (F.col("payload_digest") == F.col("same")) & (F.col("http_length") == F.col("same_length")), "left")
     again = F.col("best").isNotNull() & ~F.col("page").eqNullSafe(F.col("best"))
     urn = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")))
