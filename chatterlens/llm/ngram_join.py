@@ -189,7 +189,7 @@ def _as_long(sig: Column) -> Column:
 
 
 def shingles_of(docs: DataFrame, chosen: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(sig, n, shingles) of the chosen classes, from the text of one document each."""
+    """(sig, n, shingles) of the chosen classes, from the text of one document each; twice where an id is repeated."""
     pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.select(F.col("least_id").alias("id"), "sig"), "id")
     small_batches(docs.sparkSession)
 
@@ -201,7 +201,7 @@ def shingles_of(docs: DataFrame, chosen: DataFrame, size: int, id_col: str, text
                 arrays = pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.binary()), pa.array([len(s) for _, s in found], pa.int64()), arrays], names=["sig", "n", "shingles"])
 
-    return pair.mapInArrow(run, "sig binary, n long, shingles array<long>").dropDuplicates(["sig"])
+    return pair.mapInArrow(run, "sig binary, n long, shingles array<long>")
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -221,7 +221,8 @@ def shingle_counts(keyed: DataFrame, buckets: int) -> DataFrame:
 
     def deal(group: pa.Table) -> pa.Table:
         key = group.column("key")[0].as_py()
-        flat = np.concatenate([c.flatten().to_numpy() for c in group.column("shingles").chunks]).view(np.uint64)
+        once = dict(zip(group.column("sig").to_pylist(), range(group.num_rows)))
+        flat = group.column("shingles").take(pa.array(list(once.values()))).combine_chunks().flatten().to_numpy().view(np.uint64)
         shingles, counts = np.unique(flat, return_counts=True)
         bucket = (shingles >> np.uint64(13)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
@@ -251,7 +252,7 @@ def shingle_counts(keyed: DataFrame, buckets: int) -> DataFrame:
 
 
 def prefixes(chosen: DataFrame, percent: int) -> DataFrame:
-    """(sig, n, rare, grp, prefix, places, w0 ..) of the classes that can have a partner.
+    """(sig, n, shingles, rare, grp, prefix, places, w0 ..) of the classes that can have a partner, each once.
 
     ``prefix`` holds the prefix shingles that stand in another set as well, ``places`` their positions in the order of
     rising frequency; ``rare`` is how many shingles stand in no other set; ``grp`` names the whole prefix and the size;
@@ -261,17 +262,18 @@ def prefixes(chosen: DataFrame, percent: int) -> DataFrame:
     groups = max(LEAST_GROUPS, total // SHINGLES_PER_GROUP)
     keyed = chosen.select(F.pmod(F.xxhash64("sig"), F.lit(groups)).cast("long").alias("key"), "sig", "shingles")
     words = [f"w{i}" for i in range(WORDS)]
-    names = ["sig", "n", "rare", "grp", "prefix", "places", *words]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * WORDS]
+    names = ["sig", "n", "shingles", "rare", "grp", "prefix", "places", *words]
+    numbers = pa.list_(pa.int64())
+    kinds = [pa.binary(), pa.int64(), numbers, pa.int64(), pa.binary(), numbers, numbers, *[pa.int64()] * WORDS]
 
     def cut(sets_of: pa.Table, counts: pa.Table) -> pa.Table:
         known = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in counts.column("shingles").to_pylist())])
         often = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in counts.column("counts").to_pylist())])
         order = np.argsort(known)
         known, often = np.append(known[order], np.uint64(2**64 - 1)), np.append(often[order], np.uint32(1))
-        rows = []
-        for sig, s in zip(sets_of.column("sig").to_pylist(), sets_of.column("shingles").to_pylist()):
-            s = np.array(s, np.int64).view(np.uint64)
+        rows, column = [], sets_of.column("shingles")
+        for sig, row in dict(zip(sets_of.column("sig").to_pylist(), range(sets_of.num_rows))).items():
+            s = column[row].values.to_numpy().view(np.uint64)
             at = np.searchsorted(known, s)
             count = np.where(known[at] == s, often[at], 1)
             n, rare = len(s), int(np.count_nonzero(count == 1))
@@ -281,10 +283,10 @@ def prefixes(chosen: DataFrame, percent: int) -> DataFrame:
             shared = np.flatnonzero(count[first] > 1)
             prefix = s[first]
             name = xxhash.xxh3_128_digest(prefix.tobytes() + n.to_bytes(8, "little"))
-            rows.append((sig, n, rare, name, prefix[shared].view(np.int64), shared, *parity(s).tolist()))
+            rows.append((sig, n, s.view(np.int64), rare, name, prefix[shared].view(np.int64), shared, *parity(s).tolist()))
         return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
 
-    made = "sig binary, n long, rare long, grp binary, prefix array<long>, places array<long>, " + ", ".join(f"{w} long" for w in words)
+    made = "sig binary, n long, shingles array<long>, rare long, grp binary, prefix array<long>, places array<long>, " + ", ".join(f"{w} long" for w in words)
     return keyed.groupBy("key").cogroup(shingle_counts(keyed, groups).groupBy("key")).applyInArrow(cut, made)
 
 
@@ -295,10 +297,10 @@ def may_link(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
     return sizes & ((100 + percent) * most >= percent * (F.col(n1) + F.col(n2)))
 
 
-def verified(pairs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
-    left = chosen.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = chosen.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    left = members.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = members.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").filter((100 + percent) * both >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -320,7 +322,7 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
     led = postings.join(leader, "shingle").filter((F.col("head") != F.col("l_head")) & may_link(percent, "n", "place", "l_n", "l_place"))
     led = led.select("grp", "n", "l_head").distinct()
     led = members.select("sig", "grp", "n").join(led, ["grp", "n"]).select(F.col("sig").alias("a"), F.col("l_head").alias("b"))
-    found = written(verified(inside.unionByName(led).distinct(), chosen, percent), "found")
+    found = written(verified(inside.unionByName(led).distinct(), members, percent), "found")
 
     # Then what these links leave apart: members outside the largest component of a list against the other components.
     roots = written(components(found), "roots")
@@ -342,7 +344,7 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
     near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
     once = (F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b"))
     rest = loose.join(other, "shingle").filter((F.col("ra") != F.col("rb")) & once & may_link(percent, "na", "pa", "nb", "pb") & near).select("a", "b").distinct()
-    return found.unionByName(written(verified(rest, chosen, percent), "rest"))
+    return found.unionByName(written(verified(rest, members, percent), "rest"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
