@@ -160,15 +160,15 @@ def moments(features: DataFrame) -> DataFrame:
 
 def concentrate(features: DataFrame, support: float, steps: int) -> DataFrame:
     """The minimum-covariance-determinant estimates: from medians and absolute deviations on, then concentration steps."""
-    middle = features.groupBy("stratum").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"m{i}") for i, s in enumerate(STATISTICS)])
+    middle = written(features.groupBy("stratum").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"m{i}") for i, s in enumerate(STATISTICS)]), "middle")
     spread = features.join(middle, "stratum").groupBy("stratum", *[f"m{i}" for i in range(D)]).agg(
         *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 1000), 2).alias(f"c{i}{i}") for i, s in enumerate(STATISTICS)]
     )
-    estimates = cholesky(spread.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(D) for j in range(i)}), 1.0)
+    estimates = written(cholesky(spread.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(D) for j in range(i)}), 1.0), "mcd")
     for _ in range(steps):
         near = measured(features, estimates)
-        bound = near.groupBy("stratum").agg(F.percentile_approx("d2", support, 1000).alias("bound"))
-        # The estimates are one row per stratum; written, so that each step starts from a short plan.
+        # One row per stratum; written, so that each step starts from a short plan and a hot stratum isn't shuffled to a join.
+        bound = written(near.groupBy("stratum").agg(F.percentile_approx("d2", support, 1000).alias("bound")), "bound")
         estimates = written(cholesky(moments(near.join(bound, "stratum").filter("d2 <= bound")), consistency(support)), "mcd")
     return estimates
 
@@ -196,8 +196,9 @@ def quality(
         .when(F.col("pool") >= min_group, F.xxhash64("s.g_lang", F.lit("language")))
         .otherwise(F.lit(0)).alias("stratum"),
     )
+    strata = written(strata, "strata")
     placed = sound.join(strata, F.col("g_lang").eqNullSafe(F.col("s_lang")) & F.col("g_source").eqNullSafe(F.col("s_source"))).drop("s_lang", "s_source")
-    placed = written(placed.select("stratum", *made.columns), "strata")
+    placed = written(placed.select("stratum", *made.columns), "placed")
     estimates = concentrate(placed.select("stratum", *STATISTICS), support, steps)
     judged = measured(placed, estimates)
     out = [F.col("q_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
