@@ -160,7 +160,8 @@ def labelled(labels: DataFrame, sample_rows: int, id_col: str, label_col: str) -
     """Class by id of the labelled rows that may be learnt from, at most ``sample_rows``."""
     rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    return {r["id"]: r["label"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()}
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
+    return dict(zip(picked.column("id").to_pylist(), picked.column("label").to_pylist()))
 
 
 def trained(pair: DataFrame, classes: dict, words: int, pair_words: int, pairs: int) -> Model:
@@ -178,17 +179,17 @@ def trained(pair: DataFrame, classes: dict, words: int, pair_words: int, pairs:
         return {w for w in words_of(text) if len(w) <= LONGEST_WORD} if label is not None else ()
 
     frequent = counted(pair, Labels(), own_words, "binary", False).filter(F.col("ordinary") + F.col("toxic") >= LEAST_DOCS)
-    top = frequent.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "key").limit(words).collect()
-    index = {bytes(r["key"]): i for i, r in enumerate(top)}
-    by_class = np.array([[r["ordinary"], r["toxic"]] for r in top], np.float64).reshape(-1, 2).T
+    top = frequent.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "key").limit(words).toArrow()
+    index = {key: i for i, key in enumerate(top.column("key").to_pylist())}
+    by_class = counts_of(top)
     numbers = context.broadcast(index)
 
     def known_words(text, label):
         return set(map(numbers.value.get, words_of(text))) - {None}
 
     shared = np.zeros(len(index))
-    for r in shared_counts(pair, known_words, len(index)).collect():
-        shared[r["key"]] = r["shared"]
+    found = shared_counts(pair, known_words, len(index)).toArrow()
+    shared[found.column("key").to_numpy()] = found.column("shared").to_numpy()
     head = min(pair_words, len(index))
 
     def own_pairs(text, label):
@@ -203,9 +204,12 @@ def trained(pair: DataFrame, classes: dict, words: int, pair_words: int, pairs:
         return np.unique(a[fit] * head + b[fit]).tolist()
 
     kept = counted(pair, Labels(), own_pairs, "long", False).filter(F.col("ordinary") + F.col("toxic") >= LEAST_DOCS)
-    best = sorted(kept.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "key").limit(pairs).collect())
-    keys = np.array([r["key"] for r in best], np.int64)
-    return Model(index, by_class, shared, head, keys, np.array([[r["ordinary"], r["toxic"]] for r in best], np.float64).reshape(-1, 2).T)
+    best = kept.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "key").limit(pairs).toArrow().sort_by("key")
+    return Model(index, by_class, shared, head, best.column("key").to_numpy().astype(np.int64), counts_of(best))
+
+
+def counts_of(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().astype(np.float64) for c in ("ordinary", "toxic")])
 
 
 def shared_counts(pair: DataFrame, known_words, size: int) -> DataFrame:
@@ -270,11 +274,14 @@ def score_toxicity(
 
     kind = pair.schema["id"].dataType.simpleString()
     rows = written(pair.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", own array<double>, label int, row_key long"), "toxicity")
-    learnt = rows.filter("label IS NOT NULL").groupBy("id").agg(F.first("own").alias("own"), F.first("label").alias("label")).orderBy("id").collect()
-    if len({r["label"] for r in learnt}) < 2:
-        share = float(np.mean([r["label"] for r in learnt])) if learnt else 0.0
+    # At most ``sample_rows`` rows of nine numbers.
+    learnt = rows.filter("label IS NOT NULL").groupBy("id").agg(F.first("own").alias("own"), F.first("label").alias("label")).orderBy("id").toArrow()
+    y = learnt.column("label").to_numpy().astype(np.float64)
+    if len(set(y)) < 2:
+        share = float(y.mean()) if len(y) else 0.0
         return rows.select(*out, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), "row_key")
-    weights, intercept = logistic(np.array([r["own"] for r in learnt]), np.array([r["label"] for r in learnt], np.float64))
+    x = learnt.column("own").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+    weights, intercept = logistic(x, y)
     logit = F.lit(intercept)
     for n, w in zip(names, weights.tolist()):
         logit = logit + F.col(n) * w
