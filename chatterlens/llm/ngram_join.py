@@ -190,8 +190,12 @@ def _as_long(sig: Column) -> Column:
 
 def shingles_of(docs: DataFrame, chosen: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(sig, n, shingles) of the chosen classes, from the text of one document each; twice where an id is repeated."""
-    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.select(F.col("least_id").alias("id"), "sig"), "id")
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    # Spark's own runtime filter keeps the texts that are not chosen out of the shuffle; its rule wants a selective side.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
+    wanted = chosen.filter("n > 0").select(F.col("least_id").alias("id"), "sig")
+    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
