@@ -47,7 +47,9 @@ def widespread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return spread.join(exact, "line", "left").filter(F.coalesce("exact", "sites") >= min_sites).select("line", "first")
 
 
-def without_widespread_lines(docs: DataFrame, min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def without_widespread_lines(
+    docs: DataFrame, min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
+) -> DataFrame:
     """The documents with cross-site boilerplate removed, and ``n_lines_removed``."""
     small_batches(docs.sparkSession)
     lines = line_hashes(docs, id_col, text_col, site_col)

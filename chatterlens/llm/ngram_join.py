@@ -9,7 +9,8 @@
    of groups are filtered by size and position, then expanded to members and verified on the whole sets.
 4. A group of near copies is not compared all with all. First every member is verified against one leader per prefix
    shingle, the class with the fewest rare shingles; then, until nothing is left, members outside the largest component
-   of a shingle's list against all members of other components that pass a bound from parity bitmaps. Pairs that are already connected need no comparison,
+   of a shingle's list against all members of other components that pass a bound from parity bitmaps. Pairs that are
+   already connected need no comparison,
    so the links found span every component, and no link between two components is missed.
 
 Two classes link when 100 * intersection >= 80 * union (parameters).
@@ -156,11 +157,14 @@ def promising(docs: DataFrame, classes: DataFrame, size: int, percent: int, id_c
             for b in np.unique(np.append(bucket, own)):
                 lo, hi = np.searchsorted(bucket, [b, b + 1])
                 here = own == b
-                rows.append((int(b), codes[lo:hi].tobytes(), holder[lo:hi].tobytes(), inside[here].tobytes(), n_inside[here].astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), *[pa.binary()] * 4])], names=["bucket", "codes", "holders", "inside", "counts"])
+                counts = n_inside[here].astype(np.int64)
+                rows.append((int(b), *(x.tobytes() for x in (codes[lo:hi], holder[lo:hi], inside[here], counts))))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), *[pa.binary()] * 4])]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "codes", "holders", "inside", "counts"])
 
     def count(group: pa.Table) -> pa.Table:
-        codes, holders, inside, counts = (np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in zip(("codes", "holders", "inside", "counts"), (np.uint32, np.int64, np.int64, np.int64)))
+        kinds = {"codes": np.uint32, "holders": np.int64, "inside": np.int64, "counts": np.int64}
+        codes, holders, inside, counts = (np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in kinds.items())
         order = np.lexsort((holders, codes))
         codes, holders = codes[order], holders[order]
         found = np.empty(0, np.int64)
@@ -202,8 +206,9 @@ def shingles_of(docs: DataFrame, chosen: DataFrame, size: int, id_col: str, text
             found = [(sig, shingle_set(text or "", size)) for text, sig in zip(batch.column("text").to_pylist(), batch.column("sig").to_pylist())]
             found = [(sig, s) for sig, s in found if signature(s) == sig]  # not another text with the same id
             if found:
+                sigs, sizes = pa.array([g for g, _ in found], pa.binary()), pa.array([len(s) for _, s in found], pa.int64())
                 arrays = pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.binary()), pa.array([len(s) for _, s in found], pa.int64()), arrays], names=["sig", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([sigs, sizes, arrays], names=["sig", "n", "shingles"])
 
     return pair.mapInArrow(run, "sig binary, n long, shingles array<long>")
 
@@ -249,7 +254,8 @@ def shingle_counts(keyed: DataFrame, buckets: int) -> DataFrame:
             sums = total[begin : begin + len(s)]
             rows.append((s[sums > 1].tobytes(), sums[sums > 1].astype(np.uint32).tobytes()))
             begin += len(s)
-        return pa.table({"key": group.column("key"), "shingles": pa.array([r[0] for r in rows], pa.binary()), "counts": pa.array([r[1] for r in rows], pa.binary())})
+        names_of, counts_of = (pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))
+        return pa.table({"key": group.column("key"), "shingles": names_of, "counts": counts_of})
 
     dealt = keyed.groupBy("key").applyInArrow(deal, "bucket long, key long, shingles binary, counts binary")
     return dealt.groupBy("bucket").applyInArrow(add, "key long, shingles binary, counts binary")
@@ -320,8 +326,10 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
     postings = written(spread, "postings")
 
     # First the members of a group against its head, and the groups of a shingle's list against the list's leader.
-    inside = members.join(groups.select("grp", "n", "head"), ["grp", "n"]).filter("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b"))
-    leader = written(postings.groupBy("shingle").agg(F.min(F.struct("rare", "head", "n", "place")).alias("l"), F.count("*").alias("c")).filter("c > 1").select(
+    inside = members.join(groups.select("grp", "n", "head"), ["grp", "n"]).filter("sig <> head")
+    inside = inside.select(F.col("sig").alias("a"), F.col("head").alias("b"))
+    least = postings.groupBy("shingle").agg(F.min(F.struct("rare", "head", "n", "place")).alias("l"), F.count("*").alias("c"))
+    leader = written(least.filter("c > 1").select(
         "shingle", F.col("l.head").alias("l_head"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place")), "leaders")
     led = postings.join(leader, "shingle").filter((F.col("head") != F.col("l_head")) & may_link(percent, "n", "place", "l_n", "l_place"))
     led = led.select("grp", "n", "l_head").distinct()
@@ -336,7 +344,8 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
     placed = written(placed, "placed")
     narrow = postings.select("grp", "n", "shingle", "place")
     parts = narrow.join(placed.select("grp", "n", "root"), ["grp", "n"]).groupBy("shingle", "root").agg(F.count("*").alias("c"))
-    largest = written(parts.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("shingle", "main"), "largest")
+    lists = parts.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots"))
+    largest = written(lists.filter("roots > 1").select("shingle", "main"), "largest")
     several = written(written(narrow.join(largest, "shingle"), "lists").join(placed, ["grp", "n"]), "several")
     loose = several.filter("root <> main").select(
         "shingle", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), *[F.col(w).alias(f"a{w}") for w in words])
@@ -347,7 +356,8 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
     differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0"))))
     near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
     once = (F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b"))
-    rest = loose.join(other, "shingle").filter((F.col("ra") != F.col("rb")) & once & may_link(percent, "na", "pa", "nb", "pb") & near).select("a", "b").distinct()
+    fits = (F.col("ra") != F.col("rb")) & once & may_link(percent, "na", "pa", "nb", "pb") & near
+    rest = loose.join(other, "shingle").filter(fits).select("a", "b").distinct()
     return found.unionByName(written(verified(rest, members, percent), "rest"))
 
 
@@ -368,6 +378,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     least = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least-ids")
     by_class = written(named.join(least, "root").select(F.col("sig").alias("c_sig"), "component_id", F.col("root").alias("component")), "by-class")
     # A class that a third of all documents belong to is split by the skew join, both sides being shuffled.
-    linked = full.join(by_class, F.col("sig") == F.col("c_sig")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "component", "row_key")
-    alone = rows.filter("n = 0 OR id IS NULL").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("component"), "row_key")
+    named_row = [F.col("id").alias(id_col), F.col("n").alias("n_shingles")]
+    linked = full.join(by_class, F.col("sig") == F.col("c_sig")).select(*named_row, "component_id", "component", "row_key")
+    none = F.lit(None).cast("binary").alias("component")
+    alone = rows.filter("n = 0 OR id IS NULL").select(*named_row, F.col("id").alias("component_id"), none, "row_key")
     return linked.unionByName(alone)

@@ -269,8 +269,8 @@ def score_toxicity(
                 plain.append(model.value.features(text, None))
                 own.append(None if c is None else model.value.features(text, c))
                 label.append(c)
-            columns = np.array(plain).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(own, pa.list_(pa.float64())), pa.array(label, pa.int32()), batch.column(2)], names=["id", *names, "own", "label", "row_key"])
+            columns = [*map(pa.array, np.array(plain).T), pa.array(own, pa.list_(pa.float64())), pa.array(label, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], names=["id", *names, "own", "label", "row_key"])
 
     kind = pair.schema["id"].dataType.simpleString()
     rows = written(pair.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", own array<double>, label int, row_key long"), "toxicity")
