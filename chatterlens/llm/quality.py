@@ -29,8 +29,11 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 STATISTICS = ("z_length", "z_symbols", "z_lines", "z_repeats")
 #: Least standard deviation of each statistic: smaller spreads in a stratum don't make ordinary documents outliers.
-FLOORS = (0.06, 0.5, 0.75, 0.75)
+#: Each is small enough that its statistic can reach the cutoff by itself: repeated words are at most log1p(30) here.
+FLOORS = (0.06, 0.5, 0.75, 0.6)
 D = len(STATISTICS)
+#: Share of a normal sample that the default cutoff keeps.
+KEPT_SHARE = 0.999
 
 
 def window_hashes(words: Column) -> Column:
@@ -111,6 +114,10 @@ def chi2_quantile(p: float, d: int) -> float:
     return low
 
 
+#: The default cutoff on the squared distance.
+CUTOFF = chi2_quantile(KEPT_SHARE, D)
+
+
 def consistency(support: float) -> float:
     """What makes the covariance of the central part of a normal sample unbiased."""
     return support / chi2_cdf(chi2_quantile(support, D), D + 2)
@@ -174,7 +181,7 @@ def concentrate(features: DataFrame, support: float, steps: int) -> DataFrame:
 
 
 def quality(
-    docs: DataFrame, support: float = 0.75, steps: int = 3, cutoff: float = 60.0, min_group: int = 50,
+    docs: DataFrame, support: float = 0.75, steps: int = 3, cutoff: float = CUTOFF, min_group: int = 50,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """Counts, ``base_failed``, the squared distance ``d2`` and ``kept`` for every document.

@@ -62,6 +62,24 @@ def test_quality_keeps_ordinary_documents_and_rejects_junk(spark):
     assert all(kept[i] for i in range(400)) and not any(kept[1000 + i] for i in range(20))
 
 
+def test_each_kind_of_repetition_rejects_by_itself(spark):
+    """Documents like the others but for repeated lines only, or for repeated words only (below the base rule's 30 %)."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line(12) for _ in range(20))) for i in range(300)]
+    rows += [(1000 + i, "\n".join(f"{line(12)}\nsome line here" for _ in range(20))) for i in range(5)]
+    for i in range(5):
+        copied = line(34)
+        rows.append((2000 + i, f"{line(90)} {copied} {line(80)} {copied}"))
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    lines, words = [got[1000 + i] for i in range(5)], [got[2000 + i] for i in range(5)]
+    assert all(r["n_dup_lines"] == 19 and r["n_repeat_words"] == 0 and not r["base_failed"] for r in lines)
+    assert all(r["n_dup_lines"] == 0 and r["n_repeat_words"] == 68 and not r["base_failed"] for r in words)
+    assert not any(r["kept"] for r in lines + words) and all(got[i]["kept"] for i in range(300))
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     rows = quality.quality(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["kept"] in (True, False) for r in rows)
