@@ -2,7 +2,8 @@
 
 1. Documents with equal shingle sets are one class; all further work is on classes.
 2. A class can only have a partner if enough of its shingles stand in other classes. The 30 % of its shingles with the
-   smallest hashes decide: at most a fifth of a set may be missing in a partner, so the others of these must be shared.
+   smallest hashes decide, as far as they are among the partner's 30 % as well: of the two samples, all shared shingles of
+   the one that ends first lie in the other, so the least of both sizes less what the partner may miss must be shared.
    Hashes are dealt to buckets in packed form; a hash that several classes of one batch hold is handed on once.
 3. Prefix join of what is left: shingles in order of rising frequency; partners share a shingle within their prefixes.
    Classes with identical prefixes and sizes collapse into one group, groups meet through their prefix shingles, pairs
@@ -109,6 +110,28 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def least_sampled(n: Column, percent: int) -> Column:
+    """The fewest shingles that the samples of a set of n and of any partner have in common.
+
+    With i shingles shared by sets of n and m, the sample that ends at the smaller hash has all its shared shingles in the
+    other one: ceil(.3 n) - (n - i) or ceil(.3 m) - (m - i) at least. The first is least for the smallest partner. The
+    second falls by 0.2 or more a step of m but for two roundings, so it is least for one of the ten largest partners.
+    """
+
+    def ceiling(x: Column, by: int) -> Column:
+        return F.ceil(x / by).cast("long")
+
+    def shared(m: Column) -> Column:
+        return ceiling(percent * (n + m), 100 + percent)
+
+    least, most = ceiling(percent * n, 100), F.floor(100 * n / percent).cast("long")
+    bounds = [ceiling(SAMPLE * n, 100) - n + shared(least)]
+    for k in range(11):
+        m = F.greatest(most - k, least)
+        bounds.append(ceiling(SAMPLE * m, 100) - m + shared(m))
+    return F.least(*bounds)
+
+
 def sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, sig, row_key) of every document: the size of its shingle set, a signature of the set, a hash of the text."""
 
@@ -180,9 +203,10 @@ def promising(docs: DataFrame, classes: DataFrame, size: int, percent: int, id_c
 
     dealt = texts.mapInArrow(deal, "bucket long, codes binary, holders binary, inside binary, counts binary")
     shared = dealt.groupBy("bucket").applyInArrow(count, "holder long, shared long").groupBy("holder").agg(F.sum("shared").alias("shared"))
-    need = F.ceil(F.col("n") * SAMPLE / 100) - F.floor(F.col("n") * (100 - percent) / 100)
     holder = _as_long(F.col("sig"))
-    return classes.join(shared, holder == F.col("holder")).filter(F.col("shared") >= need).select(*classes.columns)
+    # Where partners may miss a whole sample, classes that share nothing in theirs stay as well.
+    joined = classes.join(shared, holder == F.col("holder"), "inner" if 100 - percent < SAMPLE else "left")
+    return joined.filter(F.coalesce("shared", F.lit(0)) >= least_sampled(F.col("n"), percent)).select(*classes.columns)
 
 
 def _as_long(sig: Column) -> Column:

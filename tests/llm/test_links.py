@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 from brute import jaccard_components, shingles
+from pyspark.sql import functions as F
 
 from chatterlens.llm import ngram_join
 from chatterlens.llm.components import components
@@ -58,6 +59,32 @@ def test_join_equals_all_pairs(spark):
     assert found(docs) == jaccard_components(rows)
 
 
+def test_least_sampled_is_the_least_over_all_partners(spark):
+    def plain(n, percent):
+        up = lambda a, b: -(-a // b)
+        found = []
+        for m in range(up(percent * n, 100), 100 * n // percent + 1):
+            i = up(percent * (n + m), 100 + percent)
+            found += [up(30 * n, 100) - (n - i), up(30 * m, 100) - (m - i)]
+        return min(found)
+
+    for percent in (60, 80, 95):
+        rows = spark.range(1, 400).select("id", ngram_join.least_sampled(F.col("id"), percent).alias("need")).collect()
+        assert all(r["need"] == plain(r["id"], percent) for r in rows)
+
+
+def test_sets_within_larger_ones_link(spark):
+    """Texts beside the same text with words added at the end, at a similarity of exactly 0.8."""
+    rng = random.Random(5)
+    rows = []
+    for small, large, times in ((4, 5, 100), (8, 10, 200), (24, 30, 2000)):
+        for _ in range(times):
+            words = [f"{rng.randrange(10**9)}" for _ in range(large + 4)]
+            rows += [(len(rows), " ".join(words[: small + 4])), (len(rows) + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {i: c for i, (_, c) in found(docs).items()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_star_of_copies_without_direct_links(spark):
     """Copies that link with their original only, and a large group with one prefix."""
     base = [f"b{i}" for i in range(100)]
