@@ -4,7 +4,7 @@ DataFrame functions only. The texts are read once, into a small table of counts.
 strata with fewer than ``min_group`` documents are pooled per language, those languages' rest into one) gets a
 minimum-covariance-determinant estimate of four transformed statistics by concentration steps: distances to the present
 centre and covariance, the ``support`` share of documents with the smallest distances, their mean and covariance anew.
-A document goes if its squared Mahalanobis distance exceeds ``cutoff`` and it isn't merely cleaner than the centre.
+A document goes if its squared Mahalanobis distance exceeds ``cutoff``, to whichever side of the centre it lies.
 
 All strata take part in the same aggregations (partial sums per task), so a source with a third of all rows is no
 bottleneck; the joins with the estimates carry one row per stratum and may be split by adaptive execution.
