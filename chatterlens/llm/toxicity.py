@@ -1,8 +1,8 @@
-"""Toxicity by class-conditional Kneser-Ney models of words and word pairs.
+"""Toxicity by class-conditional models of words and word pairs with absolute discounting.
 
 Two interpolated models, one of toxic and one of ordinary labelled documents, count in how many documents a pair or a
 word occurs; absolute discounts free the mass that backs off from pairs to words and from words to shared counts, the
-number of all documents that hold the word. Rare expressions therefore have the same backoff probability in both
+number of all documents that hold the word (not Kneser-Ney's continuation counts). Rare expressions therefore have the same backoff probability in both
 models and say nothing. A document's events are its distinct pairs of neighbouring words; their log-likelihood ratios,
 normalised by length, and the strongest ratios of single words under the backed-off models are the features of a
 logistic calibration. Labelled documents
