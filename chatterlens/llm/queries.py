@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlens.llm import line_dedup, ngram_join, packing, piece_bpe, quality, token_count, topk, toxicity, url_filter, warc
+from chatterlens.llm import collocations, line_dedup, ngram_join, packing, piece_bpe, quality, token_count, topk, toxicity, url_filter, warc
 from chatterlens.llm.base import table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 OP1_SQL = """
 WITH lines AS (
   SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(text, chr(10))) AS line,
@@ -152,13 +156,51 @@ WITH rests AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
+OP11_SQL = """
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts
+), worded AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM worded
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM worded
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM worded
+), counted AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counted WHERE m = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE m > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM candidates
+  UNION ALL SELECT lang, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] FROM candidates WHERE m = 3
+), sided AS (
+  SELECT c.lang, c.phrase, c.a, c.k, p.f AS l, q.f AS r, (1000000::HUGEINT * c.a * c.a) // (p.f::HUGEINT * q.f) AS score FROM cuts c
+  JOIN counted p ON p.lang = c.lang AND p.phrase = c.x
+  JOIN counted q ON q.lang = c.lang AND q.phrase = c.y
+), best AS (
+  SELECT * FROM sided QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM candidates WHERE m = 3
+), covered AS (
+  SELECT lang, phrase, max(longer) AS longer FROM inner_parts GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN covered c USING (lang, phrase) WHERE c.longer IS NULL OR 100 * c.longer < 50 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_threshold_topk, op3_warc, op4_piece_bpe, op5_ngram_join, op6_quality, op7_packing,
-        op8_token_count, op9_toxicity, op10_url_filter,
+        op8_token_count, op9_toxicity, op10_url_filter, op11_collocations,
     )
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL, "op2_threshold_topk": OP2_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op10_url_filter": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }

@@ -62,3 +62,7 @@ def url_verdict(url, rules, default):
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
             return host, path, rule, rules[rule]
     return host, path, None, default
+
+
+def lower_ascii(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
