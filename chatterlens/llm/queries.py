@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlens.llm import collocations, line_dedup, ngram_join, packing, piece_bpe, quality, token_count, topk, toxicity, url_filter, warc
+from chatterlens.llm import collocations, hard_negatives, line_dedup, ngram_join, packing, piece_bpe, quality, token_count, topk, toxicity, url_filter, warc
 from chatterlens.llm.base import table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -66,6 +66,11 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 OP1_SQL = """
 WITH lines AS (
   SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(text, chr(10))) AS line,
@@ -193,14 +198,33 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """
 
+OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM vectors a, vectors b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike
+  AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_threshold_topk, op3_warc, op4_piece_bpe, op5_ngram_join, op6_quality, op7_packing,
-        op8_token_count, op9_toxicity, op10_url_filter, op11_collocations,
+        op8_token_count, op9_toxicity, op10_url_filter, op11_collocations, op12_hard_negatives,
     )
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL, "op2_threshold_topk": OP2_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op10_url_filter": OP10_SQL,
-    "op11_collocations": OP11_SQL,
+    "op11_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL,
 }
