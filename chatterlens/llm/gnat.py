@@ -10,6 +10,7 @@ cannot meet the annulus, seen from any of the split points, is left out. Leaves
 from __future__ import annotations
 
 import io
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -154,11 +155,19 @@ class Search:
         if not child:
             self._leaf(tree, queries, first, end)
             return
-        least, greatest = reachable(distances(self.lifted[queries], tree.points[node]), tree.ranges[node])
-        for j in np.argsort(least.mean(axis=0), kind="stable"):
-            wanted = (least[:, j] <= self.far[queries]) & (greatest[:, j] >= self.near[queries])
-            if wanted.any():
-                self.visit(tree, queries[wanted], child + int(j))
+        to_points = distances(self.lifted[queries], tree.points[node])
+        least, greatest = reachable(to_points, tree.ranges[node])
+        self.through(queries, least, greatest, lambda j, some: self.visit(tree, some, child + j))
+
+    def through(self, queries: np.ndarray, least: np.ndarray, greatest: np.ndarray, go: Callable[[int, np.ndarray], None]) -> None:
+        """Go into the parts that the annuli meet: every query into its nearest part first, which narrows its annulus."""
+        home = least.argmin(axis=1)
+        for first in (True, False):
+            for j in range(least.shape[1]):
+                wanted = (home == j) == first
+                wanted &= (least[:, j] <= self.far[queries]) & (greatest[:, j] >= self.near[queries])
+                if wanted.any():
+                    go(j, queries[wanted])
 
     def _leaf(self, tree: Tree, queries: np.ndarray, first: int, end: int) -> None:
         some = slice(first, end)

@@ -128,10 +128,7 @@ def _best(space: _Space, trees: DataFrame, n_trees: int, questions: DataFrame, n
             if not len(everyone):
                 continue
             least, greatest = reachable(distances(search.lifted[everyone], space.points), ranges)
-            for b in np.argsort(least.mean(axis=0), kind="stable"):
-                wanted = (least[:, b] <= search.far[everyone]) & (greatest[:, b] >= search.near[everyone])
-                if wanted.any():
-                    search.visit(built[b], everyone[wanted])
+            search.through(everyone, least, greatest, lambda b, some: search.visit(built[b], some))
             slot, rank = np.nonzero(search.scores != Search.NONE)
             made["row"].append(q["row"][q["query"][slot]])
             made["place"].append(q["place"][slot])
