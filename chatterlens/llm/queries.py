@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlens.llm import collocations, hard_negatives, line_dedup, ngram_join, packing, piece_bpe, quality, token_count, topk, toxicity, url_filter, warc
+from chatterlens.llm import collocations, hard_negatives, license_scan, line_dedup, ngram_join, packing, piece_bpe, quality, token_count, topk, toxicity, url_filter, warc
 from chatterlens.llm.base import table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -71,6 +71,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents")).drop("matches")
+
+
 OP1_SQL = """
 WITH lines AS (
   SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(text, chr(10))) AS line,
@@ -217,14 +221,54 @@ FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike
 QUALIFY rank <= 10
 """
 
+def _license_rows(texts: list[tuple[str, str]], kind: str) -> str:
+    """VALUES of (label, number, place, word, length) for the given (label, text)."""
+    rows = []
+    for number, (label, text) in enumerate(texts):
+        words = [w.decode() for w in license_scan.words_of(text)]
+        rows += [f"('{label}', {number}, {i}, '{w}', {len(words)})" for i, w in enumerate(words)]
+    return f"{kind}(label, number, place, word, length) AS (VALUES {', '.join(rows)})"
+
+
+OP13_SQL = f"""
+WITH {_license_rows([(label, phrase) for phrase, label in license_scan.PHRASES.items()], "phrases")},
+{_license_rows([(label, t) for label, texts in license_scan.TEMPLATES.items() for t in texts], "templates")},
+texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM texts
+), stands AS (
+  SELECT w.doc_id, p.label, p.number, w.pos - p.place AS start FROM words w JOIN phrases p USING (word)
+  GROUP BY ALL HAVING count(*) = any_value(p.length)
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM stands GROUP BY doc_id
+), hits AS (
+  SELECT doc_id, pos, label, number, word, length FROM words JOIN (SELECT DISTINCT label, number, word, length FROM templates) USING (word)
+), blocks AS (
+  SELECT a.doc_id, a.label, a.number, a.pos, count(DISTINCT b.word) AS shared FROM hits a
+  JOIN hits b ON b.doc_id = a.doc_id AND b.number = a.number AND b.pos >= a.pos AND b.pos < a.pos + a.length GROUP BY ALL
+), sizes AS (
+  SELECT number, count(DISTINCT word) AS size FROM templates GROUP BY number
+), found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(shared AS DOUBLE) / size) AS score FROM blocks JOIN sizes USING (number)
+  WHERE 100 * shared >= 80 * size GROUP BY doc_id
+)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+       CASE WHEN b.labels IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(f.score, 0.0::DOUBLE) END AS score
+FROM texts t LEFT JOIN base b USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_threshold_topk, op3_warc, op4_piece_bpe, op5_ngram_join, op6_quality, op7_packing,
-        op8_token_count, op9_toxicity, op10_url_filter, op11_collocations, op12_hard_negatives,
+        op8_token_count, op9_toxicity, op10_url_filter, op11_collocations, op12_hard_negatives, op13_license_scan,
     )
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL, "op2_threshold_topk": OP2_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op10_url_filter": OP10_SQL,
-    "op11_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL,
+    "op11_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_license_scan": OP13_SQL,
 }
