@@ -10,13 +10,13 @@ cannot meet the annulus, seen from any of the split points, is left out. Leaves
 from __future__ import annotations
 
 import io
-from collections.abc import Callable
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 
 FAN = 8  # children of a node
-LEAF = 64
+LEAF = 128
 SLACK = 1e-5  # of M: what rounding may do to a distance
 
 
@@ -52,6 +52,7 @@ class Tree:
     spans: list = field(default_factory=list)  # (first row, end, first child)
     points: list = field(default_factory=list)  # per node: lifted split points, empty for a leaf
     ranges: list = field(default_factory=list)  # per node: least and greatest distance, point x child
+    converted: np.ndarray | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, square: int) -> Tree:
@@ -80,6 +81,12 @@ class Tree:
         tree.ids, tree.labels, tree.rows = ids[order], labels[order], rows[order]
         return tree
 
+    def numbers(self, kind: type) -> np.ndarray:
+        """The rows as numbers of one kind, converted once."""
+        if self.converted is None or self.converted.dtype != kind:
+            self.converted = self.rows.astype(kind)
+        return self.converted
+
     @staticmethod
     def _split(lifted: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         some = here[:: max(1, len(here) // 256)]
@@ -125,64 +132,102 @@ class Search:
 
     def __init__(self, ids, labels, rows, slot_query, low, high, k: int, same_label: bool, square: int, exact_in_floats: bool):
         self.ids, self.labels, self.rows, self.square = ids, labels, rows, square
-        self.slot_query, self.low, self.high = slot_query, low, high
         self.same_label, self.k = same_label, k
         self.as_number = np.float64 if exact_in_floats else np.int64
         self.lifted = np.column_stack([rows.astype(np.float64), np.zeros(len(rows))])
         self.base = (self.lifted * self.lifted).sum(axis=1) + float(square)
         self.slack = SLACK * max(1.0, float(np.sqrt(float(square))))
+        # The slots of a query stand together.
+        order = np.argsort(slot_query, kind="stable")
+        self.slot_order, self.slot_query, self.low, self.high = order, slot_query[order], low[order], high[order]
+        self.n_slots = np.bincount(self.slot_query, minlength=len(ids))
+        self.first_slot = np.cumsum(self.n_slots) - self.n_slots
+        self.numbers = rows.astype(self.as_number)
         self.scores = np.full((len(slot_query), k), self.NONE)
         self.found = np.zeros((len(slot_query), k), np.int64)
         self.scored = 0
+        self.near, self.far = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
+        self.least, self.most = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         self._set_bounds(np.arange(len(ids)))
 
     def _set_bounds(self, queries: np.ndarray) -> None:
-        """The annulus of each query: all that one of its slots may still take."""
-        if not hasattr(self, "near"):
-            self.near, self.far = np.full(len(self.ids), np.inf), np.full(len(self.ids), -np.inf)
-        slots = np.flatnonzero(np.isin(self.slot_query, queries))
-        self.near[queries], self.far[queries] = np.inf, -np.inf
-        least = np.maximum(self.low[slots], self.scores[slots, -1])
-        mine, base = self.slot_query[slots], self.base[self.slot_query[slots]]
-        unbounded = least == self.NONE
-        far = np.where(unbounded, np.inf, np.sqrt(np.maximum(0.0, base - 2.0 * np.where(unbounded, 0, least))))
-        near = np.sqrt(np.maximum(0.0, base - 2.0 * np.minimum(self.high[slots], 1 << 62)))
-        np.minimum.at(self.near, mine, near - self.slack)
-        np.maximum.at(self.far, mine, far + self.slack)
-
-    def visit(self, tree: Tree, queries: np.ndarray, node: int = 0) -> None:
-        first, end, child = tree.spans[node]
-        if not child:
-            self._leaf(tree, queries, first, end)
-            return
-        to_points = distances(self.lifted[queries], tree.points[node])
-        least, greatest = reachable(to_points, tree.ranges[node])
-        self.through(queries, least, greatest, lambda j, some: self.visit(tree, some, child + j))
-
-    def through(self, queries: np.ndarray, least: np.ndarray, greatest: np.ndarray, go: Callable[[int, np.ndarray], None]) -> None:
-        """Go into the parts that the annuli meet: every query into its nearest part first, which narrows its annulus."""
+        """What a slot of each query may still take: the window of scores and the annulus of distances."""
+        touched = np.zeros(len(self.ids), bool)
+        touched[queries] = True
+        slots = np.flatnonzero(touched[self.slot_query])
+        mine = self.slot_query[slots]
+        self.least[queries], self.most[queries] = np.iinfo(np.int64).max, self.NONE
+        np.minimum.at(self.least, mine, np.maximum(self.low[slots], self.scores[slots, -1]))
+        np.maximum.at(self.most, mine, self.high[slots])
+        least, most, base = self.least[queries], self.most[queries], self.base[queries]
+        self.far[queries] = self.slack + np.where(least == self.NONE, np.inf, np.sqrt(np.maximum(0.0, base - 2.0 * least)))
+        self.near[queries] = np.sqrt(np.maximum(0.0, base - 2.0 * most)) - self.slack
+
+    def through(self, queries: np.ndarray, least: np.ndarray, greatest: np.ndarray, trees: Sequence[Tree]) -> None:
+        """Search the trees whose distances the annuli meet: every query its nearest tree first, which narrows its annulus."""
         home = least.argmin(axis=1)
         for first in (True, False):
-            for j in range(least.shape[1]):
+            for j, tree in enumerate(trees):
                 wanted = (home == j) == first
                 wanted &= (least[:, j] <= self.far[queries]) & (greatest[:, j] >= self.near[queries])
                 if wanted.any():
-                    go(j, queries[wanted])
-
-    def _leaf(self, tree: Tree, queries: np.ndarray, first: int, end: int) -> None:
-        some = slice(first, end)
-        self.scored += len(queries) * (end - first)
-        place = np.full(len(self.ids), -1)
-        place[queries] = np.arange(len(queries))
-        scores = (self.rows[queries].astype(self.as_number) @ tree.rows[some].astype(self.as_number).T).astype(np.int64)
-        fits = (tree.labels[some][None] == self.labels[queries][:, None]) == self.same_label
-        fits &= tree.ids[some][None] != self.ids[queries][:, None]
-        slots = np.flatnonzero(place[self.slot_query] >= 0)
-        row = place[self.slot_query[slots]]
-        least = np.maximum(self.low[slots], self.scores[slots, -1])
-        at, which = np.nonzero(fits[row] & (scores[row] >= least[:, None]) & (scores[row] <= self.high[slots][:, None]))
-        if len(at):
-            self._take(slots[at], scores[row[at], which], tree.ids[some][which])
+                    self.search(tree, queries[wanted])
+
+    def search(self, tree: Tree, queries: np.ndarray) -> None:
+        """All of one tree: first the leaf where each query would lie, then the rest that the annuli meet."""
+        self.done = np.full(len(self.ids), -1)
+        self._home(tree, queries, 0)
+        self._visit(tree, queries, 0)
+
+    def _reachable(self, tree: Tree, queries: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
+        return reachable(distances(self.lifted[queries], tree.points[node]), tree.ranges[node])
+
+    def _home(self, tree: Tree, queries: np.ndarray, node: int) -> None:
+        child = tree.spans[node][2]
+        if not child:
+            self._leaf(tree, queries, node)
+            self.done[queries] = node
+            return
+        nearest = self._reachable(tree, queries, node)[0].argmin(axis=1)
+        for j in np.unique(nearest):
+            self._home(tree, queries[nearest == j], child + int(j))
+
+    def _visit(self, tree: Tree, queries: np.ndarray, node: int) -> None:
+        child = tree.spans[node][2]
+        if not child:
+            if len(rest := queries[self.done[queries] != node]):
+                self._leaf(tree, rest, node)
+            return
+        least, greatest = self._reachable(tree, queries, node)
+        for j in range(least.shape[1]):
+            wanted = (least[:, j] <= self.far[queries]) & (greatest[:, j] >= self.near[queries])
+            if wanted.any():
+                self._visit(tree, queries[wanted], child + j)
+
+    def _leaf(self, tree: Tree, queries: np.ndarray, node: int) -> None:
+        some = slice(*tree.spans[node][:2])
+        self.scored += len(queries) * (some.stop - some.start)
+        scores = (self.numbers[queries] @ tree.numbers(self.as_number)[some].T).astype(np.int64)
+        able = (scores >= self.least[queries][:, None]) & (scores <= self.most[queries][:, None])
+        able &= (tree.labels[some][None] == self.labels[queries][:, None]) == self.same_label
+        at, which = np.nonzero(able)
+        other = tree.ids[some][which] != self.ids[queries[at]]
+        at, which = at[other], which[other]
+        if not len(at):
+            return
+        # The few rows left, once for every slot of their query.
+        each = self.n_slots[queries[at]]
+        slot = np.repeat(self.first_slot[queries[at]] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        at, which = np.repeat(at, each), np.repeat(which, each)
+        score = scores[at, which]
+        fits = (score >= np.maximum(self.low[slot], self.scores[slot, -1])) & (score <= self.high[slot])
+        if fits.any():
+            self._take(slot[fits], score[fits], tree.ids[some][which[fits]])
+
+    def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, id, score) of all that was found; slots as they were given."""
+        slot, rank = np.nonzero(self.scores != self.NONE)
+        return self.slot_order[slot], self.found[slot, rank], self.scores[slot, rank]
 
     def _take(self, slots: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         touched = np.unique(slots)

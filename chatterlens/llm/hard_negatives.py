@@ -128,18 +128,16 @@ def _best(space: _Space, trees: DataFrame, n_trees: int, questions: DataFrame, n
             if not len(everyone):
                 continue
             least, greatest = reachable(distances(search.lifted[everyone], space.points), ranges)
-            search.through(everyone, least, greatest, lambda b, some: search.visit(built[b], some))
-            slot, rank = np.nonzero(search.scores != Search.NONE)
-            made["row"].append(q["row"][q["query"][slot]])
-            made["place"].append(q["place"][slot])
-            made["id"].append(search.found[slot, rank])
-            made["score"].append(search.scores[slot, rank])
+            search.through(everyone, least, greatest, built)
+            slot, found, score = search.results()
+            for name, values in (("row", q["row"][q["query"][slot]]), ("place", q["place"][slot]), ("id", found), ("score", score)):
+                made[name].append(values)
             made["scored"].append(np.where(np.arange(len(slot)) == 0, search.scored, 0))
         return pa.table({name: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()) for name, parts in made.items()})
 
-    found = tiles.groupBy("g", "h").cogroup(asked.groupBy("g", "h")).applyInArrow(run, "row long, place long, id long, score long, scored long")
+    best = tiles.groupBy("g", "h").cogroup(asked.groupBy("g", "h")).applyInArrow(run, "row long, place long, id long, score long, scored long")
     order = Window.partitionBy("row", "place").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def hard_negatives(vectors: DataFrame, anchors: Column, label: Column, positives: int = 5, negatives: int = 10, low_percent: int = 30,

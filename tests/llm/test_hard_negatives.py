@@ -64,7 +64,7 @@ def test_siblings_are_left_out():
     ask = np.arange(0, 4000, 200)
     one = np.iinfo(np.int64)
     search = gnat.Search(ask, np.zeros(20, np.int64), rows[ask], np.arange(20), np.full(20, one.min), np.full(20, one.max), 5, True, square, True)
-    search.visit(tree, np.arange(20))
+    search.search(tree, np.arange(20))
     scores = rows[ask] @ rows.T
     scores[np.arange(20), ask] = one.min
     assert (search.scores == np.sort(scores, axis=1)[:, :-6:-1]).all()
