@@ -206,18 +206,18 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, cover
 
     # The bound below which no phrase can be among the first; only what reaches it is spelled out.
     order = [F.desc("score"), F.desc("a")]
-    dealt = scored.select("lang", "score", "a", F.pmod(F.xxhash64("ids"), F.lit(64)).alias("part"))
-    some = _first(dealt, ["lang", "part"], order, first)
-    bound = _first(some, ["lang"], order, first).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("least"))
+    bound = _first(scored.select("lang", "score", "a", "ids"), order, first).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("least"))
     reached = scored.join(bound, "lang").filter(F.struct("score", "a") >= F.col("least")).drop("least")
     letters = reached.select("ids", F.posexplode("ids").alias("place", "id")).join(words.select("id", "word"), "id")
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias("phrase")
-    named = reached.join(letters.groupBy("ids").agg(phrase), "ids").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(64)))
-    order = [*order, F.asc("phrase")]
-    ranked = _first(_first(named, ["lang", "part"], order, first), ["lang"], order, first)
+    ranked = _first(reached.join(letters.groupBy("ids").agg(phrase), "ids"), [*order, F.asc("phrase")], first)
     totals = chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def _first(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
+def _first(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each language with their rank, in three steps, so that no task ranks a whole language."""
+    for parts in (256, 8, 1):
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+        rows = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= n)
+    return rows.drop("part")
