@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.columns import explode_once, first_per, name_bit, names_in_bits, strip, word_array
-from chatterlens.functions.matching import words_in
+from chatterlens.functions.matching import with_words
 from chatterlens.operators.tables import embedding_refs
 from chatterlens.operators.vectors import add_vectors
 from chatterlens.session import written_once
@@ -166,9 +166,8 @@ def classify_messages(messages: DataFrame, provider: Callable[[dict[str, str]],
 def classify_by_rules(messages: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = tuple(fv.CLASSIFICATION_RULES),
                       fallback: str = fv.FALLBACK_CATEGORY) -> DataFrame:
     """The first category, in rule order, with a cue in the lower-cased text."""
-    found = messages.select(
-        F.col("id").alias("message_id"), words_in("content", [c for _, cues in rules for c in cues]).alias("found")
-    )
+    rows = messages.select(F.col("id").alias("message_id"), "content")
+    found = with_words(rows, "found", [cue for _, cues in rules for cue in cues])
     category = F.coalesce(
         *[F.when(F.arrays_overlap("found", word_array(cues)), F.lit(name)) for name, cues in rules], F.lit(fallback)
     )
@@ -185,14 +184,14 @@ def parse_classifications(responses: DataFrame, categories: Sequence[str] = tupl
 
 def extract_keywords(df: DataFrame, vocab: Sequence[str] = tuple(fv.INTEGRATION_WORDS)) -> DataFrame:
     """Add ``keywords``: the vocabulary words that occur in the text as substrings, sorted."""
-    return df.withColumn("keywords", words_in("content", vocab))
+    return with_words(df, "keywords", vocab)
 
 
 def extract_tools_and_pains(df: DataFrame, tools: Sequence[str] = tuple(fv.TOOL_WORDS),
                             pains: Sequence[str] = tuple(fv.PAIN_WORDS)) -> DataFrame:
     """Add ``tools``, ``pain_points`` and ``all``; a word of both lists counts twice in ``all``."""
     both = sorted({*tools, *pains})
-    found = df.withColumn("__found", words_in("content", both))
+    found = with_words(df, "__found", both)
     # One scan of the text for the union of the lists; the two lists are then cut from its short result.
     return (
         found.withColumn("tools", F.array_intersect("__found", word_array(tools)))
