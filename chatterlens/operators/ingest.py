@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterlens.functions.fixed_values import ENTITY_TYPES, PLATFORMS
@@ -12,6 +12,7 @@ from chatterlens.functions.skew import spread_join
 from chatterlens.schemas import COMMENT_METADATA
 from chatterlens.session import written_once
 from chatterlens.sources.corpus import Corpus
+from chatterlens.sources.versions import EPOCH, VersionedTable
 
 
 def first_by_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -28,12 +29,13 @@ def first_by_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     )
 
 
-def last_by_key(df: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One row per key, the last by the column ``order``, or in reading order without one; combined before the shuffle."""
-    place = F.monotonically_increasing_id() if order is None else F.col(order)
-    numbered = df.withColumn("__place", place)
+def last_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key, the last by the column ``order``; combined before the shuffle.
+
+    Rows that share key and order are settled by their contents, so the order in which files are read never counts.
+    """
     whole = F.struct(*[F.col(c) for c in df.columns])
-    return numbered.groupBy(*keys).agg(F.max_by(whole, F.col("__place")).alias("__row")).select("__row.*")
+    return df.groupBy(*keys).agg(F.max_by(whole, F.struct(F.col(order), whole)).alias("__row")).select("__row.*")
 
 
 def dedup_insert_ignore(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
@@ -54,10 +56,10 @@ def insert_users_ignore(users: DataFrame, incoming: DataFrame, now: int) -> Data
     return users.unionByName(fresh.select(*users.columns))
 
 
-def upsert_users(users: DataFrame, incoming: DataFrame, now: int, order: str | None = None) -> DataFrame:
+def upsert_users(users: DataFrame, incoming: DataFrame, now: int, order: str) -> DataFrame:
     """All users after an upsert: names, metadata and last_seen are replaced, count and first_seen kept.
 
-    Of several updates of one user the last wins: by the column ``order``, or in reading order without one.
+    Of several updates of one user the last by the column ``order`` wins. ``user_store`` keeps users over many batches.
     """
     latest = last_by_key(incoming, ["id"], order)
     o, n = users.alias("o"), latest.alias("n")
@@ -80,6 +82,33 @@ def upsert_users(users: DataFrame, incoming: DataFrame, now: int, order: str | N
     return o.join(n, F.col("o.id") == F.col("n.id"), "full_outer").select(*columns.values())
 
 
+USER_UPDATES = "id string, platform string, username string, display_name string, metadata string, sequence long, first_seen long, last_seen long"
+
+
+def user_store(spark: SparkSession, root: str, max_deltas: int = 16) -> VersionedTable:
+    """Users kept over many batches of updates (``USER_UPDATES``): the last update by ``sequence`` gives the names.
+
+    Only the batch is written, whatever the number of users; the result is the same for any order of batches and files.
+    """
+
+    def merge(rows: DataFrame) -> DataFrame:
+        named = ("platform", "username", "display_name", "metadata")
+        last = F.struct("sequence", *named)
+        state = rows.groupBy("id").agg(
+            F.max(last).alias("last"), F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"), F.max(EPOCH).alias(EPOCH))
+        return state.select("id", "last.platform", "last.username", "last.display_name", "last.metadata", "last.sequence", "first_seen", "last_seen", EPOCH)
+
+    return VersionedTable(spark, root, USER_UPDATES, merge, max_deltas)
+
+
+def save_users(store: VersionedTable, incoming: DataFrame, now: int, order: str, epoch: int, run: str = "main") -> None:
+    """Add a batch of user updates to a store; the same epoch again changes nothing."""
+    stamp = F.lit(now).cast("long")
+    rows = last_by_key(incoming.select("id", "platform", "username", "display_name", "metadata", F.col(order).cast("long").alias("sequence")), ["id"], "sequence")
+    store.write(rows.withColumn("first_seen", stamp).withColumn("last_seen", stamp), epoch, run)
+
+
 def user_activity_rollup(messages: DataFrame, names: str | None = None) -> DataFrame:
     """Message count, first and last message time per author, with the latest name when there is one."""
     username = F.max_by(names, F.struct("timestamp", "id")) if names else F.first("author_id")

@@ -133,13 +133,13 @@ def save_clustering_run(runs: DataFrame, method: str, parameters: str, n_cluster
     return runs.unionByName(row)
 
 
-def save_cluster_assignments(existing: DataFrame, run_id: int, labels: DataFrame, order: str | None = None) -> DataFrame:
+def save_cluster_assignments(existing: DataFrame, run_id: int, labels: DataFrame, order: str) -> DataFrame:
     """Assignments after writing a run's labels; a label replaces the one of the same run and message.
 
-    Of several labels of one message the last wins: by the column ``order``, or in reading order without one.
+    Of several labels of one message the last by the column ``order`` wins.
     """
     columns = [F.lit(run_id).cast("bigint").alias("clustering_run_id"), "message_id", "cluster_id"]
-    latest = last_by_key(labels.select(*columns, *([order] if order else [])), ["message_id"], order)
+    latest = last_by_key(labels.select(*columns, order), ["message_id"], order)
     latest = latest.select("clustering_run_id", "message_id", "cluster_id")
     kept = existing.select("clustering_run_id", "message_id", "cluster_id").join(
         latest.select("clustering_run_id", "message_id"), ["clustering_run_id", "message_id"], "left_anti"

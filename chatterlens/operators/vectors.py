@@ -1,4 +1,4 @@
-"""Exact and approximate search over message vectors.
+"""Exact search over message vectors; ``ivf`` has the approximate one.
 
 Distance is squared Euclidean; ties rank by message id.
 """
@@ -6,13 +6,9 @@ Distance is squared Euclidean; ties rank by message id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,44 +118,6 @@ def search_text(vectors: DataFrame, texts: Mapping[str, str], provider: Callable
     return vector_search(vectors, dict(zip(names, provider([texts[n] for n in names]))), k, where)
 
 
-@dataclass(frozen=True)
-class LshIndex:
-    """A fitted random-projection model and the saved frame of hashed vectors."""
-
-    model: BucketedRandomProjectionLSHModel
-    hashed: DataFrame
-
-
-def lsh_index(vectors: DataFrame, folder: str, tables: int = 8, sample: int = 1000, seed: int = 42) -> LshIndex:
-    """Hash all vectors once and save them below ``folder``.
-
-    The bucket length is the median distance of the vectors to their mean, measured on ``sample`` rows: a few buckets
-    per table, whatever the scale of the vectors.
-    """
-    points = vectors.select("message_id", array_to_vector("embedding").alias("features"))
-    some = np.asarray([r["features"].toArray() for r in points.orderBy(F.xxhash64("message_id")).limit(sample).collect()])
-    spread = float(np.median(np.sqrt(((some - some.mean(axis=0)) ** 2).sum(axis=1)))) if len(some) else 1.0
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=(spread or 1.0) / 2, numHashTables=tables, seed=seed
-    )
-    model = lsh.fit(points)
-    path = f"{folder}/hashed"
-    model.transform(points).write.mode("overwrite").parquet(path)
-    return LshIndex(model, vectors.sparkSession.read.parquet(path))
-
-
-def vector_search_approx(index: LshIndex, query: Sequence[float], k: int = 10, recall_rows: int = 20) -> DataFrame:
-    """About the k nearest vectors: of the saved rows that share a bucket with the query, the nearest by exact distance.
-
-    ``recall_rows * k`` candidates are asked for; where fewer rows share a bucket, the search goes on with rows of the
-    nearest buckets, so k rows come back whenever there are k.
-    """
-    key = Vectors.dense(list(map(float, query)))
-    near = index.model.approxNearestNeighbors(index.hashed, key, recall_rows * k, distCol="euclidean")
-    near = near.select("message_id", (F.col("euclidean") ** 2).alias("distance")).orderBy("distance", "message_id")
-    return near.limit(k)
-
-
 def add_vectors(vectors: DataFrame, incoming: DataFrame, dim: int) -> DataFrame:
     """All vectors after adding those with a new id; a wrong length raises when the plan runs."""
     checked = incoming.withColumn(

@@ -23,13 +23,14 @@ from chatterlens.operators import clusters as cl
 from chatterlens.operators import enrich as en
 from chatterlens.operators import graph as gr
 from chatterlens.operators import ingest as ing
+from chatterlens.operators import ivf
 from chatterlens.operators import tables as tb
 from chatterlens.operators import vectors as ve
 from chatterlens.plans import explore as ex
 from chatterlens.plans import questions as qu
 from chatterlens.plans import reports as rp
 from chatterlens.schemas import CHAT_METADATA, COMMENT_FIELDS, COMMENT_METADATA, POST_METADATA, RAW_CHAT
-from chatterlens.session import ensure_checkpoint_dir
+from chatterlens.session import ensure_checkpoint_dir, written_once
 from chatterlens.sources import raw, sinks
 from chatterlens.sources.corpus import Corpus, read_corpus, taxonomy_dim
 from chatterlens.streaming import streams as st
@@ -316,6 +317,21 @@ def _(spark, folder, g):
     )
 
 
+@case("user_store", f"""
+SELECT id, platform, username || '_c' AS username, CAST(100 AS BIGINT) AS first_seen, CAST(102 AS BIGINT) AS last_seen FROM {{users}} WHERE platform = 'discord'
+UNION ALL SELECT id, platform, username || '_b', 101, 102 FROM {{users}} WHERE platform <> 'discord'""")
+def _(spark, folder, g):
+    """Three batches of updates, merged after two; the second one is played twice and the oldest update comes last."""
+    store = ing.user_store(spark, os.path.join(work_folder(spark), "users"), max_deltas=2)
+    update = lambda users, ending, place: users.withColumn("username", F.concat("username", F.lit(ending))).withColumn("place", F.lit(place))
+    chat = g.users.filter("platform = 'discord'")
+    ing.save_users(store, update(chat, "_c", 9), 100, "place", 0)
+    for _again in range(2):
+        ing.save_users(store, update(g.users, "_b", 5), 101, "place", 1)
+    ing.save_users(store, update(g.users, "_a", 1), 102, "place", 2)
+    return store.read().select("id", "platform", "username", "first_seen", "last_seen")
+
+
 @case("insert_users_ignore", f"""
 SELECT id, platform, username, message_count, first_seen, last_seen FROM {{users}}
 UNION ALL
@@ -521,9 +537,10 @@ def _(spark, folder, g):
 SELECT CAST(1 AS BIGINT) AS clustering_run_id, 'm_' || CAST(vec_id AS STRING) AS message_id, CAST(label + 1 AS BIGINT) AS cluster_id FROM {embeddings}
 UNION ALL SELECT 2, 'm_' || CAST(vec_id AS STRING), CAST(label AS BIGINT) FROM {embeddings}""")
 def _(spark, folder, g):
-    labels = g.vectors.select("message_id", F.col("label").alias("cluster_id"))
-    second = tb.save_cluster_assignments(g.message_clusters, 2, labels)
-    return tb.save_cluster_assignments(second, 1, labels.withColumn("cluster_id", F.col("cluster_id") + 1))
+    last = g.vectors.select("message_id", F.col("label").alias("cluster_id"), F.lit(2).alias("place"))
+    labels = last.unionByName(last.withColumn("cluster_id", F.lit(99)).withColumn("place", F.lit(1)))
+    second = tb.save_cluster_assignments(g.message_clusters, 2, labels, "place")
+    return tb.save_cluster_assignments(second, 1, last.withColumn("cluster_id", F.col("cluster_id") + 1), "place")
 
 
 @case("cluster_messages", f"""
@@ -816,16 +833,24 @@ def _(spark, folder, g):
     return found(ve.search_filtered(g.vectors, query_of(g, "m_0"), F.col("platform") == "discord", "the", 5))
 
 
-@case("vector_search_approx", "SELECT CAST(10 AS BIGINT) AS n, true AS distances_exact, true AS enough_found")
+@case("vector_search_approx", """
+WITH v AS (SELECT message_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM {vectors}),
+d AS (SELECT q.message_id AS query_id, v.message_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) ** 2)) AS distance
+  FROM v q, v WHERE CAST(substring(q.message_id, 3) AS BIGINT) % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, message_id) AS rank FROM d),
+t AS (SELECT query_id, count(*) FILTER (rank <= 10) AS k FROM r GROUP BY query_id)
+SELECT query_id, k AS found, true AS recall_reached, 40 * 5 < (SELECT count(*) FROM v) AS few_vectors_read,
+       (SELECT round(sum(distance), 6) FROM r x WHERE x.query_id = t.query_id AND rank <= 5) AS nearest_five FROM t""")
 def _(spark, folder, g):
-    """k rows, exact distances, and a recall of at least 0.9 against the exact search."""
-    query = ve.stored_vector(g.vectors, "m_0")
-    index = ve.lsh_index(g.vectors, work_folder(spark))
-    near = ve.vector_search_approx(index, query, 10).select("message_id", F.col("distance").alias("near"))
-    exact = ve.vector_search(g.vectors, {"q": query}, 10_000).select("message_id", "distance", "rank")
-    return near.join(exact, "message_id").agg(
-        F.count("*").alias("n"), F.bool_and(F.abs(F.col("near") - F.col("distance")) < 1e-6).alias("distances_exact"),
-        (F.count_if(F.col("rank") <= 10) >= 9).alias("enough_found"))
+    """Every vector whose id is divisible by 50 against all: recall of at least 0.9, and 40 whole vectors read per query."""
+    index = ivf.build_inverted_file(g.vectors, work_folder(spark), pivots=16)
+    queries = g.vectors.filter("CAST(substring(message_id, 3) AS BIGINT) % 50 = 0").select(F.col("message_id").alias("query_id"), "embedding")
+    near = written_once(ivf.search_inverted(index, queries, 10, refine=4))
+    exact = ve.vector_search(g.vectors, {r["query_id"]: r["embedding"] for r in queries.collect()}, 10).select("query_id", "message_id", F.lit(True).alias("true_one"))
+    total = g.vectors.count()
+    return near.join(exact, ["query_id", "message_id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("found"), (F.count("true_one") >= 0.9 * F.count("*")).alias("recall_reached"), F.lit(40 * 5 < total).alias("few_vectors_read"),
+        F.round(F.sum(F.when(F.col("rank") <= 5, F.col("distance"))), 6).alias("nearest_five"))
 
 
 @case("search_text", """
@@ -1619,6 +1644,18 @@ def _(spark, folder, g):
     return st.latest_updates(spark, target, "author_id string, message_count long, first_seen long, last_seen long", "author_id")
 
 
+@case("activity_increments", """
+SELECT author_id AS id, platform, author_id AS username, count(*) AS message_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen
+FROM {messages} GROUP BY author_id, platform""")
+def _(spark, folder, g):
+    """All messages in five batches, one of them played twice, with merges in between."""
+    target = os.path.join(work_folder(spark), "activity")
+    add = st.add_activity(target, max_deltas=2)
+    for epoch in (0, 1, 2, 2, 3, 4):
+        add(g.messages.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == epoch), epoch)
+    return st.stored_activity(spark, target)
+
+
 @case("stream_daily_category_counts", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day_start, event_type AS category, count(*) AS n FROM {events} GROUP BY 1, 2
 HAVING date_trunc('day', max(ts)) + INTERVAL 1 DAY <= (SELECT date_trunc('second', max(ts)) FROM {events}) - INTERVAL 1 DAY""")

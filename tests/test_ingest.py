@@ -24,7 +24,7 @@ def test_user_writes(spark, small_corpus):
     incoming = spark.createDataFrame(
         [("reddit_u2", "reddit", "robert", "R", 0, 0, 0, "m"), ("new", "reddit", "eve", None, 0, 0, 0, None)], schemas.USERS
     )
-    up = {r.id: r for r in ing.upsert_users(small_corpus.users, incoming, 900).collect()}
+    up = {r.id: r for r in ing.upsert_users(small_corpus.users, incoming, 900, "last_seen").collect()}
     assert up["reddit_u2"].username == "robert" and up["reddit_u2"].message_count == 2 and up["reddit_u2"].first_seen == 200
     assert up["reddit_u2"].last_seen == 900 and up["discord_u1"].last_seen == 100
     assert up["new"].message_count == 0 and up["new"].first_seen == 900
@@ -94,8 +94,10 @@ def test_last_update_wins(spark, small_corpus):
     incoming = spark.createDataFrame(updates, schemas.USERS + ", place int")
     first = {r.id: r.username for r in ing.upsert_users(small_corpus.users, incoming, 9, "place").collect()}
     assert first["reddit_u2"] == "mia"
-    read = {r.id: r.username for r in ing.upsert_users(small_corpus.users, incoming.coalesce(1).drop("place").limit(2), 9).collect()}
-    assert read["reddit_u2"] == "zed"
+    tied = incoming.withColumn("place", F.lit(0))
+    for order in (F.asc("username"), F.desc("username")):
+        rows = ing.upsert_users(small_corpus.users, tied.orderBy(order).coalesce(1), 9, "place").collect()
+        assert {r.id: r.username for r in rows}["reddit_u2"] == "zed"
     labels = spark.createDataFrame([("a", 7, 1), ("a", 2, 2)], "message_id string, cluster_id int, place int")
     none = spark.createDataFrame([], schemas.MESSAGE_CLUSTERS)
     assert [tuple(r) for r in tb.save_cluster_assignments(none, 1, labels, "place").collect()] == [(1, "a", 2)]

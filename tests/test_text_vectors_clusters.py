@@ -9,6 +9,7 @@ from chatterlens.functions import fixed_values as fv
 from chatterlens.functions.matching import words_in
 from chatterlens.operators import clusters as cl
 from chatterlens.operators import enrich as en
+from chatterlens.operators import ivf
 from chatterlens.operators import vectors as ve
 
 
@@ -121,9 +122,35 @@ def test_search_merges_tasks(spark, tmp_path):
     for i in range(3):
         d = ((points.astype("float64") - points[i].astype("float64")) ** 2).sum(axis=1)
         assert out[f"q{i}"] == [f"p{j:05d}" for j in np.argsort(d, kind="stable")[:12]]
-    exact = set(out["q0"])
-    near = [r.message_id for r in ve.vector_search_approx(ve.lsh_index(df, str(tmp_path)), queries["q0"], 12).collect()]
-    assert len(near) == 12 and len(exact & set(near)) >= 8
+    index = ivf.build_inverted_file(df, str(tmp_path), pivots=9)
+    near = ivf.vector_search_approx(index, df, queries, 12).collect()
+    assert {(r.query_id, r["rank"], r.message_id) for r in near} == {(q, i + 1, m) for q, ids in out.items() for i, m in enumerate(ids)}
+
+
+def test_inverted_file_reads_few_rows_of_clustered_vectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ivf, "SLICE_ROWS", 100)
+    rng = np.random.default_rng(0)
+    middles = rng.normal(size=(20, 12)) * 10
+    points = np.concatenate([np.concatenate([m + rng.normal(size=(90, 12)) for m in middles]), np.repeat(middles[:1], 700, axis=0)])
+    df = spark.createDataFrame([(f"p{i:05d}", p.tolist()) for i, p in enumerate(points)], "message_id string, embedding array<double>").repartition(5)
+    queries = df.filter("int(substring(message_id, 2)) % 50 = 0").select(F.col("message_id").alias("query_id"), "embedding")
+    index = ivf.build_inverted_file(df, str(tmp_path), pivots=25)
+    assert sum(n for n, _ in index.cells.values()) == len(points)
+    got = {}
+    for r in ivf.search_inverted(index, queries, 10, probes=3).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert len(got) == len(points) / 50
+    hits = 0
+    for q, rows in got.items():
+        d = np.round(((points - points[int(q[1:])]) ** 2).sum(axis=1), 9)
+        hits += len({f"p{j:05d}" for j in np.lexsort((np.arange(len(d)), d))[:10]} & {r.message_id for r in rows})
+        assert [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, 11))
+    assert hits >= 0.9 * 10 * len(got)
+    assert sum(r[0].codes_read for r in got.values() if int(r[0].query_id[1:]) < 1800 and int(r[0].query_id[1:]) >= 90) < 0.2 * 34 * len(points)
+    few = ivf.build_inverted_file(df.limit(3), str(tmp_path / "few"))
+    assert ivf.search_inverted(few, queries.limit(1), 10).count() == 3
+    with pytest.raises(ValueError):
+        ivf.build_inverted_file(df.limit(0), str(tmp_path / "none"))
 
 
 def test_vector_writes(spark, vectors):
