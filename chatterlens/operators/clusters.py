@@ -6,10 +6,13 @@ Input frames hold (message_id, embedding); labelled ones add cluster_id, with
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -32,8 +35,158 @@ def l2_normalize(v: DataFrame) -> DataFrame:
     return unit_features(v).withColumn("embedding", vector_to_array("features")).drop("features")
 
 
-def _features(v: DataFrame) -> DataFrame:
-    return unit_features(v.select("message_id", "embedding")).select("message_id", "features")
+SAMPLE = 1000  # rows of a group from which the starting centres are drawn
+TOLERANCE = 1e-4
+
+
+@dataclass
+class Fit:
+    """One start of k-means in one group of rows; ``centres`` are those that ``cost`` was measured with."""
+
+    group: str
+    k: int
+    centres: np.ndarray
+    following: np.ndarray
+    cost: float = float("inf")
+    settled: bool = False
+
+
+def _points(v: DataFrame, group: Column) -> DataFrame:
+    """(group, message_id, features): unit vectors, written once and read by every round."""
+    unit = l2_normalize(v.select(group.alias("group"), "message_id", "embedding"))
+    return written_once(unit.select("group", "message_id", F.col("embedding").alias("features")))
+
+
+def _starting_rows(points: DataFrame, most: int) -> dict[str, np.ndarray]:
+    """Distinct unit vectors of each group: of ``SAMPLE`` rows, and of all rows where those hold fewer than ``most``."""
+    def distinct(rows: DataFrame) -> dict[str, np.ndarray]:
+        found: dict[str, list] = {}
+        for r in rows.select("group", "features").collect():
+            found.setdefault(r["group"], []).append(r["features"])
+        return {g: np.unique(np.array(x), axis=0) for g, x in found.items()}
+
+    n = max(SAMPLE, 4 * most)
+    made = distinct(first_per(points, ["group"], [F.xxhash64("message_id"), F.asc("message_id")], n))
+    short = [g for g, x in made.items() if len(x) < most]
+    if short:
+        several = points.filter(F.col("group").isin(short)).groupBy("group", F.xxhash64("features").alias("h")).agg(F.min_by("features", "message_id").alias("features"))
+        made |= distinct(first_per(several, ["group"], [F.asc("h")], most))
+    return made
+
+
+def _spread_centres(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows, each drawn with a chance that grows with the squared distance to those before it."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(rows)))]
+    gap = ((rows - rows[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        gap[chosen] = 0
+        chosen.append(int(rng.choice(len(rows), p=gap / gap.sum())) if gap.sum() > 0 else next(i for i in range(len(rows)) if i not in chosen))
+        gap = np.minimum(gap, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+    return rows[chosen].copy()
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and the squared distance to it."""
+    gap = (centres * centres).sum(axis=1)[None] - 2 * (rows @ centres.T)
+    at = gap.argmin(axis=1)
+    return at, np.maximum(0.0, gap[np.arange(len(rows)), at] + (rows * rows).sum(axis=1))
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray]]:
+    """Rows (group, message_id, features) of each batch and group, with their vectors as a matrix."""
+    for batch in batches:
+        for group in batch.column(0).unique().to_pylist():
+            part = batch.filter(pc.equal(batch.column(0), group))
+            flat = part.column(2).flatten().to_numpy(zero_copy_only=False)
+            yield group, part, flat.reshape(part.num_rows, -1)
+
+
+def _round(points: DataFrame, fits: list[Fit]) -> None:
+    """One scan for all fits that still move: costs and new centres from one aggregate of (fit, cluster)."""
+    live = [(i, f.group, f.following) for i, f in enumerate(fits) if not f.settled]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {i: [np.zeros(len(c)), np.zeros(len(c)), np.zeros_like(c)] for i, _, c in live}
+        for group, _, rows in _by_group(batches):
+            for i, of, centres in live:
+                if of == group:
+                    at, gap = _nearest(rows, centres)
+                    mine = np.zeros((len(centres), len(rows)))
+                    mine[at, np.arange(len(rows))] = 1.0
+                    total[i][0] += mine.sum(axis=1)
+                    total[i][1] += np.bincount(at, gap, minlength=len(centres))
+                    total[i][2] += mine @ rows
+        made = [(i, j, n, cost, s.tolist()) for i, (ns, costs, vs) in total.items() for j, (n, cost, s) in enumerate(zip(ns, costs, vs)) if n]
+        columns = list(zip(*made)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())))], names=["fit", "cluster", "n", "cost", "sums"])
+
+    parts = points.select("group", "message_id", "features").mapInArrow(sums, "fit int, cluster int, n double, cost double, sums array<double>")
+    added = parts.groupBy("fit", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    moved = {i: centres.copy() for i, _, centres in live}
+    costs = dict.fromkeys(moved, 0.0)
+    # At most one row per fit and cluster.
+    for r in added.collect():
+        moved[r["fit"]][r["cluster"]] = r["sums"].toArray() / r["n"]
+        costs[r["fit"]] += r["cost"]
+    for i, _, centres in live:
+        fit = fits[i]
+        fit.centres, fit.cost, fit.following = centres, costs[i], moved[i]
+        fit.settled = bool((((moved[i] - centres) ** 2).sum(axis=1) <= TOLERANCE**2).all())
+
+
+def grouped_kmeans(points: DataFrame, ks: Mapping[str, Sequence[int]], seed: int, n_init: int, max_iter: int) -> dict[tuple[str, int], Fit]:
+    """The best fit by (group, k). All starts of all ks in all groups move together, one scan of the points per round.
+
+    What travels is one centre per start and cluster, so its size is set by the parameters. A fit that has settled takes
+    no part in further rounds.
+    """
+    rows = _starting_rows(points, max((k for many in ks.values() for k in many), default=1))
+    fits = []
+    for group, many in sorted(ks.items()):
+        for k in many:
+            for start in range(n_init):
+                centres = _spread_centres(rows[group], k, seed + start)
+                fits.append(Fit(group, k, centres, centres))
+    for _ in range(max_iter):
+        if all(f.settled for f in fits):
+            break
+        _round(points, fits)
+    best: dict[tuple[str, int], Fit] = {}
+    for fit in fits:
+        if (fit.group, fit.k) not in best or fit.cost < best[fit.group, fit.k].cost:
+            best[fit.group, fit.k] = fit
+    return best
+
+
+def _labels(points: DataFrame, fits: Mapping[tuple[str, int], Fit]) -> DataFrame:
+    """(message_id, group, k, cluster_id) of every point under every fit of its group, in one scan."""
+    made = [(f.group, f.k, f.centres) for f in fits.values()]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, part, rows in _by_group(batches):
+            for of, k, centres in made:
+                if of == group:
+                    at = _nearest(rows, centres)[0]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(1), part.column(0), pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32())], names=["message_id", "group", "k", "cluster_id"])
+
+    return points.select("group", "message_id", "features").mapInArrow(label, "message_id string, group string, k int, cluster_id int")
+
+
+def _distinct_vectors(points: DataFrame) -> dict[str, int]:
+    """Distinct vectors of each group."""
+    hashes = points.select("group", F.xxhash64("features").alias("h")).distinct()
+    return {r["group"]: r["n"] for r in hashes.groupBy("group").agg(F.count("*").alias("n")).collect()}
+
+
+def _enough(points: DataFrame, k: int) -> None:
+    if k < 2:
+        raise ValueError("k-means needs at least two clusters")
+    there = points.select(F.xxhash64("features").alias("h")).distinct().limit(k).count()
+    if there < k:
+        raise ValueError(f"{k} clusters need as many distinct vectors; there are {there}")
 
 
 def cluster_kmeans(v: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10, max_iter: int = 20) -> tuple[DataFrame, float]:
@@ -41,33 +194,10 @@ def cluster_kmeans(v: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10,
 
     Raises when there are fewer distinct vectors than clusters.
     """
-    fitted, inertia = _labelled_kmeans(v, k, seed, n_init, max_iter)
-    return fitted.select("message_id", "cluster_id"), inertia
-
-
-def distinct_vectors(v: DataFrame, most: int) -> int:
-    """Distinct unit vectors, counted up to ``most``."""
-    return _features(v).select(F.xxhash64(vector_to_array("features")).alias("h")).distinct().limit(most).count()
-
-
-def _labelled_kmeans(v: DataFrame, k: int, seed: int, n_init: int, max_iter: int = 20) -> tuple[DataFrame, float]:
-    """The best fit's (message_id, features, cluster_id) and its inertia."""
-    if k < 2:
-        raise ValueError("k-means needs at least two clusters")
-    points = _features(v).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if (there := distinct_vectors(v, k)) < k:
-            raise ValueError(f"{k} clusters need as many distinct vectors; there are {there}")
-        fits = [
-            KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol="features", predictionCol="cluster_id").fit(points)
-            for start in range(n_init)
-        ]
-        best = min(fits, key=lambda model: model.summary.trainingCost)
-        inertia = float(best.summary.trainingCost)
-    finally:
-        points.unpersist()
-    # The returned frame does not hold the cache: it reads the vectors once more when used.
-    return best.transform(_features(v)), inertia
+    points = _points(v, F.lit(""))
+    _enough(points, k)
+    fits = grouped_kmeans(points, {"": [k]}, seed, n_init, max_iter)
+    return _labels(points, fits).select("message_id", "cluster_id"), fits["", k].cost
 
 
 def with_vectors(labels: DataFrame, v: DataFrame) -> DataFrame:
@@ -139,16 +269,21 @@ def davies_bouldin(labelled: DataFrame) -> DataFrame:
     return worst.agg(F.avg("worst").alias("davies_bouldin"))
 
 
-def compare_k_values(v: DataFrame, ks: Sequence[int] = (20, 30, 40, 50, 75), seed: int = 42, n_init: int = 10) -> DataFrame:
-    """Four scores of k-means for each k, over all rows."""
+def compare_k_values(v: DataFrame, ks: Sequence[int] = (20, 30, 40, 50, 75), seed: int = 42, n_init: int = 10, max_iter: int = 20) -> DataFrame:
+    """Four scores of k-means for each k, over all rows. The fits of all ks share their rounds."""
+    points = _points(v, F.lit(""))
+    _enough(points, max(ks))
+    fits = grouped_kmeans(points, {"": list(ks)}, seed, n_init, max_iter)
+    vectors = points.select("message_id", F.col("features").alias("embedding"))
+    labels = written_once(_labels(points, fits))
     rows = []
     for k in ks:
-        fitted, inertia = _labelled_kmeans(v, k, seed, n_init)
-        labelled = fitted.select("message_id", vector_to_array("features").alias("embedding"), "cluster_id").persist(StorageLevel.MEMORY_AND_DISK)
-        rows.append((
-            k, silhouette(labelled).first()[0], calinski_harabasz(labelled).first()[0], davies_bouldin(labelled).first()[0], inertia,
-        ))
-        labelled.unpersist()
+        labelled = vectors.join(labels.filter(F.col("k") == k).select("message_id", "cluster_id"), "message_id").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            scores = silhouette(labelled).first()[0], calinski_harabasz(labelled).first()[0], davies_bouldin(labelled).first()[0]
+        finally:
+            labelled.unpersist()
+        rows.append((k, *scores, fits["", k].cost))
     return v.sparkSession.createDataFrame(
         rows, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double"
     )
@@ -173,12 +308,12 @@ def _preview(chars: int) -> Column:
 
 
 def cluster_samples(labelled: DataFrame, messages: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
-    """Up to n members per cluster in a repeatable random order, with the cluster size."""
+    """Up to n members per cluster in a repeatable random order, with the cluster size, platform and source."""
     rows = labelled.filter(F.col("cluster_id") != -1).select("cluster_id", F.col("message_id").alias("id"))
     sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("size"))
     picked = first_per(rows, ["cluster_id"], [F.md5(F.concat("id", F.lit(str(seed)))), F.asc("id")], n)
-    return messages.select("id", _preview(200)).join(picked, "id").join(sizes, "cluster_id").select(
-        "cluster_id", "size", "rank", "id", "preview"
+    return messages.select("id", "platform", "source", _preview(200)).join(picked, "id").join(sizes, "cluster_id").select(
+        "cluster_id", "size", "rank", "id", "platform", "source", "preview"
     )
 
 
@@ -201,23 +336,15 @@ def cluster_members(labelled: DataFrame, messages: DataFrame, chars: int = 200)
 
 
 def cluster_within_category(v: DataFrame, message_taxonomy: DataFrame, categories: Sequence[str], k: int = 10, seed: int = 42,
-                            n_init: int = 3) -> DataFrame:
+                            n_init: int = 3, max_iter: int = 20) -> DataFrame:
     """Finer topics: the members of each category clustered on their own, as (message_id, category, k, cluster_id).
 
     ``k`` is the number of clusters used: a category with fewer distinct vectors gets as many, one with a single
-    vector a single cluster. The vectors are joined with their categories once.
+    vector a single cluster. The vectors are joined with their categories once, and all categories share their rounds:
+    the number of jobs does not depend on the number of categories.
     """
     wanted = message_taxonomy.filter(F.col("category").isin(list(categories))).select("message_id", "category").distinct()
-    members = v.select("message_id", "embedding").join(wanted, "message_id").persist(StorageLevel.MEMORY_AND_DISK)
-    result = None
-    for category in categories:
-        part_of = members.filter(F.col("category") == category).select("message_id", "embedding")
-        used = distinct_vectors(part_of, k)
-        if used == 0:
-            continue
-        labels = cluster_kmeans(part_of, used, seed, n_init)[0] if used > 1 else part_of.select("message_id", F.lit(0).alias("cluster_id"))
-        part = labels.select("message_id", F.lit(category).alias("category"), F.lit(used).alias("k"), "cluster_id")
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        return v.sparkSession.createDataFrame([], "message_id string, category string, k int, cluster_id int")
-    return result
+    points = _points(v.select("message_id", "embedding").join(wanted, "message_id"), F.col("category"))
+    used = {category: min(k, n) for category, n in _distinct_vectors(points).items()}
+    fits = grouped_kmeans(points, {category: [n] for category, n in used.items()}, seed, n_init, max_iter)
+    return _labels(points, fits).select("message_id", F.col("group").alias("category"), "k", "cluster_id")

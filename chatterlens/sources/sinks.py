@@ -42,7 +42,7 @@ def write_cluster_samples(samples: DataFrame, path: str) -> None:
     """One JSON row per cluster with its size and samples; the sample count bounds each row."""
     write_json(
         samples.groupBy("cluster_id", "size").agg(
-            F.sort_array(F.collect_list(F.struct("id", "preview"))).alias("samples")
+            F.sort_array(F.collect_list(F.struct("id", "platform", "source", "preview"))).alias("samples")
         ),
         path,
     )

@@ -1000,7 +1000,7 @@ def _(spark, folder, g):
 @case("cluster_samples", """
 WITH r AS (SELECT c.cluster_id, c.message_id, count(*) OVER (PARTITION BY c.cluster_id) AS size,
   row_number() OVER (PARTITION BY c.cluster_id ORDER BY md5(c.message_id || '42'), c.message_id) AS rank FROM {message_clusters} c WHERE c.cluster_id <> -1)
-SELECT CAST(r.cluster_id AS BIGINT) AS cluster_id, r.size, r.rank, m.id, substring(m.content, 1, 200) AS preview FROM r JOIN {messages} m ON m.id = r.message_id WHERE r.rank <= 5""")
+SELECT CAST(r.cluster_id AS BIGINT) AS cluster_id, r.size, r.rank, m.id, m.platform, m.source, substring(m.content, 1, 200) AS preview FROM r JOIN {messages} m ON m.id = r.message_id WHERE r.rank <= 5""")
 def _(spark, folder, g):
     return cl.cluster_samples(with_noise(g), g.messages)
 
@@ -1690,13 +1690,13 @@ def _(spark, folder, g):
 @case("write_cluster_samples", """
 WITH r AS (SELECT c.cluster_id, c.message_id, count(*) OVER (PARTITION BY c.cluster_id) AS size,
   row_number() OVER (PARTITION BY c.cluster_id ORDER BY md5(c.message_id || '42'), c.message_id) AS rank FROM {message_clusters} c WHERE c.cluster_id <> -1)
-SELECT CAST(cluster_id AS BIGINT) AS cluster_id, size, string_agg(r.message_id || '/' || md5(substring(m.content, 1, 200)), ' | ' ORDER BY r.message_id) AS samples
+SELECT CAST(cluster_id AS BIGINT) AS cluster_id, size, string_agg(r.message_id || '/' || m.platform || '/' || m.source || '/' || md5(substring(m.content, 1, 200)), ' | ' ORDER BY r.message_id) AS samples
 FROM r JOIN {messages} m ON m.id = r.message_id WHERE rank <= 5 GROUP BY 1, 2""")
 def _(spark, folder, g):
     path = os.path.join(work_folder(spark), "samples")
     sinks.write_cluster_samples(cl.cluster_samples(with_noise(g), g.messages), path)
-    rows = spark.read.schema("cluster_id bigint, size bigint, samples array<struct<id:string,preview:string>>").json(path)
-    return rows.select("cluster_id", "size", F.transform("samples", lambda s: F.concat(s["id"], F.lit("/"), F.md5(s["preview"]))).alias("samples"))
+    rows = spark.read.schema("cluster_id bigint, size bigint, samples array<struct<id:string,platform:string,source:string,preview:string>>").json(path)
+    return rows.select("cluster_id", "size", F.transform("samples", lambda s: F.concat_ws("/", s["id"], s["platform"], s["source"], F.md5(s["preview"]))).alias("samples"))
 
 
 CORPUS_SUMS = {

@@ -163,10 +163,10 @@ def test_exports(spark, small_corpus, tmp_path):
     row = json.loads(next((tmp_path / "json").glob("*.json")).read_text().splitlines()[0])
     assert row["user"] == {"username": "ann", "total_messages": 1}
     assert row["extracted_keywords"] == ["stripe"] and row["auto_categories"] == ["migration_export", "payment"]
-    samples = spark.createDataFrame([(1, 5, "a", "t1"), (1, 5, "b", "t2")], "cluster_id int, size long, id string, preview string")
+    samples = spark.createDataFrame([(1, 5, "a", "discord", "s", "t1"), (1, 5, "b", "reddit", "r", "t2")], "cluster_id int, size long, id string, platform string, source string, preview string")
     sinks.write_cluster_samples(samples, str(tmp_path / "samples"))
     row = json.loads(next(p for p in (tmp_path / "samples").glob("*.json") if p.stat().st_size).read_text().splitlines()[0])
-    assert row["size"] == 5 and [s["id"] for s in row["samples"]] == ["a", "b"]
+    assert row["size"] == 5 and [(s["id"], s["platform"], s["source"]) for s in row["samples"]] == [("a", "discord", "s"), ("b", "reddit", "r")]
 
 
 def land(folder, name, ids, day="2024-06-01"):

@@ -198,6 +198,41 @@ def test_kmeans_and_scores(spark):
     assert cl.cluster_kmeans(v, 5, n_init=1)[0].count() == 800
 
 
+def plain_kmeans(rows, centres, rounds):
+    for _ in range(rounds):
+        at = ((rows[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([rows[at == j].mean(axis=0) if (at == j).any() else centres[j] for j in range(len(centres))])
+    at = ((rows[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    return at, ((rows - centres[at]) ** 2).sum()
+
+
+def test_groups_share_rounds(spark, monkeypatch):
+    """Fits of several groups, ks and starts equal plain k-means from the same starts, with one scan per round."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    group = np.array(["a", "b", "b", "c"])[np.arange(400) % 4]
+    points = spark.createDataFrame([(str(g), f"m{i:04d}", v.tolist()) for i, (g, v) in enumerate(zip(group, x))], "group string, message_id string, features array<double>").repartition(3)
+    starts, rounds = {}, []
+    spread, each = cl._spread_centres, cl._round
+    monkeypatch.setattr(cl, "_spread_centres", lambda rows, k, seed: starts.setdefault((len(rows), k, seed), spread(rows, k, seed)))
+    monkeypatch.setattr(cl, "_round", lambda p, fits: (rounds.append(len(fits)), each(p, fits)))
+    ks = {"a": [2, 5], "b": [3], "c": [4]}
+    best = cl.grouped_kmeans(points, ks, 7, 3, 6)
+    assert len(rounds) <= 6 and set(rounds) == {12}
+    labels = {}
+    for r in cl._labels(points, best).collect():
+        labels.setdefault((r.group, r.k), {})[r.message_id] = r.cluster_id
+    for g, many in ks.items():
+        rows = x[group == g]
+        for k in many:
+            plain = [plain_kmeans(rows, starts[len(rows), k, 7 + s], 5) for s in range(3)]
+            at, cost = min(plain, key=lambda p: p[1])
+            assert best[g, k].cost == pytest.approx(cost, rel=1e-6)
+            ids = [f"m{i:04d}" for i in np.flatnonzero(group == g)]
+            assert [labels[g, k][i] for i in ids] == at.tolist()
+
+
 def test_scores_against_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(90, 5))
