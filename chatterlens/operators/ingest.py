@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,73 +122,76 @@ def user_activity_rollup(messages: DataFrame, names: str | None = None) -> DataF
     )
 
 
-def validate_corpus(g: Corpus) -> DataFrame:
-    """Every broken rule as (table, rule, key); an empty result means a sound corpus."""
-
-    def found(df: DataFrame, table: str, rule: str, key: str) -> DataFrame:
-        return df.select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
-
-    def repeated(df: DataFrame, table: str, rule: str, *keys: str) -> DataFrame:
-        groups = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
-        return found(groups.withColumn("k", F.concat_ws("/", *keys)), table, rule, "k")
-
-    def missing(df: DataFrame, table: str, key: str, *columns: str) -> DataFrame:
-        return found(df.filter(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))), table, "required", key)
-
-    def orphans(df: DataFrame, table: str, rule: str, key: str, column: str, known: DataFrame) -> DataFrame:
-        there = known.select(F.col("id").alias("__known"))
-        given = df.filter(F.col(column).isNotNull())
-        return found(given.join(there, F.col(column) == F.col("__known"), "left_anti"), table, rule, key)
-
-    def other_than(df: DataFrame, table: str, column: str, values: Sequence[str]) -> DataFrame:
-        return found(df.filter(F.col(column).isNotNull() & ~F.col(column).isin(list(values))), table, column, "id")
-
-    m, u = g.messages, g.users
-    parts = [
-        missing(m, "messages", "id", "platform", "content", "author_id", "timestamp", "scraped_at"),
-        other_than(m, "messages", "platform", PLATFORMS),
-        orphans(m, "messages", "author_exists", "id", "author_id", u),
-        orphans(m, "messages", "parent_exists", "id", "parent_id", m),
-        repeated(m, "messages", "unique_id", "id"),
-        missing(u, "users", "id", "platform", "username"),
-        other_than(u, "users", "platform", PLATFORMS),
-        repeated(u, "users", "unique_id", "id"),
-    ]
-    if (e := g.extracted_entities) is not None:
-        parts += [
-            missing(e, "extracted_entities", "id", "message_id", "entity_type", "entity_name"),
-            other_than(e, "extracted_entities", "entity_type", ENTITY_TYPES),
-            orphans(e, "extracted_entities", "message_exists", "id", "message_id", m),
-        ]
-    if (r := g.embeddings_reference) is not None:
-        parts += [
-            missing(r, "embeddings_reference", "message_id", "message_id", "chromadb_id", "created_at"),
-            orphans(r, "embeddings_reference", "message_exists", "message_id", "message_id", m),
-            repeated(r, "embeddings_reference", "unique_message", "message_id"),
-        ]
-    if (runs := g.clustering_runs) is not None:
-        parts.append(missing(runs, "clustering_runs", "id", "method", "parameters", "n_clusters", "n_noise", "n_samples", "created_at"))
-    if (c := g.message_clusters) is not None:
-        parts += [
-            missing(c, "message_clusters", "message_id", "clustering_run_id", "message_id", "cluster_id", "created_at"),
-            orphans(c, "message_clusters", "message_exists", "message_id", "message_id", m),
-            repeated(c, "message_clusters", "unique_assignment", "clustering_run_id", "message_id"),
-        ]
-        if g.clustering_runs is not None:
-            parts.append(orphans(c, "message_clusters", "run_exists", "message_id", "clustering_run_id", g.clustering_runs))
-    if (runs := g.taxonomy_runs) is not None:
-        parts.append(missing(runs, "taxonomy_runs", "id", "model", "taxonomy_version", "n_messages", "batch_size", "total_batches", "created_at"))
-    t = g.message_taxonomy
-    parts += [
-        missing(t, "message_taxonomy", "message_id", "taxonomy_run_id", "message_id", "category", "created_at"),
-        orphans(t, "message_taxonomy", "message_exists", "message_id", "message_id", m),
-    ]
-    if g.taxonomy_runs is not None:
-        parts.append(orphans(t, "message_taxonomy", "run_exists", "message_id", "taxonomy_run_id", g.taxonomy_runs))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+@dataclass(frozen=True)
+class Rules:
+    """What must hold in one table: columns that are filled, columns with few values, references, a unique key."""
+
+    key: str
+    required: Sequence[str]
+    values: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    references: Sequence[tuple[str, str, str]] = ()  # (rule, column, target table)
+    unique: tuple[str, Sequence[str]] | None = None
+    target_key: str | None = None  # the column that references of other tables mean
+
+
+#: The rules of the tables.
+TABLE_RULES = {
+    "messages": Rules(
+        "id", ["platform", "content", "author_id", "timestamp", "scraped_at"], {"platform": PLATFORMS},
+        [("author_exists", "author_id", "users"), ("parent_exists", "parent_id", "messages")], ("unique_id", ["id"]), "id"),
+    "users": Rules("id", ["platform", "username"], {"platform": PLATFORMS}, unique=("unique_id", ["id"]), target_key="id"),
+    "extracted_entities": Rules("id", ["message_id", "entity_type", "entity_name"], {"entity_type": ENTITY_TYPES}, [("message_exists", "message_id", "messages")]),
+    "embeddings_reference": Rules(
+        "message_id", ["message_id", "chromadb_id", "created_at"], references=[("message_exists", "message_id", "messages")], unique=("unique_message", ["message_id"])),
+    "clustering_runs": Rules("id", ["method", "parameters", "n_clusters", "n_noise", "n_samples", "created_at"], target_key="id"),
+    "message_clusters": Rules(
+        "message_id", ["clustering_run_id", "message_id", "cluster_id", "created_at"],
+        references=[("message_exists", "message_id", "messages"), ("run_exists", "clustering_run_id", "clustering_runs")],
+        unique=("unique_assignment", ["clustering_run_id", "message_id"])),
+    "taxonomy_runs": Rules("id", ["model", "taxonomy_version", "n_messages", "batch_size", "total_batches", "created_at"], target_key="id"),
+    "message_taxonomy": Rules(
+        "message_id", ["taxonomy_run_id", "message_id", "category", "created_at"],
+        references=[("message_exists", "message_id", "messages"), ("run_exists", "taxonomy_run_id", "taxonomy_runs")]),
+}
+
+
+def validate_corpus(g: Corpus, rules: Mapping[str, Rules] = TABLE_RULES) -> DataFrame:
+    """Every broken rule as (table, rule, key); an empty result means a sound corpus.
+
+    Each table is read once for its rows' rules and references, and once for its keys. All references meet all keys in one
+    join by (target, key); rules that are broken already take part in it under a target without keys, so nothing
+    removes them.
+    """
+    tables = {name: df for name in rules if (df := getattr(g, name)) is not None}
+    text = lambda c: F.col(c).cast("string")
+
+    def events(name: str, df: DataFrame) -> DataFrame:
+        """(table, rule, key, target, ref): broken rules, and references to be looked up."""
+        r = rules[name]
+
+        def event(rule: str, when: Column, target: Column, ref: Column) -> Column:
+            return F.when(when, F.struct(F.lit(name).alias("table"), F.lit(rule).alias("rule"), text(r.key).alias("key"), target.alias("target"), ref.alias("ref")))
+
+        # The hash deals broken rules evenly.
+        broken = lambda rule, when: event(rule, when, F.lit(""), F.xxhash64(F.lit(rule), text(r.key)).cast("string"))
+        found = [broken("required", F.greatest(*[F.col(c).isNull() for c in r.required], F.lit(False)))]
+        found += [broken(c, F.col(c).isNotNull() & ~F.col(c).isin(list(values))) for c, values in r.values.items()]
+        found += [event(rule, F.col(c).isNotNull(), F.lit(target), text(c)) for rule, c, target in r.references if target in tables]
+        return df.select(F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.*")
+
+    def keys(name: str, df: DataFrame) -> DataFrame:
+        r = rules[name]
+        columns = list(r.unique[1]) if r.unique else [r.target_key]
+        return df.select(
+            F.lit(name).alias("target"), F.concat_ws("/", *columns).alias("ref"), F.lit(r.unique[0] if r.unique else None).cast("string").alias("rule"),
+            F.greatest(*[F.col(c).isNotNull() for c in columns], F.lit(False)).alias("real"))
+
+    keyed = [keys(name, df) for name, df in tables.items() if rules[name].unique or rules[name].target_key]
+    counts = reduce(DataFrame.unionByName, keyed).groupBy("target", "ref").agg(F.count("*").alias("n"), F.max("rule").alias("rule"), F.max("real").alias("real"))
+    asked = reduce(DataFrame.unionByName, [events(name, df) for name, df in tables.items()])
+    lost = asked.join(counts.filter("real").select("target", "ref"), ["target", "ref"], "left_anti").select("table", "rule", "key")
+    repeated = counts.filter(F.col("rule").isNotNull() & (F.col("n") > 1))
+    return lost.unionByName(repeated.select(F.col("target").alias("table"), "rule", F.col("ref").alias("key")))
 
 
 def comment_depth(messages: DataFrame, root_prefix: str | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ after the first aggregation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.functions import fixed_values as fv
@@ -204,17 +205,62 @@ def export_integration_requesters(g: Corpus, k: int = 100) -> DataFrame:
     return rows.select("username", "platform", "total_messages", "n", "timestamp", "id", "content")
 
 
+def _short_cycles(links: DataFrame, max_depth: int) -> DataFrame | None:
+    """(id, length) of the messages on reply cycles shorter than ``max_depth``; None without any.
+
+    Longer cycles need no care: no path of ``max_depth`` replies takes one of theirs twice.
+    """
+    up = links.select(F.col("child_id").alias("at"), F.col("parent_id").alias("next"))
+    walks, found = links.select(F.col("child_id").alias("id"), F.col("parent_id").alias("at")), []
+    for length in range(2, max_depth):
+        walks = walks.join(up, "at").select("id", F.col("next").alias("at"))
+        found.append(walks.filter("id = at").select("id", F.lit(length).alias("length")))
+        walks = walks.filter("id <> at")
+    if not found:
+        return None
+    cyclic = written_once(reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min("length").alias("length")))
+    return None if cyclic.isEmpty() else cyclic
+
+
+def _round_cycles(cyclic: DataFrame, links: DataFrame, ends: DataFrame, max_depth: int) -> DataFrame:
+    """(id, paths) of the messages on short cycles, from the counts of the paths that come to them from outside.
+
+    With t replies from its start to the first message x on the cycle, a path ends o further on with t + o replies, for
+    every o below the cycle's length, and again at x after the whole round.
+    """
+    one = F.lit(1).cast("bigint")
+    none = F.array(*[F.lit(0).cast("bigint")] * max_depth)
+    outside = cyclic.join(ends, "id", "left").select("id", "length", F.concat(F.array(one), F.coalesce("paths", none)).alias("come"))
+    up = links.select(F.col("child_id").alias("id"), F.col("parent_id").alias("next"))
+    at, reached = outside.withColumn("o", F.lit(0)), []
+    for step in range(max_depth - 1):
+        reached.append(at)
+        at = at.filter(F.col("length") > step + 1).join(up, "id").select(F.col("next").alias("id"), "length", "come", F.lit(step + 1).alias("o"))
+    rows = written_once(reduce(DataFrame.unionByName, reached))
+
+    def paths(d: int) -> Column:
+        straight = F.when(F.lit(d) >= F.col("o"), F.get("come", F.lit(d) - F.col("o"))).otherwise(0)
+        whole_round = F.when((F.col("o") == 0) & (F.col("length") <= d), F.get("come", F.lit(d) - F.col("length"))).otherwise(0)
+        return F.sum(straight + whole_round)
+
+    return rows.groupBy("id").agg(F.array(*[paths(d) for d in range(1, max_depth + 1)]).alias("paths"))
+
+
 def thread_depth_by_topic(g: Corpus, max_depth: int = 5) -> DataFrame:
     """Reply paths of 1..max_depth hops by the category of the message they end in.
 
     Each round adds up, per message, the path counts of its direct replies moved one
     hop further. Only counts travel: a message with very many replies is one row
-    after the partial sums, and no path is ever listed. A message that replies to
-    itself lets paths take its loop once more.
+    after the partial sums, and no path is ever listed. A path takes no reply twice:
+    one that comes to a message replying to itself may take that loop once, and one
+    that enters a cycle may go round it once (see ``_round_cycles``).
     """
     edges = written_once(g.replies())
     loops = edges.filter("child_id = parent_id").select(F.col("child_id").alias("id"), F.lit(1).alias("loop"))
     links = edges.filter("child_id <> parent_id")
+    cyclic = _short_cycles(links, max_depth)
+    if cyclic is not None:
+        every, links = links, links.join(cyclic.select(F.col("id").alias("child_id")), "child_id", "left_anti")
     hops = [f"p{d}" for d in range(1, max_depth + 1)]
     counts = links.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("p1"))
     for depth in range(2, max_depth + 1):
@@ -231,6 +277,8 @@ def thread_depth_by_topic(g: Corpus, max_depth: int = 5) -> DataFrame:
             F.zip_with(paths, F.slice(F.concat(F.array(F.lit(1).cast("bigint")), paths), 1, max_depth), lambda a, b: a + b)
         ).alias("paths"),
     )
+    if cyclic is not None:
+        ends = ends.join(cyclic, "id", "left_anti").unionByName(_round_cycles(cyclic, every, ends, max_depth))
     n = F.aggregate("paths", zero, lambda a, x: a + x)
     steps = F.aggregate(F.transform("paths", lambda x, i: x * (i + 1)), zero, lambda a, x: a + x)
     deepest = F.array_max(F.transform("paths", lambda x, i: F.when(x > 0, i + 1).otherwise(0)))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatterlens import schemas
@@ -76,8 +77,19 @@ def test_limits_after_ranking_keep_the_top(spark):
     assert [(r.username, r.n) for r in qu.feature_wishlist_champions(g).limit(2).collect()] == full[:2]
 
 
-def test_thread_depth_against_walks(spark):
+def ring(name, size, tails):
+    """A reply cycle with chains of replies that lead into it."""
+    topics = ["questions", "bug_reports", "feature_requests"]
+    posts = [(f"{name}{i}", "u1", i, f"{name}{(i + 1) % size}", [topics[i % 3]], []) for i in range(size)]
+    for t, tail in enumerate(tails):
+        posts += [(f"{name}_{t}_{j}", "u2", j, f"{name}{t % size}" if j == 0 else f"{name}_{t}_{j - 1}", [topics[(t + j) % 3]], []) for j in range(tail)]
+    return posts
+
+
+@pytest.mark.parametrize("rings", [[], [2], [3, 2], [4, 5, 6, 2]])
+def test_thread_depth_against_walks(spark, rings):
     posts = random_posts(5, 200) + [("loop", "u1", 1, "loop", ["questions"], []), ("kid", "u1", 2, "loop", ["questions"], [])]
+    posts += [p for i, size in enumerate(rings) for p in ring(f"r{i}x", size, [1, 3, 6])]
     g = corpus(spark, posts)
     labelled = {p[0]: p[4] for p in posts if p[4]}
     parent = {p[0]: p[3] for p in posts if p[3] and p[0] in labelled and p[3] in labelled}
