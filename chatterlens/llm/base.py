@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chatterlens.session import ensure_checkpoint_dir, ship_package
 
 BATCH_BYTES = 4 << 20  # Arrow batches sent to Python stay about this small, however long the texts are
-__all__ = ["Memory", "map_texts", "row_key", "shared_folder", "small_batches", "table", "written"]
+__all__ = ["Memory", "fresh_name", "map_texts", "row_key", "shared_folder", "small_batches", "table", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -35,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name with as many underscores as it takes to differ from every column of the frame, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterlens.llm.base import small_batches, written
+from chatterlens.llm.base import fresh_name, small_batches, written
 
 SPACES = " \t\n\x0b\f\r"
 LOG_REGISTERS = 12
@@ -50,13 +50,15 @@ def widespread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 def without_widespread_lines(
     docs: DataFrame, min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
 ) -> DataFrame:
-    """The documents with cross-site boilerplate removed, and ``n_lines_removed``."""
+    """The documents with cross-site boilerplate removed, and ``n_lines_removed``, which replaces a column of that name."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("n_lines_removed")
+    drop_id, drop_key, dropped = (fresh_name(docs, name) for name in ("drop_id", "drop_key", "drop"))
     lines = line_hashes(docs, id_col, text_col, site_col)
     common = written(widespread_lines(lines, min_sites), "lines")
     drop = (
         lines.join(common, "line").filter(~F.col("id").eqNullSafe(F.col("first")))
-        .groupBy(F.col("id").alias("drop_id"), F.col("text_key").alias("drop_key")).agg(F.collect_set("pos").alias("drop"))
+        .groupBy(F.col("id").alias(drop_id), F.col("text_key").alias(drop_key)).agg(F.collect_set("pos").alias(dropped))
     )
 
     @F.pandas_udf("string")
@@ -69,7 +71,7 @@ def without_widespread_lines(
             made.append(text)
         return pd.Series(made, dtype=object)
 
-    keys = F.col(f"d.{id_col}").eqNullSafe(F.col("drop_id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("drop_key"))
+    keys = F.col(f"d.{id_col}").eqNullSafe(F.col(drop_id)) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col(drop_key))
     joined = docs.alias("d").join(drop, keys, "left")
-    columns = [cut(F.col(f"d.{text_col}"), F.col("drop")).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_lines_removed"))
+    columns = [cut(F.col(f"d.{text_col}"), F.col(dropped)).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
+    return joined.select(*columns, F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_lines_removed"))

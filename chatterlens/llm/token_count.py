@@ -28,6 +28,7 @@ from chatterlens.llm.base import Memory, map_texts
 SPACE = frozenset(" \t\n\v\f\r")
 KEPT_WORDS = 300_000  # words per generation whose counts a worker remembers
 ENDINGS = frozenset(b".,")
+PROBE = "Hello  world\n\nfoo, bar.\tbaz 12 x.y ,z"  # shows whether white space makes tokens
 LETTERS = frozenset(range(ord("a"), ord("z") + 1))
 
 
@@ -35,6 +36,8 @@ class ResyncCounter:
     def __init__(self, tokenizer, chunk_chars: int, overlap_chars: int):
         self.tokenizer, self.chunk, self.overlap = tokenizer, chunk_chars, overlap_chars
         self.words = Memory(KEPT_WORDS)
+        if self.counts([PROBE])[0] != len(tokenizer.encode(PROBE, add_special_tokens=False).ids):
+            raise ValueError("the tokenizer keeps white space; texts cannot be counted word by word")
 
     def counts(self, texts: list[str]) -> list[int]:
         words = [t.encode().split() if len(t) <= self.chunk else None for t in texts]

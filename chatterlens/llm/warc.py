@@ -244,7 +244,9 @@ class WarcReader(DataSourceReader):
         system, folder = open_folder(self.uri)
         found = system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
         files = [i for i in found if i.is_file and i.base_name.endswith((".warc", ".warc.gz")) and "/_" not in i.path[len(folder):]]
-        ranges = [Range(i.path, s, min(s + self.split, i.size)) for i in files for s in range(0, i.size, self.split)]
+        # A payload in a plain archive may hold whole records, so only the members of packed ones tell where to cut.
+        step = {i.path: self.split if i.base_name.endswith(".gz") else max(1, i.size) for i in files}
+        ranges = [Range(i.path, s, min(s + step[i.path], i.size)) for i in files for s in range(0, i.size, step[i.path])]
         return ranges or [Range("", 0, 0)]
 
     def wanted(self, headers: dict[str, str]) -> bool:

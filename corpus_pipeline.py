@@ -2,7 +2,9 @@
 
 Every stage is ``function(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again as the
 next one's ``docs``. All but the last return the columns of the documents. Rows are matched by their id and a hash of
-what the decision rests on, so rows that share an id are decided each by their own text.
+what the decision rests on, so rows that share an id are decided each by their own text. Nulls, empty texts, ties and
+repeated rows have the results that the operators define; an empty table gives an empty result; further columns pass
+through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterlens.llm import line_dedup, ngram_join, packing, quality, toxicity
-from chatterlens.llm.base import row_key, table, written
+from chatterlens.llm.base import fresh_name, row_key, table, written
 from chatterlens.llm.queries import tokenizer
 
 
 def _matching(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
     """The rows of ``docs`` whose id and hash of ``columns`` are among the chosen ones (doc_id, row_key)."""
-    picked = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("row_key").alias("chosen_key"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("chosen_id")) & (row_key(*[f"d.{c}" for c in columns]) == F.col("chosen_key"))
+    chosen_id, chosen_key = fresh_name(docs, "chosen_id"), fresh_name(docs, "chosen_key")
+    picked = chosen.select(F.col("doc_id").alias(chosen_id), F.col("row_key").alias(chosen_key))
+    same = F.col("d.doc_id").eqNullSafe(F.col(chosen_id)) & (row_key(*[f"d.{c}" for c in columns]) == F.col(chosen_key))
     return docs.alias("d").join(picked, same, "left_semi")
 
 

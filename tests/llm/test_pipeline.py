@@ -44,3 +44,13 @@ def test_repeated_rows_and_ids(spark, small, odd_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, small).count() == 0
     assert public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_names_that_clash(spark):
+    import corpus_pipeline
+    from chatterlens.llm.base import row_key
+
+    docs = spark.createDataFrame([(1, "a", 5, 6), (2, "b", 5, 6), (None, "c", 5, 6)], "doc_id long, text string, chosen_id int, chosen_key int")
+    chosen = docs.filter("text <> 'b'").select("doc_id", row_key("text").alias("row_key"))
+    got = corpus_pipeline._matching(docs, chosen, "text")
+    assert got.columns == docs.columns and sorted(r["text"] for r in got.collect()) == ["a", "c"]

@@ -168,3 +168,22 @@ def test_lines_odd_rows(odd_docs, no_docs):
     got = line_dedup.without_widespread_lines(odd_docs, 2)
     assert got.count() == odd_docs.count()
     assert line_dedup.without_widespread_lines(no_docs).count() == 0
+
+
+def test_names_that_clash(spark):
+    rows = [(i, f"common\nown {i}", f"s{i}", 1, 2, 3, 4, 5, 6, 7, 8) for i in range(9)]
+    names = "drop int, drop_id int, DROP_key int, first int, line int, pos int, n_lines_removed int, sites int"
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {names}")
+    got = line_dedup.without_widespread_lines(docs)
+    assert got.columns.count("n_lines_removed") == 1 and set(got.columns) == set(docs.columns)
+    assert sorted((r["doc_id"], r["text"], r["drop"], r["n_lines_removed"]) for r in got.collect()) == [(0, "common\nown 0", 1, 0)] + [(i, f"own {i}", 1, 1) for i in range(1, 9)]
+
+
+def test_plain_archives_with_records_in_payloads(spark, tmp_path):
+    row = dict(record_type="response", record_id="urn:x-page:1", target_uri="u", payload_digest=None, refers_to=None, http_length=None)
+    inner = warc.record(row | {"record_id": "urn:x-page:777", "http_length": 5, "payload": b"inner"}, "d")
+    payloads = [b"x" * 2500 + inner + b"y" * 2500 for _ in range(3)]
+    made = [warc.record(row | {"record_id": f"urn:x-page:{i}", "http_length": len(p), "payload": p}, "d") for i, p in enumerate(payloads)]
+    (tmp_path / "a.warc").write_bytes(b"".join(made))
+    got = spark.read.format("warc").option("path", str(tmp_path)).option("split_bytes", "2000").load().collect()
+    assert sorted((r["record_id"], bytes(r["payload"])) for r in got) == [(f"urn:x-page:{i}", p) for i, p in enumerate(payloads)]

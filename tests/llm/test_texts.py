@@ -97,3 +97,11 @@ def test_byte_encoder_equals_the_library():
 
 def test_crc_is_over_little_endian_words():
     assert packing.crc(np.array([1, 2], np.uint16)) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
+
+
+def test_tokenizers_that_keep_white_space_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="white space"):
+        token_count.resync_counter(public_tokenizers.path("byte_bpe_50k.json"), 16_384, 256)
+    assert token_count.resync_counter(public_tokenizers.path("word_bpe_49k.json"), 16_384, 256)
