@@ -891,6 +891,14 @@ def _(spark, folder, g):
     return ve.delete_vectors(g.vectors, g.messages.filter("platform = 'reddit'")).select("message_id")
 
 
+@case("reset_vectors", "SELECT count(*) AS added_again, CAST(0 AS BIGINT) AS left_over FROM {vectors}")
+def _(spark, folder, g):
+    """Nothing is left, and what is added to the emptied table is all there."""
+    v = g.vectors.select("message_id", "embedding")
+    emptied = ve.reset_vectors(v)
+    return ve.add_vectors(emptied, v, 64).agg(F.count("*").alias("added_again")).withColumn("left_over", F.lit(emptied.count()).cast("bigint"))
+
+
 @case("vector_stats", "SELECT count(*) AS n, CAST(max(len(embedding)) AS BIGINT) AS dims FROM {vectors}")
 def _(spark, folder, g):
     return ve.vector_stats(g.vectors)
