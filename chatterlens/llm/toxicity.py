@@ -1,20 +1,30 @@
-"""Toxicity by class-conditional models of words and word pairs with absolute discounting.
+"""Toxicity by class-conditional Kneser-Ney models, one of toxic and one of ordinary labelled documents.
 
-Two interpolated models, one of toxic and one of ordinary labelled documents, count in how many documents a pair or a
-word occurs; absolute discounts free the mass that backs off from pairs to words and from words to shared counts, the
-number of all documents that hold the word (not Kneser-Ney's continuation counts). Rare expressions therefore have the same backoff probability in both
-models and say nothing. A document's events are its distinct pairs of neighbouring words; their log-likelihood ratios,
-normalised by length, and the strongest ratios of single words under the backed-off models are the features of a
-logistic calibration. Labelled documents
-are calibrated with their own counts taken out of the models.
+Each class has an interpolated pair model. The chance of word w behind v is
 
-Bounds (parameters): the classifier is fitted on at most ``sample_rows`` labelled rows, those with the smallest hash of
-their id; the models hold ``words`` words and ``pairs`` pairs of the ``pair_words`` most frequent words. Shared counts
-come from all documents, each document is scored whole, and the models, of bounded size, travel with the tasks.
+    max(c(v, w) - D, 0) / c(v)  +  back(v) * [ max(n(w) - D, 0) / N  +  free * shared(w) ]
+
+with c(v, w) the labelled documents of the class that hold the pair, n(w) the class's continuation count (different words
+seen before w), and ``shared(w)`` the continuation count over all documents; absolute discounts free the mass that backs
+off. A pair or word that no class has more than D times has nothing left after the discount: both models back off to the
+same shared chance, so it tells nothing and needs no entry. What is left out of the tables is exactly that, no cap.
+
+A document's inputs are the difference of the two log-likelihoods divided by its length, the greatest differences at
+the continuation level (at most four different words), and its length; a logistic curve on labelled documents that the
+counts have not seen turns them into a score.
+
+Scale: class counts come from the labelled sample, aggregated as pairs in Spark. The shared counts come from all
+documents: per word of the models eight 64-bit maps of the words before it, at sampling rates 1, 1/4, 1/16, ..., which
+Spark merges by ``bit_or`` (a distinct count to about a tenth, nearly exact for rare words). The models travel with the
+tasks. Their size is bounded by the sample: every entry stands for at least three of its pairs. Words are 64-bit hashes.
+
+Bounds (parameters): the classifier learns from at most ``sample_rows`` labelled rows, those with the smallest hash of
+their id, as long as their texts stay within ``sample_chars`` in all; a quarter of them calibrates, the others are
+counted. With fewer than ``LEAST_ROWS`` rows of a class in one of these parts, all rows do both.
 
 Defined results: a null text counts as empty and is scored like an empty one; labels that are null or not 0 or 1 are left
 out; of several labels of one id the largest counts; without labelled documents of both classes every score is the share
-of toxic ones (0 without any); rows with equal ids are scored each by their text.
+of toxic ones (0 without any); rows with equal ids are scored each by their text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,206 +35,254 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.llm.base import row_key, small_batches, written
+from chatterlens.llm.words import byte_class
 
-LONGEST_WORD = 40
-LEAST_DOCS = 3
-DISCOUNT = 2.0
-HELD_KEYS = 400_000  # keys that a task gathers before it hands on their counts
-APART = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-FEATURES = 9
+DISCOUNT = 2
+LEAST_ROWS = 8
+HELD_PAIRS = 2_000_000  # pairs that a task gathers before it hands on their counts
+INSIDE = ~byte_class(b" \t\n\r\x0b\x0c" + string.punctuation.encode())
+POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+PAIR = np.uint64(0xD6E8FEB86659FD93)
+LEVELS = 8  # maps per word, each of 64 bits
+TOP = 4
+FEATURES = TOP + 2
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().translate(APART).split()
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers evenly."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of the lower-cased texts: its text's number, the hash of the word before it (0 at a start), its own."""
+    lowered = [t.lower().encode("utf-8", "replace") for t in texts]
+    raw = np.frombuffer(b"\n".join(lowered) + b"\n", np.uint8)
+    marks = INSIDE[raw]
+    edges = np.flatnonzero(np.diff(marks, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    letters = raw[marks]
+    first = np.cumsum(lengths) - lengths
+    places = (np.arange(len(letters)) - np.repeat(first, lengths)) & (len(POWERS) - 1)
+    words = mixed(np.add.reduceat((letters + np.uint64(1)) * POWERS[places], first) + lengths.astype(np.uint64))
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), starts, side="right")
+    before = np.append(np.uint64(0), words[:-1])
+    before[np.append(True, doc[1:] != doc[:-1])] = 0
+    return doc, before, words
+
+
+def pair_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(before * PAIR + words)
+
+
+class Lookup:
+    """Places of 64-bit hashes in a table: keys in order, and where those with the same first bits begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys  # in ascending order
+        bits = max(1, int(len(keys)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.longest = int(np.diff(self.begin).max())
+
+    def find(self, some: np.ndarray) -> np.ndarray:
+        """The place of each hash, or the number of keys."""
+        out = np.full(len(some), len(self.keys), np.int64)
+        if not len(self.keys):
+            return out
+        at = self.begin[(some >> self.shift).astype(np.int64)].astype(np.int64)
+        for _ in range(self.longest):
+            near = np.minimum(at, len(self.keys) - 1)
+            hit = self.keys[near] == some
+            out[hit] = near[hit]
+            at += 1
+        return out
 
 
 @dataclass
 class Model:
-    """Counts by word number: documents per class and in all; the same per class of pairs by pair key."""
-
-    index: dict[bytes, int]
-    by_class: np.ndarray  # 2 x words
-    shared: np.ndarray
-    pair_words: int
-    keys: np.ndarray
-    pairs: np.ndarray  # 2 x pairs
-
-    def __post_init__(self):
-        self.total = np.maximum(self.by_class.sum(axis=1), 1)
-        self.base = (self.shared + 0.5) / (self.shared.sum() + 0.5 * max(1, len(self.shared)))
-        freed = np.minimum(self.by_class, DISCOUNT).sum(axis=1) / self.total
-        self.freed = np.clip(freed, 1e-3, 1.0)
-        self.offset = float(np.log(self.freed[1] / self.freed[0]))  # the ratio of a word neither model has kept
-        left = self.keys // self.pair_words if self.pair_words else self.keys
-        self.context = np.stack([np.bincount(left, c, minlength=self.pair_words) for c in self.pairs])
-        self.backed = np.stack([np.bincount(left, np.minimum(c, DISCOUNT), minlength=self.pair_words) for c in self.pairs])
-
-    def numbers(self, text: str) -> np.ndarray:
-        find = self.index.get
-        return np.array([find(w, -1) for w in words_of(text)], np.int64)
-
-    def word_chance(self, word: np.ndarray, c: int, own: int | None) -> np.ndarray:
-        """The chance of words in a class: discounted counts, and the shared counts in what the discounts freed."""
-        mine = 1.0 if own == c else 0.0
-        return np.maximum(self.by_class[c][word] - mine - DISCOUNT, 0) / self.total[c] + self.freed[c] * self.base[word]
-
-    def word_ratios(self, numbers: np.ndarray, own: int | None) -> np.ndarray:
-        """Log-likelihood ratio of every distinct word, above that of a word that neither model has kept."""
-        words = np.unique(numbers[numbers >= 0])
-        return np.log(self.word_chance(words, 1, own) / self.word_chance(words, 0, own)) - self.offset
-
-    def pair_ratios(self, numbers: np.ndarray, own: int | None) -> np.ndarray:
-        """Log-likelihood ratio of every distinct pair of neighbouring words; ``own`` is the class whose models hold this document."""
-        if not len(numbers):
-            return np.empty(0)
-        size = len(self.shared) + 1
-        events = np.unique((np.append(-1, numbers[:-1]) + 1) * size + numbers + 1)
-        before, word = events // size - 1, events % size - 1
-        known = word >= 0
-        before, word = before[known], word[known]
-        inside = (before >= 0) & (before < self.pair_words) & (word < self.pair_words)
-        key = before * self.pair_words + word
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        paired = inside & (self.keys[at] == key) if len(self.keys) else np.zeros(len(word), bool)
-        p, v = at[paired], before[paired]
-        logs = []
-        for c in (0, 1):
-            mine = 1.0 if own == c else 0.0
-            chance = self.word_chance(word, c, own)
-            if len(p):
-                room = np.maximum(self.context[c][v] - mine, 1.0)
-                kept = np.maximum(self.pairs[c][p] - mine - DISCOUNT, 0) / room
-                back = np.where(self.context[c][v] > 0, np.clip(self.backed[c][v] / room, 1e-3, 1.0), 1.0)
-                chance[paired] = kept + back * chance[paired]
-            logs.append(np.log(chance))
-        made = logs[1] - logs[0]
-        made[~paired] -= self.offset
-        return made
-
-    def features(self, text: str, own: int | None) -> list[float]:
-        """The length-normalised ratio of the pair model, the length, and the strongest ratios of the word model."""
-        numbers = self.numbers(text)
-        total, n = float(self.pair_ratios(numbers, own).sum()), max(1, len(numbers))
-        top = np.sort(self.word_ratios(numbers, own))[::-1][:8]
-        top = np.pad(top, (0, 8 - len(top)))
-        return [total / n, total / n**0.5, n**0.5, float(np.log(n)), *map(float, top[:4]), float(top[4:].sum())]
-
-
-def flushed(counter: dict, kind: pa.DataType, columns: int) -> pa.RecordBatch:
-    keys = pa.array(list(counter), kind)
-    values = np.array(list(counter.values()), np.int64).reshape(len(counter), columns)
-    return pa.RecordBatch.from_arrays([keys, *(pa.array(values[:, i]) for i in range(columns))], names=["key", "ordinary", "toxic", "shared"][: columns + 1])
-
-
-def counted(docs: DataFrame, labels: dict, events, kind: str, keep_shared: bool) -> DataFrame:
-    """Documents per event and class, summed: each task hands on one row per event and flush.
-
-    ``events(text, labelled)`` gives the distinct events of a document.
-    """
-    columns = 3 if keep_shared else 2
-    arrow = pa.binary() if kind == "binary" else pa.int64()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                label = labels.get(doc)
-                for event in events(text, label):
-                    row = held.get(event)
-                    if row is None:
-                        row = held[event] = [0] * columns
-                    if label is not None:
-                        row[label] += 1
-                    if keep_shared:
-                        row[2] += 1
-                if len(held) > HELD_KEYS:
-                    yield flushed(held, arrow, columns)
-                    held = {}
-        if held:
-            yield flushed(held, arrow, columns)
-
-    names = ["ordinary", "toxic", "shared"][:columns]
-    made = docs.mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} long" for n in names))
-    return made.groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def labelled(labels: DataFrame, sample_rows: int, id_col: str, label_col: str) -> dict:
-    """Class by id of the labelled rows that may be learnt from, at most ``sample_rows``."""
+    """Log ratios toxic to ordinary, less that of a word in neither model: per word as the one before and as the one
+    itself, per pair for both together; the last entry of each is that of what the tables don't hold."""
+
+    words: Lookup
+    context: np.ndarray
+    word: np.ndarray
+    pairs: Lookup
+    pair: np.ndarray
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Per text: the greatest word ratios, the mean ratio of its pairs, the logarithm of its length."""
+        doc, before, words = word_hashes(texts)
+        out = np.zeros((len(texts), FEATURES))
+        at = self.words.find(words)
+        single = self.word[at]
+        whole = self.pair[self.pairs.find(pair_hash(before, words))]
+        whole = np.where(np.isnan(whole), self.context[self.words.find(before)] + single, whole)
+        n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+        out[:, TOP] = np.bincount(doc, whole, minlength=len(texts)) / n
+        out[:, TOP + 1] = np.log(n)
+        some = np.flatnonzero(single > 0)
+        if len(some):
+            size = len(self.word)
+            found = np.unique(doc[some] * size + at[some])  # every word of a text once
+            d, value = found // size, self.word[found % size]
+            order = np.lexsort((-value, d))
+            d, value = d[order], value[order]
+            rank = np.arange(len(d)) - np.searchsorted(d, d)
+            best = rank < TOP
+            out[d[best], rank[best]] = value[best]
+        return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_chars: int, id_col: str, label_col: str) -> DataFrame:
+    """``id``, ``label`` and ``part`` (0 calibrates, 1 to 3 are counted) of the labelled rows to learn from."""
     rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
-    return dict(zip(picked.column("id").to_pylist(), picked.column("label").to_pylist()))
-
-
-def trained(pair: DataFrame, classes: dict, words: int, pair_words: int, pairs: int) -> Model:
-    """The models, from one pass over the labelled documents and two over all of them."""
-    context = pair.sparkSession.sparkContext
-    given = context.broadcast(classes)
+    rows = rows.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(sample_rows)
+    sizes = docs.select("id", F.length("text").alias("n")).join(F.broadcast(rows), "id").groupBy("id", "label", "place").agg(F.sum("n").alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("place", "id"))  # at most ``sample_rows`` rows
+    return sizes.withColumn("ahead", ahead).filter(F.col("ahead") <= sample_chars).select("id", "label", F.pmod("place", F.lit(4)).cast("int").alias("part"))
 
-    class Labels:
-        """Looks the classes up in the broadcast when a task runs."""
 
-        def get(self, doc):
-            return given.value.get(doc)
+def class_pairs(docs: DataFrame) -> DataFrame:
+    """Documents of each class (``c0``, ``c1``) per pair of neighbouring words (``v``, ``w``) of (text, label)."""
 
-    def own_words(text, label):
-        return {w for w in words_of(text) if len(w) <= LONGEST_WORD} if label is not None else ()
-
-    frequent = counted(pair, Labels(), own_words, "binary", False).filter(F.col("ordinary") + F.col("toxic") >= LEAST_DOCS)
-    top = frequent.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "key").limit(words).toArrow()
-    index = {key: i for i, key in enumerate(top.column("key").to_pylist())}
-    by_class = counts_of(top)
-    numbers = context.broadcast(index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> pa.RecordBatch:
+            before, words, label = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((words, before))
+            before, words, label = before[order], words[order], label[order]
+            first = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (words[1:] != words[:-1])))
+            toxic = np.add.reduceat(label, first)
+            number = np.diff(np.append(first, len(words)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64)), pa.array(number - toxic), pa.array(toxic)], names=["v", "w", "c0", "c1"])
 
-    def known_words(text, label):
-        return set(map(numbers.value.get, words_of(text))) - {None}
+        for batch in batches:
+            doc, before, words = word_hashes(batch.column(0).to_pylist())
+            if not len(doc):
+                continue
+            order = np.lexsort((pair_hash(before, words), doc))
+            doc, before, words = doc[order], before[order], words[order]
+            once = np.append(True, (doc[1:] != doc[:-1]) | (before[1:] != before[:-1]) | (words[1:] != words[:-1]))
+            label = batch.column(1).to_numpy().astype(np.int64)[doc[once]]
+            held.append((before[once], words[once], label))
+            size += len(label)
+            if size > HELD_PAIRS:
+                yield summed()
+                held, size = [], 0
+        if held:
+            yield summed()
 
-    shared = np.zeros(len(index))
-    found = shared_counts(pair, known_words, len(index)).toArrow()
-    shared[found.column("key").to_numpy()] = found.column("shared").to_numpy()
-    head = min(pair_words, len(index))
+    made = docs.select("text", "label").mapInArrow(run, "v long, w long, c0 long, c1 long")
+    # Dealt by the first word alone, so that equal numbers stay together and compress; the sample bounds its pairs.
+    return made.repartition("v").groupBy("v", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
-    def own_pairs(text, label):
-        if label is None:
-            return ()
-        find = numbers.value.get
-        row = np.array([find(w, -1) for w in words_of(text)], np.int64)
-        if len(row) < 2:
-            return ()
-        a, b = row[:-1], row[1:]
-        fit = (a >= 0) & (a < head) & (b >= 0) & (b < head)
-        return np.unique(a[fit] * head + b[fit]).tolist()
 
-    kept = counted(pair, Labels(), own_pairs, "long", False).filter(F.col("ordinary") + F.col("toxic") >= LEAST_DOCS)
-    best = kept.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "key").limit(pairs).toArrow().sort_by("key")
-    return Model(index, by_class, shared, head, best.column("key").to_numpy().astype(np.int64), counts_of(best))
+def unsigned(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy().astype(np.int64).view(np.uint64)
 
 
-def counts_of(table: pa.Table) -> np.ndarray:
-    return np.stack([table.column(c).to_numpy().astype(np.float64) for c in ("ordinary", "toxic")])
+def both(table: pa.Table, first: str, second: str) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().astype(np.float64) for c in (first, second)])
 
 
-def shared_counts(pair: DataFrame, known_words, size: int) -> DataFrame:
-    """In how many documents each word of the model occurs: one array per task, its non-zero places handed on."""
+def shared_counts(docs: DataFrame, words: Lookup) -> np.ndarray:
+    """Different words before each word of the table in all documents; last the occurrences of all other words."""
+    size = len(words.keys)
+    given = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        maps, others = np.zeros(size * LEVELS, np.uint64), 0
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                found = known_words(text, None)
-                counts[np.fromiter(found, np.int64, len(found))] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["key", "shared"])
-
-    return pair.mapInArrow(run, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+            _, before, found = word_hashes(batch.column(0).to_pylist())
+            at = given.value.find(found)
+            known = at < size
+            others += int(len(at) - known.sum())
+            hashed = mixed(before[known] ^ PAIR)
+            # A share of 3/4 goes to the first map, 3/16 to the second, ... and the rest to the last one.
+            level = np.minimum((64 - np.frexp((hashed >> np.uint64(6)).astype(np.float64))[1] - 6) // 2, LEVELS - 1)
+            np.bitwise_or.at(maps, at[known] * LEVELS + level, np.uint64(1) << (hashed & np.uint64(63)))
+        table = maps.view(np.int64).reshape(size, LEVELS)
+        some = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(some, size)), *(pa.array(np.append(table[some, i], 0)) for i in range(LEVELS)), pa.array(np.append(np.zeros(len(some), np.int64), others))],
+            names=["at", *(f"b{i}" for i in range(LEVELS)), "others"])
+
+    made = docs.select("text").mapInArrow(run, "at long, " + ", ".join(f"b{i} long" for i in range(LEVELS)) + ", others long")
+    bits = [F.bit_count(F.bit_or(f"b{i}")).alias(f"b{i}") for i in range(LEVELS)]
+    got = made.groupBy("at").agg(*bits, F.sum("others").alias("others")).toArrow()
+    at = got.column("at").to_numpy()
+    out = np.zeros(size + 1)
+    out[at] = distinct(np.stack([got.column(f"b{i}").to_numpy() for i in range(LEVELS)], axis=1))
+    out[size] = got.column("others").to_numpy().sum()
+    return out
+
+
+def distinct(bits: np.ndarray) -> np.ndarray:
+    """Estimates from the set bits per level: linear counts of the levels from the first that is at most 3/4 full on."""
+    counts = -64 * np.log(1 - np.minimum(bits, 63) / 64)
+    after = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
+    fit = bits <= 48
+    fit[:, -1] = True
+    first = np.argmax(fit, axis=1)
+    return after[np.arange(len(bits)), first] * 4.0**first
+
+
+def trained(docs: DataFrame, learnt: DataFrame) -> Model:
+    """The models, from the labelled documents (text, label) and the texts of all."""
+    pairs = written(class_pairs(learnt), "toxicity-pairs")
+    seen = [F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"n{k}") for k in (0, 1)]
+    words = written(pairs.groupBy("w").agg(*seen), "toxicity-words")
+    more = lambda name: (F.col(f"{name}0") > DISCOUNT) | (F.col(f"{name}1") > DISCOUNT)
+    sums = [F.sum(f"n{k}").alias(f"all{k}") for k in (0, 1)] + [F.sum(F.least(f"n{k}", F.lit(DISCOUNT))).alias(f"free{k}") for k in (0, 1)]
+    total = words.agg(*[F.coalesce(s, F.lit(0)).alias(n) for s, n in zip(sums, ("all0", "all1", "free0", "free1"))]).first()
+    size = [max(total["all0"], 1), max(total["all1"], 1)]
+    free = [max(total[f"free{k}"], 1) / size[k] for k in (0, 1)]
+
+    heavy = pairs.filter(more("c")).toArrow()
+    kept_words = words.filter(more("n")).toArrow()
+    sums = [F.sum(f"c{k}").alias(f"c{k}") for k in (0, 1)] + [F.sum(F.least(f"c{k}", F.lit(DISCOUNT))).alias(f"d{k}") for k in (0, 1)]
+    contexts = pairs.groupBy("v").agg(*sums, F.max(more("c")).alias("more")).filter("more").toArrow()
+
+    def spread(keys: np.ndarray, own: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
+        """Values of ``own`` keys as one array over all keys."""
+        out = np.full((2, len(keys)), default)
+        out[:, np.searchsorted(keys, own)] = values
+        return out
+
+    heavy_v, heavy_w = unsigned(heavy, "v"), unsigned(heavy, "w")
+    keys = np.unique(np.concatenate([unsigned(kept_words, "w"), unsigned(contexts, "v"), heavy_w]))
+    table = Lookup(keys)
+    shared = shared_counts(docs, table)
+    base = (shared + 0.5) / (shared.sum() + 0.5 * len(shared))
+    continued = spread(keys, unsigned(kept_words, "w"), both(kept_words, "n0", "n1"), 0.0)
+    room = both(contexts, "c0", "c1")
+    back = spread(keys, unsigned(contexts, "v"), np.where(room > 0, both(contexts, "d0", "d1") / np.maximum(room, 1), 1.0), 1.0)
+    context = spread(keys, unsigned(contexts, "v"), room, 0.0)
+    chance = np.stack([np.maximum(continued[k] - DISCOUNT, 0) / size[k] + free[k] * base[:-1] for k in (0, 1)])
+    offset = np.log(free[1] / free[0])
+    v, w = np.searchsorted(keys, heavy_v), np.searchsorted(keys, heavy_w)
+    counts = both(heavy, "c0", "c1")
+    joint = np.stack([np.maximum(counts[k] - DISCOUNT, 0) / np.maximum(context[k][v], 1) + back[k][v] * chance[k][w] for k in (0, 1)])
+    hashes = pair_hash(heavy_v, heavy_w)
+    order = np.argsort(hashes)
+    return Model(
+        table, np.append(np.log(back[1] / back[0]), 0.0), np.append(np.log(chance[1] / chance[0]) - offset, 0.0),
+        Lookup(hashes[order]), np.append((np.log(joint[1] / joint[0]) - offset)[order], np.nan))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -242,48 +300,41 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndar
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 100_000, words: int = 1 << 18, pair_words: int = 4096, pairs: int = 1 << 18,
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 100_000, sample_chars: int = 1 << 28,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> DataFrame:
     """``held_out``, ``score`` and ``predicted`` of every document, and ``row_key``, the hash of its text."""
     spark = docs.sparkSession
     small_batches(spark)
-    pair = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(text_col).alias("row_key"))
-    classes = labelled(labels, sample_rows, id_col, label_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(text_col).alias("row_key"))
+    sample = written(labelled(texts, labels, sample_rows, sample_chars, id_col, label_col), "toxicity-sample")
     out = [F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out")]
-    if len(set(classes.values())) < 2:
-        share = float(np.mean(list(classes.values()))) if classes else 0.0
-        return pair.select(*out, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), "row_key")
-    model = spark.sparkContext.broadcast(trained(pair.select("id", "text"), classes, words, pair_words, pairs))
-    given = spark.sparkContext.broadcast(classes)
+    number = {(r["counted"], r["label"]): r["n"] for r in sample.groupBy((F.col("part") > 0).alias("counted"), "label").agg(F.count("*").alias("n")).collect()}
+    toxic, rows = (sum(n for (_, k), n in number.items() if k in some) for some in ((1,), (0, 1)))
+    if not 0 < toxic < rows:
+        share = toxic / rows if rows else 0.0
+        return texts.select(*out, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), "row_key")
+    apart = all(number.get((counted, k), 0) >= LEAST_ROWS for counted in (False, True) for k in (0, 1))
+    marked = texts.join(F.broadcast(sample), "id", "left")
+    counted = F.col("label").isNotNull() & ((F.col("part") > 0) if apart else F.lit(True))
+    calibrates = F.col("label").isNotNull() & ((F.col("part") == 0) if apart else F.lit(True))
+    model = spark.sparkContext.broadcast(trained(texts, marked.filter(counted)))
     names = [f"f{i}" for i in range(FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            if not batch.num_rows:
-                continue
-            plain, own, label = [], [], []
-            for doc, text in rows:
-                c = given.value.get(doc)
-                plain.append(model.value.features(text, None))
-                own.append(None if c is None else model.value.features(text, c))
-                label.append(c)
-            columns = [*map(pa.array, np.array(plain).T), pa.array(own, pa.list_(pa.float64())), pa.array(label, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], names=["id", *names, "own", "label", "row_key"])
-
-    kind = pair.schema["id"].dataType.simpleString()
-    rows = written(pair.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", own array<double>, label int, row_key long"), "toxicity")
-    # At most ``sample_rows`` rows of nine numbers.
-    learnt = rows.filter("label IS NOT NULL").groupBy("id").agg(F.first("own").alias("own"), F.first("label").alias("label")).orderBy("id").toArrow()
-    y = learnt.column("label").to_numpy().astype(np.float64)
-    if len(set(y)) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        return rows.select(*out, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), "row_key")
-    x = learnt.column("own").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
-    weights, intercept = logistic(x, y)
+            if batch.num_rows:
+                made = model.value.features(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made.T.copy()), *batch.columns[2:]], names=["id", *names, "label", "row_key"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    inputs = marked.select("id", "text", F.when(calibrates, F.col("label")).alias("label"), "row_key")
+    scored = written(inputs.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", label int, row_key long"), "toxicity")
+    # At most ``sample_rows`` ids; rows that share an id count as one.
+    learnt = scored.filter("label IS NOT NULL").groupBy("id", "label").agg(*[F.max(n).alias(n) for n in names]).orderBy("id").toArrow()
+    weights, intercept = logistic(np.stack([learnt.column(n).to_numpy() for n in names], axis=1), learnt.column("label").to_numpy().astype(np.float64))
     logit = F.lit(intercept)
     for n, w in zip(names, weights.tolist()):
         logit = logit + F.col(n) * w
     score = 1 / (1 + F.exp(-logit))
-    return rows.select(*out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "row_key")
+    return scored.select(*out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "row_key")
