@@ -132,3 +132,65 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.score_toxicity(no_docs, labels).count() == 0
     assert {r["score"] for r in toxicity.score_toxicity(odd_docs, labels.limit(0)).collect()} == {0.0}
     assert {r["predicted"] for r in toxicity.score_toxicity(odd_docs, labels.filter("toxic = 1")).collect()} <= {0, 1}
+
+
+def test_log_likelihoods_equal_the_definition(spark):
+    """Word and pair ratios against plain counts of strings; the shared counts are exact to a map's collisions."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        words = [rng.choice(vocabulary[: 40 if i % 3 else 12]) for _ in range(rng.randint(0, 30))]
+        rows.append((" ".join(words).upper() + "!", i % 3 == 0))
+    rows += [(f"rare{i} w1, W2", False) for i in range(30)]
+    frame = spark.createDataFrame([(t, int(k)) for t, k in rows], "text string, label int")
+    extra = spark.createDataFrame([(f"other{i} w3",) for i in range(25)], "text string")
+    model = toxicity.trained(frame.select("text").union(extra), frame)
+
+    split = lambda t: t.lower().replace("!", " ").replace(",", " ").split()
+    pairs_of = lambda t: set(zip([None, *split(t)], split(t)))
+    counts = [{}, {}]
+    for text, k in rows:
+        for pair in pairs_of(text):
+            counts[k][pair] = counts[k].get(pair, 0) + 1
+    everywhere = set().union(*(pairs_of(t) for t, _ in rows), *(pairs_of(f"other{i} w3") for i in range(25)))
+    number = lambda word: toxicity.word_hashes([word])[2] if word else np.zeros(1, np.uint64)
+    table = model.words
+    lefts = toxicity.shared_counts(frame.select("text").union(extra), table)
+    d = toxicity.DISCOUNT
+    n = [{w: sum(1 for p in c if p[1] == w) for w in {p[1] for p in c}} for c in counts]
+    free = [sum(min(x, d) for x in n[k].values()) / len(counts[k]) for k in (0, 1)]
+    held = 0
+    for v, w in everywhere:
+        at = int(table.find(number(w))[0])
+        base = (lefts[at] + 0.5) / (lefts.sum() + 0.5 * len(lefts))
+        chance, joint = [], []
+        for k in (0, 1):
+            chance.append(max(n[k].get(w, 0) - d, 0) / len(counts[k]) + free[k] * base)
+            seen = [c for p, c in counts[k].items() if p[0] == v]
+            back = sum(min(c, d) for c in seen) / sum(seen) if seen else 1.0
+            joint.append((max(counts[k].get((v, w), 0) - d, 0) / sum(seen) if seen else 0.0) + back * chance[k])
+        offset = np.log(free[1] / free[0])
+        place = int(model.pairs.find(toxicity.pair_hash(number(v), number(w)))[0])
+        got = model.pair[place]
+        held += not np.isnan(got)
+        if np.isnan(got):
+            got = model.context[int(table.find(number(v))[0])] + model.word[at]
+        if at < len(table.keys):
+            assert abs(model.word[at] - (np.log(chance[1] / chance[0]) - offset)) < 1e-9
+            true = sum(1 for p in everywhere if p[1] == w)
+            assert abs(lefts[at] - true) <= 2 + 0.35 * true
+        assert abs(got - (np.log(joint[1] / joint[0]) - offset)) < 1e-9
+    assert 20 < held < len(everywhere) and any(w is not None and table.find(number(w))[0] == len(table.keys) for _, w in everywhere)
+
+
+def test_distinct_counts_of_all_sizes():
+    rng = np.random.default_rng(5)
+    for true in (1, 10, 100, 3000, 100_000, 2_000_000):
+        hashed = toxicity.mixed(rng.integers(0, 1 << 62, true, dtype=np.uint64))
+        level = np.minimum((64 - np.frexp((hashed >> np.uint64(6)).astype(float))[1] - 6) // 2, toxicity.LEVELS - 1)
+        bits = np.array([[len(np.unique(hashed[level == i] & np.uint64(63))) for i in range(toxicity.LEVELS)]])
+        assert abs(toxicity.distinct(bits)[0] - true) <= 1 + 0.4 * true
+    words = toxicity.word_hashes(["A b\tc", "", "b!", "x" * 100_000 + " y"])
+    assert words[0].tolist() == [0, 0, 0, 2, 3, 3] and words[1][[0, 3, 4]].tolist() == [0, 0, 0]
+    assert words[2][1] == words[2][3] and len(set(words[2].tolist())) == 5
