@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlens.llm.base import Memory, map_texts, written
+from chatterlens.llm.words import byte_class
 
 KEPT_WORDS = 300_000  # words per generation whose ids a worker remembers
-#: White space that isn't a single space or line end, and the mark that cuts are made with.
-UNUSUAL = ["  ", "\n\n", " \n", "\n ", "\x01", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
-ENDINGS = frozenset(".,")
+#: White space that isn't a single space or line end.
+UNUSUAL = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+LETTER = byte_class(string.ascii_letters.encode())
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+PLAIN = re.compile(r" ?\S+")
 LEAST_SALTS = 256
 ROWS_PER_SALT = 20_000
 
@@ -55,35 +58,77 @@ class ByteEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = end[0] if len(end) == 1 else None
         self.words = Memory(KEPT_WORDS)
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        if not text:
-            return []
-        if text[0].isspace() or text[-1].isspace() or any(u in text for u in UNUSUAL):
-            return BEFORE_SPACE.split(text)
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
+    def cut(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts as one array of bytes, and after how many of them each text ends."""
+        coded = [t.encode() for t in texts]
+        usual = [not t or not (t[0].isspace() or t[-1].isspace() or any(u in t for u in UNUSUAL)) for t in texts]
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        ends = np.cumsum(sizes)
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[ends] = True
+        edge[0] = True
+        line = raw == 10
+        space = (raw == 32) | line
+        # A full stop or comma behind a letter is a pre-token of its own where the word ends with it.
+        stop = np.flatnonzero((raw == ord(".")) | (raw == ord(",")))
+        stop = stop[(np.append(space, True)[stop + 1] | edge[stop + 1]) & LETTER[raw[stop - 1]] & ~edge[stop]]
+        inside = np.repeat(usual, sizes)
+        mark = space.copy()
+        mark[1:] |= line[:-1]
+        mark[stop] = True
+        edge[:-1] |= mark & inside
+        for i in np.flatnonzero(~np.array(usual, bool)):
+            pieces = [len(w.encode()) for w in BEFORE_SPACE.split(texts[i])]
+            edge[ends[i] - sizes[i] + np.cumsum(pieces[:-1], dtype=np.int64)] = True
+        places = np.flatnonzero(edge)
+        words = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)])
+        return words, np.searchsorted(places, ends)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of new words. Those without white space, but for one space in front, go to the library many
+        at a time with line ends between, which it always makes tokens of their own."""
+        size = self.kind.itemsize
+        parts = [w.decode() for w in words]
+        plain = [self.line_end is not None and PLAIN.fullmatch(p) is not None for p in parts]
+        joined, alone = list(compress(zip(words, parts), plain)), [x for x, ok in zip(zip(words, parts), plain) if not ok]
+        for i in range(0, len(joined), 4096):
+            groups = [joined[j : j + 64] for j in range(i, min(i + 4096, len(joined)), 64)]
+            lines = ["\n".join([p for _, p in g]) for g in groups]
+            for group, made in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                ids = np.array(made.ids, self.kind)
+                ends = np.flatnonzero(ids == self.line_end)
+                if len(ends) != len(group) - 1:  # an added token of the vocabulary took a line end
+                    alone += group
+                    continue
+                raw, bounds = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+                self.words.now.update((w, raw[(x + 1) * size : y * size]) for (w, _), (x, y) in zip(group, pairwise(bounds)))
+        for i in range(0, len(alone), 4096):
+            some = alone[i : i + 4096]
+            for (word, _), made in zip(some, self.tokenizer.encode_batch_fast([p for _, p in some], add_special_tokens=False)):
+                self.words.now[word] = np.array(made.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.cut(t) for t in texts]
-        new = self.words.missing(chain.from_iterable(cut))
-        known = self.words.now
-        ended = [w for w in new if w[-1] in ENDINGS and len(w) > 1 and w[-2].isascii() and w[-2].isalpha()]
-        # A full stop or comma behind a letter is a pre-token of its own when the word ends with it.
-        parts = self.words.missing({w[:-1] for w in ended} | {w[-1] for w in ended} | set(new).difference(ended))
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            ids = [made.ids for made in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            raw, at, size = np.array(list(chain.from_iterable(ids)), self.kind).tobytes(), 0, self.kind.itemsize
-            for word, made in zip(some, ids):
-                known[word] = raw[at : at + size * len(made)]
-                at += size * len(made)
-        for word in ended:
-            known[word] = known[word[:-1]] + known[word[-1]]
-        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), self.kind) for ws in cut]
-        self.words.settle(list({*parts, *ended}))
-        return out
+        cut, last = self.cut(texts)
+        coded = cut.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = self.words.missing(words)
+        self.learn(new)
+        raw = list(map(self.words.now.__getitem__, words))
+        self.words.settle(new)
+        # The ids of the distinct words, end to end, and for every id of the texts its place there.
+        flat, lengths = np.frombuffer(b"".join(raw), self.kind), np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+        number = lengths[codes]
+        ends = np.cumsum(number)
+        places = np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - number), number) + np.arange(number.sum())
+        bounds = np.append(0, ends)[np.append(0, last)]
+        ids = flat[places]
+        return [ids[a:b] for a, b in pairwise(bounds.tolist())]
 
 
 @lru_cache(maxsize=2)
