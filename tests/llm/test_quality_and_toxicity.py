@@ -4,7 +4,7 @@ import random
 import zlib
 
 import numpy as np
-from brute import base_counts
+from brute import base_counts, determinant_distances, quality_kept
 from pyspark.sql import functions as F
 
 from chatterlens.llm import quality, toxicity
@@ -23,31 +23,62 @@ def test_counts_equal_the_definition(spark):
     assert got == {i: base_counts(t) for i, t in rows}
 
 
+def vectors(spark, x):
+    return spark.createDataFrame([(i, 1, *map(float, r)) for i, r in enumerate(x)], "q_id long, stratum long, " + ", ".join(f"{s} double" for s in quality.STATISTICS))
+
+
 def test_estimates_equal_plain_concentration_steps(spark):
     """The distances against the same steps in numpy, with exact medians and quantiles."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) * 0.4 + 2
     x[:40] += 15
-    frame = spark.createDataFrame([(1, *map(float, r)) for r in x], "stratum long, " + ", ".join(f"{s} double" for s in quality.STATISTICS))
-    got = np.array([r["d2"] for r in quality.measured(frame, quality.concentrate(frame, 0.75, 3)).orderBy(*quality.STATISTICS).collect()])
-    floors = np.diag(np.square(quality.FLOORS))
-
-    def distances(middle, cov):
-        d = x - middle
-        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov + floors), d)
-
-    lower = lambda a, p: np.sort(a, axis=0)[int(np.ceil(p * len(a))) - 1]
-    middle = lower(x, 0.5)
-    cov = np.diag((1.4826 * lower(np.abs(x - middle), 0.5)) ** 2)
-    for _ in range(3):
-        d2 = distances(middle, cov)
-        near = x[d2 <= lower(d2, 0.75)]
-        middle, cov = near.mean(axis=0), quality.consistency(0.75) * np.cov(near.T, bias=True)
-    expected = distances(middle, cov)[np.lexsort(x.T[::-1])]
-    assert np.allclose(got, expected, rtol=1e-6)
+    frame = vectors(spark, x)
+    rows = {few: quality.measured(frame, quality.concentrate(frame, 0.75, 100, few), few).orderBy("q_id").collect() for few in (True, False)}
+    got = np.array([r["d2"] for r in rows[True]])
+    expected = determinant_distances(x, 1e-4 * x.var(axis=0) + 1e-12, 0.75, quality.consistency(0.75))(x)
+    assert np.allclose(got, expected, rtol=1e-6) and np.allclose(got, [r["d2"] for r in rows[False]], rtol=1e-6)
     assert (got > 60).sum() >= 40
 
 
+def test_the_covariance_decides(spark):
+    """Rows ordinary in every statistic but against their correlation are far off, and only they."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 4))
+    x[:, 1] = 0.98 * x[:, 0] + 0.05 * rng.normal(size=600)
+    x[:10, 0], x[:10, 1] = 1.2, -1.2
+    frame = vectors(spark, x)
+    got = np.array([r["d2"] for r in quality.measured(frame, quality.concentrate(frame, 0.75, 100)).orderBy("q_id").collect()])
+    assert (got[:10] > quality.CUTOFF).all() and not (got[10:] > quality.CUTOFF).any()
+    assert (np.abs(x[:10] - x.mean(axis=0)) < 3 * x.std(axis=0)).all()
+    least = [quality.LEAST_SPREAD**2 * v for v in x.var(axis=0)]
+    assert all(b < 1e-2 * v for b, v in zip(least, x.var(axis=0)))
+
+
+def test_kept_equals_plain_strata_pooling_and_estimates(spark):
+    rng = random.Random(6)
+    word = lambda top: "".join(rng.choices("etaoinshr", k=rng.randint(2, top)))
+    rows = []
+    for i in range(700):
+        lang, source = rng.choice([("en", "hot"), ("en", "hot"), ("en", None), (None, "a"), ("de", f"rare{i % 9}"), ("fr", f"s{i % 3}"), ("it", "x")])
+        if lang == "it" and i % 3:
+            lang = "es"  # Italian and Spanish are pooled with the other rests
+        junk = "#$" * (i % 40 == 7) * rng.randint(1, 4)
+        lines = [" ".join(word(9 if lang != "fr" else 13) + rng.choice(["", "", "", ".", ","]) + junk for _ in range(rng.randint(5, 15))) for _ in range(rng.randint(1, 20))]
+        rows.append((i, "\n".join(lines), lang, source))
+    usual = next(r for r in rows if r[0] % 40 != 7 and 100 < len(r[1].split()) < 200)
+    rows += [(1000 + i, *usual[1:]) for i in range(300)]  # copies don't narrow the estimate
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(docs, min_group=50).collect()}
+    assert got == quality_kept(rows, 50, 0.75, quality.consistency(0.75), quality.CUTOFF, quality.LEAST_VECTORS)
+    assert 5 < sum(not k for k in got.values()) < 150
+
+
+def test_few_documents_have_no_estimate(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30 + i)), "en", "s") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert [r["kept"] for r in quality.quality(docs.union(docs)).collect()] == [True] * 24
+
+
 def test_consistency_factor():
     assert abs(quality.chi2_quantile(0.95, 4) - 9.4877) < 1e-3 and 1.4 < quality.consistency(0.75) < 1.6
 
