@@ -19,6 +19,10 @@ from chatterlens.operators.tables import embedding_refs
 from chatterlens.operators.vectors import add_vectors
 from chatterlens.session import written_once
 
+# What Python hands back to Spark at once: so many rows, or so many numbers of vectors.
+FRAME_ROWS = 10_000
+FRAME_VALUES = 1 << 19
+
 
 def embedding_eligible(messages: DataFrame, min_length: int = 20) -> DataFrame:
     """Messages worth embedding: long enough, by people, and not system or removed texts."""
@@ -65,10 +69,42 @@ def embed_texts(spark: SparkSession, texts: Sequence[str], dims: int = 256) -> l
     return [list(r["embedding"]) for r in _hashed(frame, dims).orderBy("place").collect()]
 
 
-def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for start in range(0, len(frame), size):
-            yield frame.iloc[start:start + size]
+def _batches(frame: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(frame), size):
+        yield frame.iloc[start:start + size]
+
+
+def _embedded(frames: Iterator[pd.DataFrame], provider: Callable[[list[str]], list[list[float]]], batch_size: int, retries: int,
+              wait_seconds: float) -> Iterator[pd.DataFrame]:
+    """The answers to batches of texts. What a frame costs is the same for one row and for many, so small batches share one."""
+    ids, made, states, values = [], [], [], 0
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({"message_id": ids, "embedding": made, "status": states})
+
+    for rows in frames:
+        keys, texts = rows["id"].tolist(), rows["content"].tolist()
+        for start in range(0, len(keys), batch_size):
+            part = texts[start:start + batch_size]
+            vectors, status = [None] * len(part), "failed"
+            for attempt in range(retries):
+                try:
+                    vectors, status = provider(part), "ok"
+                    break
+                except Exception:
+                    time.sleep(wait_seconds * 2**attempt)
+            vectors = [None] * len(part) if vectors is None else list(vectors)
+            if len(vectors) != len(part):
+                raise ValueError(f"the provider gave {len(vectors)} vectors for {len(part)} texts")
+            ids += keys[start:start + batch_size]
+            made += vectors
+            states += [status] * len(part)
+            values += sum(0 if v is None else len(v) for v in vectors)
+            if len(ids) >= FRAME_ROWS or values >= FRAME_VALUES:
+                yield frame()
+                ids, made, states, values = [], [], [], 0
+    if ids:
+        yield frame()
 
 
 def embed_messages(messages: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch_size: int = 100,
@@ -80,15 +116,7 @@ def embed_messages(messages: DataFrame, provider: Callable[[list[str]], list[lis
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _batches(frames, batch_size):
-            vectors, status = [None] * len(part), "failed"
-            for attempt in range(retries):
-                try:
-                    vectors, status = provider(part["content"].tolist()), "ok"
-                    break
-                except Exception:
-                    time.sleep(wait_seconds * 2**attempt)
-            yield pd.DataFrame({"message_id": part["id"].tolist(), "embedding": vectors, "status": status})
+        return _embedded(frames, provider, batch_size, retries, wait_seconds)
 
     return messages.select("id", "content").mapInPandas(run, "message_id string, embedding array<float>, status string")
 
@@ -152,12 +180,14 @@ def classify_messages(messages: DataFrame, provider: Callable[[dict[str, str]],
         return classify_by_rules(messages)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _batches(frames, batch_size):
-            try:
-                answer = provider(dict(zip(part["id"], part["content"].str.slice(0, max_chars))))
-            except Exception:
-                continue
-            rows = [(i, answer[i]) for i in part["id"] if i in answer]
+        for frame in frames:
+            rows = []
+            for part in _batches(frame, batch_size):
+                try:
+                    answer = provider(dict(zip(part["id"], part["content"].str.slice(0, max_chars))))
+                except Exception:
+                    continue
+                rows += [(i, answer[i]) for i in part["id"] if i in answer]
             yield pd.DataFrame(rows, columns=["message_id", "category"])
 
     return messages.select("id", "content").mapInPandas(run, "message_id string, category string")

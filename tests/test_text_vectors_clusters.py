@@ -1,6 +1,7 @@
 """Text enrichment, vector search, clustering and scores."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,31 @@ def test_failing_providers(spark):
     assert en.embed_texts(spark, ["words", "two words"], 32) == [vectors["m4"], vectors["m0"]]
 
 
+def test_small_batches_share_a_frame(monkeypatch):
+    calls = []
+
+    def provider(batch):
+        calls.append(len(batch))
+        if "t7" in batch:
+            raise RuntimeError("no service")
+        return [[float(len(t)), 1.0] for t in batch]
+
+    frames = [pd.DataFrame({"id": [f"m{i}" for i in part], "content": [f"t{i}" for i in part]}) for part in (range(0, 40), range(40, 90), range(0))]
+    made = list(en._embedded(iter(frames), provider, 1, 2, 0.0))
+    assert len(made) == 1 and calls == [1] * 91
+    assert made[0]["message_id"].tolist() == [f"m{i}" for i in range(90)]
+    assert [i for i, s in enumerate(made[0]["status"]) if s == "failed"] == [7] and made[0]["embedding"][7] is None
+    assert made[0]["embedding"][89] == [3.0, 1.0]
+    # Long vectors leave after as many numbers as are allowed, and a batch never crosses two incoming frames.
+    calls.clear()
+    monkeypatch.setattr(en, "FRAME_VALUES", 60)
+    assert [len(f) for f in en._embedded(iter(frames), provider, 25, 1, 0.0)] == [65, 25] and calls == [25, 15, 25, 25]
+    monkeypatch.setattr(en, "FRAME_VALUES", 50)
+    assert [len(f) for f in en._embedded(iter(frames), lambda b: [[1.0, 2.0]] * len(b), 25, 1, 0.0)] == [25, 40, 25]
+    with pytest.raises(ValueError):
+        list(en._embedded(iter(frames), lambda b: [[1.0]], 25, 1, 0.0))
+
+
 def test_responses(spark):
     df = spark.createDataFrame([('{"a": "questions", "b": "weird"}',), ("{}",), ('{"c": ',), ("nonsense",)], "response string")
     assert {tuple(r) for r in en.parse_classifications(df).collect()} == {("a", "questions", True), ("b", "weird", False)}
