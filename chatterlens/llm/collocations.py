@@ -5,7 +5,7 @@
 2. Word counts add up over the chunks. Words of at least ``min_count`` occurrences get dense ids per language (no phrase
    is more frequent than its words); the chunks get the ids by a join on their distinct words, so the dictionary is
    never held whole by anyone.
-3. Every chunk's n-grams go into counting quotient filters (``quotient``), one per length and shard. The permutation
+3. Every chunk's n-grams, made some places at a time, go into counting quotient filters (``quotient``), one per length and shard. The permutation
    spreads the n-grams evenly over the shards, whatever their frequency, and the number of shards follows the number of
    words, so a shard's merged filter stays small. Filters of a shard merge in one task, and frequent n-grams come back.
 4. Parts are looked up, scores are exact decimals, and only phrases that can be among the first of their language are
@@ -30,8 +30,9 @@ from chatterlens.llm.quotient import Entries, Layout, entries
 from chatterlens.llm.words import Words, byte_class, lowered
 
 CHUNK_BYTES = 8 << 20  # text of a chunk; a longer text is a chunk of its own
-HELD_ENTRIES = 3 << 20  # n-grams a task holds before it sends its filters
-SHARD_NGRAMS = 2 << 20  # n-grams, copies counted, that a shard holds on average at most
+SLICE_PLACES = 1 << 18  # places of a chunk whose n-grams are made at once
+HELD_ENTRIES = 1 << 20  # n-grams a task holds before it sends its filters
+SHARD_NGRAMS = 1 << 20  # n-grams, copies counted, that a shard holds on average at most
 BUCKET_WORDS = 50_000  # words that one task numbers
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BETWEEN_WORDS = b" \t"
@@ -47,8 +48,7 @@ def _chunk(number: int, lang: str, texts: list[bytes]) -> dict:
     words = Words(raw, INSIDE)
     found = words.array.dictionary_encode()
     codes = found.indices.to_numpy().astype(np.int32)
-    ends_before = np.cumsum(ENDS[raw], dtype=np.int64)[words.starts] if len(words) else np.empty(0, np.int64)
-    breaks = np.flatnonzero(np.diff(ends_before)) + 1
+    breaks = np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(ENDS[raw]), words.starts))) + 1
     return {
         "chunk": number, "lang": lang, "words": found.dictionary.cast(pa.large_string()),
         "counts": np.bincount(codes, minlength=len(found.dictionary)), "codes": np.insert(codes, breaks, -1).tobytes(),
@@ -100,6 +100,77 @@ def _layouts(bits: int, max_words: int, shard_bits: int) -> dict[int, Layout]:
     return {m: Layout(m, bits, shard_bits) for m in range(2, max_words + 1)}
 
 
+def _ngrams(line: np.ndarray, layout: Layout) -> Iterator[Entries]:
+    """The counted n-grams of a chunk's ids (negative where none may stand), some places at a time."""
+    m = layout.words
+    for begin in range(0, len(line) - m + 1, SLICE_PLACES):
+        part = line[begin : begin + SLICE_PLACES + m - 1]
+        run = part >= 0
+        starts = np.flatnonzero(np.logical_and.reduce([run[i : len(run) - m + 1 + i] for i in range(m)]))
+        if len(starts):
+            yield layout.counted([part[starts + i] for i in range(m)])
+
+
+def filters(batches: Iterator[pa.RecordBatch], layouts: dict[int, Layout]) -> Iterator[pa.RecordBatch]:
+    """Filters of the n-grams of chunks (codes, places, ids); what is held at once follows ``HELD_ENTRIES`` alone."""
+    held: dict[int, list[Entries]] = {m: [] for m in layouts}
+    size = 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        rows, volume = [], 0
+        for m, parts in held.items():
+            for shard, raw in Entries.joined(parts).filters() if parts else ():
+                rows.append({"size": m, "shard": shard, "filter": raw})
+                volume += len(raw)
+                if volume > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=FILTER)
+                    rows, volume = [], 0
+            held[m] = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=FILTER)
+
+    for batch in batches:
+        for codes, places, ids in zip(*(batch.column(c) for c in ("codes", "places", "ids"))):
+            codes = np.frombuffer(codes.as_buffer(), np.int32)
+            # One more cell, for the mark between pieces, which is code -1.
+            table = np.full(int(codes.max()) + 2, -1, np.int64)
+            table[places.values.to_numpy()] = ids.values.to_numpy()
+            line = table[codes]
+            for m, layout in layouts.items():
+                for found in _ngrams(line, layout):
+                    held[m].append(found)
+                    size += len(found)
+                    if size > HELD_ENTRIES:
+                        yield from sent()
+                        size = 0
+    yield from sent()
+
+
+def merged(batches: Iterator[pa.RecordBatch], layouts: dict[int, Layout], min_count: int) -> Iterator[pa.RecordBatch]:
+    """The frequent n-grams of filters (size, shard, filter) in the order of their shards."""
+    at, parts, settled = None, [], 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        kept = Entries.joined(parts).at_least(min_count) if parts else ()
+        for start in range(0, len(kept), 1 << 17):
+            some = Entries(kept.layout, *(c[start : start + (1 << 17)] for c in (kept.high, kept.low, kept.counts)))
+            flat = np.stack(some.ids(), axis=1)
+            offsets = np.arange(len(some) + 1, dtype=np.int32) * flat.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel())), pa.array(some.counts)], names=["ids", "a"])
+
+    for batch in batches:
+        for m, shard, raw in zip(*(batch.column(c).to_pylist() for c in ("size", "shard", "filter"))):
+            if at != (m, shard):
+                yield from done()
+                at, parts, settled = (m, shard), [], 0
+            parts.append(entries(layouts[m], shard, raw))
+            # What is merged already is merged again only once as much has come.
+            if sum(map(len, parts)) > max(HELD_ENTRIES, 2 * settled):
+                parts = [Entries.joined(parts)]
+                settled = len(parts[0])
+    yield from done()
+
+
 def counted_phrases(chunks: DataFrame, words: DataFrame, max_words: int, min_count: int) -> DataFrame:
     """(ids, a) of all n-grams of 2 to ``max_words`` frequent words with at least ``min_count`` occurrences."""
     size = chunks.agg(F.sum(F.length("codes")) / 4).first()[0] or 0
@@ -108,61 +179,9 @@ def counted_phrases(chunks: DataFrame, words: DataFrame, max_words: int, min_cou
     places = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
     ids = places.groupBy("chunk").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[Entries]] = {m: [] for m in layouts}
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            rows, volume = [], 0
-            for m, parts in held.items():
-                for shard, raw in Entries.joined(parts).filters() if parts else ():
-                    rows.append({"size": m, "shard": shard, "filter": raw})
-                    volume += len(raw)
-                    if volume > BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=FILTER)
-                        rows, volume = [], 0
-                held[m] = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=FILTER)
-
-        for batch in batches:
-            for codes, places, ids in zip(*(batch.column(c) for c in ("codes", "places", "ids"))):
-                codes = np.frombuffer(codes.as_buffer(), np.int32)
-                # One more cell, for the mark between pieces, which is code -1.
-                table = np.full(int(codes.max()) + 2, -1, np.int64)
-                table[places.values.to_numpy()] = ids.values.to_numpy()
-                line = table[codes]
-                run = line >= 0
-                for m, layout in layouts.items():
-                    starts = np.flatnonzero(np.logical_and.reduce([run[i : len(run) - m + 1 + i] for i in range(m)])) if len(run) >= m else []
-                    if len(starts):
-                        held[m].append(layout.counted([line[starts + i] for i in range(m)]))
-                if sum(len(e) for parts in held.values() for e in parts) > HELD_ENTRIES:
-                    yield from sent()
-        yield from sent()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            kept = Entries.joined(parts).at_least(min_count) if parts else ()
-            for start in range(0, len(kept), 1 << 17):
-                some = Entries(kept.layout, *(c[start : start + (1 << 17)] for c in (kept.high, kept.low, kept.counts)))
-                flat = np.stack(some.ids(), axis=1)
-                offsets = np.arange(len(some) + 1, dtype=np.int32) * flat.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel())), pa.array(some.counts)], names=["ids", "a"])
-
-        for batch in batches:
-            for m, shard, raw in zip(*(batch.column(c).to_pylist() for c in ("size", "shard", "filter"))):
-                if at != (m, shard):
-                    yield from done()
-                    at, parts = (m, shard), []
-                parts.append(entries(layouts[m], shard, raw))
-                if len(parts) > 1 and sum(map(len, parts)) > HELD_ENTRIES:
-                    parts = [Entries.joined(parts)]
-        yield from done()
-
-    filters = chunks.select("chunk", "codes").join(ids, "chunk").select("codes", "places", "ids").mapInArrow(count, "size int, shard long, filter binary")
-    return filters.repartition("size", "shard").sortWithinPartitions("size", "shard").mapInArrow(merge, "ids array<long>, a long")
+    coded = chunks.select("chunk", "codes").join(ids, "chunk").select("codes", "places", "ids")
+    made = coded.mapInArrow(lambda batches: filters(batches, layouts), "size int, shard long, filter binary")
+    return made.repartition("size", "shard").sortWithinPartitions("size", "shard").mapInArrow(lambda batches: merged(batches, layouts, min_count), "ids array<long>, a long")
 
 
 FILTER = pa.schema([("size", pa.int32()), ("shard", pa.int64()), ("filter", pa.binary())])

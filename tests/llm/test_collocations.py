@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import lower_ascii
 
@@ -80,6 +81,30 @@ def test_collocations_equal_plain_counting(spark, monkeypatch, max_words, first)
     assert got == plain_collocations(rows, max_words, 10, 50, first)
 
 
+def test_tasks_hold_little(monkeypatch):
+    """However large a chunk or a shard is, few n-grams are made or held at once, and none is lost where slices meet."""
+    monkeypatch.setattr(collocations, "SLICE_PLACES", 100)
+    monkeypatch.setattr(collocations, "HELD_ENTRIES", 300)
+    made, joined = [], []
+    counted, join = Layout.counted, Entries.joined
+    monkeypatch.setattr(Layout, "counted", lambda self, ids: made.append(len(ids[0])) or counted(self, ids))
+    monkeypatch.setattr(Entries, "joined", staticmethod(lambda parts: joined.append(sum(map(len, parts))) or join(parts)))
+    layouts = {m: Layout(m, 9, 2) for m in (2, 3)}
+    codes = np.random.default_rng(1).integers(-1, 400, 20_000).astype(np.int32)
+    ids = np.arange(400)[::-1]
+    chunk = pa.RecordBatch.from_pydict({"codes": [codes.tobytes()], "places": pa.array([np.arange(400, dtype=np.int32)]), "ids": pa.array([ids])})
+    sent = [r for b in collocations.filters(iter([chunk, chunk]), layouts) for r in b.to_pylist()]
+    assert max(made) <= 100 and max(joined) <= 300 + 100
+    line = np.where(codes < 0, -1, ids[codes])
+    expected = Counter(tuple(int(x) for x in g) for m in layouts for g in np.lib.stride_tricks.sliding_window_view(line, m) if (g >= 0).all())
+    joined.clear()
+    batches = [pa.RecordBatch.from_pylist([r], schema=collocations.FILTER) for r in sorted(sent, key=lambda r: (r["size"], r["shard"]))]
+    back = {tuple(r["ids"]): r["a"] for b in collocations.merged(iter(batches), layouts, 1) for r in b.to_pylist()}
+    assert back == {g: 2 * n for g, n in expected.items()}
+    # A shard that stays larger than what is held is not merged again for every filter.
+    assert sum(joined) < 6 * sum(len(entries(layouts[r["size"]], r["shard"], r["filter"])) for r in sent)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r["lang"], r["text"]) for r in odd_docs.collect()]
     assert sorted(tuple(r) for r in collocations.collocations(odd_docs, min_count=2).collect()) == plain_collocations(rows, 3, 2, 50, 2000)
