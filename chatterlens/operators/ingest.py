@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterlens.functions.columns import small
 from chatterlens.functions.fixed_values import ENTITY_TYPES, PLATFORMS
 from chatterlens.functions.skew import spread_join
 from chatterlens.schemas import COMMENT_METADATA
@@ -155,43 +156,74 @@ TABLE_RULES = {
 }
 
 
-def validate_corpus(g: Corpus, rules: Mapping[str, Rules] = TABLE_RULES) -> DataFrame:
+# A key that more references than this mean is looked up once for all of them; the most asked ones of each table are, so many at most.
+HOT_ROWS = 100_000
+HOT_KEYS = 500
+COUNTED_KEYS = 5_000  # keys that a sketch counts at once; what has a five-hundredth of a table's references is always among them
+NOWHERE = -1  # a target without keys
+
+
+def validate_corpus(g: Corpus, rules: Mapping[str, Rules] = TABLE_RULES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every broken rule as (table, rule, key); an empty result means a sound corpus.
 
-    Each table is read once for its rows' rules and references, and once for its keys. All references meet all keys in one
-    join by (target, key); rules that are broken already take part in it under a target without keys, so nothing
-    removes them.
+    Each table is read once for its rows' rules and references, once for its keys, and once to see which keys are asked for
+    most. All references meet all keys in one join by (target, key); rules that are broken already take part in it under a
+    target without keys, so nothing removes them. A key that very many references mean never draws them into one task: it is
+    looked up once, the references to it go before the join if it exists, and else are spread like broken rules. Which
+    keys are treated so changes nothing in the result.
     """
     tables = {name: df for name in rules if (df := getattr(g, name)) is not None}
+    names = list(tables)
     text = lambda c: F.col(c).cast("string")
+    checks: list[tuple[str, str]] = []  # (table, rule); rows carry the place in it, and the place of the target in ``names``
+    spread = lambda check, key: F.xxhash64(check, key).cast("string")
 
     def events(name: str, df: DataFrame) -> DataFrame:
-        """(table, rule, key, target, ref): broken rules, and references to be looked up."""
+        """(check, key, target, ref): broken rules, and references to be looked up."""
         r = rules[name]
 
-        def event(rule: str, when: Column, target: Column, ref: Column) -> Column:
-            return F.when(when, F.struct(F.lit(name).alias("table"), F.lit(rule).alias("rule"), text(r.key).alias("key"), target.alias("target"), ref.alias("ref")))
+        def event(rule: str, when: Column, target: int = NOWHERE, ref: Column | None = None) -> Column:
+            checks.append((name, rule))
+            check, key = F.lit(len(checks) - 1), text(r.key)
+            ref = spread(check, key) if ref is None else ref
+            return F.when(when, F.struct(check.alias("check"), key.alias("key"), F.lit(target).alias("target"), ref.alias("ref")))
 
-        # The hash deals broken rules evenly.
-        broken = lambda rule, when: event(rule, when, F.lit(""), F.xxhash64(F.lit(rule), text(r.key)).cast("string"))
-        found = [broken("required", F.greatest(*[F.col(c).isNull() for c in r.required], F.lit(False)))]
-        found += [broken(c, F.col(c).isNotNull() & ~F.col(c).isin(list(values))) for c, values in r.values.items()]
-        found += [event(rule, F.col(c).isNotNull(), F.lit(target), text(c)) for rule, c, target in r.references if target in tables]
+        found = [event("required", F.greatest(*[F.col(c).isNull() for c in r.required], F.lit(False)))]
+        found += [event(c, F.col(c).isNotNull() & ~F.col(c).isin(list(values))) for c, values in r.values.items()]
+        found += [event(rule, F.col(c).isNotNull(), names.index(target), text(c)) for rule, c, target in r.references if target in tables]
         return df.select(F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.*")
 
+    def references(name: str, df: DataFrame) -> list[DataFrame]:
+        pairs = [F.struct(F.lit(names.index(target)).alias("target"), text(c).alias("ref")) for _, c, target in rules[name].references if target in tables]
+        return [df.select(F.explode(F.array(*pairs)).alias("e")).select("e.*").filter("ref IS NOT NULL")] if pairs else []
+
     def keys(name: str, df: DataFrame) -> DataFrame:
         r = rules[name]
         columns = list(r.unique[1]) if r.unique else [r.target_key]
         return df.select(
-            F.lit(name).alias("target"), F.concat_ws("/", *columns).alias("ref"), F.lit(r.unique[0] if r.unique else None).cast("string").alias("rule"),
-            F.greatest(*[F.col(c).isNotNull() for c in columns], F.lit(False)).alias("real"))
+            F.lit(names.index(name)).alias("target"), F.concat_ws("/", *columns).alias("ref"), F.greatest(*[F.col(c).isNotNull() for c in columns], F.lit(False)).alias("real"))
 
     keyed = [keys(name, df) for name, df in tables.items() if rules[name].unique or rules[name].target_key]
-    counts = reduce(DataFrame.unionByName, keyed).groupBy("target", "ref").agg(F.count("*").alias("n"), F.max("rule").alias("rule"), F.max("real").alias("real"))
+    counts = reduce(DataFrame.unionByName, keyed).groupBy("target", "ref").agg(F.count("*").alias("n"), F.max("real").alias("real"))
+    real = counts.filter("real").select("target", "ref")
     asked = reduce(DataFrame.unionByName, [events(name, df) for name, df in tables.items()])
-    lost = asked.join(counts.filter("real").select("target", "ref"), ["target", "ref"], "left_anti").select("table", "rule", "key")
-    repeated = counts.filter(F.col("rule").isNotNull() & (F.col("n") > 1))
-    return lost.unionByName(repeated.select(F.col("target").alias("table"), "rule", F.col("ref").alias("key")))
+    if pairs := [frame for name, df in tables.items() for frame in references(name, df)]:
+        most = F.call_function("approx_top_k", F.col("ref"), F.lit(HOT_KEYS), F.lit(COUNTED_KEYS))
+        often = reduce(DataFrame.unionByName, pairs).groupBy("target").agg(most.alias("most")).select("target", F.inline("most"))
+        often = often.filter(F.col("count") >= hot_rows).select("target", F.col("item").alias("ref"))
+        listed = HOT_KEYS * len(names)
+        exists = real.join(small(often, listed), ["target", "ref"], "left_semi").withColumn("exists", F.lit(True))
+        hot = often.join(exists, ["target", "ref"], "left").select("target", "ref", F.coalesce("exists", F.lit(False)).alias("exists"))
+        asked = asked.join(small(hot, listed), ["target", "ref"], "left").filter(F.col("exists").isNull() | ~F.col("exists"))
+        cold = F.col("exists").isNull()
+        asked = asked.select(
+            "check", "key", F.when(cold, F.col("target")).otherwise(F.lit(NOWHERE)).alias("target"), F.when(cold, F.col("ref")).otherwise(spread(F.col("check"), F.col("key"))).alias("ref"))
+    named = lambda values, place: F.array(*[F.lit(v).cast("string") for v in values])[F.col(place)]
+    lost = asked.join(real, ["target", "ref"], "left_anti").select(
+        named([name for name, _ in checks], "check").alias("table"), named([rule for _, rule in checks], "check").alias("rule"), "key")
+    unique = {names.index(name): rules[name].unique[0] for name in names if rules[name].unique}
+    repeated = counts.filter(F.col("target").isin(list(unique)) & (F.col("n") > 1))
+    return lost.unionByName(repeated.select(named(names, "target").alias("table"), named([unique.get(i) for i in range(len(names))], "target").alias("rule"), F.col("ref").alias("key")))
 
 
 def comment_depth(messages: DataFrame, root_prefix: str | None = None) -> DataFrame:

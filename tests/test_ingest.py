@@ -89,6 +89,31 @@ def test_violations_of_every_table(spark, small_corpus):
     assert rules(embeddings_reference=refs) == {("embeddings_reference", "message_exists")}
 
 
+def test_references_to_one_key_are_spread(spark, small_corpus):
+    """Many references to one key, present or absent, neither meet in one task nor change the result."""
+    from dataclasses import replace
+
+    n = 300_000
+    wide = spark.range(n).select(
+        F.concat(F.lit("m"), "id").alias("id"), F.lit("reddit").alias("platform"), F.lit("t").alias("content"),
+        F.when(F.col("id") % 2 == 0, "reddit_u2").otherwise("nobody").alias("author_id"), F.lit(1).cast("long").alias("timestamp"),
+        F.lit(1).cast("long").alias("scraped_at"), F.lit("s").alias("source"), F.when(F.col("id") == 5, "absent").alias("parent_id"), F.lit(None).cast("string").alias("metadata"))
+    corpus = replace(small_corpus, messages=small_corpus.messages.unionByName(wide))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "8", "false")):
+            spark.conf.set(k, v)
+        found = ing.validate_corpus(corpus).withColumn("part", F.spark_partition_id())
+        rows = found.groupBy("rule", "part").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"), F.sum(F.substring("key", 2, 9).cast("long") % 2).alias("odd")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    authors = [r for r in rows if r.rule == "author_exists"]
+    assert sum(r.n for r in authors) == sum(r.keys for r in authors) == sum(r.odd for r in authors) == n // 2
+    assert [(r.rule, r.n) for r in rows if r.rule != "author_exists"] == [("parent_exists", 1)]
+    assert len(authors) == 8 and max(r.n for r in authors) < n // 8
+
+
 def test_last_update_wins(spark, small_corpus):
     updates = [("reddit_u2", "reddit", name, None, 0, 0, 0, None, place) for place, name in enumerate(("alice", "zed", "mia"))]
     incoming = spark.createDataFrame(updates, schemas.USERS + ", place int")
