@@ -5,9 +5,10 @@
 2. Word counts add up over the chunks. Words of at least ``min_count`` occurrences get dense ids per language (no phrase
    is more frequent than its words); the chunks get the ids by a join on their distinct words, so the dictionary is
    never held whole by anyone.
-3. Every chunk's n-grams, made some places at a time, go into counting quotient filters (``quotient``), one per length and shard. The permutation
-   spreads the n-grams evenly over the shards, whatever their frequency, and the number of shards follows the number of
-   words, so a shard's merged filter stays small. Filters of a shard merge in one task, and frequent n-grams come back.
+3. Every chunk's n-grams, made some places at a time, go into counting quotient filters (``quotient``), one per length
+   and shard. The permutation spreads the n-grams evenly over the shards, whatever their frequency, and the number of
+   shards follows the number of words, so a shard's merged filter stays small. Filters of a shard merge in one task, and
+   frequent n-grams come back.
 4. Parts are looked up, scores are exact decimals, and only phrases that can be among the first of their language are
    spelled out.
 
